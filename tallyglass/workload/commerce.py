@@ -318,13 +318,13 @@ def _(t):
 
 @query(
     "g3_default_top_n",
-    "SELECT selection_id, coalesce(try_cast(trim(top_n) AS INT), 10) AS n FROM selections WHERE top_n IS NULL OR top_n NOT LIKE '%.%' AND top_n NOT LIKE '%a%' AND top_n NOT LIKE '%_000'",
+    r"""SELECT selection_id, coalesce(CASE WHEN regexp_matches(top_n, '^\s*[+-]?\d+(_\d+)*\s*$')
+        THEN CAST(replace(trim(top_n), '_', '') AS BIGINT) END, 10) AS n FROM selections""",
     "selections",
 )
 def _(t):
-    keep = "top_n IS NULL OR top_n NOT LIKE '%.%' AND top_n NOT LIKE '%a%' AND top_n NOT LIKE '%_000'"
-    sel = t.role("selections").where(keep)
-    return sel.select("selection_id", glossary.default_top_n(F.col("top_n").try_cast("int")).alias("n"))
+    n = glossary.coerce_scalar(F.col("top_n"), F.lit("integer")).cast("bigint")
+    return t.role("selections").select("selection_id", glossary.default_top_n(n).alias("n"))
 
 
 _SPEND = "SELECT customer_id, round(sum(order_total), 2) AS spend FROM purchases GROUP BY 1"
