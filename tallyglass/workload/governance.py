@@ -301,7 +301,10 @@ _REVIEWED = "case_id % 3 <> 0 AS grounded, CASE WHEN case_id % 4 <> 0 THEN 'agai
     "cases",
 )
 def _(t):
-    cases = t.role("cases").selectExpr("*", _REVIEWED.replace("'again ' || case_id", "concat('again ', case_id)"))
+    n = F.col("case_id")
+    cases = t.role("cases").withColumns(
+        {"grounded": n % 3 != 0, "revised_query": F.when(n % 4 != 0, F.concat(F.lit("again "), n.cast("string")))}
+    )
     return cases.select("case_id", gates.review_decision("grounded", "confidence", "revision_count", "revised_query").alias("decision"))
 
 

@@ -211,7 +211,7 @@ _JOINED = {
 }
 
 _HEADED = {
-    "spark": r"regexp_replace(text, '\\n([^ \\n]+) ', '\\n## $1\\n')",
+    "spark": r"regexp_replace(text, '\n([^ \n]+) ', '\n## $1\n')",
     "duckdb": r"regexp_replace(text, '\n([^ \n]+) ', E'\n## \\1\n', 'g')",
 }
 
