@@ -21,21 +21,27 @@ DIGITS = 9
 
 @dataclass(frozen=True)
 class Bm25Index:
-    """postings(term, chunk_id, doc_type, tf, doc_len) · terms(term, df) · stats(n_docs, avg_len, mean_idf)
-    · chunks(chunk_id, doc_type)"""
+    """postings(term, chunk_id, doc_type, tf, doc_len) · terms(term, df, cf) ·
+    stats(n_docs, avg_len, mean_idf) · chunks(chunk_id, doc_type)"""
 
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
     chunks: DataFrame
 
-    def save(self, path: str, buckets: int = 0) -> "Bm25Index":
-        """Write all parts; the postings sorted by term, so a term's rows are found by file statistics."""
+    def save(self, path: str) -> "Bm25Index":
+        """Write the index and return it on the written tables.
+
+        The corpus is tokenised once, for the postings; the rest derives from what was written. Postings
+        are sorted by term inside each file, so that row-group statistics skip most of a file when
+        terms are given.
+        """
         spark = self.postings.sparkSession
-        by_term = self.postings.repartitionByRange(*([buckets] if buckets else []), "term", "chunk_id")
-        by_term.sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        self.postings.sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
+        stored = spark.read.parquet(f"{path}/postings")
+        _terms(stored).write.mode("overwrite").parquet(f"{path}/terms")
+        terms = spark.read.parquet(f"{path}/terms")
+        _stats(terms, self.chunks).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
         self.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
         return load_index(spark, path)
 
@@ -44,30 +50,47 @@ def load_index(spark: SparkSession, path: str) -> Bm25Index:
     return Bm25Index(*[spark.read.parquet(f"{path}/{p}") for p in ("postings", "terms", "stats", "chunks")])
 
 
+def _terms(postings: DataFrame) -> DataFrame:
+    """Document and corpus frequency; a term of a third of all chunks is one partial sum per map task."""
+    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+def _idf(n, df):
+    return F.ln(n - df + 0.5) - F.ln(df + 0.5)
+
+
+def _stats(terms: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row from the term table and the number of chunks; chunks without a token count as well."""
+    n = chunks.agg(F.count("*").alias("n")).scalar()
+    return (
+        terms.withColumn("_n", n)
+        .agg(
+            F.max("_n").alias("n_docs"),
+            (F.sum("cf").cast("double") / F.max("_n")).alias("avg_len"),
+            F.avg(_idf(F.col("_n"), F.col("df"))).alias("mean_idf"),
+        )
+    )
+
+
 def build_index(chunks: DataFrame, text: str = "content") -> Bm25Index:
     """Index ``chunk_id, doc_type, <text>``. Frequencies and lengths cover the whole corpus.
 
-    Tokens are counted per (chunk, term) before the shuffle, so a term that stands in a third of all
-    chunks is spread by chunk; document frequencies are partial counts per map task.
+    Texts are placed by chunk id before they are tokenised. Terms are then counted where they
+    arise: the shuffle moves each text once instead of its postings, several times as large, and a
+    term that stands in a third of all chunks is spread by chunk. The result is lazy; :meth:`Bm25Index.save`
+    it to score more than once.
     """
-    toks = chunks.select("chunk_id", "doc_type", keyword_tokens(text).alias("_t"))
-    lengths = toks.select("chunk_id", "doc_type", F.size("_t").alias("doc_len"))
+    placed = chunks.select("chunk_id", "doc_type", text).repartition("chunk_id")
+    toks = placed.select("chunk_id", "doc_type", keyword_tokens(text).alias("_t"))
     postings = (
         toks.select("chunk_id", "doc_type", F.size("_t").alias("doc_len"), F.explode_outer("_t").alias("term"))
         .where("term is not null")
         .groupBy("chunk_id", "doc_type", "doc_len", "term")
         .agg(F.count("*").alias("tf"))
     )
-    terms = postings.groupBy("term").agg(F.count("*").alias("df"))
-    size = lengths.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
-    n = F.col("_s.n_docs")
-    stats = (
-        terms.withColumn("_s", size.select(F.struct("n_docs", "avg_len")).scalar())
-        .agg(F.avg(F.ln(n - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("mean_idf"))
-        .withColumn("_s", size.select(F.struct("n_docs", "avg_len")).scalar())
-        .select("_s.n_docs", "_s.avg_len", "mean_idf")
-    )
-    return Bm25Index(postings, terms, stats, lengths.select("chunk_id", "doc_type"))
+    terms = _terms(postings)
+    kinds = chunks.select("chunk_id", "doc_type")
+    return Bm25Index(postings, terms, _stats(terms, kinds), kinds)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -100,7 +123,7 @@ def contributions(
     """
     s = F.col("_s")
     stat = index.stats.select(F.struct("n_docs", "avg_len", "mean_idf")).scalar()
-    idf = F.ln(s["n_docs"] - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
+    idf = _idf(s["n_docs"], F.col("df"))
     floor = F.greatest(F.lit(epsilon) * s["mean_idf"], F.lit(0.0))
     # Query terms are reduced to those in the corpus with their weight before they meet the postings.
     weighted = (

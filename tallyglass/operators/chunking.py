@@ -8,12 +8,16 @@ size below the explode, which would compute the whole array a second time.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyglass.functions.text import strip
 
 CHUNK_SIZE = 256
 OVERLAP = 32
+_RUN = 16
 
 # A token is a run of non-space characters; a piece is a token with the space after it.
 _SPACE = r"[ \t\n\r\f]"
@@ -104,27 +108,45 @@ def tokenize_offsets(text: Column | str) -> Column:
 def token_positions(df: DataFrame, text: str) -> DataFrame:
     """One row per token with its character offsets in ``text``.
 
-    The text is cut into strides first and tokens are laid out per stride, which keeps the work
-    linear for texts of any length.
+    The text is cut into strides and these into short runs before tokens are laid out, so every
+    running sum is over a short list and the work stays linear for texts of any length.
     """
     rest = [c for c in df.columns if c != text]
-    cut = df.select(*rest, _cut(F.col(text), CHUNK_SIZE, 0).alias("_cut"))
-    at = _running(F.transform("_cut.strides", lambda s: F.length(s)))
-    per_stride = cut.withColumn("_at", at).select(
-        *rest, F.col("_cut.lead").alias("_lead"), "_at", F.posexplode_outer("_cut.strides").alias("_no", "_s")
-    )
-    return per_stride.select(
-        *rest, "_no", (F.col("_lead") + F.get("_at", F.col("_no"))).alias("_base"),
-        F.posexplode_outer(tokenize_offsets("_s")).alias("_i", "_t"),
+    level1 = _positions(df.select(*rest, F.col(text).alias("_s"), F.lit(0).alias("_base"), F.lit(0).alias("_no")), rest, CHUNK_SIZE)
+    level2 = _positions(level1, rest, _RUN)
+    return level2.select(
+        *rest, "_no", "_base", F.posexplode_outer(tokenize_offsets("_s")).alias("_i", "_t")
     ).where("_i is not null").select(
         *rest,
-        (F.col("_no") * CHUNK_SIZE + F.col("_i")).alias("token_no"),
+        (F.col("_no") + F.col("_i")).alias("token_no"),
         F.col("_t.token").alias("token"),
         (F.col("_base") + F.col("_t.char_start")).alias("char_start"),
         (F.col("_base") + F.col("_t.char_end")).alias("char_end"),
     )
 
 
+def _positions(df: DataFrame, rest: list[str], size: int) -> DataFrame:
+    """Cut ``_s`` into strides of ``size`` tokens; ``_base`` and ``_no`` are its first character and token."""
+    cut = df.select(*rest, "_base", "_no", _cut(F.col("_s"), size, 0).alias("_cut"))
+    at = _running(F.transform("_cut.strides", lambda s: F.length(s)))
+    return (
+        cut.withColumn("_at", at)
+        .select(
+            *rest,
+            (F.col("_base") + F.col("_cut.lead")).alias("_base"),
+            F.col("_no").alias("_first"),
+            "_at",
+            F.posexplode_outer("_cut.strides").alias("_i", "_s"),
+        )
+        .select(
+            *rest,
+            "_s",
+            (F.col("_base") + F.get("_at", F.col("_i"))).alias("_base"),
+            (F.col("_first") + F.col("_i") * size).alias("_no"),
+        )
+    )
+
+
 def _strides(text: Column, stride: int) -> Column:
     """Consecutive cuts of ``stride`` tokens each, with the space after them; the last may be short."""
     return F.regexp_extract_all(text, F.lit(f"({_PIECE}{{1,{stride}}}+)"), F.lit(1))
@@ -222,31 +244,83 @@ def window_chunks(df: DataFrame, text: str, size: int = CHUNK_SIZE, overlap: int
     )
 
 
+# One text -> (start, end) of each token, as a model's tokenizer reports them.
+Tokenizer = Callable[[str], list[tuple[int, int]]]
+_WINDOW = "struct<window_no:int,text_start:int,token_count:int,content:string>"
+
+
+def _windows_by(make: Callable[[], Tokenizer], size: int, overlap: int):
+    """Arrow UDF: the texts of a document -> the windows of each, by a pluggable tokenizer."""
+
+    @F.pandas_udf(f"array<array<{_WINDOW}>>")
+    def run(docs: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tokenizer = make()
+
+        def cut(text: str) -> list[dict]:
+            spans = list(tokenizer(text))
+            starts = range(0, max(len(spans) - overlap, 1), size - overlap) if spans else ()
+            rows = []
+            for no, first in enumerate(starts):
+                part = spans[first : first + size]
+                start, end = part[0][0], part[-1][1]
+                rows.append({"window_no": no, "text_start": start, "token_count": len(part), "content": text[start:end]})
+            return rows
+
+        for series in docs:
+            yield pd.Series([[cut(t) for t in (texts if texts is not None else [])] for texts in series], index=series.index)
+
+    return run
+
+
 def chunk_documents(
-    docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP, keep: tuple[str, ...] = ()
+    docs: DataFrame,
+    size: int = CHUNK_SIZE,
+    overlap: int = OVERLAP,
+    keep: tuple[str, ...] = (),
+    tokenizer: Callable[[], Tokenizer] | None = None,
 ) -> DataFrame:
     """``source, doc_type, content`` -> chunk records; ``source`` identifies the document.
 
-    A document's sections and cuts stay on its row until the last step, so the running chunk index
+    A document's sections and windows stay on its row until the last step, so the running chunk index
     is a fold over its section list: no shuffle, whatever the size of the corpus or of a document.
-    The id is a hash of source and index, the same on every run.
+    The id is a hash of source and index, the same on every run. ``tokenizer`` makes a model
+    tokenizer, once per Python worker task; without one everything stays in built-in expressions.
     """
     _check(size, overlap)
     lead = ["source", "doc_type", *keep]
-    cuts = docs.select(
-        *lead,
-        doc_title("content").alias("doc_title"),
-        F.transform(
-            _sections(F.col("content")),
-            lambda s: F.struct(
-                s["section"].alias("section"),
-                s["section_start"].alias("section_start"),
-                _cut(s["section_text"], size, overlap).alias("cut"),
-            ),
-        ).alias("_s"),
+    titled = docs.select(
+        *lead, doc_title("content").alias("doc_title"), _sections(F.col("content")).alias("_s")
     )
-    firsts = _running(F.transform("_s", lambda s: s["cut"]["n_win"]))
-    per_section = cuts.withColumn("_first", firsts).select(
+    if tokenizer is None:
+        cuts = titled.withColumn(
+            "_s",
+            F.transform(
+                "_s",
+                lambda s: F.struct(
+                    s["section"].alias("section"),
+                    s["section_start"].alias("section_start"),
+                    _cut(s["section_text"], size, overlap).alias("cut"),
+                ),
+            ),
+        )
+        counts = F.transform("_s", lambda s: s["cut"]["n_win"])
+        windows = _windows(F.col("_s.cut"), size, overlap)
+    else:
+        by = _windows_by(tokenizer, size, overlap)
+        texts = F.transform("_s", lambda s: s["section_text"])
+        cuts = titled.withColumn("_w", by(texts)).withColumn(
+            "_s",
+            F.zip_with(
+                "_s",
+                "_w",
+                lambda s, w: F.struct(
+                    s["section"].alias("section"), s["section_start"].alias("section_start"), w.alias("windows")
+                ),
+            ),
+        )
+        counts = F.transform("_s", lambda s: F.size(s["windows"]))
+        windows = F.col("_s.windows")
+    per_section = cuts.withColumn("_first", _running(counts)).select(
         *lead, "doc_title", "_first", F.posexplode_outer("_s").alias("_no", "_s")
     )
     per_window = per_section.select(
@@ -255,7 +329,7 @@ def chunk_documents(
         F.col("_s.section").alias("section"),
         F.col("_s.section_start").alias("_from"),
         F.get("_first", F.col("_no")).alias("_first"),
-        F.inline_outer(_windows(F.col("_s.cut"), size, overlap)),
+        F.inline_outer(windows),
     ).where("window_no is not null")
     return per_window.withColumn("chunk_index", F.col("_first") + F.col("window_no")).select(
         chunk_key("source", "chunk_index").alias("chunk_id"),
@@ -319,32 +393,49 @@ def corpus_files(chunks: DataFrame) -> DataFrame:
 def chunk_overlap(chunks: DataFrame) -> DataFrame:
     """Characters each chunk shares with its neighbours in the same section.
 
-    Neighbours meet through a join on (source, chunk_index), which spreads a long document over all
-    tasks; only positions travel. A shared end never reaches into the shared start.
+    Every chunk is sent to its own place and to both places next to it, then folded per place. That
+    is one shuffle of positions, computes the chunks once, and has no group larger than three rows
+    however long a document is. A shared end never reaches into the shared start.
     """
-    slim = chunks.select("chunk_id", "source", "section", "chunk_index", "char_start", "char_end")
+    place = F.struct("section", "char_start", "char_end")
+    sent = chunks.select(
+        "source",
+        F.explode(
+            F.array(
+                *[
+                    F.struct(
+                        (F.col("chunk_index") + step).alias("chunk_index"),
+                        F.when(F.lit(step == 0), F.col("chunk_id")).alias("chunk_id"),
+                        F.when(F.lit(step == 0), place).alias("own"),
+                        F.when(F.lit(step == 1), place).alias("before"),
+                        F.when(F.lit(step == -1), place).alias("after"),
+                    )
+                    for step in (0, 1, -1)
+                ]
+            )
+        ).alias("x"),
+    ).select("source", "x.*")
+    met = sent.groupBy("source", "chunk_index").agg(
+        *[F.max(c).alias(c) for c in ("chunk_id", "own", "before", "after")]
+    )
+    size = F.col("own.char_end") - F.col("own.char_start")
 
-    def neighbour(step: int, name: str) -> DataFrame:
-        return chunks.select(
-            "source",
-            (F.col("chunk_index") + step).alias("chunk_index"),
-            F.struct("section", "char_start", "char_end").alias(name),
-        )
+    def shared(side: str, chars) -> Column:
+        same = F.col(f"{side}.section") == F.col("own.section")
+        return F.when(same, F.least(size, F.greatest(chars, F.lit(0)))).otherwise(0)
 
-    both = slim.join(neighbour(1, "_b"), ["source", "chunk_index"], "left").join(
-        neighbour(-1, "_a"), ["source", "chunk_index"], "left"
-    )
-    size = F.col("char_end") - F.col("char_start")
-    head = F.when(
-        F.col("_b.section") == F.col("section"),
-        F.least(size, F.greatest(F.col("_b.char_end") - F.col("char_start"), F.lit(0))),
-    ).otherwise(0)
-    tail = F.when(
-        F.col("_a.section") == F.col("section"),
-        F.least(size, F.greatest(F.col("char_end") - F.col("_a.char_start"), F.lit(0))),
-    ).otherwise(0)
     return (
-        both.withColumn("shared_prefix", head)
-        .withColumn("shared_suffix", F.least(tail, size - F.col("shared_prefix")))
-        .select(*slim.columns, "shared_prefix", "shared_suffix")
+        met.where("chunk_id is not null")
+        .withColumn("shared_prefix", shared("before", F.col("before.char_end") - F.col("own.char_start")))
+        .withColumn("_tail", shared("after", F.col("own.char_end") - F.col("after.char_start")))
+        .select(
+            "chunk_id",
+            "source",
+            "own.section",
+            "chunk_index",
+            "own.char_start",
+            "own.char_end",
+            "shared_prefix",
+            F.least(F.col("_tail"), size - F.col("shared_prefix")).alias("shared_suffix"),
+        )
     )

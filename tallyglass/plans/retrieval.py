@@ -9,13 +9,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallyglass.operators.bm25 import Bm25Index, bm25, build_index
 from tallyglass.operators.fusion import POOL, overlap_scorer, rerank, rrf
 from tallyglass.operators.knn import knn
+from tallyglass.session import shared_dir
 
 
 def fused_candidates(
     queries: DataFrame, corpus: DataFrame, index: Bm25Index | None = None, pool: int = POOL
 ) -> DataFrame:
-    """Vector and keyword lists of ``pool`` rows each, fused to ``pool`` candidates per query."""
-    index = index or build_index(corpus)
+    """Vector and keyword lists of ``pool`` rows each, fused to ``pool`` candidates per query.
+
+    Without an ``index`` one is built and written to the shared folder first.
+    """
+    index = index or build_index(corpus).save(shared_dir(corpus.sparkSession))
     return rrf(knn(queries, corpus, pool), bm25(queries, index, pool), k=pool)
 
 

@@ -441,7 +441,7 @@ def _ranked_scores(k, want="NULL"):
 
 
 def _index(t):
-    return kw.build_index(t.role("passages"))
+    return kw.build_index(t.role("passages")).save(shared_dir(t.spark))
 
 
 @query(

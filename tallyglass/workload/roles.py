@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyglass.catalog import Catalog
+from tallyglass.sources.splits import spread
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
@@ -202,6 +203,15 @@ ROLES: dict[str, tuple[str, list[str], str | None]] = {
     ),
 }
 
+# Roles whose rows feed costly expressions: columns to read, the first one spreads the rows.
+_COSTLY = {
+    "passages": ["doc_id", "text", "lang", "source"],
+    "markdown": ["doc_id", "text", "lang", "source"],
+    "statements": ["o_orderkey"],
+    "outputs": ["event_id", "props"],
+    "selections": ["event_id", "event_type", "props"],
+}
+
 # Role text that is not a plain projection.
 _JOINED = {
     "translation": "SELECT DISTINCT p_type AS product_category_name, lower(p_type) AS product_category_name_english FROM part WHERE p_type <> 'PROMO'",
@@ -251,6 +261,8 @@ class Tables:
         df = self.read(table)
         if where:
             df = df.where(where)
+        if name in _COSTLY:
+            df = spread(df.select(*_COSTLY[name]), _COSTLY[name][0])
         return df.selectExpr(*[c.replace("{headed}", _HEADED["spark"]) if name == "markdown" else c for c in cols])
 
     def _translation(self) -> DataFrame:
