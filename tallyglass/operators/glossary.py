@@ -161,16 +161,16 @@ def _resolve_scalar(p: Column, filters: Column) -> Column:
     return F.struct(p["name"].alias("param"), picked.alias("value"), error.alias("error"))
 
 
-def resolve_selections(selections: DataFrame, catalog: Catalog, measures: DataFrame | None = None) -> DataFrame:
+def resolve_selections(selections: DataFrame, catalog: Catalog) -> DataFrame:
     """Resolve the declared parameters of every selection.
 
     ``selections`` has ``measure``, ``glossary_refs`` (array) and ``filters`` (map) next to its own
     columns. Adds ``resolved`` (array of param, value, error), ``parameters_applied`` (map, null on
     error) and ``resolution_error`` (first error in declared order). Only declared parameters are
-    read: other refs and filters are ignored. The measure table has one row per declared measure and
-    is broadcast; everything else is row-local, nothing is exploded or shuffled.
+    read: other refs and filters are ignored. The measure table has one row per measure of the catalog
+    object and is broadcast; everything else is row-local, nothing is exploded or shuffled.
     """
-    table = measures if measures is not None else catalog.measure_table(selections.sparkSession)
+    table = catalog.measure_table(selections.sparkSession)
     df = selections.join(F.broadcast(table), "measure", "left")
     refs = F.coalesce(F.col("glossary_refs"), F.array().cast("array<string>"))
     filters = F.coalesce(F.col("filters"), F.create_map().cast("map<string,string>"))

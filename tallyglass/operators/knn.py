@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -18,7 +19,8 @@ from tallyglass.operators.latest import top_per_key
 
 # A block of queries is sent to every executor: 4,096 vectors of 384 doubles are 12 MB.
 QUERY_BLOCK = 4_096
-TILE_ROWS = 131_072
+# A tile of 32,768 rows of 384 doubles is 100 MB in the Python worker.
+TILE_ROWS = 32_768
 # Distances are compared after rounding, so equal vectors tie exactly and the id decides.
 DIGITS = 9
 _CELLS_PER_PRODUCT = 4_000_000
@@ -146,25 +148,34 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 50, max_queries: int = Q
     if head.num_rows <= max_queries:
         return _final(_scan(q.sparkSession, c, _block_of(head), k, schema, ddl), k)
 
-    q_tiles = -(-q.count() // max_queries)
-    c_tiles = max(1, -(-c.count() // tile_rows))
-    qt = q.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(q_tiles))).withColumn(
-        "_c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(c_tiles - 1).cast("bigint")))
-    )
-    ct = c.withColumn("_c", F.pmod(F.xxhash64("chunk_id"), F.lit(c_tiles))).withColumn(
-        "_q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(q_tiles - 1).cast("bigint")))
-    )
+    return _final(_tiles(q, c, k, schema, ddl, q.count(), c.count(), max_queries, tile_rows), k)
+
+
+def _tiles(q, c, k, schema, ddl, n_queries, n_rows, max_queries, tile_rows, by=()) -> DataFrame:
+    """Top ``k`` per query and tile pair, both sides with the same ``by`` columns.
+
+    Tiles are cut by a hash of the row ids, so a value of ``by`` that holds a third of the corpus is
+    spread like any other. Tiles are half full on average, which leaves room for an uneven hash.
+    """
+    n_q, n_c = max(1, -(-2 * n_queries // max_queries)), max(1, -(-2 * n_rows // tile_rows))
+
+    def cut(df, key, own, n_own, other, n_other):
+        every = F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))
+        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int")).withColumn(other, every)
 
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+    keys = [*by, "_q", "_c"]
+    left = cut(q, "query_id", "_q", n_q, "_c", n_c).groupBy(*keys)
+    right = cut(c, "chunk_id", "_c", n_c, "_q", n_q).groupBy(*keys)
+
+    def meet(queries: pa.Table, rows: pa.Table) -> pa.Table:
         out = None
-        if left.num_rows and right.num_rows:
-            best = _TopK(_block_of(left), k)
-            best.add(_ids(right.column("chunk_id")), _scopes(right), _unit(_matrix(right.column("embedding"))))
+        if queries.num_rows and rows.num_rows:
+            best = _TopK(_block_of(queries), k)
+            best.add(_ids(rows.column("chunk_id")), _scopes(rows), _unit(_matrix(rows.column("embedding"))))
             out = best.batch(schema)
         return pa.Table.from_batches([out] if out is not None else [], schema=schema)
 
-    hits = qt.groupBy("_q", "_c").cogroup(ct.groupBy("_q", "_c")).applyInArrow(meet, ddl)
-    return _final(hits, k)
+    return left.cogroup(right).applyInArrow(meet, ddl)
 
 
 def _scopes(t) -> np.ndarray:
@@ -224,19 +235,18 @@ def assign_cells(corpus: DataFrame, centres: np.ndarray) -> DataFrame:
     shared = corpus.sparkSession.sparkContext.broadcast(centres)
 
     @F.pandas_udf("int")
-    def nearest(vectors):
-        import pandas as pd
-
+    def nearest(vectors: pd.Series) -> pd.Series:
         m = np.vstack(vectors.to_numpy()).astype(np.float64)
         return pd.Series(np.argmax(m @ shared.value.T, axis=1).astype("int32"))
 
     return corpus.where("embedding is not null").withColumn("cell", nearest("embedding"))
 
 
-def ann(queries: DataFrame, cells: DataFrame, centres: np.ndarray, k: int = 50, n_probe: int = 4, max_queries: int = QUERY_BLOCK) -> DataFrame:
+def ann(queries: DataFrame, cells: DataFrame, centres: np.ndarray, k: int = 50, n_probe: int = 4, max_queries: int = QUERY_BLOCK, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Nearest neighbours among the ``n_probe`` cells closest to each query, re-scored exactly.
 
-    Queries beyond ``max_queries`` are searched in hash blocks of bounded size, one scan each.
+    Up to ``max_queries`` queries are broadcast and only their cells are read. More of them meet the
+    corpus through an equi-join on the cell, cut into tiles of bounded size.
     """
     q, _ = _sides(queries, cells)
     kind = F.col("doc_type") if "doc_type" in cells.columns else F.lit("")
@@ -248,18 +258,24 @@ def ann(queries: DataFrame, cells: DataFrame, centres: np.ndarray, k: int = 50,
 
     head = q.limit(max_queries + 1).toArrow()
     if head.num_rows <= max_queries:
-        blocks = [head]
-    else:
-        n = -(-2 * q.count() // max_queries)
-        blocks = (q.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i).toArrow() for i in range(n))
-    out = None
-    for table in blocks:
-        block = _block_of(table)
-        block.probes = list(np.argsort(-(block.unit @ centres.T), axis=1)[:, :n_probe]) if block.ids else []
-        wanted = sorted({int(x) for cells_of in block.probes for x in cells_of})
-        part = _scan(q.sparkSession, c.where(F.col("cell").isin(wanted)), block, k, schema, ddl)
-        out = part if out is None else out.unionByName(part)
-    return _final(out, k)
+        block = _block_of(head)
+        block.probes = list(_nearest(block.unit, centres, n_probe)) if block.ids else []
+        wanted = sorted({int(x) for probed in block.probes for x in probed})
+        return _final(_scan(q.sparkSession, c.where(F.col("cell").isin(wanted)), block, k, schema, ddl), k)
+
+    shared = q.sparkSession.sparkContext.broadcast(centres)
+
+    @F.pandas_udf("array<int>")
+    def probes(vectors: pd.Series) -> pd.Series:
+        return pd.Series(list(_nearest(_unit(np.vstack(vectors.to_numpy()).astype(np.float64)), shared.value, n_probe)))
+
+    asked = q.withColumn("cell", F.explode_outer(probes("embedding")))
+    largest = c.groupBy("cell").count().agg(F.max("count")).first()[0] or 0
+    return _final(_tiles(asked, c, k, schema, ddl, q.count(), largest, max_queries, tile_rows, ["cell"]), k)
+
+
+def _nearest(unit: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
+    return np.argsort(-(unit @ centres.T), axis=1)[:, :n].astype("int32")
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:

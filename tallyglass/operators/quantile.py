@@ -4,34 +4,58 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-ACCURACY = 10_000
+ACCURACY = 1_000
+BINS = 4_096
 
 
-def exact_quantile(df: DataFrame, metric: str, q: float, accuracy: int = ACCURACY) -> Column:
+def exact_quantile(df: DataFrame, metric: str, q: float, accuracy: int = ACCURACY, bins: int = BINS) -> Column:
     """Interpolated quantile ``q`` of ``metric`` as a scalar subquery.
 
-    A quantile sketch first gives two values that surely enclose the wanted rank (its rank error is
-    below ``rows / accuracy``). Only the values between them, about ``4 / accuracy`` of the rows and
-    fewer when values repeat, are counted and put in order; the rest are just counted.
+    Three narrowing passes, each ending in a table of bounded size. A sketch gives two values that
+    surely enclose the wanted rank (its rank error is below ``rows / accuracy``). The values between
+    them are counted in ``bins`` equal bins, which names the bin that holds the rank. Only the values of
+    that bin are counted one by one and put in order; everything below is just a number.
     """
     vals = df.select(F.col(metric).cast("double").alias("v")).where("v is not null")
     slack = 2.0 / accuracy
     lo = F.percentile_approx("v", max(q - slack, 0.0), accuracy) if q > slack else F.min("v")
     hi = F.percentile_approx("v", min(q + slack, 1.0), accuracy) if q < 1 - slack else F.max("v")
-    bounds = vals.agg(F.struct(lo.alias("lo"), hi.alias("hi"), F.count("*").alias("n")).alias("b"))
+    bounds = vals.agg(F.struct(lo.alias("lo"), hi.alias("hi"), F.count("*").alias("n")).alias("b")).scalar()
 
-    hist = (
-        vals.withColumn("b", bounds.scalar())
-        .where(F.col("v") <= F.col("b.hi"))
-        .groupBy(F.when(F.col("v") >= F.col("b.lo"), F.col("v")).alias("v"))
-        .agg(F.count("*").alias("c"), F.max("b.n").alias("n"))
+    low, high, n = (bounds.getField(x) for x in ("lo", "hi", "n"))
+    pos = (n - 1) * F.lit(q)
+    share = F.try_divide(F.col("v") - low, high - low)
+    bin_no = (
+        F.when(F.col("v") < low, -1)
+        .when(F.col("v") > high, bins)
+        .otherwise(F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int"))
     )
-    # The null group holds everything below the bracket and sorts first.
-    upto = Window.orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = hist.withColumn("upto", F.sum("c").over(upto)).withColumn("pos", (F.col("n") - 1) * F.lit(q))
-    picked = ranked.agg(
-        F.min(F.when(F.col("v").isNotNull() & (F.col("upto") > F.floor("pos")), F.col("v"))).alias("a"),
-        F.min(F.when(F.col("v").isNotNull() & (F.col("upto") > F.ceil("pos")), F.col("v"))).alias("z"),
+    binned = vals.withColumn("bin", bin_no)
+
+    def reach(key: str) -> Column:
+        return F.sum("c").over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
+
+    counts = binned.groupBy("bin").agg(F.count("*").alias("c"), F.max(pos).alias("pos"))
+    named = (
+        counts.withColumn("upto", reach("bin"))
+        .where(F.col("upto") > F.floor("pos"))
+        .agg(
+            F.struct(
+                F.min("bin").alias("first"),
+                F.min(F.when(F.col("upto") > F.ceil("pos"), F.col("bin"))).alias("last"),
+                F.min_by(F.col("upto") - F.col("c"), "bin").alias("below"),
+            ).alias("s")
+        )
+        .scalar()
+    )
+    values = (
+        binned.where((F.col("bin") >= named.getField("first")) & (F.col("bin") <= named.getField("last")))
+        .groupBy("v")
+        .agg(F.count("*").alias("c"), F.max(pos).alias("pos"), F.max(named.getField("below")).alias("below"))
+    )
+    picked = values.withColumn("upto", F.col("below") + reach("v")).agg(
+        F.min(F.when(F.col("upto") > F.floor("pos"), F.col("v"))).alias("a"),
+        F.min(F.when(F.col("upto") > F.ceil("pos"), F.col("v"))).alias("z"),
         F.max(F.col("pos") - F.floor("pos")).alias("w"),
     )
     return picked.select(F.col("a") + (F.col("z") - F.col("a")) * F.col("w")).scalar()
