@@ -1,3 +1,10 @@
 """tallyglass: governed analytics, SQL-log auditing and hybrid retrieval as Spark DataFrame jobs."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Task functions travel with their code, so executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -183,11 +183,12 @@ def _scopes(t) -> np.ndarray:
 
 
 def _scan(spark, corpus: DataFrame, block: _Block, k: int, schema: pa.Schema, ddl: str) -> DataFrame:
-    shared = spark.sparkContext.broadcast(block)
+    # Plain values: broadcasts are unpickled by name, without the code of their class.
+    shared = spark.sparkContext.broadcast((block.ids, block.unit, block.scopes, block.probes))
     with_cells = block.probes is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value
+        block = _Block(*shared.value)
         if not block.ids:
             return
         best = _TopK(block, k)
