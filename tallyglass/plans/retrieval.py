@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tallyglass.functions.joins import BROADCAST_ROWS, fits
 from tallyglass.operators.bm25 import Bm25Index, bm25, build_index
 from tallyglass.operators.fusion import POOL, overlap_scorer, rerank, rrf
 from tallyglass.operators.knn import knn
@@ -23,11 +24,18 @@ def fused_candidates(
     return rrf(knn(queries, corpus, pool), bm25(queries, index, pool), k=pool)
 
 
-def with_pair(candidates: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Candidates with query text and passage. Candidate rows are few, so the corpus is reduced to the
-    wanted passages by the join rather than moved whole when the optimizer sees the sizes."""
+def with_pair(candidates: DataFrame, queries: DataFrame, corpus: DataFrame, pool: int = POOL) -> DataFrame:
+    """Candidates with their query text and passage.
+
+    There are at most ``pool`` candidates per query, so a bound on the queries bounds the candidates:
+    within it they are broadcast and the corpus is read in place, passages of no candidate are
+    dropped by the scan's own task. Beyond it both sides are shuffled by chunk id.
+    """
     cols = [c for c in ("chunk_id", "source", "doc_type", "section", "content") if c in corpus.columns]
-    return candidates.join(corpus.select(*cols), "chunk_id").join(queries.select("query_id", "text"), "query_id")
+    passages, texts = corpus.select(*cols), queries.select("query_id", "text")
+    if fits(queries, BROADCAST_ROWS // pool):
+        return passages.join(F.broadcast(candidates), "chunk_id").join(F.broadcast(texts), "query_id")
+    return passages.join(candidates, "chunk_id").join(texts, "query_id")
 
 
 def retrieve(
@@ -44,7 +52,7 @@ def retrieve(
     content, embedding (null keeps a chunk out of the vector list) and any of source, section.
     """
     fused = fused_candidates(queries, corpus, index, pool)
-    return rerank(with_pair(fused, queries, corpus), scorer, top_k)
+    return rerank(with_pair(fused, queries, corpus, pool), scorer, top_k)
 
 
 def trace(
@@ -60,7 +68,7 @@ def trace(
     The rerank position is taken over the fused pool, so both top lists are columns of one table.
     """
     fused = fused_candidates(queries, corpus, index, pool)
-    ranked = rerank(with_pair(fused, queries, corpus), scorer, pool)
+    ranked = rerank(with_pair(fused, queries, corpus, pool), scorer, pool)
     return ranked.withColumns(
         {
             "final_rank": F.when(F.col("final_rank") <= top_k, F.col("final_rank")),

@@ -43,4 +43,6 @@ def misses(scored: DataFrame, passed: str, dimension: str, key: str, expected: C
 
 def render_markdown(card: DataFrame) -> DataFrame:
     """One text row per scorecard line, ready for ``write.text``."""
-    return card.orderBy("line").select(F.concat_ws(" | ", F.lit("|"), "dimension", "score", "notes", F.lit("|")).alias("value"))
+    return card.orderBy("line").select(
+        F.format_string("| %s | %s | %s |", "dimension", "score", "notes").alias("value")
+    )

@@ -51,7 +51,7 @@ def _(t):
 
 @query(
     "m2_aov_by_state",
-    """SELECT customer_state, round(sum(price) / count(DISTINCT order_id), 6) AS aov FROM items
+    """SELECT customer_state, round(sum(CAST(floor(price * 100 + 0.5) AS BIGINT)) / 100 / count(DISTINCT order_id), 6) AS aov FROM items
        JOIN purchases USING (order_id) JOIN customers USING (customer_id)
        GROUP BY 1 ORDER BY aov DESC LIMIT 1000""",
     "items purchases customers",
@@ -114,7 +114,7 @@ def _(t):
 @query(
     "m6_business_terms",
     f"""SELECT product_category_name_english AS category, round(sum(price), 2) AS revenue,
-        round(sum(price) / count(DISTINCT order_id), 6) AS aov, round(avg(order_item_id), 6) AS seller_rating,
+        round(sum(CAST(floor(price * 100 + 0.5) AS BIGINT)) / 100 / count(DISTINCT order_id), 6) AS aov, round(avg(order_item_id), 6) AS seller_rating,
         round((count(DISTINCT order_id) FILTER (WHERE order_status = 'P'))::DOUBLE / count(DISTINCT order_id), 9) AS return_rate
         FROM {_JOINED} GROUP BY 1""",
     _LINES,
@@ -207,15 +207,15 @@ def _(t):
 
 @query(
     "r6_sum_avg_count",
-    """SELECT order_item_id, round(sum(price), 2) AS total, round(avg(freight_value), 6) AS mean_freight,
-       count(seller_id) AS n FROM items GROUP BY 1""",
+    """SELECT seller_id, round(sum(price), 2) AS total, round(avg(order_item_id), 9) AS mean_position,
+       count(freight_value) AS n FROM items GROUP BY 1""",
     "items",
 )
 def _(t):
-    out = t.role("items").groupBy("order_item_id").agg(
-        money_sum("price").alias("total"), F.avg("freight_value").alias("mean_freight"), F.count("seller_id").alias("n")
+    out = t.role("items").groupBy("seller_id").agg(
+        money_sum("price").alias("total"), F.avg("order_item_id").alias("mean_position"), F.count("freight_value").alias("n")
     )
-    return _round(out, total=2, mean_freight=6)
+    return _round(out, total=2, mean_position=9)
 
 
 @query(

@@ -15,6 +15,12 @@ from tallyglass.sources import corpus as reader
 from tallyglass.sources import results
 from tallyglass.workload.registry import query
 
+
+def _six(col):
+    """Six digits of a value that was rounded to nine: the shift keeps it off a tie of the second rounding."""
+    return F.round((F.col(col) if isinstance(col, str) else col) + 1e-10, 6)
+
+
 # ---------------------------------------------------------------- chunking
 
 _SECTIONS = r"""cut AS (SELECT source, doc_type, content, split(chr(10) || content, chr(10) || '## ') AS p FROM markdown),
@@ -332,32 +338,32 @@ def _(t):
     f"""WITH {_VECTORS}, f AS (SELECT *, CASE query_id % 3 WHEN 1 THEN 'en' WHEN 2 THEN 'fr' END AS want FROM qv),
         d AS (SELECT query_id, chunk_id, round(1 - list_cosine_similarity(qe, ce), 9) AS d FROM f, cv WHERE ce IS NOT NULL AND (want IS NULL OR want = doc_type)),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, chunk_id) AS rank FROM d)
-        SELECT query_id, chunk_id, rank::INT AS rank, round(d, 6) AS distance FROM r WHERE rank <= 10""",
+        SELECT query_id, chunk_id, rank::INT AS rank, round(d + 1e-10, 6) AS distance FROM r WHERE rank <= 10""",
     "asked passages",
 )
 def _(t):
     want = F.when(F.col("query_id") % 3 == 1, "en").when(F.col("query_id") % 3 == 2, "fr")
     hits = knn.knn(_queries(t).withColumn("doc_type", want), _corpus(t), 10)
-    return hits.withColumn("distance", F.round("distance", 6))
+    return hits.withColumn("distance", _six("distance"))
 
 
 @query(
     "v7_nearest_neighbours",
     f"""WITH {_VECTORS}, d AS (SELECT query_id, chunk_id, round(1 - list_cosine_similarity(qe, ce), 9) AS d FROM qv, cv WHERE ce IS NOT NULL),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, chunk_id) AS rank FROM d)
-        SELECT query_id, chunk_id, rank::INT AS rank, round(d, 6) AS distance FROM r WHERE rank <= 50""",
+        SELECT query_id, chunk_id, rank::INT AS rank, round(d + 1e-10, 6) AS distance FROM r WHERE rank <= 50""",
     "asked passages",
 )
 def _(t):
-    return knn.knn(_queries(t), _corpus(t), 50).withColumn("distance", F.round("distance", 6))
+    return knn.knn(_queries(t), _corpus(t), 50).withColumn("distance", _six("distance"))
 
 
 @query(
     "v7_neighbours_of_label_means",
-    f"WITH {_MEANS} SELECT query_id, chunk_id, rank::INT AS rank, round(d, 6) AS distance FROM lrank WHERE rank <= 20",
+    f"WITH {_MEANS} SELECT query_id, chunk_id, rank::INT AS rank, round(d + 1e-10, 6) AS distance FROM lrank WHERE rank <= 20",
 )
 def _(t):
-    return knn.knn(_label_queries(t), _vector_corpus(t), 20).withColumn("distance", F.round("distance", 6))
+    return knn.knn(_label_queries(t), _vector_corpus(t), 20).withColumn("distance", _six("distance"))
 
 
 @query("v8_approximate_neighbours")
@@ -470,11 +476,11 @@ def _(t):
 
 @query(
     "v12_bm25_scores",
-    f"WITH {_SCORES} SELECT query_id, chunk_id, round(score, 6) AS score FROM sc",
+    f"WITH {_SCORES} SELECT query_id, chunk_id, round(score + 1e-10, 6) AS score FROM sc",
     "passages asked",
 )
 def _(t):
-    return kw.bm25_scores(t.role("asked"), _index(t)).withColumn("score", F.round("score", 6))
+    return kw.bm25_scores(t.role("asked"), _index(t)).withColumn("score", _six("score"))
 
 
 _WANT = "CASE query_id % 4 WHEN 1 THEN 'en' WHEN 2 THEN 'de' WHEN 3 THEN 'es' END"
@@ -482,12 +488,12 @@ _WANT = "CASE query_id % 4 WHEN 1 THEN 'en' WHEN 2 THEN 'de' WHEN 3 THEN 'es' EN
 
 @query(
     "v13_filtered_top_with_fill",
-    f"WITH {_ranked_scores(50, _WANT)} SELECT query_id, chunk_id, rank::INT AS rank, round(score, 6) AS score FROM kr",
+    f"WITH {_ranked_scores(50, _WANT)} SELECT query_id, chunk_id, rank::INT AS rank, round(score + 1e-10, 6) AS score FROM kr",
     "passages asked",
 )
 def _(t):
     want = F.expr(_WANT)
-    return kw.bm25(t.role("asked").withColumn("doc_type", want), _index(t), 50).withColumn("score", F.round("score", 6))
+    return kw.bm25(t.role("asked").withColumn("doc_type", want), _index(t), 50).withColumn("score", _six("score"))
 
 
 @query(
@@ -570,8 +576,8 @@ def _(t):
 @query(
     "v18_stage_trace",
     f"""WITH {_FUSED} SELECT query_id, chunk_id, coalesce(v, 0)::INT AS vector_rank, coalesce(b, 0)::INT AS bm25_rank, rrf_rank::INT AS rrf_rank,
-        CASE WHEN final_rank <= 5 THEN final_rank ELSE 0 END::INT AS final_rank, round(coalesce(d, -1), 6) AS vector_distance,
-        round(coalesce(score, -1), 6) AS bm25_score, round(rrf_score, 6) AS rrf_score, round(reranker_score, 6) AS reranker_score,
+        CASE WHEN final_rank <= 5 THEN final_rank ELSE 0 END::INT AS final_rank, round(coalesce(d, -1) + 1e-10, 6) AS vector_distance,
+        round(coalesce(score, -1) + 1e-10, 6) AS bm25_score, round(rrf_score + 1e-10, 6) AS rrf_score, round(reranker_score + 1e-10, 6) AS reranker_score,
         rrf_rank <= 5 AS in_rrf_top, final_rank <= 5 AS in_rerank_top FROM fin""",
     _FUSED_ROLES,
 )
@@ -580,9 +586,9 @@ def _(t):
     nz = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return out.select(
         "query_id", "chunk_id", nz("vector_rank"), nz("bm25_rank"), "rrf_rank", nz("final_rank"),
-        F.round(F.coalesce("vector_distance", F.lit(-1.0)), 6).alias("vector_distance"),
-        F.round(F.coalesce("bm25_score", F.lit(-1.0)), 6).alias("bm25_score"),
-        F.round("rrf_score", 6).alias("rrf_score"), F.round("reranker_score", 6).alias("reranker_score"),
+        _six(F.coalesce("vector_distance", F.lit(-1.0))).alias("vector_distance"),
+        _six(F.coalesce("bm25_score", F.lit(-1.0))).alias("bm25_score"),
+        _six("rrf_score").alias("rrf_score"), _six("reranker_score").alias("reranker_score"),
         "in_rrf_top", "in_rerank_top",
     )
 

@@ -217,7 +217,7 @@ _JOINED = {
     "translation": "SELECT DISTINCT p_type AS product_category_name, lower(p_type) AS product_category_name_english FROM part WHERE p_type <> 'PROMO'",
     "customers": "SELECT c_custkey AS customer_id, c_nationkey * 1000 + c_custkey % 700 AS customer_unique_id, c_nationkey AS customer_zip_code_prefix, c_mktsegment AS customer_city, n_name AS customer_state FROM customer JOIN nation ON c_nationkey = n_nationkey",
     "sellers": "SELECT s_suppkey AS seller_id, s_nationkey AS seller_zip_code_prefix, n_name AS seller_state, r_name AS region FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
-    "geolocation": "SELECT c_nationkey AS geolocation_zip_code_prefix, c_acctbal / 200 AS geolocation_lat, c_acctbal / 100 - 40 AS geolocation_lng, c_mktsegment AS geolocation_city, CASE WHEN c_acctbal < 0 THEN 'debit' ELSE 'credit' END AS geolocation_state FROM customer",
+    "geolocation": "SELECT c_nationkey AS geolocation_zip_code_prefix, c_acctbal / 203 AS geolocation_lat, c_acctbal / 97 - 40 AS geolocation_lng, c_mktsegment AS geolocation_city, CASE WHEN c_acctbal < 0 THEN 'debit' ELSE 'credit' END AS geolocation_state FROM customer",
 }
 
 _HEADED = {
@@ -290,8 +290,8 @@ class Tables:
     def _geolocation(self) -> DataFrame:
         return self.read("customer").selectExpr(
             "c_nationkey AS geolocation_zip_code_prefix",
-            "c_acctbal / 200 AS geolocation_lat",
-            "c_acctbal / 100 - 40 AS geolocation_lng",
+            "c_acctbal / 203 AS geolocation_lat",
+            "c_acctbal / 97 - 40 AS geolocation_lng",
             "c_mktsegment AS geolocation_city",
             "CASE WHEN c_acctbal < 0 THEN 'debit' ELSE 'credit' END AS geolocation_state",
         )

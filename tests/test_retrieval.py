@@ -202,3 +202,42 @@ def test_end_to_end_with_a_plugged_scorer(spark, chunks, index):
     top = {tuple(r) for r in steps.where("in_rerank_top").select("query_id", "chunk_id", "final_rank").collect()}
     assert top == {tuple(r) for r in out.select("query_id", "chunk_id", "final_rank").collect()}
     assert steps.where("final_rank is null").count() > 0
+
+
+def test_model_scorer_as_a_pandas_udf(spark):
+    import pandas as pd
+
+    @F.pandas_udf("double")
+    def score(text: pd.Series, content: pd.Series) -> pd.Series:
+        return content.str.len().astype(float) - text.str.len()
+
+    rows = [(1, "a", "xx", "z", 1), (1, "b", "xx", "yyyy", 2), (1, "c", "xx", "zz", 3)]
+    df = spark.createDataFrame(rows, "query_id int, chunk_id string, text string, content string, rrf_rank int")
+    out = fusion.rerank(df, score, k=2).orderBy("final_rank").collect()
+    assert [(r["chunk_id"], r["reranker_score"]) for r in out] == [("b", 2.0), ("c", 0.0)]
+
+
+def test_pairs_are_the_same_beyond_the_broadcast_bound(spark, chunks, monkeypatch):
+    from tallyglass.plans import retrieval
+
+    q = queries(spark)
+    cands = q.select("query_id").crossJoin(chunks.select("chunk_id").limit(5)).withColumn("rrf_rank", F.lit(1))
+    a = retrieval.with_pair(cands, q, chunks)
+    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 0)
+    b = retrieval.with_pair(cands, q, chunks)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_projection(spark, vectors):
+    from tallyglass.operators.projection import project_2d
+
+    m, corpus = vectors
+    corpus = corpus.where("embedding is not null")
+    q = spark.createDataFrame([(1, [float(x) for x in m[7]])], "query_id int, embedding array<float>")
+    out = project_2d(corpus, q).collect()
+    x = m.astype(float) - m.astype(float).mean(axis=0)
+    var = np.linalg.svd(x, compute_uv=False) ** 2
+    assert out[0]["variance_x"] == pytest.approx(var[0] / var.sum(), abs=1e-4)
+    pts = {(r["kind"], r["id"]): (r["x"], r["y"]) for r in out}
+    assert pts["query", "1"] == pts["chunk", "7"] and len(pts) == 301
+    assert abs(sum(v[0] for k, v in pts.items() if k[0] == "chunk")) < 0.1

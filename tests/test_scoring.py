@@ -105,3 +105,10 @@ def test_label_rules(spark):
     df = spark.createDataFrame(rows, "id string, category string, expected_measure string, expected_status string, expected_sources array<string>, expects_hedge boolean")
     got = {r["id"]: len(r["label_errors"]) for r in s.check_labels(df).collect()}
     assert got == {"ok": 0, "x": 2, "y": 1, "z": 2, "w": 0}
+
+
+def test_scorecard_text(spark):
+    one = spark.createDataFrame([(7, 7, 2)], "p bigint, n bigint, r bigint")
+    lines = [card.score_line(one, 2, "B", "p", "n", F.concat("r", F.lit(" refused"))), card.score_line(one, 1, "A", "r", "n")]
+    got = [r["value"] for r in card.render_markdown(card.scorecard(lines)).collect()]
+    assert got == ["| A | 2/7 (29%) |  |", "| B | 7/7 (100%) | 2 refused |"]
