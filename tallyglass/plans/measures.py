@@ -127,18 +127,17 @@ def seller_ratings_by_state(
 def return_rate_all(model: Model, returned=RETURNED_STATUSES) -> DataFrame:
     """Share of distinct orders in a returned state, per category.
 
-    Both joins take plain shuffled rows on either side, which lets adaptive execution split a hot
-    order or product. Lines then become one row per (category, order) by a partial aggregation; two
-    plain sums over these replace two distinct counts.
+    Lines become one row per (category, order) before they meet the orders: the partial aggregation
+    folds a hot order to its few categories, and two plain sums replace two distinct counts. The join
+    with the products takes plain shuffled rows, which lets adaptive execution split a hot product.
     """
     hit = F.coalesce(F.col("order_status").isin(*returned), F.lit(False)).cast("int")
-    orders = model["fact_orders"].select("order_id", hit.alias("_hit"))
     per_order = (
         model["fact_order_items"].select("order_id", "product_id")
-        .join(orders, "order_id")
         .join(_categories(model), "product_id")
-        .groupBy("category", "order_id")
-        .agg(F.max("_hit").alias("_hit"))
+        .select("category", "order_id")
+        .distinct()
+        .join(model["fact_orders"].select("order_id", hit.alias("_hit")), "order_id")
     )
     return per_order.groupBy("category").agg(_rate())
 

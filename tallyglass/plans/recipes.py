@@ -22,14 +22,15 @@ EARTH_KM = 6371.0
 def repeat_customers(model: Model) -> DataFrame:
     """Orders, distinct humans, and the share of humans with more than one order.
 
-    Orders join the customer row first: the order's own customer id is new for every order.
+    An order's own customer id is new for every order, so the human comes from the customer row.
+    Orders are counted per id first, which costs no shuffle of its own.
     """
+    per_id = model["fact_orders"].where("customer_id is not null").groupBy("customer_id").agg(F.count("*").alias("_orders"))
     per_human = (
-        model["fact_orders"].select("customer_id")
-        .join(model["dim_customers"].select("customer_id", "customer_unique_id"), "customer_id")
+        per_id.join(model["dim_customers"].select("customer_id", "customer_unique_id"), "customer_id")
         .groupBy("customer_unique_id")
-        .agg(F.count("*").alias("_orders"))
-    )
+        .agg(F.sum("_orders").alias("_orders"))
+    )
     return per_human.agg(
         F.sum("_orders").alias("n_orders"),
         F.count("*").alias("n_customers"),
