@@ -15,23 +15,25 @@ def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def bounded_join(
-    big: DataFrame,
-    small: DataFrame,
-    on: list[str],
-    spread: list[str],
-    max_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
+def salted_join(
+    big: DataFrame, small: DataFrame, on: list[str], spread: list[str], salts: int = SALTS
 ) -> DataFrame:
-    """Inner equi-join of a large side with one that is usually small.
+    """Inner equi-join that shares the rows of one key among ``salts`` tasks.
 
-    A small side of checked size is broadcast, so the large side does not move. Beyond the bound the
-    join is salted: rows of the large side with one key are spread over ``salts`` buckets by the
-    ``spread`` columns and the small side is repeated once per bucket. A key that holds a third of
-    the large side is then shared by ``salts`` tasks.
+    Rows of the large side go to a bucket by their ``spread`` columns and the small side is repeated
+    once per bucket.
     """
-    if fits(small, max_rows):
-        return big.join(F.broadcast(small), on)
     salted_big = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted_big.join(salted_small, [*on, "_salt"]).drop("_salt")
+
+
+def bounded_join(
+    big: DataFrame, small: DataFrame, on: list[str], spread: list[str], max_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Inner equi-join of a large side with one that is usually small.
+
+    A small side of checked size is broadcast, so the large side does not move; beyond the bound the
+    join is salted.
+    """
+    return big.join(F.broadcast(small), on) if fits(small, max_rows) else salted_join(big, small, on, spread)

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyglass.functions.joins import BROADCAST_ROWS, bounded_join
+from tallyglass.functions.joins import BROADCAST_ROWS, bounded_join, fits
 from tallyglass.functions.text import keyword_tokens, raw_tokens
+from tallyglass.operators.knn import QUERY_BLOCK
 from tallyglass.operators.latest import top_per_key
+from tallyglass.operators.topk import BLOCK_CELLS, DIGITS, TopK, ids_of, output_types
 
 # Fixed values of the scoring formula.
 K1 = 1.5
 B = 0.75
 EPSILON = 0.25
-# Scores are ranked after rounding, so that passages with equal text tie whatever the order of the
-# sums, and the chunk id decides.
-DIGITS = 9
 
 
 @dataclass(frozen=True)
@@ -32,12 +35,11 @@ class Bm25Index:
     def save(self, path: str) -> "Bm25Index":
         """Write the index and return it on the written tables.
 
-        The corpus is tokenised once, for the postings; the rest derives from what was written. Postings
-        are sorted by term inside each file, so that row-group statistics skip most of a file when
-        terms are given.
+        The corpus is tokenised once, for the postings; the rest derives from what was written. The
+        postings of a chunk stay together, so a task that scores them sums most of a score itself.
         """
         spark = self.postings.sparkSession
-        self.postings.sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
+        self.postings.write.mode("overwrite").parquet(f"{path}/postings")
         stored = spark.read.parquet(f"{path}/postings")
         _terms(stored).write.mode("overwrite").parquet(f"{path}/terms")
         terms = spark.read.parquet(f"{path}/terms")
@@ -72,22 +74,39 @@ def _stats(terms: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
+def term_counts(tokens: str) -> Column:
+    """Array of (term, tf) from a column that holds the *sorted* tokens of one text.
+
+    Runs of equal tokens are found by their starts, which is linear and stays on the row.
+    """
+    toks, n = F.col(tokens), F.size(tokens)
+    starts = F.filter(
+        F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(toks, i) != F.get(toks, i - 1))
+    )
+    # transform over one element names the starts, so that they are computed once per text.
+    runs = F.transform(
+        F.array(starts),
+        lambda s: F.transform(
+            s,
+            lambda at, j: F.struct(
+                F.get(toks, at).alias("term"), (F.coalesce(F.get(s, j + 1), n) - at).cast("bigint").alias("tf")
+            ),
+        ),
+    )
+    return F.when(n > 0, F.get(runs, F.lit(0)))
+
+
 def build_index(chunks: DataFrame, text: str = "content") -> Bm25Index:
     """Index ``chunk_id, doc_type, <text>``. Frequencies and lengths cover the whole corpus.
 
-    Texts are placed by chunk id before they are tokenised. Terms are then counted where they
-    arise: the shuffle moves each text once instead of its postings, several times as large, and a
-    term that stands in a third of all chunks is spread by chunk. The result is lazy; :meth:`Bm25Index.save`
-    it to score more than once.
+    Terms are counted on the row of their text, so the postings need no shuffle and a term that
+    stands in a third of all chunks is never gathered. The result is lazy; :meth:`Bm25Index.save` it to
+    score more than once.
     """
-    placed = chunks.select("chunk_id", "doc_type", text).repartition("chunk_id")
-    toks = placed.select("chunk_id", "doc_type", keyword_tokens(text).alias("_t"))
-    postings = (
-        toks.select("chunk_id", "doc_type", F.size("_t").alias("doc_len"), F.explode_outer("_t").alias("term"))
-        .where("term is not null")
-        .groupBy("chunk_id", "doc_type", "doc_len", "term")
-        .agg(F.count("*").alias("tf"))
-    )
+    toks = chunks.select("chunk_id", "doc_type", F.sort_array(keyword_tokens(text)).alias("_t"))
+    counted = toks.select("chunk_id", "doc_type", F.size("_t").alias("doc_len"), term_counts("_t").alias("_p"))
+    # Outer form: see chunking, the inner one would compute the array twice.
+    postings = counted.select("chunk_id", "doc_type", "doc_len", F.inline_outer("_p")).where("term is not null")
     terms = _terms(postings)
     kinds = chunks.select("chunk_id", "doc_type")
     return Bm25Index(postings, terms, _stats(terms, kinds), kinds)
@@ -111,6 +130,26 @@ def token_view(queries: DataFrame) -> DataFrame:
     )
 
 
+def _weighted_terms(queries: DataFrame, index: Bm25Index, epsilon: float) -> DataFrame:
+    """query_id, scope, term, weight: query terms that are in the corpus, qtf x idf."""
+    s = F.col("_s")
+    idf = _idf(s["n_docs"], F.col("df"))
+    floor = F.greatest(F.lit(epsilon) * s["mean_idf"], F.lit(0.0))
+    return (
+        query_terms(queries)
+        .join(index.terms, "term")
+        .withColumn("_s", index.stats.select(F.struct("n_docs", "mean_idf")).scalar())
+        .select("query_id", "scope", "term", (F.col("qtf") * F.when(idf < 0, floor).otherwise(idf)).alias("weight"))
+    )
+
+
+def _saturation(index: Bm25Index, k1: float, b: float) -> Column:
+    """Share of a posting before the weight of its term."""
+    avg = index.stats.select("avg_len").scalar()
+    tf = F.col("tf")
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("doc_len") / avg))
+
+
 def contributions(
     queries: DataFrame, index: Bm25Index, k1: float = K1, b: float = B, epsilon: float = EPSILON,
     max_terms: int = BROADCAST_ROWS,
@@ -121,24 +160,9 @@ def contributions(
     the scored rows; frequencies stay those of the whole corpus. A term in more than half of the chunks
     has a negative idf, which is replaced by ``epsilon`` times the mean idf, never below 0.
     """
-    s = F.col("_s")
-    stat = index.stats.select(F.struct("n_docs", "avg_len", "mean_idf")).scalar()
-    idf = _idf(s["n_docs"], F.col("df"))
-    floor = F.greatest(F.lit(epsilon) * s["mean_idf"], F.lit(0.0))
-    # Query terms are reduced to those in the corpus with their weight before they meet the postings.
-    weighted = (
-        query_terms(queries)
-        .join(index.terms, "term")
-        .withColumn("_s", stat)
-        .select(
-            "query_id", "scope", "term",
-            (F.col("qtf") * F.when(idf < 0, floor).otherwise(idf)).alias("weight"),
-            s["avg_len"].alias("avg_len"),
-        )
-    )
+    weighted = _weighted_terms(queries, index, epsilon)
     hit = bounded_join(index.postings, weighted, ["term"], ["chunk_id"], max_terms)
-    tf, dl = F.col("tf"), F.col("doc_len")
-    part = F.col("weight") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.col("avg_len")))
+    part = F.col("weight") * _saturation(index, k1, b)
     return hit.where(F.col("scope").isNull() | (F.col("scope") == F.col("doc_type"))).select(
         "query_id", "chunk_id", part.alias("part")
     )
@@ -153,11 +177,96 @@ def bm25_scores(queries: DataFrame, index: Bm25Index, **kw) -> DataFrame:
     )
 
 
+def _scored_top(
+    queries: DataFrame, index: Bm25Index, k: int, k1: float = K1, b: float = B, epsilon: float = EPSILON,
+    max_terms: int = BROADCAST_ROWS, max_queries: int = QUERY_BLOCK,
+) -> DataFrame:
+    """Best ``k`` chunks with a score above zero per query: query_id, chunk_id, score, rank.
+
+    The postings of the query terms are placed and sorted by chunk. A task then holds all of a
+    chunk's shares, adds them up in a dense chunks x queries block per Arrow batch, and emits ``k`` rows per
+    query: scores of single (query, chunk) pairs never become rows. Query tables beyond the bounds
+    take the salted term join and a partial aggregation; the result is the same.
+    """
+    order = [F.col("score").desc(), F.col("chunk_id").asc()]
+    weighted = _weighted_terms(queries, index, epsilon)
+    if not (fits(queries.select("query_id"), max_queries) and fits(weighted, max_terms)):
+        scores = bm25_scores(queries, index, k1=k1, b=b, epsilon=epsilon, max_terms=max_terms)
+        return top_per_key(scores.where("score > 0"), ["query_id"], order, k)
+
+    table = weighted.toArrow()
+    terms, number = np.unique(np.asarray(table.column("term").to_pylist(), dtype=object).astype(str), return_inverse=True)
+    by_query = dict(zip(table.column("query_id").to_pylist(), table.column("scope").to_pylist()))
+    at = {q: i for i, q in enumerate(by_query)}
+    by_term = np.argsort(number, kind="stable")
+    first = np.searchsorted(number[by_term], np.arange(len(terms) + 1))
+    asked = np.asarray([at[q] for q in table.column("query_id").to_pylist()], dtype=np.int64)[by_term]
+    weight = table.column("weight").to_numpy()[by_term]
+
+    spark = queries.sparkSession
+    numbers = spark.createDataFrame([(str(t), i) for i, t in enumerate(terms)], "term string, term_no int")
+    wanted = (
+        index.postings.join(F.broadcast(numbers), "term")
+        .select("chunk_id", F.coalesce("doc_type", F.lit("")).alias("doc_type"), "term_no", _saturation(index, k1, b).alias("share"))
+        .repartition("chunk_id")
+        .sortWithinPartitions("chunk_id", "term_no")
+    )
+    schema, ddl = output_types(queries, index.chunks)
+    shared = spark.sparkContext.broadcast((list(by_query), list(by_query.values()), first, asked, weight))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, scopes, first, asked, weight = shared.value
+        if not ids:
+            return
+        best = TopK(ids, scopes, k)
+
+        def add(rows: pa.Table) -> None:
+            runs = pc.run_end_encode(rows.column("chunk_id").combine_chunks())
+            ends = np.asarray(runs.run_ends)
+            lengths = np.diff(ends, prepend=0)
+            chunk = np.repeat(np.arange(len(lengths)), lengths)
+            term = rows.column("term_no").to_numpy()
+            share = rows.column("share").to_numpy()
+            kinds = np.asarray(rows.column("doc_type").to_pylist(), dtype=object)[ends - 1]
+            chunk_ids = ids_of(runs.values)
+            step = max(1, BLOCK_CELLS // len(ids))
+            for lo in range(0, len(lengths), step):
+                hi = min(lo + step, len(lengths))
+                part = slice(ends[lo] - lengths[lo], ends[hi - 1])
+                n = first[term[part] + 1] - first[term[part]]
+                entry = np.repeat(first[term[part]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                cell = np.repeat(chunk[part] - lo, n) * len(ids) + asked[entry]
+                total = np.bincount(cell, np.repeat(share[part], n) * weight[entry], (hi - lo) * len(ids))
+                total = total.reshape(hi - lo, len(ids))
+                best.add(chunk_ids[lo:hi], kinds[lo:hi], -total, keep=np.round(total, DIGITS) > 0)
+
+        rest = None  # rows of the last chunk, which may go on in the next batch
+        for b in batches:
+            rows = pa.Table.from_batches([b])
+            if rest is not None:
+                rows = pa.concat_tables([rest, rows])
+            if not rows.num_rows:
+                continue
+            ids_col = rows.column("chunk_id")
+            same = pc.index(ids_col, ids_col[rows.num_rows - 1]).as_py()
+            if same:
+                add(rows.slice(0, same))
+            rest = rows.slice(same)
+        if rest is not None and rest.num_rows:
+            add(rest)
+        out = best.batch(schema)
+        if out is not None:
+            yield out
+
+    hits = wanted.mapInArrow(run, ddl).select("query_id", "chunk_id", (-F.col("value")).alias("score"))
+    return top_per_key(hits, ["query_id"], order, k)
+
+
 def _fill_pool(index: Bm25Index, k: int) -> DataFrame:
     """Per document type, and for all types together, the 2k lowest chunk ids.
 
-    Fewer than k chunks of a query have a score above zero when a zero is needed at all, so k of
-    these 2k surely have none.
+    Fewer than k chunks of a query score above zero when a zero is needed at all, so at least k of
+    these 2k score zero, and they are the lowest such ids.
     """
     per_type = top_per_key(index.chunks, ["doc_type"], [F.col("chunk_id").asc()], 2 * k, "_rn")
     own = per_type.select(F.col("doc_type").alias("scope"), "chunk_id")
@@ -169,19 +278,15 @@ def bm25(queries: DataFrame, index: Bm25Index, k: int = 50, fill: bool = True, *
     """Best ``k`` chunks per query: ``query_id, chunk_id, score, rank``.
 
     ``queries``: query_id, text and optionally doc_type (null = all). Chunks without a shared term
-    score 0 and fill the list in chunk-id order, as a full scan of the corpus would; they enter as
-    zero shares of a bounded pool, so they ride in the same aggregation as the real shares.
+    score 0 and fill the list in chunk-id order, as a full scan of the corpus would: the best ``k``
+    scored chunks are joined by a bounded pool of zeros and ranked again.
     """
-    parts = contributions(queries, index, **kw)
-    if fill:
-        scope = F.col("doc_type") if "doc_type" in queries.columns else F.lit(None).cast("string")
-        asked = queries.select(
-            "query_id", F.coalesce(F.concat(F.lit("="), scope), F.lit("*")).alias("scope")
-        )
-        zeros = asked.join(_fill_pool(index, k), "scope").select(
-            "query_id", "chunk_id", F.lit(0.0).alias("part")
-        )
-        parts = parts.unionByName(zeros)
-    scores = parts.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), DIGITS).alias("score"))
     order = [F.col("score").desc(), F.col("chunk_id").asc()]
-    return top_per_key(scores, ["query_id"], order, k)
+    best = _scored_top(queries, index, k, **kw)
+    if not fill:
+        return best
+    scope = F.col("doc_type") if "doc_type" in queries.columns else F.lit(None).cast("string")
+    asked = queries.select("query_id", F.coalesce(F.concat(F.lit("="), scope), F.lit("*")).alias("scope"))
+    zeros = asked.join(_fill_pool(index, k), "scope").select("query_id", "chunk_id", F.lit(0.0).alias("score"))
+    both = best.drop("rank").unionByName(zeros).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+    return top_per_key(both, ["query_id"], order, k)

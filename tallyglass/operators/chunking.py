@@ -346,7 +346,7 @@ def chunk_documents(
 
 def chunk_key(source: str, index: str) -> Column:
     """Deterministic chunk id."""
-    return F.sha2(F.concat_ws("|", F.col(source).cast("string"), F.col(index).cast("string")), 256)
+    return F.md5(F.concat_ws("|", F.col(source).cast("string"), F.col(index).cast("string")))
 
 
 def chunk_stats(chunks: DataFrame, by: str | None = None) -> DataFrame:

@@ -16,14 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tallyglass.operators.latest import top_per_key
+from tallyglass.operators.topk import BLOCK_CELLS, TopK, ids_of, output_types
 
 # A block of queries is sent to every executor: 4,096 vectors of 384 doubles are 12 MB.
 QUERY_BLOCK = 4_096
 # A tile of 32,768 rows of 384 doubles is 100 MB in the Python worker.
 TILE_ROWS = 32_768
-# Distances are compared after rounding, so equal vectors tie exactly and the id decides.
-DIGITS = 9
-_CELLS_PER_PRODUCT = 4_000_000
 
 
 @dataclass
@@ -46,71 +44,6 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
 
-def _ids(col) -> np.ndarray:
-    if isinstance(col, pa.ChunkedArray):
-        col = col.combine_chunks()
-    return np.asarray(col.to_pylist(), dtype=str) if pa.types.is_string(col.type) else col.to_numpy(zero_copy_only=False)
-
-
-class _TopK:
-    """Best ``k`` rows per query seen so far; memory is bounded by queries x k."""
-
-    def __init__(self, block: _Block, k: int):
-        self.block, self.k = block, k
-        self.q = self.d = self.ids = None
-        self.limit = max(200_000, 4 * k * len(block.ids))
-
-    def add(self, ids, scopes, unit, queries=None) -> None:
-        block = self.block
-        which = np.arange(len(block.ids)) if queries is None else np.asarray(queries)
-        if not len(which) or not len(ids):
-            return
-        step = max(1, _CELLS_PER_PRODUCT // len(which))
-        for at in range(0, len(ids), step):
-            part = unit[at : at + step]
-            dist = np.round(1.0 - part @ block.unit[which].T, DIGITS)
-            dist[~part.any(axis=1), :] = np.inf
-            dist[:, ~block.unit[which].any(axis=1)] = np.inf
-            keep = np.ones(dist.shape, dtype=bool)
-            for j, scope in enumerate(block.scopes[i] for i in which):
-                if scope is not None:
-                    keep[:, j] = scopes[at : at + step] == scope
-            ranked = np.where(keep, dist, np.nan)  # nan sorts last
-            if len(part) > self.k:
-                cut = np.partition(ranked, self.k - 1, axis=0)[self.k - 1]
-                keep &= (dist <= cut) | np.isnan(cut)
-            rows, cols = np.nonzero(keep)
-            self._merge(which[cols], dist[rows, cols], ids[at : at + step][rows])
-
-    def _merge(self, q, d, ids) -> None:
-        if self.q is not None:
-            q, d, ids = np.concatenate([self.q, q]), np.concatenate([self.d, d]), np.concatenate([self.ids, ids])
-        self.q, self.d, self.ids = q, d, ids
-        if len(q) > self.limit:
-            self._prune()
-
-    def _prune(self) -> None:
-        order = np.lexsort((self.ids, self.d, self.q))
-        q = self.q[order]
-        first = np.searchsorted(q, q, side="left")
-        order = order[np.arange(len(q)) - first < self.k]
-        self.q, self.d, self.ids = self.q[order], self.d[order], self.ids[order]
-
-    def batch(self, schema: pa.Schema) -> pa.RecordBatch | None:
-        if self.q is None or not len(self.q):
-            return None
-        self._prune()
-        dist = pa.array(self.d, mask=np.isinf(self.d))  # no direction, no distance
-        qid = pa.array([self.block.ids[i] for i in self.q], type=schema.field(0).type)
-        cid = pa.array(self.ids.tolist(), type=schema.field(1).type)
-        return pa.RecordBatch.from_arrays([qid, cid, dist], schema=schema)
-
-
-def _arrow_type(df: DataFrame, col: str):
-    kind = df.schema[col].dataType.simpleString()
-    return {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[kind], kind
-
-
 def _block_of(table: pa.Table) -> _Block:
     return _Block(
         table.column("query_id").to_pylist(), _unit(_matrix(table.column("embedding"))), table.column("scope").to_pylist()
@@ -125,7 +58,23 @@ def _sides(queries: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame]
     return q, c
 
 
+def _add(best: TopK, block: _Block, ids, kinds, unit: np.ndarray, queries=None) -> None:
+    """Distances of a part of the corpus to (some of) the queries, in blocks of bounded size."""
+    q_unit = block.unit if queries is None else block.unit[queries]
+    if not len(q_unit):
+        return
+    no_direction = ~q_unit.any(axis=1)
+    step = max(1, BLOCK_CELLS // len(q_unit))
+    for at in range(0, len(ids), step):
+        part = unit[at : at + step]
+        dist = 1.0 - part @ q_unit.T
+        dist[~part.any(axis=1), :] = np.inf
+        dist[:, no_direction] = np.inf
+        best.add(ids[at : at + step], kinds[at : at + step], dist, queries=queries)
+
+
 def _final(hits: DataFrame, k: int) -> DataFrame:
+    hits = hits.withColumnRenamed("value", "distance")
     order = [F.col("distance").asc_nulls_last(), F.col("chunk_id").asc()]
     return top_per_key(hits, ["query_id"], order, k).select("query_id", "chunk_id", "distance", "rank")
 
@@ -139,10 +88,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 50, max_queries: int = Q
     of bounded size that meet through an equi-join on the tile pair; either way the result is exact.
     """
     q, c = _sides(queries, corpus)
-    qtype, qkind = _arrow_type(queries, "query_id")
-    ctype, ckind = _arrow_type(corpus, "chunk_id")
-    schema = pa.schema([("query_id", qtype), ("chunk_id", ctype), ("distance", pa.float64())])
-    ddl = f"query_id {qkind}, chunk_id {ckind}, distance double"
+    schema, ddl = output_types(queries, corpus)
 
     head = q.limit(max_queries + 1).toArrow()
     if head.num_rows <= max_queries:
@@ -170,8 +116,9 @@ def _tiles(q, c, k, schema, ddl, n_queries, n_rows, max_queries, tile_rows, by=(
     def meet(queries: pa.Table, rows: pa.Table) -> pa.Table:
         out = None
         if queries.num_rows and rows.num_rows:
-            best = _TopK(_block_of(queries), k)
-            best.add(_ids(rows.column("chunk_id")), _scopes(rows), _unit(_matrix(rows.column("embedding"))))
+            block = _block_of(queries)
+            best = TopK(block.ids, block.scopes, k)
+            _add(best, block, ids_of(rows.column("chunk_id")), _scopes(rows), _unit(_matrix(rows.column("embedding"))))
             out = best.batch(schema)
         return pa.Table.from_batches([out] if out is not None else [], schema=schema)
 
@@ -191,7 +138,7 @@ def _scan(spark, corpus: DataFrame, block: _Block, k: int, schema: pa.Schema, dd
         block = _Block(*shared.value)
         if not block.ids:
             return
-        best = _TopK(block, k)
+        best = TopK(block.ids, block.scopes, k)
         by_cell: dict[int, list[int]] = {}
         for i, cells in enumerate(block.probes or []):
             for cell in cells:
@@ -199,14 +146,14 @@ def _scan(spark, corpus: DataFrame, block: _Block, k: int, schema: pa.Schema, dd
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, scopes, unit = _ids(b.column("chunk_id")), _scopes(b), _unit(_matrix(b.column("embedding")))
+            ids, scopes, unit = ids_of(b.column("chunk_id")), _scopes(b), _unit(_matrix(b.column("embedding")))
             if not with_cells:
-                best.add(ids, scopes, unit)
+                _add(best, block, ids, scopes, unit)
                 continue
             cells = b.column("cell").to_numpy(zero_copy_only=False)
             for cell in np.unique(cells):
                 rows = cells == cell
-                best.add(ids[rows], scopes[rows], unit[rows], by_cell.get(int(cell), []))
+                _add(best, block, ids[rows], scopes[rows], unit[rows], by_cell.get(int(cell), []))
         out = best.batch(schema)
         if out is not None:
             yield out
@@ -252,10 +199,7 @@ def ann(queries: DataFrame, cells: DataFrame, centres: np.ndarray, k: int = 50,
     q, _ = _sides(queries, cells)
     kind = F.col("doc_type") if "doc_type" in cells.columns else F.lit("")
     c = cells.select("chunk_id", "embedding", kind.alias("doc_type"), "cell")
-    qtype, qkind = _arrow_type(queries, "query_id")
-    ctype, ckind = _arrow_type(cells, "chunk_id")
-    schema = pa.schema([("query_id", qtype), ("chunk_id", ctype), ("distance", pa.float64())])
-    ddl = f"query_id {qkind}, chunk_id {ckind}, distance double"
+    schema, ddl = output_types(queries, cells)
 
     head = q.limit(max_queries + 1).toArrow()
     if head.num_rows <= max_queries:

@@ -107,7 +107,7 @@ def _(t):
 
 @query(
     "c6_chunk_documents",
-    f"""WITH {_CHUNKS} SELECT sha256(source || '|' || chunk_index) AS chunk_id, source, doc_type, doc_title, section, chunk_index,
+    f"""WITH {_CHUNKS} SELECT md5(source || '|' || chunk_index) AS chunk_id, source, doc_type, doc_title, section, chunk_index,
         char_start, char_end, token_count, md5(content) AS digest FROM chunks""",
     "markdown",
 )
@@ -215,7 +215,7 @@ def _(t):
 
 @query(
     "s5_chunk_json",
-    f"WITH {_CHUNKS} SELECT sha256(source || '|' || chunk_index) AS chunk_id, doc_title, char_start, char_end, md5(content) AS digest FROM chunks",
+    f"WITH {_CHUNKS} SELECT md5(source || '|' || chunk_index) AS chunk_id, doc_title, char_start, char_end, md5(content) AS digest FROM chunks",
     "markdown",
 )
 def _(t):
