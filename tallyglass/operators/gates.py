@@ -8,10 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyglass.catalog import MEASURE_THRESHOLD, MEASURES, REVIEW_GATE
 
-SELECTION_SCHEMA = (
-    "measure string, glossary_refs array<string>, filters map<string,string>, "
-    "reasoning string, confidence double"
-)
 NO_MEASURE = "The model could not select a declared measure for this question."
 
 
@@ -30,24 +26,53 @@ def strip_fences(text: Column | str) -> Column:
 def parse_selections(df: DataFrame, text: str, measures=tuple(MEASURES)) -> DataFrame:
     """Model output text -> ``selection`` struct, null when it breaks the contract.
 
-    Required: a declared measure, reasoning, and a confidence in [0, 1]. Malformed JSON parses to a
-    struct of nulls, so required fields are tested rather than the struct.
+    Required: a declared measure, reasoning, and a confidence in [0, 1]. Refs and filters may be left
+    out; where given, every value must be a string. Other fields are ignored. The text is read as a
+    variant, which keeps the JSON types that a typed parse would silently convert.
     """
-    raw = F.from_json(strip_fences(text), SELECTION_SCHEMA)
-    out = df.withColumn("_s", raw)
+    fields = df.withColumn("_v", F.try_parse_json(strip_fences(text)))
+
+    def get(name: str, kind: str) -> Column:
+        return F.try_variant_get("_v", f"$.{name}", kind)
+
+    def kind_of(value: Column) -> Column:
+        return F.schema_of_variant(value)
+
+    def strings(values: Column) -> Column:
+        return F.coalesce(F.forall(values, lambda x: F.coalesce(kind_of(x) == "STRING", F.lit(False))), F.lit(False))
+
+    def absent(name: str) -> Column:
+        return get(name, "variant").isNull()
+
+    fields = fields.withColumns(
+        {
+            "_refs": get("glossary_refs", "array<variant>"),
+            "_filters": get("filters", "map<string,variant>"),
+            "_confidence": get("confidence", "double"),
+        }
+    )
     ok = (
-        F.col("_s.measure").isin(*measures)
-        & F.col("_s.reasoning").isNotNull()
-        & F.col("_s.confidence").between(0.0, 1.0)
+        (kind_of(get("measure", "variant")) == "STRING")
+        & get("measure", "string").isin(*measures)
+        & (kind_of(get("reasoning", "variant")) == "STRING")
+        & F.col("_confidence").between(0.0, 1.0)
+        & (absent("glossary_refs") | strings(F.col("_refs")))
+        & (absent("filters") | strings(F.map_values("_filters")))
     )
+
+    def as_string(x: Column) -> Column:
+        return x.cast("string")
+
     clean = F.struct(
-        F.col("_s.measure").alias("measure"),
-        F.coalesce("_s.glossary_refs", F.array().cast("array<string>")).alias("glossary_refs"),
-        F.coalesce("_s.filters", F.create_map().cast("map<string,string>")).alias("filters"),
-        F.col("_s.reasoning").alias("reasoning"),
-        F.col("_s.confidence").alias("confidence"),
+        get("measure", "string").alias("measure"),
+        F.coalesce(F.transform("_refs", as_string), F.array().cast("array<string>")).alias("glossary_refs"),
+        F.coalesce(
+            F.transform_values("_filters", lambda _, x: as_string(x)), F.create_map().cast("map<string,string>")
+        ).alias("filters"),
+        get("reasoning", "string").alias("reasoning"),
+        F.col("_confidence").alias("confidence"),
     )
-    return out.withColumn("selection", F.when(ok, clean)).drop("_s")
+    return fields.withColumn("selection", F.when(ok, clean)).drop("_v", "_refs", "_filters", "_confidence")
 
 
 def gate_measure(

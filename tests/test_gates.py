@@ -48,6 +48,18 @@ GOOD = {"measure": "aov_by_state", "glossary_refs": ["regions.south"], "filters"
         (json.dumps({**GOOD, "measure": "nope"}), False),
         (json.dumps({k: v for k, v in GOOD.items() if k != "reasoning"}), False),
         (json.dumps({k: v for k, v in GOOD.items() if k not in ("filters", "glossary_refs")}), True),
+        (json.dumps({**GOOD, "confidence": "0.9"}), True),
+        (json.dumps({**GOOD, "confidence": None}), False),
+        (json.dumps({**GOOD, "filters": {"top_n": 5}}), False),
+        (json.dumps({**GOOD, "filters": None}), False),
+        (json.dumps({**GOOD, "filters": []}), False),
+        (json.dumps({**GOOD, "glossary_refs": ["a", 1]}), False),
+        (json.dumps({**GOOD, "glossary_refs": [None]}), False),
+        (json.dumps({**GOOD, "glossary_refs": "regions.south"}), False),
+        (json.dumps({**GOOD, "glossary_refs": [], "filters": {}, "extra": 1}), True),
+        (json.dumps({**GOOD, "reasoning": 3}), False),
+        ("[1]", False),
+        ("null", False),
         (json.dumps(GOOD)[:-2], False),
         ("I cannot help", False),
         ("", False),
