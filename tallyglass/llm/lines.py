@@ -40,10 +40,9 @@ def remove_repeated_lines(docs: DataFrame) -> DataFrame:
     All columns are kept; columns called ``n_lines`` or ``n_removed`` are replaced.
     """
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    own = row.select(
-        "row", F.col("row.doc_id").cast("long").alias("id"), F.coalesce("row.text", F.lit("")).alias("text")
-    ).withColumn("mark", F.xxhash64("text"))
-    windows = own.selectExpr("id", "mark", f"inline({_WINDOWS})").drop("worded")
+    text = F.coalesce("row.text", F.lit(""))
+    own = row.select("row", F.col("row.doc_id").cast("long").alias("id"), F.xxhash64(text).alias("mark"))
+    windows = own.select("id", "mark", text.alias("text")).selectExpr("id", "mark", f"inline({_WINDOWS})").drop("worded")
     keys = ["key_a", "key_b"]
     first = windows.groupBy(keys).agg(F.min(F.struct("id", "mark", "place")).alias("first"), F.count("*").alias("n"))
     first = written(first.where("n > 1").select(*keys, "first"), "windows")
@@ -53,13 +52,15 @@ def remove_repeated_lines(docs: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set("place")).alias("starts")
     )
     starts = written(starts, "starts")
-    joined = own.join(starts, F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left")
+    # A sorted merge at every size: the list of starts grows with the texts.
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))
+    joined = own.join(starts.hint("merge"), same, "left").select("row", text.alias("text"), "starts")
     kept = joined.selectExpr("row", "text", "starts", f"if(starts IS NULL, NULL, {_KEPT}) AS kept")
     n_lines = F.when(F.col("row.text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
-    text = F.when(F.col("starts").isNull(), F.col("row.text")).otherwise(F.array_join("kept", "\n"))
+    new_text = F.when(F.col("starts").isNull(), F.col("row.text")).otherwise(F.array_join("kept", "\n"))
     removed = F.when(F.col("starts").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)) - F.size("kept")).cast("long")
     others = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     return kept.select(
-        *(text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in others),
+        *(new_text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in others),
         n_lines.alias("n_lines"), removed.alias("n_removed"),
     )
