@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tallyglass.llm.pretokens import PieceEncoder
-from tallyglass.llm.worker import per_worker
+from tallyglass.llm.worker import per_worker, tidy
 
-_CELLS = 1 << 20  # of the arrays that pieces share
+_CELLS = 1 << 18  # of the arrays that pieces share
 
 
 def _byte_letters() -> list[str]:
@@ -164,7 +164,7 @@ def encode(docs: DataFrame, tokenizer_file: str, column: str = "text", ids: str
                 packed = pa.array([x.tobytes() for x in encoder.ids(texts)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), packed], names)
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(tidy(run), schema)
 
 
 def decode(tokens: DataFrame, tokenizer_file: str, column: str = "ids", text: str = "decoded") -> DataFrame:
@@ -184,4 +184,4 @@ def decode(tokens: DataFrame, tokenizer_file: str, column: str = "ids", text: st
                 plain = [own.decode(np.frombuffer(p, "<u4")).decode("utf-8", "replace") for p in packed]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(plain, pa.string())], names)
 
-    return tokens.select(*kept).mapInArrow(run, schema)
+    return tokens.select(*kept).mapInArrow(tidy(run), schema)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallyglass.llm.components import components
 from tallyglass.llm.groups import in_block_pairs, settle, whole_groups
 from tallyglass.llm.store import written
+from tallyglass.llm.worker import tidy
 
 TABLES = 30  # a pair at the threshold of 0.95 meets in one of them with probability 0.998
 BITS = 16  # of a table's sign hash
@@ -134,7 +135,7 @@ def near_vectors(
     # An id may name several vectors: a class goes by its least row id and, to stay apart, its own number.
     classes = written(classes, "vectors")
     signs = classes.select("class_id", "embedding").mapInArrow(
-        _signs(tables, bits, seed), "class_id long, dims int, signs array<long>"
+        tidy(_signs(tables, bits, seed)), "class_id long, dims int, signs array<long>"
     )
     signs = written(signs, "signs")
     entry = signs.select("class_id", "dims", F.posexplode("signs").alias("table", "sign"))
@@ -143,7 +144,7 @@ def near_vectors(
     placed = entry.join(full, keys)
     packed = classes.join(signs.select("class_id", "signs"), "class_id")
     met = in_block_pairs(placed.join(packed, "class_id"), keys, F.col("class_id"), "size")
-    links = written(met.drop("size").mapInArrow(_linked(threshold), "u long, v long, links long"), "pairs")
+    links = written(met.drop("size").mapInArrow(tidy(_linked(threshold)), "u long, v long, links long"), "pairs")
     part = components(links.select("u", "v"))
     total = links.groupBy(F.col("u").alias("class_id")).agg(F.sum("links").alias("others"))
     joined = classes.join(total, "class_id", "left").join(part.withColumnRenamed("node", "class_id"), "class_id", "left")

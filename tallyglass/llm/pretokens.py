@@ -17,8 +17,8 @@ import pandas as pd
 from tallyglass.llm.words import mix, runs, scales
 from tallyglass.llm.worker import per_worker
 
-BLOCK_CHARS = 1 << 21
-MEMO_PIECES = 800_000
+BLOCK_CHARS = 1 << 20
+MEMO_PIECES = 300_000
 
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 # The code points with the property White_Space.
@@ -69,9 +69,10 @@ def piece_starts(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
 class PieceEncoder:
     """Ids of texts from ``encode``, which gives the ids of each of some pieces as little-endian 32-bit numbers."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], special: dict[str, int] | None = None):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], special: dict[str, int] | None = None, most: int = MEMO_PIECES):
         self.encode = encode
         self.special = special or {}
+        self.most = most
         self.memo: dict[int, bytes] = {}
 
     def ids(self, texts: Sequence[str]) -> list[np.ndarray]:
@@ -124,7 +125,7 @@ class PieceEncoder:
         memo = self.memo
         new = [k for k, w in enumerate(wide) if w not in memo]
         if new:
-            if len(memo) + len(new) > MEMO_PIECES:
+            if len(memo) + len(new) > self.most:
                 kept = [(w, memo[w]) for w in wide if w in memo]
                 memo.clear()
                 memo.update(kept)

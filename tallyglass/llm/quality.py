@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tallyglass.llm.words import Block, blocks, mix, window_hashes
+from tallyglass.llm.worker import tidy
 
 SAMPLE_ROWS = 3000  # most labelled rows that the model is fitted on
 BITS = 16  # weights of each of the four kinds of n-grams
@@ -165,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             ["weights", "bias", "slope", "shift"],
         )
 
-    found = sample.mapInArrow(run, "weights binary, bias double, slope double, shift double").collect()
+    found = sample.mapInArrow(tidy(run), "weights binary, bias double, slope double, shift double").collect()
     if not found:
         return fit([], np.zeros(0, np.int64))
     return Model(np.frombuffer(found[0].weights), found[0].bias, found[0].slope, found[0].shift)
@@ -228,7 +229,7 @@ def judge(docs: DataFrame, model: Model, keep_from: float = KEEP_FROM) -> DataFr
                 yield pa.RecordBatch.from_pydict(_judge(batch.column("doc_id").slice(b.first, b.stop - b.first), b, model, keep_from))
 
     counts = ", ".join(f"{c} long" for c in _COUNTS)
-    return own.mapInArrow(run, f"doc_id long, {counts}, base_failed boolean, probability double, kept boolean")
+    return own.mapInArrow(tidy(run), f"doc_id long, {counts}, base_failed boolean, probability double, kept boolean")
 
 
 def judged_rows(docs: DataFrame, model: Model, keep_from: float = KEEP_FROM) -> DataFrame:
@@ -242,7 +243,7 @@ def judged_rows(docs: DataFrame, model: Model, keep_from: float = KEEP_FROM) ->
                 part = batch.slice(b.first, b.stop - b.first)
                 yield part.filter(pa.array(_judge(None, b, model, keep_from)["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def _judge(ids, b: Block, model: Model, keep_from: float) -> dict:

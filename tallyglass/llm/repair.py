@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyglass.llm.pretokens import PieceEncoder
 from tallyglass.llm.store import written
-from tallyglass.llm.worker import per_worker
+from tallyglass.llm.worker import per_worker, tidy
 
 MAGIC = b"REPAIR01"
 SHARD_IDS = 1_000_000
@@ -216,7 +216,7 @@ def _library(spec: str):
         return [x.tobytes() for x in out]
 
     special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-    return PieceEncoder(encode, special), tokenizer.get_vocab_size()
+    return PieceEncoder(encode, special, 800_000), tokenizer.get_vocab_size()
 
 
 def library_encoder(spec: str) -> tuple[PieceEncoder, int]:
@@ -272,7 +272,7 @@ def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int = 2, shard_id
         if held:
             yield shard()
 
-    return written(ordered.mapInArrow(run, _SHARDS), "shards")
+    return written(ordered.mapInArrow(tidy(run), _SHARDS), "shards")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
@@ -303,4 +303,4 @@ def read_shards(shards: DataFrame) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids"],
                 )
 
-    return shards.select("part", "start", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return shards.select("part", "start", "payload").mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids binary")

@@ -15,8 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-FLUSH_ENTRIES = 2_000_000
-BUCKET_ENTRIES = 1_000_000
+from tallyglass.llm.worker import tidy
+
+FLUSH_ENTRIES = 1_000_000
+BUCKET_ENTRIES = 500_000
 _KNOWN = np.uint32(1 << 31)  # flag of a place: the entry only tells that its key is shared
 
 _SHUFFLED = "bucket int, doc_id long, mark long, data binary"
@@ -126,28 +128,21 @@ def _answers(e: Entries, smaller: bool) -> Entries:
 
 def _answer_batch(parts: list[Entries]) -> Iterator[pa.RecordBatch]:
     e = _concat(parts)
-    if not len(e.doc):
-        return
-    e, at = _rows(e)
-    offsets = np.r_[at, len(e.doc)].astype(np.int32)
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array(e.doc[at]), pa.array(e.mark[at]),
-            pa.ListArray.from_arrays(offsets, pa.array(e.place.astype(np.int32))),
-            pa.ListArray.from_arrays(offsets, pa.array(e.key.view(np.int64))),
-        ],
-        ["doc_id", "mark", "places", "keys"],
-    )
+    for i in range(0, len(e.doc), 50_000):
+        own = slice(i, i + 50_000)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(x[own]) for x in (e.doc, e.mark, e.place.astype(np.int32), e.key.view(np.int64))],
+            ["doc_id", "mark", "place", "key"],
+        )
 
 
 def shared_entries(
     docs: DataFrame, entries: Callable[[pa.RecordBatch], Iterator[Entries]], expected: float, smaller: bool = False
 ) -> DataFrame:
-    """``doc_id, mark, places, keys``: the entries whose key another document has (``smaller``: one of smaller id).
+    """``doc_id, mark, place, key``: the entries whose key another document has (``smaller``: one of smaller id).
 
     ``entries`` makes the entries of a batch of ``docs``; ``expected`` is about how many there will be in all and only
-    sets the number of buckets. A document may come out in several rows. ``mark`` is carried along: with the id it
-    names a row where ids repeat.
+    sets the number of buckets. ``mark`` is carried along: with the id it names a row where ids repeat.
     """
     buckets = max(1, int(expected / BUCKET_ENTRIES) + 1)
 
@@ -189,9 +184,9 @@ def shared_entries(
         if plain:
             yield from _answer_batch(plain)
 
-    packed = docs.mapInArrow(pack, _SHUFFLED)
+    packed = docs.mapInArrow(tidy(pack), _SHUFFLED)
     dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(settle, "doc_id long, mark long, places array<int>, keys array<long>")
+    return dealt.mapInArrow(tidy(settle), "doc_id long, mark long, place int, key long")
 
 
 def text_volume(docs: DataFrame, column: str = "text") -> int:

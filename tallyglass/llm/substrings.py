@@ -17,6 +17,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyglass.llm.shared_keys import Entries, shared_entries, text_volume
 from tallyglass.llm.words import blocks, window_hashes
+from tallyglass.llm.worker import tidy
+
+_NO_ID = -(1 << 63)  # key of rows without an id, whose windows do not count
 
 # Perfect difference covers: each distance modulo the period is a difference of two members.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9)}
@@ -113,19 +116,22 @@ def remove_repeats(docs: DataFrame, width: int = 13, period: int = 7) -> DataFra
     on the input. Null and empty texts have no words. Rows without ``doc_id`` keep all words and remove none
     elsewhere; rows that share an id are each judged against smaller ids only. Other columns are ignored.
     """
+    # Both joins with the texts use one exchange of them, so neither side may need a filter: the key is never null.
     own = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
+        F.col("doc_id").cast("long").alias("given"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"),
+        F.coalesce("text", F.lit("")).alias("text"),
     ).withColumn("mark", F.xxhash64("text"))
-    named, nameless = own.where("doc_id IS NOT NULL"), own.where("doc_id IS NULL")
     n_words = text_volume(docs) / 5  # a generous guess that only sizes buckets
     by = ["doc_id", "mark"]
+    named = own.where("given IS NOT NULL").select("doc_id", "mark", "text")
     anchored = shared_entries(named, _anchors(width, period), n_words * len(COVERS[period]) / period)
-    anchored = anchored.groupBy(by).agg(F.flatten(F.collect_list("places")).alias("anchors"))
-    again = shared_entries(named.join(anchored, by), _windows(width, period), n_words / 4, smaller=True)
-    repeated = again.groupBy(by).agg(F.flatten(F.collect_list("places")).alias("windows"))
-    judged = named.join(repeated, by, "left").select("doc_id", "text", "windows")
-    spared = nameless.select("doc_id", "text", F.lit(None).cast("array<int>").alias("windows"))
-    return judged.unionByName(spared).mapInArrow(
-        _cut(width),
+    anchored = anchored.groupBy(by).agg(F.collect_list("place").alias("anchors"))
+    around = own.join(anchored.hint("merge"), by)  # with all its columns, as below
+    again = shared_entries(around, _windows(width, period), n_words / 4, smaller=True)
+    repeated = again.groupBy(by).agg(F.collect_list("place").alias("windows"))
+    judged = own.join(repeated.hint("merge"), by, "left").select(F.col("given").alias("doc_id"), "text", "windows")
+    return judged.mapInArrow(
+        tidy(_cut(width)),
         "doc_id long, n_words long, n_removed long, removed array<struct<first:int,stop:int>>, kept_text string",
     )

@@ -6,11 +6,15 @@ a module of its own that only exists in the worker.
 
 from __future__ import annotations
 
+import ctypes
 import sys
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator
+from functools import wraps
 from types import ModuleType
 from typing import TypeVar
 
+import pyarrow as pa
+
 T = TypeVar("T")
 _NAME = "_tallyglass_llm_worker"
 
@@ -24,3 +28,21 @@ def per_worker(key: Hashable, make: Callable[[], T], most: int = 8) -> T:
             del kept[old]
         kept[key] = make()
     return kept[key]
+
+
+def tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``task`` for ``mapInArrow``, which hands freed memory back to the system when a partition is done.
+
+    Workers are reused; without this an idle one keeps the pages of its largest arrays.
+    """
+
+    @wraps(task)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library: nothing to hand back
+            pass
+
+    return run
