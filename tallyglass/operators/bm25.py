@@ -14,6 +14,7 @@ from tallyglass.functions.joins import BROADCAST_ROWS, bounded_join, fits
 from tallyglass.functions.text import keyword_tokens, raw_tokens
 from tallyglass.operators.knn import QUERY_BLOCK
 from tallyglass.operators.latest import top_per_key
+from tallyglass.operators.keys import require_unique
 from tallyglass.operators.topk import BLOCK_CELLS, DIGITS, TopK, ids_of, output_types
 
 # Fixed values of the scoring formula.
@@ -186,8 +187,9 @@ def _scored_top(
     The postings of the query terms are placed and sorted by chunk. A task then holds all of a
     chunk's shares, adds them up in a dense chunks x queries block per Arrow batch, and emits ``k`` rows per
     query: scores of single (query, chunk) pairs never become rows. Query tables beyond the bounds
-    take the salted term join and a partial aggregation; the result is the same.
+    take the salted term join and a partial aggregation. A repeated query id is refused at any size.
     """
+    require_unique(queries, ["query_id"], "queries")
     order = [F.col("score").desc(), F.col("chunk_id").asc()]
     weighted = _weighted_terms(queries, index, epsilon)
     if not (fits(queries.select("query_id"), max_queries) and fits(weighted, max_terms)):

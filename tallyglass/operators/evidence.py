@@ -9,14 +9,16 @@ from tallyglass.catalog import MAX_ROWS
 TOP_PASSAGES = 5
 
 
-def sql_evidence(results: DataFrame, rows: DataFrame, key: str = "question_id") -> DataFrame:
+def sql_evidence(
+    results: DataFrame, rows: DataFrame, key: str = "question_id", max_rows: int = MAX_ROWS
+) -> DataFrame:
     """One row per question with its delivered result lines in order.
 
-    ``results``: key, measure, status, failure_reason, header. ``rows``: key, row_no, line. The row
-    cap of a governed query bounds each question's lines before they are gathered.
+    ``results``: key, measure, status, failure_reason, header. ``rows``: key, row_no, line. ``max_rows``
+    is the row limit of the governed request: it bounds each question's lines before they are gathered.
     """
     lines = (
-        rows.where(F.col("row_no") <= MAX_ROWS)
+        rows.where(F.col("row_no") <= max_rows)
         .groupBy(key)
         .agg(F.array_sort(F.collect_list(F.struct("row_no", "line"))).alias("_l"))
         .select(key, F.transform("_l", lambda x: x["line"]).alias("lines"))

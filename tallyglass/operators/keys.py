@@ -46,11 +46,11 @@ def require_unique(df: DataFrame, cols: list[str], what: str = "dataset") -> Dat
 def fk_orphans(child: DataFrame, cols: list[str], parent: DataFrame, parent_cols: list[str]) -> DataFrame:
     """Distinct child keys without a parent, with the number of child rows. A null key passes.
 
-    Child rows are reduced to one per key before the anti join, so neither a hot key nor the width
-    of the child table reaches the shuffle.
+    Both sides are reduced to one row per key before the anti join, so neither a hot key nor the width
+    of a table reaches it.
     """
     keys = child.where(_all_set(cols)).groupBy(*cols).agg(F.count("*").alias("n_rows"))
-    ref = parent.select(*[F.col(p).alias(c) for c, p in zip(cols, parent_cols)])
+    ref = parent.select(*[F.col(p).alias(c) for c, p in zip(cols, parent_cols)]).distinct()
     return keys.join(ref, cols, "left_anti")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql.pandas.types import to_arrow_type
 
 # Values are compared after rounding, so equal rows tie exactly and the id decides.
 DIGITS = 9
@@ -77,7 +78,6 @@ def ids_of(col) -> np.ndarray:
 
 def output_types(queries, corpus) -> tuple[pa.Schema, str]:
     """Schema of (query_id, chunk_id, value) with the id types of both sides."""
-    arrow = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
-    q, c = (df.schema[name].dataType.simpleString() for df, name in ((queries, "query_id"), (corpus, "chunk_id")))
-    schema = pa.schema([("query_id", arrow[q]), ("chunk_id", arrow[c]), ("value", pa.float64())])
-    return schema, f"query_id {q}, chunk_id {c}, value double"
+    q, c = (df.schema[name].dataType for df, name in ((queries, "query_id"), (corpus, "chunk_id")))
+    schema = pa.schema([("query_id", to_arrow_type(q)), ("chunk_id", to_arrow_type(c)), ("value", pa.float64())])
+    return schema, f"query_id {q.simpleString()}, chunk_id {c.simpleString()}, value double"

@@ -53,13 +53,16 @@ def revenue_with_untranslated(model: Model) -> DataFrame:
 
 
 def review_buckets(model: Model) -> DataFrame:
-    """Orders per review score, orders without a review as their own bucket."""
-    reviews = model["fact_order_reviews"].select("order_id", "review_score")
+    """Orders per review score, orders without a review as their own bucket.
+
+    Reviews are counted per order and score before the join, so no order brings more rows than there are scores.
+    """
+    reviews = model["fact_order_reviews"].groupBy("order_id", "review_score").agg(F.count("*").alias("_n"))
     return (
         model["fact_orders"].select("order_id")
         .join(reviews, "order_id", "left")
         .groupBy(F.when(F.col("review_score").isNull(), "unreviewed").otherwise(F.col("review_score").cast("string")).alias("bucket"))
-        .agg(F.count("*").alias("n_orders"))
+        .agg(F.sum(F.coalesce("_n", F.lit(1))).alias("n_orders"))
     )
 
 

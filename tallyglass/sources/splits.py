@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """A file-backed table over all cores when it has fewer files than there are cores.
+    """A file-backed table over all cores when it has fewer input partitions than there are cores.
 
-    A Parquet file of one row group is one task, however costly its rows are. Tables with enough files
-    are returned as they are: moving them would be a shuffle for nothing.
+    Such a table is small: at most a partition's bytes for each core. Any other is returned as it is, since
+    moving it would be a shuffle for nothing.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots, key) if len(df.inputFiles()) < slots else df
+    return df.repartition(slots, key) if df.rdd.getNumPartitions() < slots else df

@@ -208,7 +208,8 @@ def _(t):
     docs = t.read("documents").select("lang", "text")
     # Text files keep the partition folders and lose their suffix; the reader maps folder to type.
     docs.write.partitionBy("lang").option("maxRecordsPerFile", 500).text(root)
-    types = {f"lang={x}": x for x in ("en", "fr", "de", "es")}
+    kinds = [r.lang for r in docs.select("lang").distinct().collect()]  # as many as there are folders
+    types = {f"lang={'__HIVE_DEFAULT_PARTITION__' if x is None else x}": x for x in kinds}
     files = reader.read_corpus(t.spark, root, types, "*.txt")
     return files.groupBy("doc_type").agg(F.sum(F.length("content")).alias("n_chars"))
 
@@ -233,13 +234,9 @@ def _(t):
 def _(t):
     path = shared_dir(t.spark)
     store.save_chunks(_chunks(t), path)
-    out = None
-    for kind in ("en", "fr", "de", "es"):
-        one = store.scan_chunks(t.spark, path, kind, ordered=False).groupBy("doc_type").agg(
-            F.count("*").alias("n_chunks"), F.sum("token_count").alias("n_tokens")
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
+    return store.scan_chunks(t.spark, path, ordered=False).groupBy("doc_type").agg(
+        F.count("*").alias("n_chunks"), F.sum("token_count").alias("n_tokens")
+    )
 
 
 @query(
