@@ -67,23 +67,36 @@ def _rows(e: Entries) -> tuple[Entries, np.ndarray]:
     return e, np.flatnonzero(new)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The numbers byte by byte, all lowest bytes first: the exchange's compression takes the zeros of the high ones."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _numbers(blob: bytes, kind, n: int, at: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8, n * size, at).reshape(size, n).T).view(kind).reshape(n)
+
+
 def _pack(e: Entries) -> bytes:
+    """Entries by document: ids as steps from one to the next, places as byte planes."""
     e, at = _rows(e)
     count = np.diff(np.r_[at, len(e.doc)])
     head = np.array([len(e.key), len(at), e.check is not None], np.uint32)
-    parts = [head, e.doc[at], e.mark[at], count.astype(np.uint32), e.key, e.place]
-    return b"".join(p.tobytes() for p in (parts if e.check is None else [*parts, e.check]))
+    step = np.diff(e.doc[at].astype(np.int64), prepend=0)
+    parts = [head.tobytes(), _planes(step), e.mark[at].tobytes(), _planes(count.astype(np.uint32)), e.key.tobytes(), _planes(e.place)]
+    return b"".join(parts if e.check is None else [*parts, e.check.tobytes()])
 
 
 def _unpack(blob: bytes) -> Entries:
     n, docs, checked = (int(x) for x in np.frombuffer(blob, np.uint32, 3))
-    at = 12
-    out = []
-    for kind, size in ((np.int64, docs), (np.int64, docs), (np.uint32, docs), (np.uint64, n), (np.uint32, n), (np.uint32, n * checked)):
-        out.append(np.frombuffer(blob, kind, size, at))
-        at += size * np.dtype(kind).itemsize
-    doc, mark, count, key, place, check = out
-    return Entries(np.repeat(doc, count), np.repeat(mark, count), key, place, check if checked else None)
+    at = 12 + 8 * docs
+    step = _numbers(blob, np.int64, docs, 12)
+    mark = np.frombuffer(blob, np.int64, docs, at)
+    count = _numbers(blob, np.uint32, docs, at := at + 8 * docs)
+    key = np.frombuffer(blob, np.uint64, n, at := at + 4 * docs)
+    place = _numbers(blob, np.uint32, n, at := at + 8 * n)
+    check = np.frombuffer(blob, np.uint32, n, at + 4 * n) if checked else None
+    return Entries(np.repeat(np.cumsum(step), count), np.repeat(mark, count), key, place, check)
 
 
 def _flush(e: Entries, buckets: int, smaller: bool) -> Iterator[pa.RecordBatch]:

@@ -121,7 +121,10 @@ def remove_repeats(docs: DataFrame, width: int = 13, period: int = 7) -> DataFra
         F.col("doc_id").cast("long").alias("given"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"),
         F.coalesce("text", F.lit("")).alias("text"),
-    ).withColumn("mark", F.xxhash64("text"))
+    )
+    # The mark tells rows that share an id apart; where no id repeats it has nothing to tell, and costs nothing to move.
+    twice = own.where("given IS NOT NULL").groupBy("given").count().where("count > 1")
+    own = own.withColumn("mark", F.lit(0).cast("long") if twice.isEmpty() else F.xxhash64("text"))
     n_words = text_volume(docs) / 5  # a generous guess that only sizes buckets
     by = ["doc_id", "mark"]
     named = own.where("given IS NOT NULL").select("doc_id", "mark", "text")

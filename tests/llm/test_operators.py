@@ -9,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from tallyglass.llm import bpe, chat, jaccard, lines, mixing, near_vectors, pretokens, quality, repair, sharding, substrings
+from tallyglass.llm import bpe, chat, jaccard, lines, mixing, near_vectors, pretokens, quality, repair, sharding, shared_keys, substrings
 from tallyglass.llm.components import components
 from tallyglass.llm.queries import tokenizer_file
+from tallyglass.llm.shared_keys import Entries
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, block int, mark string, starts int, row string"
 
@@ -58,6 +59,29 @@ def test_substrings(spark, rows):
     assert all(x.n_removed == sum(s.stop - s.first for s in x.removed) == x.n_words - len(brute.words(x.kept_text)) for x in got)
 
 
+def test_substrings_tell_rows_that_share_an_id_apart(spark):
+    long = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, long), (5, "own words " + long), (5, "x y"), (5, "own words " + long), (7, "x y " + long + " z"), (7, None)]
+    got = substrings.remove_repeats(table(spark, rows)).collect()
+    assert sorted((x.doc_id, x.kept_text) for x in got) == [
+        (1, long), (5, "own words"), (5, "own words"), (5, "x y"), (7, ""), (7, "x y z"),
+    ]
+
+
+@pytest.mark.parametrize("checked", [False, True])
+def test_entries_survive_packing(checked):
+    r = np.random.default_rng(3)
+    kinds = np.array([-(1 << 63), -5, 0, 7, 1 << 40, (1 << 63) - 1])
+    for n in (1, 4, 500):
+        made = Entries(
+            kinds[r.integers(0, len(kinds), n)], r.integers(0, 2, n), r.integers(0, 1 << 63, n).astype(np.uint64),
+            r.integers(0, 1 << 32, n).astype(np.uint32), r.integers(0, 1 << 32, n).astype(np.uint32) if checked else None,
+        )
+        back, want = shared_keys._unpack(shared_keys._pack(made)), shared_keys._rows(made)[0]
+        for column in ("doc", "mark", "key", "place", "check") if checked else ("doc", "mark", "key", "place"):
+            assert (getattr(back, column) == getattr(want, column)).all()
+
+
 def test_lines(spark):
     r = random.Random(2)
     docs = [(d, "\n".join(r.choice(["a b", "c", "", " ", "d e f", "g"]) for _ in range(r.randint(1, 9)))) for d in range(60)]
