@@ -18,6 +18,7 @@ from tallyglass.functions.text import strip
 CHUNK_SIZE = 256
 OVERLAP = 32
 _RUN = 16
+_FOLD = 64
 
 # A token is a run of non-space characters; a piece is a token with the space after it.
 _SPACE = r"[ \t\n\r\f]"
@@ -29,6 +30,43 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once: lambdas share no subexpressions, but a lambda's argument is one."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(lengths: Column, levels: int = 2) -> Column:
+    """[0, l1, l1+l2, ...]
+
+    A fold that appends copies its list at each step, so only runs of ``_FOLD`` are folded; each is then moved by the
+    total before it, which is a running sum of fewer numbers. Two levels leave one fold per ``_FOLD`` squared numbers.
+    """
+
+    def fold(x):
+        return F.aggregate(x, F.array(F.lit(0)), lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v)))
+
+    if not levels:
+        return fold(lengths)
+
+    def folded(x):
+        run = F.when(F.size(x) > 0, F.sequence(F.lit(0), F.floor((F.size(x) - 1) / F.lit(_FOLD)).cast("int")))
+        run = F.when(F.size(x) == 0, F.array().cast("array<int>")).otherwise(run)
+        return F.transform(run, lambda i: fold(F.slice(x, i * _FOLD + 1, _FOLD)))
+
+    def moved(sums, before):
+        own = F.transform(
+            sums, lambda s, i: F.transform(F.slice(s, F.lit(1), F.size(s) - 1), lambda v: v + F.get(before, i))
+        )
+        return F.concat(F.flatten(own), F.array(F.element_at(before, -1)))
+
+    def totals(sums):
+        return F.transform(sums, lambda s: F.element_at(s, -1))
+
+    return _named(
+        _named(lengths, folded), lambda sums: _named(_running(totals(sums), levels - 1), lambda before: moved(sums, before))
+    )
+
+
 def doc_title(content: Column | str) -> Column:
     """Text of the first ``# `` line, else empty."""
     return strip(F.regexp_extract(_col(content), r"(?md)^#(?U:\s+)([^\n]+)$", 1))
@@ -36,20 +74,14 @@ def doc_title(content: Column | str) -> Column:
 
 def _sections(content: Column) -> Column:
     """Array of (section_no, section, section_text, section_start) of one document."""
-    pieces = F.split(content, r"(?md)(?=^## [^\n])")
-    laid_out = F.aggregate(
-        pieces,
-        F.struct(
-            F.lit(0).alias("at"),
-            F.array().cast("array<struct<section_text:string,section_start:int>>").alias("out"),
-        ),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p)).alias("at"),
-            F.concat(
-                acc["out"], F.array(F.struct(p.alias("section_text"), acc["at"].alias("section_start")))
-            ).alias("out"),
+    laid_out = _named(
+        F.split(content, r"(?md)(?=^## [^\n])"),
+        lambda pieces: _named(
+            _running(F.transform(pieces, lambda p: F.length(p))),
+            lambda at: F.transform(
+                pieces, lambda p, i: F.struct(p.alias("section_text"), F.get(at, i).alias("section_start"))
+            ),
         ),
-        lambda acc: acc["out"],
     )
 
     def is_h2(p):
@@ -95,14 +127,18 @@ def tokenize_offsets(text: Column | str) -> Column:
     """
     lead = F.length(F.regexp_extract(_col(text), f"^{_SPACE}*", 0))
     pieces = F.regexp_extract_all(_col(text), F.lit(f"({_PIECE})"), F.lit(1))
-    init = F.struct(lead.alias("at"), F.array().cast("array<struct<token:string,char_start:int,char_end:int>>").alias("out"))
 
-    def step(acc, p):
+    def placed(p, start):
         tok = F.regexp_extract(p, f"^{_TOKEN}+", 0)
-        item = F.struct(tok.alias("token"), acc["at"].alias("char_start"), (acc["at"] + F.length(tok)).alias("char_end"))
-        return F.struct((acc["at"] + F.length(p)).alias("at"), F.concat(acc["out"], F.array(item)).alias("out"))
+        return F.struct(tok.alias("token"), start.alias("char_start"), (start + F.length(tok)).alias("char_end"))
 
-    return F.aggregate(pieces, init, step, lambda acc: acc["out"])
+    return _named(
+        F.struct(lead.alias("lead"), pieces.alias("pieces")),
+        lambda cut: _named(
+            _running(F.transform(cut["pieces"], lambda p: F.length(p))),
+            lambda at: F.transform(cut["pieces"], lambda p, i: placed(p, cut["lead"] + F.get(at, i))),
+        ),
+    )
 
 
 def token_positions(df: DataFrame, text: str) -> DataFrame:
@@ -152,13 +188,6 @@ def _strides(text: Column, stride: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({_PIECE}{{1,{stride}}}+)"), F.lit(1))
 
 
-def _running(lengths: Column) -> Column:
-    """[0, l1, l1+l2, ...]"""
-    return F.aggregate(
-        lengths, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
-    )
-
-
 def _cut(text: Column, size: int, overlap: int) -> Column:
     """Struct (lead, strides, n_tok, n_win) of one text, from a single pass over it."""
     stride = size - overlap

@@ -1,7 +1,9 @@
+import itertools
 import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from tallyglass.operators import chunking as c
 
@@ -125,3 +127,17 @@ def test_token_positions_of_a_long_text(spark):
     rows = c.token_positions(spark.createDataFrame([(1, text)], "id int, t string"), "t").orderBy("token_no").collect()
     assert [(r["char_start"], r["char_end"]) for r in rows] == _spans(text)
     assert [r["token_no"] for r in rows] == list(range(3000))
+
+
+def test_running_sums_at_the_edges_of_their_runs(spark):
+    sizes = [0, 1, 63, 64, 65, 128, 4095, 4096, 4097, 9000]
+    df = spark.createDataFrame([(n, [(i * 7) % 5 for i in range(n)]) for n in sizes] + [(-1, None)], "n int, x array<int>")
+    for n, x, got in df.select("n", "x", c._running(F.col("x")).alias("got")).collect():
+        assert got == (None if x is None else [0, *itertools.accumulate(x)]), n
+
+
+def test_many_sections_start_where_they_should(spark):
+    text = "".join(f"## s{i}\n" + "x" * (i % 7) + "\n" for i in range(5000))
+    rows = c.split_sections(spark.createDataFrame([(1, text)], "id int, content string")).collect()
+    assert len(rows) == 5000
+    assert all(text[r.section_start :].startswith(r.section_text) for r in rows)
