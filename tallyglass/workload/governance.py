@@ -366,7 +366,7 @@ _SQL_SIDE = """res AS (SELECT order_id AS question_id, 'order_lines' AS measure,
       'product | price' AS header FROM purchases),
     numbered AS (SELECT order_id AS question_id, row_number() OVER (PARTITION BY order_id ORDER BY order_item_id, product_id, seller_id, price) AS row_no,
       product_id || ' | ' || CAST(floor(price) AS BIGINT) AS line FROM items),
-    lines AS (SELECT question_id, string_agg(line, chr(10) ORDER BY row_no) AS lines, count(*) AS n FROM numbered GROUP BY 1)"""
+    lines AS (SELECT question_id, string_agg(line, chr(10) ORDER BY row_no) AS lines, count(*) AS n FROM numbered WHERE row_no <= 1000 GROUP BY 1)"""
 _HITS = """hits AS (SELECT user_id * 7 AS question_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rank,
       event_type || '.md' AS source, 'k ' || regexp_extract(props, '([0-9]+)', 1) AS section, 'Event ' || event_id AS content FROM events),
     passages AS (SELECT question_id, string_agg(chr(10) || '[' || rank || '] source: ' || source || ' | section: ' || section || chr(10) || content, chr(10) ORDER BY rank) AS passages,

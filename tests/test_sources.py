@@ -116,3 +116,11 @@ def test_invented_figures_are_found(spark):
     a, b = evidence.grounding_audit(df, "answer", "evidence", "names").collect()
     assert (a["ungrounded_numbers"], a["ungrounded_tokens"], a["grounded"]) == (["5000000"], ["toys"], False)
     assert b["grounded"] is True
+
+
+def test_lines_beyond_the_row_limit_of_the_request(spark):
+    results = spark.createDataFrame([("a", "m", "success", None, "h")], "question_id string, measure string, status string, failure_reason string, header string")
+    rows = spark.range(1, 1501).selectExpr("'a' AS question_id", "CAST(id AS INT) AS row_no", "CONCAT('l', id) AS line")
+    for limit, kept in ((None, 1000), (1200, 1200), (10_000, 1500)):
+        got = evidence.sql_evidence(results, rows, **({"max_rows": limit} if limit else {})).first()["lines"]
+        assert got == [f"l{i}" for i in range(1, kept + 1)]
