@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, functions as F
 # the low megabytes; wider rows must pass a smaller bound.
 BROADCAST_ROWS = 50_000
 SALTS = 32
+# A key with more than one in so many rows is hot; there are fewer hot keys than this.
+HOT_PARTS = 1_000
 
 
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads no more than that many plus one."""
+    """True when ``df`` has at most ``max_rows`` rows; each task stops after that many plus one."""
     return df.limit(max_rows + 1).count() <= max_rows
 
 
@@ -37,3 +39,20 @@ def bounded_join(
     join is salted.
     """
     return big.join(F.broadcast(small), on) if fits(small, max_rows) else salted_join(big, small, on, spread)
+
+
+def split_hot_join(big: DataFrame, small: DataFrame, on: list[str], parts: int = HOT_PARTS) -> DataFrame:
+    """Inner equi-join of ``big`` with one row per key, where a key may hold any share of ``big``.
+
+    A key with more than a ``parts``-th of all rows is hot. There are fewer than ``parts`` such keys whatever the
+    data, so their list is broadcast. Rows of a hot key are dealt by a hash of their other columns to as many
+    shares as it holds ``parts``-ths, and only its row of ``small`` is repeated; others join as they are.
+    """
+    counts = big.groupBy(*on).agg(F.count("*").alias("_n"))
+    total = big.agg(F.count("*")).scalar()
+    hot = counts.where(F.col("_n") > total / parts).select(*on, F.ceil(F.col("_n") * parts / total).cast("int").alias("_shares"))
+    share = F.pmod(F.xxhash64(*big.columns), F.coalesce("_shares", F.lit(1))).cast("int")
+    dealt = big.join(F.broadcast(hot), on, "left").withColumn("_salt", share).drop("_shares")
+    copies = F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1)
+    copied = small.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(copies)).drop("_shares")
+    return dealt.join(copied, [*on, "_salt"]).drop("_salt")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tallyglass.functions.joins import split_hot_join
 from tallyglass.functions.money import cents
 
 
@@ -34,6 +35,9 @@ def fanout_audit(base: DataFrame, other: DataFrame, on: list[str], measure: str)
 def pre_aggregate_then_join(
     base: DataFrame, many: DataFrame, on: list[str], amount: str, out: str
 ) -> DataFrame:
-    """``base`` with the total of ``many.amount`` per key: many is one row per key before the join."""
+    """``base`` with the total of ``many.amount`` per key: many is one row per key before the join.
+
+    ``base`` may repeat a key at any rate: rows of a hot key are dealt to many tasks.
+    """
     totals = many.groupBy(*on).agg((F.sum(cents(amount)) / 100).alias(out))
-    return base.join(totals, on)
+    return split_hot_join(base, totals, on)

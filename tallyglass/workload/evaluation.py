@@ -10,6 +10,7 @@ from tallyglass.plans import scorecard as card
 from tallyglass.session import shared_dir
 from tallyglass.sources import results
 from tallyglass.workload.corpora import _index, _ranked_scores
+from tallyglass.workload.governance import _SCORED, _audited
 from tallyglass.workload.registry import query
 
 _OOS = "category IN ('sql_oos', 'rag_oos')"
@@ -136,7 +137,7 @@ _HITS = f"""{_ranked_scores(20)}, hits AS (SELECT query_id, source, rank FROM kr
    firsts AS (SELECT query_id, source, min(rank) AS f FROM hits GROUP BY 1, 2),
    srcs AS (SELECT query_id, source, row_number() OVER (PARTITION BY query_id ORDER BY f) AS rank FROM firsts),
    want AS (SELECT query_id, 'src' || query_id % 20 AS source FROM asked UNION SELECT query_id, 'src' || query_id * 3 % 20 FROM asked),
-   scored AS (SELECT w.query_id, min(s.rank) AS rank FROM want w LEFT JOIN srcs s ON s.query_id = w.query_id AND s.source = w.source GROUP BY 1)"""
+   found AS (SELECT w.query_id, min(s.rank) AS rank FROM want w LEFT JOIN srcs s ON s.query_id = w.query_id AND s.source = w.source GROUP BY 1)"""
 
 
 def _sources(t):
@@ -157,7 +158,7 @@ def _(t):
 
 @query(
     "e9_retrieval_score",
-    f"""WITH {_HITS} SELECT query_id, coalesce(rank, 0)::INT AS rank, rank IS NOT NULL AS hit, round(coalesce(1.0::DOUBLE / rank, 0), 9) AS reciprocal_rank FROM scored""",
+    f"""WITH {_HITS} SELECT query_id, coalesce(rank, 0)::INT AS rank, rank IS NOT NULL AS hit, round(coalesce(1.0::DOUBLE / rank, 0), 9) AS reciprocal_rank FROM found""",
     "passages asked",
 )
 def _(t):
@@ -167,7 +168,7 @@ def _(t):
 
 @query(
     "e10_retrieval_summary",
-    f"WITH {_HITS} SELECT round(avg((rank IS NOT NULL)::INT), 9) AS hit_rate, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 9) AS mrr, count(*) AS n FROM scored",
+    f"WITH {_HITS} SELECT round(avg((rank IS NOT NULL)::INT), 9) AS hit_rate, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 9) AS mrr, count(*) AS n FROM found",
     "passages asked",
 )
 def _(t):
@@ -211,23 +212,32 @@ def _(t):
     return scoring.hedge_summary(scoring.hedge_eval(t.cases()))
 
 
-_DIMS = f"""{_EVAL}, {_HEDGE}, res AS (SELECT 'routing' AS dimension, expected_route = actual_route AS passed FROM cases
+_DIMS = f"""{_EVAL}, {_HEDGE}, {_SCORED}, {_HITS}, res AS (SELECT 'routing' AS dimension, expected_route = actual_route AS passed FROM cases
      UNION ALL SELECT 'measure_selection', measure_passed FROM me WHERE category IN ('sql_positive', 'hybrid_positive', 'sql_oos')
      UNION ALL SELECT 'pipeline_status', status_passed FROM me WHERE category IN ('sql_positive', 'hybrid_positive', 'sql_oos')
      UNION ALL SELECT 'glossary', glossary_passed FROM me WHERE glossary_passed IS NOT NULL
+     UNION ALL SELECT 'guardrails', case_passed FROM scored
+     UNION ALL SELECT 'retrieval', rank IS NOT NULL FROM found
      UNION ALL SELECT 'hedge_calibration', gate_fired = expects_hedge FROM he)"""
+_DIM_ROLES = "cases statements passages asked"
+
+
+def _measured(t):
+    return scoring.measure_eval(scoring.select_cases(t.cases(), "sql"))
 
 
 def _dimensions(t):
     def part(df, name, passed):
         return df.select(F.lit(name).alias("dimension"), F.col(passed).alias("passed"))
 
-    sql = scoring.measure_eval(scoring.select_cases(t.cases(), "sql"))
+    sql = _measured(t)
     return (
         part(_routed(t), "routing", "route_passed")
         .unionByName(part(sql, "measure_selection", "measure_passed"))
         .unionByName(part(sql, "pipeline_status", "status_passed"))
         .unionByName(part(sql.where("glossary_passed is not null"), "glossary", "glossary_passed"))
+        .unionByName(part(scoring.score_guardrail(_audited(t)), "guardrails", "case_passed"))
+        .unionByName(part(scoring.score_retrieval(_sources(t), _expected(t)), "retrieval", "hit"))
         .unionByName(part(scoring.hedge_eval(t.cases()), "hedge_calibration", "hedge_passed"))
     )
 
@@ -235,7 +245,7 @@ def _dimensions(t):
 @query(
     "e14_dimension_summary",
     f"WITH {_DIMS} SELECT dimension, count(*) FILTER (WHERE passed) AS n_passed, count(*) AS n_total, round(count(*) FILTER (WHERE passed) / count(*), 9) AS accuracy FROM res GROUP BY 1",
-    "cases",
+    _DIM_ROLES,
 )
 def _(t):
     return scoring.summarize(_dimensions(t)).withColumn("accuracy", F.round("accuracy", 9))
@@ -297,57 +307,38 @@ def _pct(p, n):
         UNION ALL SELECT 2, 'Measure selection', {_pct('p', 'n')}, (SELECT count(*) FILTER (WHERE gated_out) || ' refused via confidence gate' FROM me WHERE category IN ('sql_positive', 'hybrid_positive', 'sql_oos')) FROM s WHERE dimension = 'measure_selection'
         UNION ALL SELECT 3, 'Trust boundary (refuse/proceed)', {_pct('p', 'n')}, 'gate threshold 0.5' FROM s WHERE dimension = 'pipeline_status'
         UNION ALL SELECT 4, 'Glossary resolution', {_pct('p', 'n')}, '' FROM s WHERE dimension = 'glossary'
-        UNION ALL SELECT 5, 'Hedge calibration', {_pct('p', 'n')}, (SELECT 'resolving ' || {_pct('rp', 'rn')} || ', hedge ' || {_pct('hp', 'hn')} FROM hs) FROM s WHERE dimension = 'hedge_calibration'""",
-    "cases",
+        UNION ALL SELECT 5, 'Guardrail efficacy', {_pct('p', 'n')}, 'every layer isolated' FROM s WHERE dimension = 'guardrails'
+        UNION ALL SELECT 6, 'Retrieval hit@20', {_pct('p', 'n')}, (SELECT printf('MRR %.3f', round_even(round(avg(coalesce(1.0::DOUBLE / rank, 0)), 9), 3)) FROM found) FROM s WHERE dimension = 'retrieval'
+        UNION ALL SELECT 7, 'Hedge calibration', {_pct('p', 'n')}, (SELECT 'resolving ' || {_pct('rp', 'rn')} || ', hedge ' || {_pct('hp', 'hn')} FROM hs) FROM s WHERE dimension = 'hedge_calibration'""",
+    _DIM_ROLES,
 )
 def _(t):
-    routed = _routed(t)
-    out = routed.where(F.col("category").isin(*scoring.OUT_OF_SCOPE))
-    route = routed.agg(F.count_if("route_passed").alias("p"), F.count("*").alias("n"))
-    oos = out.agg(card.pct(F.count_if("route_passed"), F.count("*"))).scalar()
-    sql = scoring.measure_eval_summary(scoring.measure_eval(scoring.select_cases(t.cases(), "sql")))
-    hedge = scoring.hedge_summary(scoring.hedge_eval(t.cases()))
-    lines = [
-        card.score_line(route, 1, "Routing accuracy", "p", "n", F.concat(F.lit("out-of-scope "), oos)),
-        card.score_line(
-            sql, 2, "Measure selection", "measure_passed", "n_total",
-            F.concat(F.col("refusals_via_gate").cast("string"), F.lit(" refused via confidence gate")),
-        ),
-        card.score_line(sql, 3, "Trust boundary (refuse/proceed)", "status_passed", "n_total", F.lit("gate threshold 0.5")),
-        card.score_line(sql, 4, "Glossary resolution", "glossary_passed", "glossary_total"),
-        card.score_line(
-            hedge, 5, "Hedge calibration", "n_passed", "n_total",
-            F.concat(
-                F.lit("resolving "), card.pct(F.col("resolving_pass"), F.col("resolving_total")),
-                F.lit(", hedge "), card.pct(F.col("hedge_pass"), F.col("hedge_total")),
-            ),
-        ),
-    ]
-    return card.scorecard(lines)
+    probes, found = scoring.score_guardrail(_audited(t)), scoring.score_retrieval(_sources(t), _expected(t))
+    return card.scorecard(card.governance_lines(_routed(t), _measured(t), probes, found, scoring.hedge_eval(t.cases()), 20))
 
 
 @query(
     "e17_misses",
-    f"""WITH {_EVAL}, {_HEDGE} SELECT 'routing' AS dimension, case_id::VARCHAR AS case_id, expected_route AS expected, actual_route AS actual FROM cases WHERE expected_route <> actual_route
-        UNION ALL SELECT 'measure_selection', case_id::VARCHAR, coalesce(expected_measure, 'None'), coalesce(picked, 'None') FROM me WHERE NOT measure_passed
+    f"""WITH {_EVAL}, {_HEDGE}, {_SCORED}, {_HITS} SELECT 'routing' AS dimension, case_id::VARCHAR AS case_id, expected_route AS expected, actual_route AS actual FROM cases WHERE expected_route <> actual_route
+        UNION ALL SELECT 'measure_selection', case_id::VARCHAR, coalesce(expected_measure, 'None'), coalesce(picked, 'None') FROM me
+          WHERE category IN ('sql_positive', 'hybrid_positive', 'sql_oos') AND NOT (measure_passed AND status_passed AND coalesce(glossary_passed, true))
+        UNION ALL SELECT 'guardrails', stmt_id::VARCHAR, 'reject@' || target_layer, CASE WHEN passed THEN 'passed' ELSE 'rejected' END FROM scored WHERE NOT case_passed
+        UNION ALL SELECT 'retrieval', query_id::VARCHAR, (SELECT string_agg(source, ',' ORDER BY source) FROM want w WHERE w.query_id = found.query_id),
+          coalesce((SELECT string_agg(source, ',' ORDER BY s.rank) FROM srcs s WHERE s.query_id = found.query_id), '') FROM found WHERE rank IS NULL
         UNION ALL SELECT 'hedge_calibration', case_id::VARCHAR, 'hedge=' || expects_hedge, 'gate_fired=' || gate_fired FROM he WHERE gate_fired <> expects_hedge""",
-    "cases",
+    _DIM_ROLES,
 )
 def _(t):
-    measured = scoring.measure_eval(t.cases())
-    hedged = scoring.hedge_eval(t.cases())
-    none = F.lit("None")
+    hedged, ranked, wanted = scoring.hedge_eval(t.cases()), _sources(t), _expected(t)
     a = card.misses(_routed(t), "route_passed", "routing", "case_id", F.col("expected_route"), F.col("actual_route"))
-    b = card.misses(
-        measured, "measure_passed", "measure_selection", "case_id",
-        F.coalesce("expected_measure", none), F.coalesce("selected_measure", none),
-    )
+    b = card.misses(scoring.score_guardrail(_audited(t)), "case_passed", "guardrails", "stmt_id", F.col("expected"), F.col("actual"))
     c = card.misses(
         hedged, "hedge_passed", "hedge_calibration", "case_id",
         F.concat(F.lit("hedge="), F.col("expects_hedge").cast("string")),
         F.concat(F.lit("gate_fired="), F.col("gate_fired").cast("string")),
     )
-    return a.unionByName(b).unionByName(c)
+    lost = card.retrieval_misses(scoring.score_retrieval(ranked, wanted), ranked, wanted)
+    return a.unionByName(b).unionByName(c).unionByName(card.measure_misses(_measured(t))).unionByName(lost)
 
 
 @query(

@@ -112,3 +112,18 @@ def test_scorecard_text(spark):
     lines = [card.score_line(one, 2, "B", "p", "n", F.concat("r", F.lit(" refused"))), card.score_line(one, 1, "A", "r", "n")]
     got = [r["value"] for r in card.render_markdown(card.scorecard(lines)).collect()]
     assert got == ["| A | 2/7 (29%) |  |", "| B | 7/7 (100%) | 2 refused |"]
+
+
+def test_misses_of_measures_and_retrieval(spark):
+    measured = spark.createDataFrame(
+        [(1, True, True, None, "m", "m"), (2, True, False, None, "m", None), (3, True, True, False, "m", "m"), (4, True, True, True, "m", "m"), (5, False, True, None, None, "n")],
+        "case_id long, measure_passed boolean, status_passed boolean, glossary_passed boolean, expected_measure string, selected_measure string",
+    )
+    got = sorted((r["case_id"], r["expected"], r["actual"]) for r in card.measure_misses(measured).collect())
+    assert got == [("2", "m", "None"), ("3", "m", "m"), ("5", "None", "n")]
+
+    ranked = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "z", 2), (2, "y", 1)], "query_id long, source string, rank int")
+    wanted = spark.createDataFrame([(1, "b"), (2, "q"), (2, "a"), (3, "a")], "query_id long, source string")
+    found = s.score_retrieval(ranked, wanted)
+    got = sorted((r["case_id"], r["expected"], r["actual"]) for r in card.retrieval_misses(found, ranked, wanted).collect())
+    assert got == [("2", "a,q", "y,z"), ("3", "a", "")]

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyglass.functions.joins import bounded_join
+from tallyglass.functions.joins import bounded_join, split_hot_join
 from tallyglass.functions.vectors import cosine_distance, text_to_vec, vec_to_text
 from tallyglass.operators import fanout, geo, keys
 from tallyglass.operators.latest import latest_per_key
@@ -62,12 +62,24 @@ def test_fanout_never_makes_the_rows(spark):
     assert {(r["k"], r["total"]) for r in safe.collect()} == {(1, 10.30), (2, 5.0), (3, 1.0)}
 
 
+def test_hot_keys_are_split_and_rows_kept(spark):
+    rows = spark.range(6000).selectExpr("if(id % 3 = 0, null, if(id % 3 = 1, 0, id)) k", "id v")
+    small = spark.createDataFrame([(0, "hot"), (5, "five"), (8, "eight"), (99999, "none"), (None, "null")], "k long, s string")
+    for big in (rows, rows.limit(0)):
+        got = split_hot_join(big, small, ["k"], parts=10)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, big.join(small, "k").collect()))
+    # 2,000 of 6,000 rows under one key go to four shares.
+    salts = split_hot_join(rows, small, ["k"], parts=10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in salts and "strategy=broadcast" in salts
+
+
 @pytest.mark.parametrize("q", [0.0, 0.25, 0.5, 0.75, 0.9999, 1.0])
 def test_quantile_is_exact(spark, q):
     rng = random.Random(1)
-    for values in ([1.0], [3.0, 1.0], [rng.lognormvariate(0, 9) for _ in range(5000)], [7.0] * 2000 + [float(i) for i in range(4000)], [-5.0, None, 2.5, 2.5]):
+    for values in ([1.0], [3.0, 1.0], [rng.lognormvariate(0, 9) for _ in range(5000)], [7.0] * 2000 + [float(i) for i in range(4000)], [-5.0, None, 2.5, 2.5],
+                   [rng.gauss(0, 1e-9) for _ in range(2500)] + [1e12 + rng.random() for _ in range(2500)]):
         df = spark.createDataFrame([(v,) for v in values], "v double").repartition(4)
-        got = df.limit(1).select(exact_quantile(df, "v", q, accuracy=50, bins=8)).first()[0]
+        got = df.limit(1).select(exact_quantile(df, "v", q, accuracy=50, points=8)).first()[0]
         known = sorted(v for v in values if v is not None)
         pos = q * (len(known) - 1)
         lo = int(pos)
