@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyglass.functions.text import STOPWORDS, keyword_tokens, preview, raw_tokens
+from tallyglass.functions.text import keyword_tokens, preview, raw_tokens
 from tallyglass.functions.vectors import cosine_distance, text_to_vec, vec_to_text
 from tallyglass.operators import bm25 as kw
 from tallyglass.operators import chunking, encode, fusion, gates, knn, projection
@@ -399,7 +399,12 @@ def _(t):
 
 # ---------------------------------------------------------------- keywords
 
-_STOP = "'" + "', '".join(STOPWORDS) + "'"
+# Fixed values, typed out so that the twins do not share them with the package.
+_STOP = (
+    "'a', 'an', 'and', 'are', 'as', 'at', 'be', 'between', 'by', 'did', 'do', "
+    "'does', 'for', 'from', 'how', 'in', 'is', 'it', 'its', 'mean', 'means', "
+    "'of', 'on', 'or', 'that', 'the', 'this', 'to', 'what', 'with'"
+)
 
 
 def _toks(col):

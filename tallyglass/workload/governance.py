@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyglass.catalog import JOIN_POLICY, MEASURES
+from tallyglass.catalog import MEASURES
 from tallyglass.operators import audit, evidence, gates, glossary, profile
 from tallyglass.operators.latest import top_per_key
 from tallyglass.workload.registry import query
@@ -96,8 +96,15 @@ def _(t):
 
 # ---------------------------------------------------------------- statement audit
 
-_KNOWN = "'" + "', '".join(sorted({x for e in JOIN_POLICY for x in e[:2]})) + "'"
-_NOTE = JOIN_POLICY[-1][5]
+# Fixed values, typed out so that the twins do not share them with the package.
+_KNOWN = (
+    "'dim_category_translation', 'dim_customers', 'dim_products', 'dim_sellers', "
+    "'fact_order_items', 'fact_order_payments', 'fact_order_reviews', 'fact_orders'"
+)
+_NOTE = (
+    "FORBIDDEN for revenue measures. payments has multiple rows per order (installments/split). "
+    "Causes fan-out. This is the join the guardrail must reject."
+)
 _AUDIT = rf"""audit AS (SELECT *,
      list_distinct(list_transform(regexp_extract_all(sql, '(?i)\b(INSERT|UPDATE|DELETE|DROP|CREATE|TRUNCATE|ALTER|GRANT|REVOKE)\b'), lambda w: upper(w))) AS words,
      list_filter(regexp_extract_all(sql, '(?i)\b(?:FROM|JOIN)\s+([a-zA-Z_][a-zA-Z0-9_]*)', 1), lambda x: lower(x) NOT IN ({_KNOWN})) AS strangers,
@@ -108,7 +115,7 @@ _AUDIT = rf"""audit AS (SELECT *,
    audited AS (SELECT * EXCLUDE (row_limit_enforced0), coalesce(row_limit_enforced0, false) AS row_limit_enforced,
      is_read_only AND schema_valid AND joins_safe AND coalesce(row_limit_enforced0, false) AS passed,
      concat_ws('~',
-       CASE WHEN len(words) > 0 THEN 'W' END,
+       CASE WHEN len(words) > 0 THEN 'Write operation not allowed: ' || array_to_string(list_sort(words), ', ') END,
        CASE WHEN len(strangers) > 0 THEN array_to_string(list_transform(strangers, lambda x: 'Unknown table referenced: ''' || x || ''''), '~') END,
        CASE WHEN fanned THEN 'Forbidden join detected: fact_order_items -> fact_order_payments. {_NOTE}' END,
        CASE WHEN lim = '' THEN 'No LIMIT clause found. All queries must be row-limited.'
@@ -163,17 +170,20 @@ def _(t):
 
 @query(
     "q5_audit_sql",
-    rf"""WITH {_AUDIT} SELECT stmt_id, passed, is_read_only, schema_valid, joins_safe, row_limit_enforced,
-         regexp_replace(messages, '^W~', '') AS messages FROM audited""",
+    rf"""WITH {_AUDIT} SELECT stmt_id, passed, is_read_only, schema_valid, joins_safe, row_limit_enforced, messages FROM audited""",
     "statements",
 )
 def _(t):
-    # Keyword order is compared in q1; here the first message is cut to the rest.
-    rest = F.filter("violations", lambda m: ~F.startswith(m, F.lit("Write operation")))
-    out = _audited(t).select(
-        "stmt_id", "passed", *audit.LAYERS, F.array_join(rest, "~").alias("messages"), F.size(rest).alias("_n"), F.size("violations").alias("_all")
+    # SQL's list of distinct words has no order, so both sides sort the words of the first message.
+    head = "Write operation not allowed: "
+    told = F.transform(
+        "violations",
+        lambda m: F.when(
+            F.startswith(m, F.lit(head)),
+            F.concat(F.lit(head), F.array_join(F.array_sort(F.split(F.replace(m, F.lit(head), F.lit("")), F.lit(", "))), ", ")),
+        ).otherwise(m),
     )
-    return out.withColumn("messages", F.when((F.col("_n") == 0) & (F.col("_all") > 0), "W").otherwise(F.col("messages"))).drop("_n", "_all")
+    return _audited(t).select("stmt_id", "passed", *audit.LAYERS, F.array_join(told, "~").alias("messages"))
 
 
 _SCORED = rf"""{_AUDIT}, scored AS (SELECT *,
@@ -183,7 +193,7 @@ _SCORED = rf"""{_AUDIT}, scored AS (SELECT *,
           WHEN 'joins_safe' THEN is_read_only AND schema_valid AND NOT joins_safe AND row_limit_enforced
           ELSE is_read_only AND schema_valid AND joins_safe AND NOT row_limit_enforced END
      AND len(list_filter(split(fragments, '|'), lambda f: NOT contains(
-           concat_ws(' ', 'Write operation not allowed: ' || CASE WHEN len(words) = 0 THEN NULL ELSE array_to_string(words, ', ') END, replace(messages, '~', ' ')), f))) = 0 AS case_passed
+           replace(messages, '~', ' '), f))) = 0 AS case_passed
    FROM audited)"""
 
 

@@ -69,8 +69,12 @@ def _(t):
     "customers sellers products translation purchases items payments",
 )
 def _(t):
+    return landing.table_counts(star.build_star(_raw(t)))
+
+
+def _raw(t):
     m = t.model
-    raw = {
+    return {
         "customers": m["dim_customers"],
         "sellers": m["dim_sellers"],
         "products": m["dim_products"],
@@ -83,7 +87,54 @@ def _(t):
             "user_id AS review_id", "event_id AS order_id", "1 AS review_score", "ts AS review_answer_timestamp"
         ),
     }
-    return landing.table_counts(star.build_star(raw))
+
+
+@query(
+    "w1_star_reviews",
+    """SELECT user_id AS review_id, event_id AS order_id, 1 AS review_score, ts AS review_answer_timestamp FROM events
+       QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id) = 1""",
+)
+def _(t):
+    return star.build_star(_raw(t))["fact_order_reviews"]
+
+
+@query(
+    "w1_star_content",
+    " UNION ALL ".join(
+        f"SELECT '{table}' AS table_name, count(*) AS n_rows, count(DISTINCT md5(concat_ws('|', {cols}))) AS n_distinct, "
+        f"max(md5(concat_ws('|', {cols}))) AS last_digest FROM {role}"
+        for table, role, cols in (
+            ("dim_customers", "customers", "customer_id, customer_unique_id, customer_zip_code_prefix, customer_city, customer_state"),
+            ("dim_sellers", "sellers", "seller_id, seller_zip_code_prefix, seller_state, region"),
+            ("dim_products", "products", "product_id, product_category_name"),
+            ("dim_category_translation", "translation", "product_category_name, product_category_name_english"),
+            ("fact_orders", "purchases", "order_id, customer_id, order_status"),
+            ("fact_order_items", "items", "order_id, order_item_id, product_id, seller_id"),
+            ("fact_order_payments", "payments", "order_id, payment_sequential, payment_type, payment_installments"),
+        )
+    ),
+    "customers sellers products translation purchases items payments",
+)
+def _(t):
+    columns = {
+        "dim_customers": ["customer_id", "customer_unique_id", "customer_zip_code_prefix", "customer_city", "customer_state"],
+        "dim_sellers": ["seller_id", "seller_zip_code_prefix", "seller_state", "region"],
+        "dim_products": ["product_id", "product_category_name"],
+        "dim_category_translation": ["product_category_name", "product_category_name_english"],
+        "fact_orders": ["order_id", "customer_id", "order_status"],
+        "fact_order_items": ["order_id", "order_item_id", "product_id", "seller_id"],
+        "fact_order_payments": ["order_id", "payment_sequential", "payment_type", "payment_installments"],
+    }
+    built, out = star.build_star(_raw(t)), None
+    for table, cols in columns.items():
+        # Folded per digest first, so that the distinct count costs no second shuffle of rows.
+        per = built[table].groupBy(F.md5(F.concat_ws("|", *cols)).alias("d")).agg(F.count("*").alias("n"))
+        one = per.agg(
+            F.lit(table).alias("table_name"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
+            F.count("*").alias("n_distinct"), F.max("d").alias("last_digest"),
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _pk_sql(table, cols):
