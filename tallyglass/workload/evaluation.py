@@ -8,6 +8,7 @@ from tallyglass.operators import bm25 as kw
 from tallyglass.operators import gates, scoring
 from tallyglass.plans import scorecard as card
 from tallyglass.session import shared_dir
+from tallyglass.sources import cases as labelled
 from tallyglass.sources import results
 from tallyglass.workload.corpora import _index, _ranked_scores
 from tallyglass.workload.governance import _SCORED, _audited
@@ -366,3 +367,36 @@ def _(t):
     back = results.load_results(t.spark, "routing", root, "case_id bigint, expected_route string, actual_route string, route_passed boolean")
     passed = back.summary.select("summary.n_passed").scalar()
     return back.cases.withColumn("passed_in_summary", passed)
+
+
+@query(
+    "s9_eval_cases",
+    """SELECT case_id::VARCHAR AS id, category, expected_route, coalesce(expected_measure, '') AS expected_measure, expected_refs AS expected_glossary,
+       coalesce(expected_status, '') AS expected_status, expects_hedge FROM cases""",
+    "cases",
+)
+def _(t):
+    path = f"{shared_dir(t.spark)}/cases"
+    # A hedge that is not expected is left out of the file, as in hand-written cases.
+    t.cases().select(
+        F.col("case_id").cast("string").alias("id"), "category", "expected_route", "expected_measure", "expected_glossary",
+        "expected_status", F.when(F.col("expects_hedge"), True).alias("expects_hedge"),
+    ).write.json(path)
+    text = {c: F.coalesce(c, F.lit("")) for c in ("expected_measure", "expected_status")}
+    back = labelled.load_eval_cases(t.spark, path).withColumns(text | {"expected_glossary": F.array_join("expected_glossary", ",")})
+    return back.select("id", "category", "expected_route", "expected_measure", "expected_glossary", "expected_status", "expects_hedge")
+
+
+@query(
+    "s9_adversarial_set",
+    "SELECT stmt_id::VARCHAR AS id, md5(sql) AS digest, target_layer AS fails, fragments AS reason_fragments FROM statements",
+    "statements",
+)
+def _(t):
+    path = f"{shared_dir(t.spark)}/probes"
+    t.role("statements").select(
+        F.col("stmt_id").cast("string").alias("id"), "sql", F.col("target_layer").alias("fails"),
+        F.split("fragments", r"\|").alias("reason_fragments"),
+    ).write.json(path)
+    back = labelled.load_adversarial_set(t.spark, path)
+    return back.select("id", F.md5("sql").alias("digest"), "fails", F.array_join("reason_fragments", "|").alias("reason_fragments"))
