@@ -53,6 +53,10 @@ ORDER_TIMES = (
 )
 # -------------------------------------------------------- end fixed values
 
+# Rows of the largest fact in a bucket: some hundred MB of Parquet at a few dozen bytes a row.
+ROWS_PER_BUCKET = 4_000_000
+MAX_BUCKETS = 1 << 16
+
 
 def build_star(raw: dict[str, DataFrame], typed_times: bool = False) -> dict[str, DataFrame]:
     """Dimensions and facts from the landed tables; reviews keep the latest answer per review.
@@ -94,14 +98,31 @@ def _stack(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def save_star(model: dict[str, DataFrame], database: str, buckets: int = 64) -> None:
+def bucket_count(model: dict[str, DataFrame], rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Buckets for the facts by the rows of the largest one, a power of two: 1 to ``MAX_BUCKETS``.
+
+    Reviews are not counted, that would deduplicate them once more.
+    """
+    facts = [df for name, df in model.items() if _by_order(name, df) and name != "fact_order_reviews"]
+    largest = max((df.count() for df in facts), default=0)
+    return min(1 << max(-(-largest // rows_per_bucket) - 1, 0).bit_length(), MAX_BUCKETS)
+
+
+def save_star(model: dict[str, DataFrame], database: str, buckets: int | None = None) -> None:
     """Write the model as tables; everything keyed by order is bucketed and sorted on ``order_id``.
 
     Joins and aggregations between orders, items, payments and reviews then need no shuffle of the
-    facts. ``buckets`` should give files of some hundred MB.
+    facts. ``buckets`` follows from the rows unless it is given. A join of buckets has no shuffle that adaptive
+    execution could split, so one order that holds much of a fact stays in one task: fold that fact per order first
+    (as the measures do), or read with ``spark.sql.sources.bucketing.enabled=false``, which brings the shuffle back.
     """
+    buckets = buckets or bucket_count(model)
     for name, df in model.items():
         writer = df.write.mode("overwrite").format("parquet")
-        if name.startswith("fact_") and "order_id" in df.columns:
+        if _by_order(name, df):
             writer = writer.bucketBy(buckets, "order_id").sortBy("order_id")
         writer.saveAsTable(f"{database}.{name}")
+
+
+def _by_order(name: str, df: DataFrame) -> bool:
+    return name.startswith("fact_") and "order_id" in df.columns

@@ -177,6 +177,11 @@ def test_bucketed_star_joins_without_moving_facts(spark, model):
         spark.sql("DROP DATABASE star_test CASCADE")
 
 
+def test_buckets_follow_the_largest_fact(model):
+    assert [star.bucket_count(model, n) for n in (1, 2, 3, 7, 100)] == [8, 4, 4, 1, 1]
+    assert star.bucket_count({k: df.limit(0) for k, df in model.items()}) == 1
+
+
 def test_star_from_raw(spark):
     raw = {n: spark.createDataFrame([], ddl) for n, ddl in star.RAW_SCHEMAS.items()}
     raw["order_reviews"] = spark.createDataFrame(
