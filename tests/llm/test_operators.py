@@ -108,6 +108,32 @@ def test_similar_texts_at_any_boundary(spark, rows, monkeypatch):
         assert {x.doc_id: x.component_id for x in jaccard.similar_texts(docs).collect()} == part
 
 
+@pytest.mark.parametrize("boundary", [None, 1, 12])
+def test_similar_texts_count_direct_links(spark, rows, monkeypatch, boundary):
+    if boundary:
+        monkeypatch.setattr(jaccard, "choose_boundary", lambda histogram, percent: boundary)
+    w = [f"chain{i}" for i in range(60)]
+    chain = [(9000, " ".join(w[:50])), (9001, " ".join(w[5:55])), (9002, " ".join(w[10:60])), (9003, " ".join(w[10:60]))]
+    short = [(9010 + i, " ".join(w[20 : 29 + i])) for i in range(6)]
+    own = [x for x in rows if x[0] is not None] + chain + short
+    sets = {d: brute.shingles(t) for d, t in own}
+    near = lambda a, b: bool(a) and 100 * len(a & b) >= 75 * len(a | b)
+    want = {d: sum(near(s, t) for e, t in sets.items() if e != d) for d, s in sets.items()}
+    assert want[9000] == 1 and want[9001] == 3 and want[9002] == 2  # 9000 and 9002 meet over 9001 only
+    got = jaccard.similar_texts(table(spark, own + [(None, chain[0][1])])).collect()
+    assert {x.doc_id: x.n_links for x in got} == want | {None: None}
+
+
+def test_similar_texts_count_rows_that_share_an_id(spark):
+    w = [f"w{i}" for i in range(60)]
+    a, b, c = (" ".join(w[i : i + 50]) for i in (0, 5, 10))
+    docs = [(1, a), (1, b), (1, b), (2, c), (3, a)]
+    sets = [brute.shingles(t) for _, t in docs]
+    want = [sum(100 * len(s & t) >= 75 * len(s | t) for t in sets) - 1 for s in sets]
+    got = jaccard.similar_texts(table(spark, docs)).collect()
+    assert sorted((x.doc_id, x.n_links) for x in got) == sorted((d, n) for (d, _), n in zip(docs, want))
+
+
 def test_components_of_chains_and_hubs(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(10, 60)] + [(7, 7), (None, 3)]
     got = {x.node: x.component for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
