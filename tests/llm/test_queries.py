@@ -8,8 +8,9 @@ import pytest
 
 import brute
 import corpus_pipeline
-from tallyglass.llm import quality
+from tallyglass.llm import mixing, quality
 from tallyglass.llm.queries import QUERIES, TWINS, tokenizer_file
+from tallyglass.llm.store import written
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _spec = importlib.util.spec_from_file_location("compare", os.path.join(_ROOT, "tools", "compare.py"))
@@ -25,6 +26,22 @@ def test_twin(spark, sf_dir, name, monkeypatch):
     assert ok, message
 
 
+def test_pipeline_keeps_the_order_of_the_mix(spark):
+    docs = spark.range(900).selectExpr(
+        "id AS doc_id", "repeat(concat('word', id, ' '), CAST(1 + id % 97 * (id DIV 300) AS INT)) AS text", "'en' AS lang",
+        "concat('s', id % 7 * (id % 3)) AS source", "0L AS n_chars",
+    )
+    want = [x.doc_id for x in mixing.mix_sources(docs).orderBy("slot", "place").collect()]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        mixed = written(corpus_pipeline.source_mixing(spark, docs, ""), "mixed")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(mixed.inputFiles()) > 2
+    got = sorted((x.position, x.doc_id) for x in corpus_pipeline.bpe_tokens(spark, mixed, "").collect())
+    assert got == list(enumerate(want))
+
+
 def test_pipeline(spark, sf_dir):
     from tokenizers import Tokenizer
 
