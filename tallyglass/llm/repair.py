@@ -1,7 +1,7 @@
 """Token-id files compressed by Re-Pair, one grammar per shard, readable from any id on.
 
 A shard holds whole documents in ascending order of their ids. Rounds replace frequent pairs of neighbouring symbols by
-new symbols; the rules and the number of ids that each stands for are stored, and the ids that precede every
+new symbols until no pair is frequent; the rules and the number of ids that each stands for are stored, and the ids that precede every
 ``INDEX_STEP``-th symbol, so a run of ids is decoded without what lies before it.
 
 Layout of a shard, little-endian: magic, counts (documents, symbols, rules, ids, base, symbol bytes), document ids
@@ -23,83 +23,67 @@ from tallyglass.llm.worker import per_worker, tidy
 
 MAGIC = b"REPAIR01"
 SHARD_IDS = 1_000_000
-ROUNDS = 3
-PAIRS_PER_ROUND = 2048
 LEAST_COUNT = 12
 INDEX_STEP = 1024
-_CELL_BITS = 17
 
 
 def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols and the left and right symbol of each rule; ids are below ``base``, rule k is the symbol base + k."""
+    """Symbols and the left and right symbol of each rule; ids are below ``base``, rule k is the symbol base + k.
+
+    Rounds go on until no pair occurs ``LEAST_COUNT`` times without overlapping itself. In a round, a frequent pair
+    is replaced wherever no neighbouring pair is more frequent, if that leaves it frequent; the first one always is.
+    """
     sym = ids.astype(np.uint32)
     lefts: list[np.ndarray] = []
     rights: list[np.ndarray] = []
     top = base
-    for _ in range(ROUNDS):
-        if len(sym) < 2 * LEAST_COUNT:
-            break
-        a, b = sym[:-1], sym[1:]
-        cell = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _CELL_BITS)
-        count = np.bincount(cell, minlength=1 << _CELL_BITS)
-        floor = max(LEAST_COUNT, int(np.partition(count, -PAIRS_PER_ROUND)[-PAIRS_PER_ROUND]))
-        at = np.flatnonzero((count >= floor)[cell])
-        if not len(at):
+    # Pairs of old symbols only get rarer: one that was rare is not counted again.
+    live = np.ones(max(len(sym) - 1, 0), bool)
+    while len(live):
+        twin = sym[:-1] == sym[1:]
+        at = np.flatnonzero(live & (~twin | _alternate(twin)))
+        pair = sym[at].astype(np.uint64) << np.uint64(32) | sym[at + 1]
+        kinds, own, count = np.unique(pair, return_inverse=True, return_counts=True)
+        often = count >= LEAST_COUNT
+        if not often.any():
             break
-        # One pair per cell: the one seen last stands for it, which the frequent one mostly is.
-        own = cell[at]
-        stands = np.zeros(1 << _CELL_BITS, np.int64)
-        stands[own] = at
-        first, second = a[at], b[at]
-        same = (first == a[stands[own]]) & (second == b[stands[own]])
-        at, own = at[same], own[same]
-        count = np.bincount(own, minlength=1 << _CELL_BITS)
-        cells = np.flatnonzero(count >= LEAST_COUNT)
-        cells = cells[np.argsort(-count[cells], kind="stable")]
-        left, right = a[stands[cells]], b[stands[cells]]
-        chosen = _apart(left.tolist(), right.tolist())
-        if not chosen:
-            break
-        name = np.full(1 << _CELL_BITS, -1, np.int64)
-        name[cells[chosen]] = top + np.arange(len(chosen))
+        rank = np.full(len(kinds), len(kinds), np.int64)
+        order = np.argsort(-count, kind="stable")
+        rank[order] = np.arange(len(kinds))
+        keep = often[own]
+        at, own = at[keep], own[keep]
+        live = live & twin
+        live[at] = True
+        place = np.full(len(sym) + 1, len(kinds), np.int64)
+        place[at + 1] = rank[own]
+        first = (place[at + 1] < place[at]) & (place[at + 1] < place[at + 2])
+        at, own = at[first], own[first]
+        used = np.bincount(own, minlength=len(kinds))
+        chosen = order[used[order] >= LEAST_COUNT]
+        name = np.full(len(kinds), -1, np.int64)
+        name[chosen] = top + np.arange(len(chosen))
         at, own = at[name[own] >= 0], own[name[own] >= 0]
-        twin = a[at] == b[at]  # in a run of one symbol every other place
-        if twin.any():
-            run = np.cumsum(np.r_[True, (np.diff(at) > 1) | ~(twin[1:] & twin[:-1])])
-            begin = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
-            keep = ~twin | ((np.arange(len(at)) - begin[run - 1]) % 2 == 0)
-            at, own = at[keep], own[keep]
-        lefts.append(left[chosen])
-        rights.append(right[chosen])
+        lefts.append((kinds[chosen] >> np.uint64(32)).astype(np.uint32))
+        rights.append((kinds[chosen] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
         stay = np.ones(len(sym), bool)
         stay[at + 1] = False
-        sym = sym.copy()
         sym[at] = name[own]
+        live = np.r_[live, False][stay]
         sym = sym[stay]
+        fresh = sym >= top
+        live |= fresh
+        live[:-1] |= fresh[1:]
+        live = live[:-1]
         top += len(chosen)
     none = np.zeros(0, np.uint32)
     return sym, np.concatenate([none, *lefts]), np.concatenate([none, *rights])
 
 
-def _apart(left: list[int], right: list[int]) -> list[int]:
-    """Pairs, most frequent first, none of which can overlap another: no symbol ends one and begins one."""
-    begins: set[int] = set()
-    ends: set[int] = set()
-    twins: set[int] = set()
-    out = []
-    for k, (a, b) in enumerate(zip(left, right)):
-        if a == b:
-            if a in begins or a in ends:
-                continue
-            twins.add(a)
-        elif a in ends or b in begins or a in twins or b in twins:
-            continue
-        begins.add(a)
-        ends.add(b)
-        out.append(k)
-        if len(out) == PAIRS_PER_ROUND:
-            break
-    return out
+def _alternate(twin: np.ndarray) -> np.ndarray:
+    """Every other place of each run of set places, from its first on."""
+    at = np.arange(len(twin))
+    begin = np.maximum.accumulate(np.where(twin & ~np.r_[False, twin[:-1]], at, 0))
+    return twin & ((at - begin) % 2 == 0)
 
 
 def _lengths(left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
@@ -148,20 +132,6 @@ class Shard:
         self.lens = read("<u8", rules).astype(np.int64)
         self.index = read("<u8", -(-symbols // INDEX_STEP)).astype(np.int64)
         self.symbols = read(kind, symbols)
-        self._table: tuple[np.ndarray, np.ndarray] | None = None
-
-    def _expansions(self) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all rules in a row, and where each begins."""
-        if self._table is None:
-            begin = np.r_[0, np.cumsum(self.lens)]
-            flat = np.zeros(begin[-1], np.uint32)
-            base, at = self.base, begin.tolist()
-            for k, (a, b) in enumerate(zip(self.left.tolist(), self.right.tolist())):
-                mid = at[k] + (at[a - base + 1] - at[a - base] if a >= base else 1)
-                flat[at[k] : mid] = flat[at[a - base] : at[a - base + 1]] if a >= base else a
-                flat[mid : at[k + 1]] = flat[at[b - base] : at[b - base + 1]] if b >= base else b
-            self._table = flat, begin
-        return self._table
 
     def ids(self, start: int = 0, count: int | None = None) -> np.ndarray:
         stop = self.n_ids if count is None else start + count
@@ -170,19 +140,26 @@ class Shard:
         first = max(0, int(np.searchsorted(self.index, start, "right")) - 1)
         last = int(np.searchsorted(self.index, stop, "left"))
         sym = self.symbols[first * INDEX_STEP : last * INDEX_STEP].astype(np.int64)
-        flat, begin = self._expansions()
-        # Plain ids stand behind the expansions in one table.
-        rule = sym >= self.base
+        size = self._sizes(sym)
+        at = np.cumsum(size) - size + int(self.index[first])
+        out = np.empty(stop - start, np.uint32)
+        # Rules give way to their two sides, all at once; sides outside the run are left.
+        while len(sym):
+            inside = (at < stop) & (at + size > start)
+            sym, at = sym[inside], at[inside]
+            rule = sym >= self.base
+            out[at[~rule] - start] = sym[~rule]
+            left, right = (side[sym[rule] - self.base].astype(np.int64) for side in (self.left, self.right))
+            before = self._sizes(left)
+            sym, at = np.r_[left, right], np.r_[at[rule], at[rule] + before]
+            size = np.r_[before, self._sizes(right)]
+        return out
+
+    def _sizes(self, sym: np.ndarray) -> np.ndarray:
         size = np.ones(len(sym), np.int64)
+        rule = sym >= self.base
         size[rule] = self.lens[sym[rule] - self.base]
-        at = np.cumsum(size) - size
-        out = np.empty(int(size.sum()), np.uint32)
-        out[at[~rule]] = sym[~rule]
-        own = size[rule]
-        inside = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
-        out[np.repeat(at[rule], own) + inside] = flat[np.repeat(begin[sym[rule] - self.base], own) + inside]
-        skip = start - int(self.index[first])
-        return out[skip : skip + stop - start]
+        return size
 
 
 def _library(spec: str):

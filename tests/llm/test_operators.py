@@ -257,6 +257,32 @@ def test_shard_reads_any_run(n, kinds):
         assert (shard.ids(i, j - i) == ids[i:j]).all()
 
 
+def _frequent(sym):
+    """Pairs that occur often, without overlapping themselves."""
+    count, last = {}, {}
+    for i, p in enumerate(zip(sym[:-1].tolist(), sym[1:].tolist())):
+        if p[0] != p[1] or last.get(p, -2) != i - 1:
+            count[p] = count.get(p, 0) + 1
+            last[p] = i
+    return {p for p, n in count.items() if n >= repair.LEAST_COUNT}
+
+
+@pytest.mark.parametrize("kind", ["copies", "random", "run", "text"])
+def test_shard_leaves_no_frequent_pair(kind):
+    r = np.random.RandomState(3)
+    ids = {
+        "copies": np.tile(r.randint(0, 400, 700), 64), "random": r.randint(0, 30, 30_000), "run": np.repeat([1, 2, 2, 1], 3000),
+        "text": np.minimum(r.zipf(1.3, 40_000), 400),
+    }[kind].astype(np.uint32)
+    shard = repair.Shard(repair.pack_shard([1], [len(ids)], ids, 500))
+    assert not _frequent(shard.symbols)
+    assert (shard.ids() == ids).all()
+    for i, j in ((0, 1), (7, 900), (len(ids) - 5, len(ids)), (5000, 9000)):
+        assert (shard.ids(i, j - i) == ids[i:j]).all()
+    if kind == "copies":
+        assert len(shard.symbols) <= 64
+
+
 def test_quality_counts_and_verdict(spark, rows):
     good = [(d, " ".join(f"{w}{d % 7}" for w in (t or "").split()) + " plain words here") for d, t in rows if d is not None]
     bad = [(5000 + d, "!! ".join((t or "x").upper().split()) + "!! $$$ |||") for d, t in good]
