@@ -131,9 +131,9 @@ def near_vectors(
     ).where("vec_id IS NOT NULL")
     finite = "embedding IS NOT NULL AND size(embedding) > 0 AND NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = double('Infinity')) AND exists(embedding, x -> x <> 0)"
     sound = F.coalesce(F.expr(finite), F.lit(False))
-    classes = own.where(sound).groupBy("embedding").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies"))
-    # An id may name several vectors: a class goes by its least row id and, to stay apart, its own number.
-    classes = written(classes, "vectors")
+    classes = own.where(sound).groupBy("embedding").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"))
+    # An id may name several vectors: a class goes by a number of its own, and ids come back at the end.
+    classes = written(classes.withColumn("class_id", F.monotonically_increasing_id()), "vectors")
     signs = classes.select("class_id", "embedding").mapInArrow(
         tidy(_signs(tables, bits, seed)), "class_id long, dims int, signs array<long>"
     )
@@ -142,17 +142,22 @@ def near_vectors(
     keys = ["table", "sign", "dims"]
     full = written(entry.groupBy(keys).agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     placed = entry.join(full, keys)
-    packed = classes.join(signs.select("class_id", "signs"), "class_id")
+    packed = classes.drop("least_id").join(signs.select("class_id", "signs"), "class_id")
     met = in_block_pairs(placed.join(packed, "class_id"), keys, F.col("class_id"), "size")
     links = written(met.drop("size").mapInArrow(tidy(_linked(threshold)), "u long, v long, links long"), "pairs")
     part = components(links.select("u", "v"))
+    roots = part.select(F.col("component").alias("node"), "component").distinct()
+    member = written(part.unionByName(roots).withColumnRenamed("node", "class_id"), "members")
+    named_class = member.join(classes.select("class_id", "least_id"), "class_id")
+    least = written(named_class.groupBy("component").agg(F.min("least_id").alias("component_id")), "least")
+    part = member.join(least, "component").select("class_id", "component_id")
     total = links.groupBy(F.col("u").alias("class_id")).agg(F.sum("links").alias("others"))
-    joined = classes.join(total, "class_id", "left").join(part.withColumnRenamed("node", "class_id"), "class_id", "left")
+    joined = classes.join(total, "class_id", "left").join(part, "class_id", "left")
     joined = written(
         joined.select(
             "embedding",
             (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-            F.coalesce("component", "class_id").alias("component_id"),
+            F.coalesce("component_id", "least_id").alias("component_id"),
         ),
         "linked",
     )

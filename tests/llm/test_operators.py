@@ -160,6 +160,22 @@ def test_vectors(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in (902, 903, 904, 905, 906))
 
 
+def test_vectors_that_share_an_id(spark):
+    r = np.random.RandomState(1)
+    v, w, far = r.standard_normal((3, 16))
+    rows = [(7, v), (7, w), (7, v + 1e-4 * w), (8, v), (5, w + 1e-4 * v), (9, far)] + [(7, x) for x in r.standard_normal((20, 16))]
+    unit = [x / np.sqrt(x @ x) for _, x in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(len(rows)) if i < j and unit[i] @ unit[j] >= 0.95]
+    assert len(links) == 4  # three rows like v, two like w
+    part = brute.groups(range(len(rows)), links)
+    want = []
+    for i, (d, _) in enumerate(rows):
+        least = min(rows[j][0] for j in part if part[j] == part[i])
+        want.append((d, sum(i in x for x in links), least, d == least))
+    docs = spark.createDataFrame([(d, x.tolist()) for d, x in rows], "vec_id long, embedding array<double>")
+    assert sorted(tuple(x) for x in near_vectors.near_vectors(docs).collect()) == sorted(want)
+
+
 def test_mixing_is_less_than_a_block_off(spark):
     sources = {d: ("big" if d < 700 else "mid" if d < 950 else "low" if d < 990 else None) for d in range(1000)}
     docs = table(spark, [(d, "t") for d in range(1000)], sources)
