@@ -2,23 +2,25 @@
 
 The rule cuts at changes between letters, digits, white space and the rest; a single space goes to the piece behind
 it; ``'s 't 're 've 'm 'll 'd`` are pieces. Equal pieces are encoded once per task: ``PieceEncoder`` keeps a bounded
-table of pieces seen and asks an encoder only for new ones.
+table of pieces seen and asks an encoder only for new ones. Pieces are found by a hash and then compared byte by byte,
+with those of their block as with those of the table, so two pieces of one hash stay two.
 """
 
 from __future__ import annotations
 
 import sys
-import unicodedata
 from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
 
-from tallyglass.llm.words import mix, runs, scales
+from tallyglass.llm.words import equal_runs, run_hashes, runs
 from tallyglass.llm.worker import per_worker
 
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 21
 MEMO_PIECES = 300_000
+MEMO_BYTES = 32 << 20
+_CELLS = 1 << 21
 
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 # The code points with the property White_Space.
@@ -26,12 +28,11 @@ _WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
 _ENDINGS = ("s", "t", "m", "d", "re", "ve", "ll")
 
 
-_BASE = 0x9E3779B97F4A7C15
-
-
 def _classes() -> np.ndarray:
-    kinds = {"L": _LETTER, "N": _NUMBER}
-    out = np.array([kinds.get(unicodedata.category(chr(c))[0], _OTHER) for c in range(sys.maxunicode + 1)], np.uint8)
+    every = np.arange(sys.maxunicode + 1, dtype=np.uint32).view("U1")
+    letter = np.char.isalpha(every)  # a general category L
+    # What has a numeric value and is no letter is of a category N.
+    out = np.where(letter, _LETTER, np.where(np.char.isnumeric(every), _NUMBER, _OTHER)).astype(np.uint8)
     out[_WHITE] = _SPACE
     return out
 
@@ -73,7 +74,14 @@ class PieceEncoder:
         self.encode = encode
         self.special = special or {}
         self.most = most
-        self.memo: dict[int, bytes] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        """An empty table: of each piece its hash, bytes and ids; a cell holds the last piece of the hashes that meet in it."""
+        self.cell = np.full(_CELLS, -1, np.int32)
+        self.key = np.zeros(0, np.uint64)
+        self.text, self.text_at, self.text_len = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known, self.known_at, self.known_len = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def ids(self, texts: Sequence[str]) -> list[np.ndarray]:
         """The ids of each text; strings of special tokens in a text become their ids."""
@@ -112,32 +120,74 @@ class PieceEncoder:
         return parts, marks
 
     def _block(self, texts: list[str]) -> list[np.ndarray]:
-        codes, at = code_points(texts)
+        codes, edges = code_points(texts)
         if not len(codes):
             return [np.zeros(0, np.uint32)] * len(texts)
-        starts = piece_starts(codes, at)
-        forward, back = scales(_BASE, len(codes))
-        key = np.add.reduceat((codes + np.uint32(1)) * forward[: len(codes)], starts) * back[starts]
-        own, names = pd.factorize(mix(key))
-        sample = np.empty(len(names), np.int64)
-        sample[own[::-1]] = np.arange(len(own) - 1, -1, -1)
-        wide = names.tolist()
-        memo = self.memo
-        new = [k for k, w in enumerate(wide) if w not in memo]
-        if new:
-            if len(memo) + len(new) > self.most:
-                kept = [(w, memo[w]) for w in wide if w in memo]
-                memo.clear()
-                memo.update(kept)
-            whole = "".join(texts)
-            ends = np.r_[starts[1:], len(codes)]
-            begin, stop = starts[sample[new]].tolist(), ends[sample[new]].tolist()
-            memo.update(zip([wide[k] for k in new], self.encode([whole[i:j] for i, j in zip(begin, stop)])))
-        known = [memo[w] for w in wide]
-        flat = np.frombuffer(b"".join(known), np.uint32)
-        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        from_at = np.cumsum(size) - size
-        count = size[own]
-        to_at = np.r_[0, np.cumsum(count)]
-        ids = flat[np.arange(to_at[-1]) + np.repeat(from_at[own] - to_at[:-1], count)]
-        return np.split(ids, to_at[np.searchsorted(starts, at[1:-1])])
+        starts = piece_starts(codes, edges)
+        whole = "".join(texts)
+        data = np.frombuffer(whole.encode("utf-8", "surrogatepass"), np.uint8)
+        # The first byte of each code point, where not all are of one byte.
+        begin = starts if len(data) == len(codes) else np.flatnonzero((data & 0xC0) != 0x80)[starts]
+        size = np.diff(begin, append=len(data))
+        key = run_hashes(data, begin, size)
+        own, sample = _alike(data, key, begin, size)
+        slot = self._places(data, key[sample], begin[sample], size[sample])
+        new = np.flatnonzero(slot < 0)
+        if len(self.key) + len(new) > self.most or len(self.text) > MEMO_BYTES:
+            self._clear()
+            slot[:] = -1
+            new = np.arange(len(slot))
+        if len(new):
+            at = sample[new]
+            stop = np.append(starts[1:], len(codes))[at].tolist()
+            encoded = self.encode([whole[i:j] for i, j in zip(starts[at].tolist(), stop)])
+            slot[new] = self._add(data, key[at], begin[at], size[at], encoded)
+        from_at, count = self.known_at[slot][own], self.known_len[slot][own]
+        to_at = np.append(0, np.cumsum(count))
+        ids = self.known[np.arange(to_at[-1]) + np.repeat(from_at - to_at[:-1], count)]
+        cut = to_at[np.searchsorted(starts, edges)].tolist()
+        return [ids[i:j] for i, j in zip(cut[:-1], cut[1:])]
+
+    def _places(self, data: np.ndarray, key: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Numbers of pieces in the table, -1 for those that it does not have."""
+        slot = self.cell[key & np.uint64(_CELLS - 1)].astype(np.int64)
+        at = np.flatnonzero(slot >= 0)
+        at = at[self.key[slot[at]] == key[at]]
+        same = equal_runs(data, begin[at], size[at], self.text, self.text_at[slot[at]], self.text_len[slot[at]])
+        out = np.full(len(key), -1, np.int64)
+        out[at[same]] = slot[at[same]]
+        return out
+
+    def _add(self, data: np.ndarray, key: np.ndarray, begin: np.ndarray, size: np.ndarray, encoded: list[bytes]) -> np.ndarray:
+        """Put pieces in the table; their numbers."""
+        slot = len(self.key) + np.arange(len(key))
+        at = np.cumsum(size) - size
+        text = data[np.arange(size.sum()) + np.repeat(begin - at, size)]
+        count = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
+        self.text_at = np.concatenate([self.text_at, at + len(self.text)])
+        self.text_len = np.concatenate([self.text_len, size])
+        self.known_at = np.concatenate([self.known_at, np.cumsum(count) - count + len(self.known)])
+        self.known_len = np.concatenate([self.known_len, count])
+        self.key = np.concatenate([self.key, key])
+        self.text = np.concatenate([self.text, text])
+        self.known = np.concatenate([self.known, np.frombuffer(b"".join(encoded), np.uint32)])
+        self.cell[key & np.uint64(_CELLS - 1)] = slot
+        return slot
+
+
+def _alike(data: np.ndarray, key: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each piece the number of its content, and for each content a piece that has it."""
+    own, names = pd.factorize(key)
+    sample = _firsts(own, len(names))
+    first = sample[own]
+    if not equal_runs(data, begin, size, data, begin[first], size[first]).all():
+        raw = data.tobytes()
+        own, names = pd.factorize(np.array([raw[i : i + n] for i, n in zip(begin.tolist(), size.tolist())], object))
+        sample = _firsts(own, len(names))
+    return own, sample
+
+
+def _firsts(own: np.ndarray, n: int) -> np.ndarray:
+    out = np.empty(n, np.int64)
+    out[own[::-1]] = np.arange(len(own) - 1, -1, -1)
+    return out

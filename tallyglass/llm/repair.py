@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
@@ -25,65 +26,90 @@ MAGIC = b"REPAIR01"
 SHARD_IDS = 1_000_000
 LEAST_COUNT = 12
 INDEX_STEP = 1024
+_GONE = np.uint32(0xFFFFFFFF)
+_NO_RANK = (1 << 31) - 1
+_CELL_BITS = 18
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, base: int, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols and the left and right symbol of each rule; ids are below ``base``, rule k is the symbol base + k.
 
-    Rounds go on until no pair occurs ``LEAST_COUNT`` times without overlapping itself. In a round, a frequent pair
-    is replaced wherever no neighbouring pair is more frequent, if that leaves it frequent; the first one always is.
+    Rounds go on until no pair occurs ``least`` times without overlapping itself. In a round, a frequent pair is
+    replaced wherever no neighbouring pair is more frequent, if that leaves it frequent; the first one always is.
+    Places are linked, so a round looks only at pairs that may be frequent and at those next to what it replaced.
     """
-    sym = ids.astype(np.uint32)
-    lefts: list[np.ndarray] = []
-    rights: list[np.ndarray] = []
+    n = len(ids)
+    none = np.zeros(0, np.uint32)
+    sym = np.append(ids.astype(np.uint32), _GONE)  # place n stands for none, before the first place and behind the last
+    kind = np.int32 if n < _NO_RANK else np.int64  # half the memory moves
+    after = np.append(np.arange(1, n + 1, dtype=kind), kind(n))
+    before = np.append(np.arange(-1, n - 1, dtype=kind), kind(n - 1))
+    before[0] = n
+    rank_at = np.full(n + 1, _NO_RANK, np.int32)  # of pairs that occur ``least`` times
+    marked = np.zeros(-(-(n + 1) // 8) * 8, bool)
+    eights = marked.reshape(-1, 8)
+    lefts, rights = [none], [none]
     top = base
-    # Pairs of old symbols only get rarer: one that was rare is not counted again.
-    live = np.ones(max(len(sym) - 1, 0), bool)
+    # Pairs of old symbols only get rarer: one that was rare is not counted again, but for those of equal symbols.
+    known = np.bincount(sym[:n], minlength=1)[sym[:n]] >= least
+    live = np.flatnonzero(known[:-1] & known[1:]).astype(kind)
     while len(live):
-        twin = sym[:-1] == sym[1:]
-        at = np.flatnonzero(live & (~twin | _alternate(twin)))
-        pair = sym[at].astype(np.uint64) << np.uint64(32) | sym[at + 1]
-        kinds, own, count = np.unique(pair, return_inverse=True, return_counts=True)
-        often = count >= LEAST_COUNT
+        right = after[live]
+        a, b = sym[live], sym[right]
+        twin = np.flatnonzero(a == b)
+        counted = np.ones(len(live), bool)
+        if len(twin):  # in a run of equal symbols every other pair counts, from its first on
+            nth = np.arange(len(twin))
+            begin = np.maximum.accumulate(np.where(np.r_[True, live[twin[1:]] != right[twin[:-1]]], nth, 0))
+            counted[twin[(nth - begin) % 2 == 1]] = False
+        at = live[counted]
+        pair = (a.astype(np.uint64) << np.uint64(32) | b)[counted]
+        # Cells that many pairs may share: a pair is counted by itself only if its cell is frequent.
+        cell = (pair * _SPREAD) >> np.uint64(64 - _CELL_BITS)
+        maybe = np.bincount(cell.view(np.int64), minlength=1 << _CELL_BITS)[cell.view(np.int64)] >= least
+        at = at[maybe]
+        own, kinds = pd.factorize(pair[maybe])
+        count = np.bincount(own, minlength=len(kinds))
+        often = count >= least
         if not often.any():
             break
-        rank = np.full(len(kinds), len(kinds), np.int64)
         order = np.argsort(-count, kind="stable")
-        rank[order] = np.arange(len(kinds))
+        rank = np.empty(len(kinds), np.int32)
+        rank[order] = np.arange(len(kinds), dtype=np.int32)
         keep = often[own]
         at, own = at[keep], own[keep]
-        live = live & twin
-        live[at] = True
-        place = np.full(len(sym) + 1, len(kinds), np.int64)
-        place[at + 1] = rank[own]
-        first = (place[at + 1] < place[at]) & (place[at + 1] < place[at + 2])
+        marked[live[twin]] = True
+        marked[at] = True
+        mine = rank[own]
+        rank_at[at] = mine
+        first = (mine < rank_at[before[at]]) & (mine < rank_at[after[at]])
+        rank_at[at] = _NO_RANK
         at, own = at[first], own[first]
         used = np.bincount(own, minlength=len(kinds))
-        chosen = order[used[order] >= LEAST_COUNT]
+        chosen = order[used[order] >= least]
         name = np.full(len(kinds), -1, np.int64)
         name[chosen] = top + np.arange(len(chosen))
-        at, own = at[name[own] >= 0], own[name[own] >= 0]
+        taken = name[own] >= 0
+        at, own = at[taken], own[taken]
         lefts.append((kinds[chosen] >> np.uint64(32)).astype(np.uint32))
         rights.append((kinds[chosen] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-        stay = np.ones(len(sym), bool)
-        stay[at + 1] = False
-        sym[at] = name[own]
-        live = np.r_[live, False][stay]
-        sym = sym[stay]
-        fresh = sym >= top
-        live |= fresh
-        live[:-1] |= fresh[1:]
-        live = live[:-1]
         top += len(chosen)
-    none = np.zeros(0, np.uint32)
-    return sym, np.concatenate([none, *lefts]), np.concatenate([none, *rights])
-
-
-def _alternate(twin: np.ndarray) -> np.ndarray:
-    """Every other place of each run of set places, from its first on."""
-    at = np.arange(len(twin))
-    begin = np.maximum.accumulate(np.where(twin & ~np.r_[False, twin[:-1]], at, 0))
-    return twin & ((at - begin) % 2 == 0)
+        gone = after[at]
+        follow = after[gone]
+        sym[at] = name[own]
+        sym[gone] = _GONE
+        after[at] = follow
+        before[follow] = at
+        marked[at] = True
+        marked[before[at]] = True
+        marked[gone] = False
+        marked[[n, before[n]]] = False
+        some = np.flatnonzero(marked.view(np.uint64))  # of eight places
+        row, column = np.nonzero(eights[some])
+        live = (some[row] * 8 + column).astype(kind)
+        marked[live] = False
+    return sym[sym != _GONE], np.concatenate(lefts), np.concatenate(rights)
 
 
 def _lengths(left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
@@ -93,8 +119,8 @@ def _lengths(left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
     return out
 
 
-def pack_shard(docs: list[int | None], counts: list[int], ids: np.ndarray, base: int) -> bytes:
-    sym, left, right = compress(ids, base)
+def pack_shard(docs: list[int | None], counts: list[int], ids: np.ndarray, base: int, least: int = LEAST_COUNT) -> bytes:
+    sym, left, right = compress(ids, base, least)
     lens = _lengths(left, right, base)
     size = np.ones(len(sym), np.int64)
     rule = sym >= base
@@ -176,21 +202,27 @@ def _library(spec: str):
     line_break = plain(["\n"])[0]
 
     def encode(pieces: list[str]) -> list[bytes]:
-        out: list[list[int] | None] = [None] * len(pieces)
-        alone = [k for k, p in enumerate(pieces) if p.isspace() or "\n" in p or len(line_break) != 1]
-        rest = sorted(set(range(len(pieces))) - set(alone))
+        alone = [k for k, p in enumerate(pieces) if "\n" in p or p.isspace()]
+        rest = np.ones(len(pieces), bool)
+        rest[alone] = False
+        if len(line_break) != 1:
+            alone, rest = list(range(len(pieces))), np.zeros(len(pieces), bool)
+        rest = np.flatnonzero(rest).tolist()
+        out: list[bytes] = [b""] * len(pieces)
         chunks = [rest[i : i + 200] for i in range(0, len(rest), 200)]
-        for chunk, ids in zip(chunks, plain(["\n".join(pieces[k] for k in c) for c in chunks])):
+        for chunk, ids in zip(chunks, plain(["\n".join([pieces[k] for k in c]) for c in chunks])):
             numbers = np.array(ids, "<u4")
-            parts = np.split(numbers, np.flatnonzero(numbers == line_break[0]))
-            if len(parts) != len(chunk):
+            cuts = np.flatnonzero(numbers == line_break[0])
+            if len(cuts) != len(chunk) - 1:
                 alone += chunk
                 continue
-            for n, (k, part) in enumerate(zip(chunk, parts)):
-                out[k] = part[1:] if n else part
+            packed = numbers.tobytes()
+            ends = (4 * cuts).tolist()
+            for k, i, j in zip(chunk, [0, *(e + 4 for e in ends)], [*ends, len(packed)]):
+                out[k] = packed[i:j]
         for k, ids in zip(alone, plain([pieces[k] for k in alone])):
-            out[k] = np.array(ids, "<u4")
-        return [x.tobytes() for x in out]
+            out[k] = np.array(ids, "<u4").tobytes()
+        return out
 
     special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
     return PieceEncoder(encode, special, 800_000), tokenizer.get_vocab_size()
@@ -203,18 +235,22 @@ def library_encoder(spec: str) -> tuple[PieceEncoder, int]:
 _SHARDS = "part int, seq int, start long, n_docs long, n_ids long, payload binary"
 
 
-def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int = 2, shard_ids: int = SHARD_IDS) -> DataFrame:
+def write_shards(
+    docs: DataFrame, tokenizer_file: str, end_id: int = 2, shard_ids: int = SHARD_IDS, least_count: int = LEAST_COUNT
+) -> DataFrame:
     """The token ids of all texts as a written table of Re-Pair shards, in ascending order of ``doc_id``.
 
     Texts are encoded by the tokenizers library without special tokens added, and ``end_id`` is appended to each. A
     null text counts as empty: one id, the end. Rows without ``doc_id`` come first. Rows that share an id stand next
-    to each other. Shards are (part, seq), and ``start`` counts the ids of the part before the shard. A shard ends
-    with the document that fills it, so a longer document is a longer shard. Other columns are ignored.
+    to each other, in the order of a hash of their texts, and may lie in several parts. Shards are (part, seq), and
+    ``start`` counts the ids of the part before the shard. A shard ends with the document that fills it, so a longer
+    document is a longer shard. Pairs that occur ``least_count`` times in a shard are replaced. Other columns are ignored.
     """
     with open(tokenizer_file, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = own.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    by = ["doc_id", F.xxhash64("text")]  # ranges cut between rows that share an id
+    ordered = own.repartitionByRange(*by).sortWithinPartitions(*by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, base = library_encoder(spec.value)
@@ -226,7 +262,7 @@ def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int = 2, shard_id
         end = np.array([end_id], np.uint32)
 
         def shard() -> pa.RecordBatch:
-            payload = pack_shard(numbers, [len(x) for x in held], np.concatenate(held), base)
+            payload = pack_shard(numbers, [len(x) for x in held], np.concatenate(held), base, least_count)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([start], pa.int64()),

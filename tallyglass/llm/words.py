@@ -6,19 +6,17 @@ blocks of a few megabytes, so a task needs memory for a block (or for its longes
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-from tallyglass.llm.worker import per_worker
-
 BLOCK_BYTES = 2 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_CODE = np.where(_SPACE, 0, np.arange(1, 257)).astype(np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -26,6 +24,9 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 _BYTE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _WORD = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
+LONG_BYTES = 256  # runs of more bytes are few; each is hashed by itself
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Scatter the bits of unsigned 64-bit numbers (a bijection)."""
@@ -38,21 +39,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(max(n, 1), base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-def scales(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """At least ``n`` powers of an odd number modulo 2**64 and of its inverse.
-
-    A run's sum of value * power, scaled back by the power of its start, is a hash of its content.
-    """
-    size = BLOCK_BYTES + (1 << 18)
-    if n <= size:
-        return per_worker(("powers", base), lambda: (powers(base, size), powers(pow(base, -1, 1 << 64), size)))
-    return powers(base, n), powers(pow(base, -1, 1 << 64), n)
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of ``data`` on as a number, zeros behind the end (a view)."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, size: np.ndarray, family: int = 0) -> np.ndarray:
+    """A 64-bit hash of each run of bytes, from its length and eight bytes at a time, scattered at each step."""
+    wide = eights(data)
+    out = mix((wide[starts] & _MASK[np.minimum(size, 8)]) + size.astype(np.uint64) * np.uint64(_BYTE[family]))
+    at = np.flatnonzero(size > 8)
+    done = 8
+    while len(at) and done < LONG_BYTES:
+        more = wide[starts[at] + done] & _MASK[np.minimum(size[at] - done, 8)]
+        out[at] = mix((out[at] + np.uint64(_BYTE[1 - family])) ^ more)
+        done += 8
+        at = at[size[at] > done]
+    for k in at.tolist():
+        run = data[starts[k] : starts[k] + size[k]].tobytes()
+        out[k] = np.frombuffer(hashlib.blake2b(run, digest_size=8, salt=bytes([family])).digest(), "<u8")[0]
+    return out
+
+
+def equal_runs(data: np.ndarray, starts: np.ndarray, size: np.ndarray, other: np.ndarray, at: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Whether each run of ``data`` has the bytes of the run of ``other`` that begins ``at`` and is ``room`` long."""
+    same = size == room
+    mine, theirs = eights(data), eights(other)
+    left = np.flatnonzero(same)
+    done = 0
+    while len(left):
+        differ = (mine[starts[left] + done] ^ theirs[at[left] + done]) & _MASK[np.minimum(size[left] - done, 8)]
+        same[left[differ != 0]] = False
+        done += 8
+        left = left[(differ == 0) & (size[left] > done)]
+        if done >= LONG_BYTES:
+            break
+    for k in left.tolist():
+        same[k] = bool((data[starts[k] : starts[k] + size[k]] == other[at[k] : at[k] + size[k]]).all())
+    return same
 
 
 @dataclass
@@ -79,10 +104,7 @@ class Block:
         """A 64-bit hash of each word."""
         if not len(self.starts):
             return np.zeros(0, np.uint64)
-        forward, back = scales(_BYTE[family], len(self.data))
-        # Spaces count as 0, so a sum from one word to the next is the sum over the word.
-        chars = _CODE[self.data] * forward[: len(self.data)]
-        return mix(np.add.reduceat(chars, self.starts) * back[self.starts])
+        return run_hashes(self.data, self.starts, self.ends - self.starts, family)
 
     def row_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.stop - self.first), self.n_words)

@@ -242,7 +242,7 @@ def test_pieces_survive_a_full_table():
     encoder = pretokens.PieceEncoder(encode, most=3)
     for _ in range(2):
         assert encoder.ids(["aa bbb c", "dddd e"])[0].tolist() == [2, 4, 2]
-    assert len(encoder.memo) <= 5 and sum(calls) >= 5
+    assert len(encoder.key) <= 5 and sum(calls) >= 5
 
 
 def test_token_files(spark, library):
@@ -346,3 +346,79 @@ def test_word_kernel_matches_bytes_split():
     texts = odd_texts()
     got = [b.data[i:j].tobytes() for b in blocks(pa.array(texts), limit=500) for i, j in zip(b.starts, b.ends)]
     assert got == [w for t in texts for w in t.encode().split()]
+
+
+def thue_morse(n, a, b):
+    """A word of two letters; its sums by powers of an odd number modulo 2**64 equal those of the word with both swapped."""
+    word = a
+    while len(word) < n:
+        word += word.translate(str.maketrans(a + b, b + a))
+    return word
+
+
+@pytest.mark.parametrize("n", [512, 1024, 4096])
+def test_long_words_alike_for_sums_of_powers_stay_apart(spark, library, n):
+    one, two = thue_morse(n, "a", "b"), thue_morse(n, "b", "a")
+    line = " ".join(f"w{i}" for i in range(6)) + " {} " + " ".join(f"v{i}" for i in range(7))
+    texts = [line.format(one), line.format(two), line.format(one)]
+    docs = table(spark, [(1, texts[0]), (2, texts[1]), (3, texts[2])])
+    assert {x.doc_id: x.n_removed for x in substrings.remove_repeats(docs).collect()} == {1: 0, 2: 0, 3: 14}
+    assert {x.doc_id: x.component_id for x in jaccard.similar_texts(docs).collect()} == {1: 1, 2: 2, 3: 1}
+    file = tokenizer_file()
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    got = {x.doc_id: np.frombuffer(bytes(x.ids), "<u4").tolist() for x in bpe.encode(docs, file).collect()}
+    assert [got[k] for k in (1, 2, 3)] == want
+    got = {x.doc_id: np.frombuffer(bytes(x.ids), "<u4").tolist() for x in repair.read_shards(repair.write_shards(docs, file)).collect()}
+    assert [got[k][:-1] for k in (1, 2, 3)] == want
+    seven = " ".join(f"w{i}" for i in range(7))
+    docs = table(spark, [(1, f"{seven} {one} {seven} {two}"), (2, f"{seven} {one} {seven} {one}")])
+    model = quality.fit([], np.zeros(0, np.int64))
+    assert {x.doc_id: x.n_repeat_words for x in quality.judge(docs, model).collect()} == {1: 0, 2: 16}
+
+
+def test_pieces_of_one_hash_stay_apart(monkeypatch):
+    monkeypatch.setattr(pretokens, "run_hashes", lambda data, starts, size, family=0: np.full(len(starts), 7, np.uint64))
+    encoder = pretokens.PieceEncoder(lambda pieces: [np.frombuffer(p.encode("utf-32-le"), "<u4").tobytes() for p in pieces])
+    for texts in (["one two", "two one one"], ["three", "one"], ["é one"]):
+        assert [ids.tolist() for ids in encoder.ids(texts)] == [[ord(c) for c in t] for t in texts]
+
+
+def test_words_hash_without_collisions():
+    from tallyglass.llm.words import blocks
+
+    r = random.Random(4)
+    every = sorted({"".join(r.choice("ab") for _ in range(r.randint(1, 40))) for _ in range(40_000)})
+    for family in (0, 1):
+        found = [h for b in blocks(pa.array([" ".join(every)])) for h in b.hashes(family).tolist()]
+        assert len(set(found)) == len(every)
+
+
+def test_classes_of_code_points():
+    import sys
+    import unicodedata
+
+    kinds = {"L": 1, "N": 2}
+    want = np.array([kinds.get(unicodedata.category(chr(c))[0], 0) for c in range(sys.maxunicode + 1)])
+    want[pretokens._WHITE] = 3
+    assert (pretokens._classes() == want).all()
+
+
+def test_token_files_of_one_repeated_id(spark, library):
+    texts = [f"text {i} é" * 3 for i in range(300)]
+    docs = table(spark, [(7, t) for t in texts] + [(None, t) for t in texts[:200]])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        shards = repair.write_shards(docs, tokenizer_file(), shard_ids=500)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert shards.select("part").distinct().count() > 1
+    got = repair.read_shards(shards).collect()
+    own = {tuple(library.encode(t, add_special_tokens=False).ids + [2]) for t in texts}
+    assert len(got) == 500 and {tuple(np.frombuffer(bytes(x.ids), "<u4").tolist()) for x in got} == own
+    at = 0
+    for x in sorted(got, key=lambda x: x.start):
+        assert x.start == at
+        at += x.n_tokens
+    assert repair.read_shards(repair.write_shards(docs.limit(0), tokenizer_file())).collect() == []
+    one = repair.write_shards(table(spark, [(1, "long " * 9000)]), tokenizer_file(), shard_ids=500, least_count=3)
+    assert one.count() == 1 and repair.read_shards(one).first().n_tokens == len(library.encode("long " * 9000).ids) + 1
