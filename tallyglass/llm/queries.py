@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyglass.llm import bpe, chat, jaccard, lines, mixing, near_vectors, quality, repair, sharding, substrings
+from tallyglass.llm import bpe, chat, fim, identifiers, jaccard, lines, mixing, near_vectors, quality, ranked, repair, sharding, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -96,6 +96,29 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def identifier_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identifiers.find_identifiers(_read(spark, sf_dir, "documents"))
+    text = "array_join(transform({0}, x -> concat(x.kind, ':', x.start, ':', x.stop)), ',')"
+    return found.select(
+        "doc_id", *(f"n_{kind}" for kind in identifiers.KINDS),
+        F.sha2(F.expr(text.format("filter(spans, x -> x.base)")), 256).alias("base_sha256"),
+        F.expr(text.format("spans")).alias("spans"),
+    )
+
+
+def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restore(F.col("form"), F.col("output")), 256).alias("restored_sha256"),
+    )
+
+
+def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank_documents(_read(spark, sf_dir, "benchmark"), _read(spark, sf_dir, "documents"))
+
+
 def whole_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -114,6 +137,9 @@ QUERIES: dict[str, Query] = {
     "op8_ngram_jaccard_links": ngram_jaccard_links,
     "op9_quality_rules": quality_rules,
     "op10_bpe_round_trip": bpe_round_trip,
+    "op11_identifiers": identifier_extraction,
+    "op12_fill_in_middle": fill_in_middle,
+    "op13_ranked_search": ranked_search,
     "pipeline": whole_pipeline,
 }
 
@@ -322,4 +348,48 @@ TWINS: dict[str, str] = {
             CAST(coalesce(others.n, 0) + coalesce(class.copies, 1) - 1 AS BIGINT) AS n_links, least.c AS component_id
         FROM w JOIN least ON least.node = w.id LEFT JOIN sets ON sets.id = w.id LEFT JOIN class USING (s) LEFT JOIN others ON others.a = class.c
     """,
+    "op12_fill_in_middle": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS ls,
+                sha256(concat('7:', CAST(doc_id AS VARCHAR))) AS h FROM documents
+        ), drawn AS (
+            SELECT doc_id, t, ls, len(ls) AS n, CAST(concat('0x', substr(h, 1, 8)) AS BIGINT) % (len(ls) + 1) AS a,
+                CAST(concat('0x', substr(h, 9, 8)) AS BIGINT) % (len(ls) + 1) AS b,
+                CAST(concat('0x', substr(h, 25, 8)) AS BIGINT) % 100 AS side FROM d
+        ), cut AS (
+            SELECT doc_id, t, n, side, array_to_string(ls[1 : least(a, b)], '') AS p,
+                array_to_string(ls[least(a, b) + 1 : greatest(a, b)], '') AS m, array_to_string(ls[greatest(a, b) + 1 :], '') AS s,
+                CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain'
+                    WHEN side < 50 THEN 'spm' ELSE 'psm' END AS form
+            FROM drawn
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+            CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN concat('<P>', p, '<S>', s, '<M>', m)
+                ELSE concat('<S>', s, '<P>', p, '<M>', m) END) AS output_sha256,
+            sha256(t) AS restored_sha256
+        FROM cut
+    """,
+    "op13_ranked_search": r"""
+        WITH d AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+        ), tf AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY doc_id, term),
+        lens AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY doc_id),
+        totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM lens),
+        m AS (SELECT doc_id, 50 + (50 * n * docs) // terms AS m FROM lens, totals),
+        w AS (
+            SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+            FROM tf, totals GROUP BY term, docs
+        ), asked AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+        ), scores AS (
+            SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+            FROM asked JOIN w USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id
+        )
+        SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0
+        ) WHERE rank <= 50
+    """,
 }

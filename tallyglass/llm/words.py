@@ -131,8 +131,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), at
 
 
-def blocks(column: pa.Array, lower: bool = False, limit: int = BLOCK_BYTES) -> Iterator[Block]:
-    """The words of a text column, in blocks of whole texts of about ``limit`` bytes."""
+def blocks(column: pa.Array, lower: bool = False, limit: int = BLOCK_BYTES, letters: np.ndarray = ~_SPACE) -> Iterator[Block]:
+    """The words of a text column, in blocks of whole texts of about ``limit`` bytes.
+
+    ``letters`` tells of each byte whether it belongs to a word.
+    """
     if not len(column):
         return
     data, at = text_bytes(column)
@@ -140,7 +143,7 @@ def blocks(column: pa.Array, lower: bool = False, limit: int = BLOCK_BYTES) -> I
         own = data[at[first] : at[stop]]
         if lower:
             own = _LOWER[own]
-        yield _block(first, stop, own, at[first : stop + 1] - at[first])
+        yield _block(first, stop, own, at[first : stop + 1] - at[first], letters)
 
 
 def runs(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
@@ -153,8 +156,8 @@ def runs(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         done, first = total[stop - 1], stop
 
 
-def _block(first: int, stop: int, data: np.ndarray, byte_at: np.ndarray) -> Block:
-    letter = ~_SPACE[data]
+def _block(first: int, stop: int, data: np.ndarray, byte_at: np.ndarray, letters: np.ndarray) -> Block:
+    letter = letters[data]
     begins, finishes = letter.copy(), letter.copy()
     begins[1:] &= ~letter[:-1]
     finishes[:-1] &= ~letter[1:]
