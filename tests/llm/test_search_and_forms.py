@@ -219,7 +219,7 @@ def test_patterns_discover_identifiers(spark):
 
 def test_graph_scores(spark):
     edges = [("p", f"s{k}", 0) for k in range(9)] + [("p", "u", None), ("q", "u", None), ("q", "v", None)] + [("q", f"s{k}", 0) for k in range(9)]
-    edges += [("r", f"t{k}", 1) for k in range(4)] + [("r", "v", None), ("o", f"s{k}", 0), ("o", "w", None)]
+    edges += [("r", f"t{k}", 1) for k in range(4)] + [("r", "v", None), ("o", "s1", 0), ("o", "w", None)]
     table = spark.createDataFrame(edges, "pattern string, value string, kind int")
     got = {x.value: (x.kind, round(x.score, 3)) for x in identifiers.score_graph(table, trust=0.75, accept=0.7).collect()}
     # p: 9 of 11 at first, q: 9 of 12. Then u counts for p, u and v for q.
