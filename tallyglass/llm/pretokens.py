@@ -20,7 +20,7 @@ from tallyglass.llm.worker import per_worker
 BLOCK_CHARS = 1 << 21
 MEMO_PIECES = 300_000
 MEMO_BYTES = 32 << 20
-_CELLS = 1 << 21
+_CELLS = 1 << 22
 
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 # The code points with the property White_Space.

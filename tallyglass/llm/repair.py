@@ -26,6 +26,7 @@ MAGIC = b"REPAIR01"
 SHARD_IDS = 1_000_000
 LEAST_COUNT = 12
 INDEX_STEP = 1024
+SHORT = 32
 _GONE = np.uint32(0xFFFFFFFF)
 _NO_RANK = (1 << 31) - 1
 _CELL_BITS = 18
@@ -158,6 +159,7 @@ class Shard:
         self.lens = read("<u8", rules).astype(np.int64)
         self.index = read("<u8", -(-symbols // INDEX_STEP)).astype(np.int64)
         self.symbols = read(kind, symbols)
+        self.short = None
 
     def ids(self, start: int = 0, count: int | None = None) -> np.ndarray:
         stop = self.n_ids if count is None else start + count
@@ -169,18 +171,36 @@ class Shard:
         size = self._sizes(sym)
         at = np.cumsum(size) - size + int(self.index[first])
         out = np.empty(stop - start, np.uint32)
-        # Rules give way to their two sides, all at once; sides outside the run are left.
+        flat, flat_at = self._short_rules()
+        # Short symbols inside the run are looked up whole; others give way to their two sides, all at once.
         while len(sym):
             inside = (at < stop) & (at + size > start)
-            sym, at = sym[inside], at[inside]
+            sym, at, size = sym[inside], at[inside], size[inside]
             rule = sym >= self.base
             out[at[~rule] - start] = sym[~rule]
-            left, right = (side[sym[rule] - self.base].astype(np.int64) for side in (self.left, self.right))
+            sym, at, size = sym[rule], at[rule], size[rule]
+            short = (size <= SHORT) & (at >= start) & (at + size <= stop)
+            count = size[short]
+            ramp = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            out[np.repeat(at[short] - start, count) + ramp] = flat[np.repeat(flat_at[sym[short] - self.base], count) + ramp]
+            sym, at = sym[~short], at[~short]
+            left, right = (side[sym - self.base].astype(np.int64) for side in (self.left, self.right))
             before = self._sizes(left)
-            sym, at = np.r_[left, right], np.r_[at[rule], at[rule] + before]
+            sym, at = np.r_[left, right], np.r_[at, at + before]
             size = np.r_[before, self._sizes(right)]
         return out
 
+    def _short_rules(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rules that stand for at most ``SHORT``, in a row, and where each rule's begin."""
+        if self.short is None:
+            made = [b""] * len(self.left)
+            for k, (a, b, n) in enumerate(zip(self.left.tolist(), self.right.tolist(), self.lens.tolist())):
+                if n <= SHORT:
+                    made[k] = b"".join([made[x - self.base] if x >= self.base else x.to_bytes(4, "little") for x in (a, b)])
+            size = np.fromiter(map(len, made), np.int64, len(made)) // 4
+            self.short = np.frombuffer(b"".join(made), "<u4"), np.cumsum(size) - size
+        return self.short
+
     def _sizes(self, sym: np.ndarray) -> np.ndarray:
         size = np.ones(len(sym), np.int64)
         rule = sym >= self.base
