@@ -1,21 +1,27 @@
-"""Keyword scoring: inverted index and Okapi BM25 over a table of queries."""
+"""Keyword scoring: inverted index and Okapi BM25 over a table of queries.
+
+The index holds the postings of a term in blocks of chunks, one row for each (term, block), with the largest frequency
+and the shortest length among them. Rows are range-partitioned and sorted by term, so a search reads only the pages of its
+terms. Inside a task the two figures bound what a block can add to a query; a block that cannot reach a query's ``k``-th
+score so far is passed over without looking at its postings.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyglass.functions.joins import BROADCAST_ROWS, bounded_join, fits
 from tallyglass.functions.text import keyword_tokens, raw_tokens
 from tallyglass.operators.knn import QUERY_BLOCK
-from tallyglass.operators.latest import top_per_key
+from tallyglass.operators.latest import top_per_key, top_per_key_in_shares
 from tallyglass.operators.keys import require_unique
-from tallyglass.operators.topk import BLOCK_CELLS, DIGITS, TopK, ids_of, output_types
+from tallyglass.operators.topk import DIGITS, TopK, output_types
+from tallyglass.session import remove_dir, shared_dir
 
 # Fixed values of the scoring formula.
 K1 = 1.5
@@ -23,39 +29,82 @@ B = 0.75
 EPSILON = 0.25
 
 
+# Chunks of a block, and terms of a block of queries: with 4,096 queries a dense block is 16 MB of doubles.
+BLOCK_CHUNKS = 512
+QUERY_TERMS = 50_000
+# Ranges of terms that a scan is asked for.
+TERM_RANGES = 64
+
+
 @dataclass(frozen=True)
 class Bm25Index:
-    """postings(term, chunk_id, doc_type, tf, doc_len) · terms(term, df, cf) ·
-    stats(n_docs, avg_len, mean_idf) · chunks(chunk_id, doc_type)"""
+    """postings(term, block, places, tfs, max_tf, min_len) · blocks(block, ids, kinds, lens) ·
+    terms(term, df, cf, max_tf) · stats(n_docs, avg_len, mean_idf) · chunks(chunk_id, doc_type)
+
+    ``places`` are positions in the arrays of the block's row.
+    """
 
     postings: DataFrame
+    blocks: DataFrame
     terms: DataFrame
     stats: DataFrame
     chunks: DataFrame
+    path: str
+
+    def remove(self) -> None:
+        """Delete the index; nothing may read it any more."""
+        remove_dir(self.postings.sparkSession, self.path)
+
+
+@dataclass(frozen=True)
+class IndexSource:
+    """Chunks whose index is yet to be written."""
+
+    chunks: DataFrame
+    text: str
 
-    def save(self, path: str) -> "Bm25Index":
+    def save(self, path: str) -> Bm25Index:
         """Write the index and return it on the written tables.
 
-        The corpus is tokenised once, for the postings; the rest derives from what was written. The
-        postings of a chunk stay together, so a task that scores them sums most of a score itself.
+        Texts are tokenised once, into a table with the terms of each chunk and its place in a block; the others
+        derive from it. A term that stands in a third of all chunks is spread over its blocks.
         """
-        spark = self.postings.sparkSession
-        self.postings.write.mode("overwrite").parquet(f"{path}/postings")
-        stored = spark.read.parquet(f"{path}/postings")
-        _terms(stored).write.mode("overwrite").parquet(f"{path}/terms")
-        terms = spark.read.parquet(f"{path}/terms")
-        _stats(terms, self.chunks).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
-        self.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
+        spark = self.chunks.sparkSession
+        toks = self.chunks.select("chunk_id", "doc_type", F.sort_array(keyword_tokens(self.text)).alias("_t"))
+        # Numbers of rows do not run on from one partition to the next, and neither do blocks.
+        counted = toks.select(
+            "chunk_id", "doc_type", F.size("_t").alias("doc_len"), term_counts("_t").alias("_p"), F.monotonically_increasing_id().alias("_n")
+        )
+        counted.write.mode("overwrite").parquet(f"{path}/texts")
+        texts = spark.read.parquet(f"{path}/texts")
+        block, place = F.expr(f"_n div {BLOCK_CHUNKS}").alias("block"), (F.col("_n") % BLOCK_CHUNKS).cast("int").alias("place")
+        # Outer form: see chunking, the inner one would compute the array twice.
+        each = texts.select(block, place, "doc_len", F.inline_outer("_p")).where("term is not null")
+        runs = each.groupBy("term", "block").agg(
+            F.sort_array(F.collect_list(F.struct("place", F.col("tf").cast("int").alias("tf")))).alias("_e"),
+            F.max("tf").cast("int").alias("max_tf"),
+            F.min("doc_len").alias("min_len"),
+        )
+        runs = runs.select("term", "block", F.col("_e.place").alias("places"), F.col("_e.tf").alias("tfs"), "max_tf", "min_len")
+        runs.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/postings")
+        own = F.sort_array(F.collect_list(F.struct(place, "chunk_id", "doc_type", "doc_len")))
+        blocks = texts.groupBy(block).agg(own.alias("_c")).select(
+            "block", F.col("_c.chunk_id").alias("ids"), F.col("_c.doc_type").alias("kinds"), F.col("_c.doc_len").alias("lens")
+        )
+        blocks.write.mode("overwrite").parquet(f"{path}/blocks")
+        texts.select("chunk_id", "doc_type").write.mode("overwrite").parquet(f"{path}/chunks")
+        sums = F.aggregate("tfs", F.lit(0).cast("bigint"), lambda a, x: a + x)
+        terms = spark.read.parquet(f"{path}/postings").groupBy("term").agg(
+            F.sum(F.size("places")).alias("df"), F.sum(sums).alias("cf"), F.max("max_tf").alias("max_tf")
+        )
+        terms.write.mode("overwrite").parquet(f"{path}/terms")
+        _stats(spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/chunks")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+        remove_dir(spark, f"{path}/texts")
         return load_index(spark, path)
 
 
 def load_index(spark: SparkSession, path: str) -> Bm25Index:
-    return Bm25Index(*[spark.read.parquet(f"{path}/{p}") for p in ("postings", "terms", "stats", "chunks")])
-
-
-def _terms(postings: DataFrame) -> DataFrame:
-    """Document and corpus frequency; a term of a third of all chunks is one partial sum per map task."""
-    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return Bm25Index(*[spark.read.parquet(f"{path}/{p}") for p in ("postings", "blocks", "terms", "stats", "chunks")], path)
 
 
 def _idf(n, df):
@@ -97,20 +146,16 @@ def term_counts(tokens: str) -> Column:
     return F.when(n > 0, F.get(runs, F.lit(0)))
 
 
-def build_index(chunks: DataFrame, text: str = "content") -> Bm25Index:
-    """Index ``chunk_id, doc_type, <text>``. Frequencies and lengths cover the whole corpus.
+def build_index(chunks: DataFrame, text: str = "content") -> IndexSource:
+    """What the index of ``chunk_id, doc_type, <text>`` is made of; frequencies and lengths cover the whole corpus.
 
-    Terms are counted on the row of their text, so the postings need no shuffle and a term that
-    stands in a third of all chunks is never gathered. The result is lazy; :meth:`Bm25Index.save` it to
-    score more than once.
+    :meth:`IndexSource.save` it to search more than once; a search writes an unsaved one to the shared folder.
     """
-    toks = chunks.select("chunk_id", "doc_type", F.sort_array(keyword_tokens(text)).alias("_t"))
-    counted = toks.select("chunk_id", "doc_type", F.size("_t").alias("doc_len"), term_counts("_t").alias("_p"))
-    # Outer form: see chunking, the inner one would compute the array twice.
-    postings = counted.select("chunk_id", "doc_type", "doc_len", F.inline_outer("_p")).where("term is not null")
-    terms = _terms(postings)
-    kinds = chunks.select("chunk_id", "doc_type")
-    return Bm25Index(postings, terms, _stats(terms, kinds), kinds)
+    return IndexSource(chunks, text)
+
+
+def _stored(index: Bm25Index | IndexSource) -> Bm25Index:
+    return index if isinstance(index, Bm25Index) else index.save(shared_dir(index.chunks.sparkSession))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -144,124 +189,127 @@ def _weighted_terms(queries: DataFrame, index: Bm25Index, epsilon: float) -> Dat
     )
 
 
-def _saturation(index: Bm25Index, k1: float, b: float) -> Column:
-    """Share of a posting before the weight of its term."""
-    avg = index.stats.select("avg_len").scalar()
-    tf = F.col("tf")
-    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("doc_len") / avg))
-
-
-def contributions(
-    queries: DataFrame, index: Bm25Index, k1: float = K1, b: float = B, epsilon: float = EPSILON,
-    max_terms: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """query_id, chunk_id, part: the share of one query term in the score of one chunk.
-
-    A term join, so only postings of query terms are touched. The document-type filter applies to
-    the scored rows; frequencies stay those of the whole corpus. A term in more than half of the chunks
-    has a negative idf, which is replaced by ``epsilon`` times the mean idf, never below 0.
-    """
-    weighted = _weighted_terms(queries, index, epsilon)
-    hit = bounded_join(index.postings, weighted, ["term"], ["chunk_id"], max_terms)
-    part = F.col("weight") * _saturation(index, k1, b)
-    return hit.where(F.col("scope").isNull() | (F.col("scope") == F.col("doc_type"))).select(
-        "query_id", "chunk_id", part.alias("part")
-    )
-
-
-def bm25_scores(queries: DataFrame, index: Bm25Index, **kw) -> DataFrame:
-    """query_id, chunk_id, score of every chunk that shares a term with the query."""
-    return (
-        contributions(queries, index, **kw)
-        .groupBy("query_id", "chunk_id")
-        .agg(F.round(F.sum("part"), DIGITS).alias("score"))
-    )
+def _in_ranges(terms: list[str], most: int = TERM_RANGES) -> Column:
+    """A condition on sorted ``terms`` that the scan can check against its statistics; it may let others through."""
+    cut = np.array_split(np.arange(len(terms)), min(most, len(terms)))
+    return reduce(Column.__or__, [F.col("term").between(terms[i[0]], terms[i[-1]]) for i in cut])
 
 
-def _scored_top(
-    queries: DataFrame, index: Bm25Index, k: int, k1: float = K1, b: float = B, epsilon: float = EPSILON,
-    max_terms: int = BROADCAST_ROWS, max_queries: int = QUERY_BLOCK,
-) -> DataFrame:
-    """Best ``k`` chunks with a score above zero per query: query_id, chunk_id, score, rank.
+def wanted_postings(index: Bm25Index, terms: list[str]) -> DataFrame:
+    """Rows of the sorted ``terms`` with their number in the list."""
+    numbers = index.postings.sparkSession.createDataFrame(list(enumerate(terms)), "term_no int, term string")
+    return index.postings.where(_in_ranges(terms)).join(F.broadcast(numbers), "term")
 
-    The postings of the query terms are placed and sorted by chunk. A task then holds all of a
-    chunk's shares, adds them up in a dense chunks x queries block per Arrow batch, and emits ``k`` rows per
-    query: scores of single (query, chunk) pairs never become rows. Query tables beyond the bounds
-    take the salted term join and a partial aggregation. A repeated query id is refused at any size.
-    """
-    require_unique(queries, ["query_id"], "queries")
-    order = [F.col("score").desc(), F.col("chunk_id").asc()]
-    weighted = _weighted_terms(queries, index, epsilon)
-    if not (fits(queries.select("query_id"), max_queries) and fits(weighted, max_terms)):
-        scores = bm25_scores(queries, index, k1=k1, b=b, epsilon=epsilon, max_terms=max_terms)
-        return top_per_key(scores.where("score > 0"), ["query_id"], order, k)
 
-    table = weighted.toArrow()
-    terms, number = np.unique(np.asarray(table.column("term").to_pylist(), dtype=object).astype(str), return_inverse=True)
-    by_query = dict(zip(table.column("query_id").to_pylist(), table.column("scope").to_pylist()))
+def _search(asked: pa.Table, index: Bm25Index, k: int, k1: float, b: float, schema: pa.Schema, ddl: str) -> DataFrame:
+    """query_id, chunk_id, value: the best ``k`` chunks of each task for one block of queries."""
+    spark = index.postings.sparkSession
+    terms, number = np.unique(np.asarray(asked.column("term").to_pylist(), dtype=object).astype(str), return_inverse=True)
+    by_query = dict(zip(asked.column("query_id").to_pylist(), asked.column("scope").to_pylist()))
     at = {q: i for i, q in enumerate(by_query)}
     by_term = np.argsort(number, kind="stable")
     first = np.searchsorted(number[by_term], np.arange(len(terms) + 1))
-    asked = np.asarray([at[q] for q in table.column("query_id").to_pylist()], dtype=np.int64)[by_term]
-    weight = table.column("weight").to_numpy()[by_term]
+    query = np.asarray([at[q] for q in asked.column("query_id").to_pylist()], dtype=np.int64)[by_term]
+    weight = asked.column("weight").to_numpy()[by_term]
+    avg = index.stats.first()["avg_len"]
+    shared = spark.sparkContext.broadcast((list(by_query), list(by_query.values()), first, query, weight))
 
-    spark = queries.sparkSession
-    numbers = spark.createDataFrame([(str(t), i) for i, t in enumerate(terms)], "term string, term_no int")
-    wanted = (
-        index.postings.join(F.broadcast(numbers), "term")
-        .select("chunk_id", F.coalesce("doc_type", F.lit("")).alias("doc_type"), "term_no", _saturation(index, k1, b).alias("share"))
-        .repartition("chunk_id")
-        .sortWithinPartitions("chunk_id", "term_no")
-    )
-    schema, ddl = output_types(queries, index.chunks)
-    shared = spark.sparkContext.broadcast((list(by_query), list(by_query.values()), first, asked, weight))
+    hits = wanted_postings(index, [str(t) for t in terms]).select("block", "term_no", "places", "tfs", "max_tf", "min_len")
+    # The row of a block comes before those of its terms.
+    heads = index.blocks.select("block", F.lit(-1).alias("term_no"), "ids", "kinds", "lens")
+    rows = hits.unionByName(heads, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "term_no")
+    names = ["block", "term_no", "places", "tfs", "max_tf", "min_len", "ids", "kinds", "lens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, scopes, first, asked, weight = shared.value
-        if not ids:
-            return
+        ids, scopes, first, query, weight = shared.value
         best = TopK(ids, scopes, k)
+        best.limit = 2 * k * len(ids) + 20_000  # the bar of each query rises with every cut
+
+        def expand(term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """For entries of terms: the entry and the place in ``query`` of each query that asks for it."""
+            n = first[term + 1] - first[term]
+            return np.repeat(np.arange(len(term)), n), np.repeat(first[term] - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+        def share(tf, length):
+            return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avg))
 
-        def add(rows: pa.Table) -> None:
-            runs = pc.run_end_encode(rows.column("chunk_id").combine_chunks())
-            ends = np.asarray(runs.run_ends)
-            lengths = np.diff(ends, prepend=0)
-            chunk = np.repeat(np.arange(len(lengths)), lengths)
+        def block(head: dict, rows: pa.Table) -> None:
             term = rows.column("term_no").to_numpy()
-            share = rows.column("share").to_numpy()
-            kinds = np.asarray(rows.column("doc_type").to_pylist(), dtype=object)[ends - 1]
-            chunk_ids = ids_of(runs.values)
-            step = max(1, BLOCK_CELLS // len(ids))
-            for lo in range(0, len(lengths), step):
-                hi = min(lo + step, len(lengths))
-                part = slice(ends[lo] - lengths[lo], ends[hi - 1])
-                n = first[term[part] + 1] - first[term[part]]
-                entry = np.repeat(first[term[part]] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                cell = np.repeat(chunk[part] - lo, n) * len(ids) + asked[entry]
-                total = np.bincount(cell, np.repeat(share[part], n) * weight[entry], (hi - lo) * len(ids))
-                total = total.reshape(hi - lo, len(ids))
-                best.add(chunk_ids[lo:hi], kinds[lo:hi], -total, keep=np.round(total, DIGITS) > 0)
-
-        rest = None  # rows of the last chunk, which may go on in the next batch
-        for b in batches:
-            rows = pa.Table.from_batches([b])
-            if rest is not None:
-                rows = pa.concat_tables([rest, rows])
-            if not rows.num_rows:
-                continue
-            ids_col = rows.column("chunk_id")
-            same = pc.index(ids_col, ids_col[rows.num_rows - 1]).as_py()
-            if same:
-                add(rows.slice(0, same))
-            rest = rows.slice(same)
-        if rest is not None and rest.num_rows:
-            add(rest)
+            entry, asks = expand(term)
+            bound = share(rows.column("max_tf").to_numpy().astype(float), rows.column("min_len").to_numpy())[entry] * weight[asks]
+            most = np.bincount(query[asks], bound, len(ids))
+            # A query stays if the block may hold a score as good as its k-th one; sums differ by rounding only.
+            stays = np.flatnonzero((most > 0) & (most + 1e-6 >= -best.worst))
+            if not len(stays):
+                return
+            column = np.full(len(ids), -1, np.int64)
+            column[stays] = np.arange(len(stays))
+            place, tf, size = (rows.column(c).combine_chunks() for c in ("places", "tfs", "places"))
+            size = np.diff(size.offsets.to_numpy())
+            place, tf = place.flatten().to_numpy(), tf.flatten().to_numpy()
+            part = share(tf, np.asarray(head["lens"])[place])
+            entry, asks = expand(np.repeat(term, size))
+            kept = column[query[asks]] >= 0
+            entry, asks = entry[kept], asks[kept]
+            cell = place[entry].astype(np.int64) * len(stays) + column[query[asks]]
+            total = np.bincount(cell, part[entry] * weight[asks], len(head["ids"]) * len(stays)).reshape(len(head["ids"]), -1)
+            own, kinds = (np.asarray(head[c], dtype=object) for c in ("ids", "kinds"))
+            own = own.astype(str) if isinstance(head["ids"][0], str) else np.asarray(head["ids"])
+            best.add(own, kinds, -total, keep=np.round(total, DIGITS) > 0, queries=stays)
+
+        held = None  # rows of the last block, which may go on in the next batch
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            number = rows.column("block").to_numpy()
+            cuts = np.r_[np.flatnonzero(np.r_[True, number[1:] != number[:-1]]), len(number)]
+            for i, j in zip(cuts[:-2], cuts[1:-1]):
+                if j - i > 1:
+                    block(_head(rows.slice(i, 1)), rows.slice(i + 1, j - i - 1))
+            held = rows.slice(cuts[-2]) if len(number) else held
+        if held is not None and held.num_rows > 1:
+            block(_head(held.slice(0, 1)), held.slice(1))
         out = best.batch(schema)
         if out is not None:
             yield out
 
-    hits = wanted.mapInArrow(run, ddl).select("query_id", "chunk_id", (-F.col("value")).alias("score"))
-    return top_per_key(hits, ["query_id"], order, k)
+    return rows.select(*names).mapInArrow(run, ddl)
+
+
+def _head(row: pa.Table) -> dict:
+    return {c: row.column(c)[0].as_py() for c in ("ids", "kinds", "lens")}
+
+
+def _scored_top(
+    queries: DataFrame, index: Bm25Index | IndexSource, k: int, k1: float = K1, b: float = B, epsilon: float = EPSILON,
+    max_terms: int = QUERY_TERMS, max_queries: int = QUERY_BLOCK,
+) -> DataFrame:
+    """Best ``k`` chunks with a score above zero per query: query_id, chunk_id, score, rank.
+
+    Queries are taken in blocks of about ``max_queries`` queries and ``max_terms`` terms, dealt by a hash of their id, so
+    what is broadcast does not grow with their number. A block reads the rows of its terms, brings them together by
+    block of chunks, and adds up a chunk's shares in the order of the terms, whatever the block; scores of single (query,
+    chunk) pairs never become rows. A repeated query id is refused.
+    """
+    index = _stored(index)
+    spark = queries.sparkSession
+    require_unique(queries, ["query_id"], "queries")
+    order = [F.col("score").desc(), F.col("chunk_id").asc()]
+    schema, ddl = output_types(queries, index.chunks)
+    path = shared_dir(spark)
+    weighted = _weighted_terms(queries, index, epsilon)
+    weighted.write.parquet(path)
+    weighted = spark.read.schema(weighted.schema).parquet(path)
+    size = weighted.agg(F.count("*").alias("terms"), F.count_distinct("query_id").alias("queries")).first()
+    n = max(-(-size["terms"] // max(1, max_terms)), -(-size["queries"] // max(1, max_queries)))
+    hits = spark.createDataFrame([], ddl)
+    for number in range(n):
+        own = weighted if n == 1 else weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == number)
+        asked = own.toArrow()
+        if asked.num_rows:
+            hits = hits.unionByName(_search(asked, index, k, k1, b, schema, ddl))
+    hits = hits.select("query_id", "chunk_id", (-F.col("value")).alias("score"))
+    return top_per_key_in_shares(hits, ["query_id"], order, k, "chunk_id")
 
 
 def _fill_pool(index: Bm25Index, k: int) -> DataFrame:
@@ -276,13 +324,14 @@ def _fill_pool(index: Bm25Index, k: int) -> DataFrame:
     return own.select(F.concat(F.lit("="), "scope").alias("scope"), "chunk_id").unionByName(every)
 
 
-def bm25(queries: DataFrame, index: Bm25Index, k: int = 50, fill: bool = True, **kw) -> DataFrame:
+def bm25(queries: DataFrame, index: Bm25Index | IndexSource, k: int = 50, fill: bool = True, **kw) -> DataFrame:
     """Best ``k`` chunks per query: ``query_id, chunk_id, score, rank``.
 
     ``queries``: query_id, text and optionally doc_type (null = all). Chunks without a shared term
     score 0 and fill the list in chunk-id order, as a full scan of the corpus would: the best ``k``
     scored chunks are joined by a bounded pool of zeros and ranked again.
     """
+    index = _stored(index)
     order = [F.col("score").desc(), F.col("chunk_id").asc()]
     best = _scored_top(queries, index, k, **kw)
     if not fill:

@@ -17,7 +17,9 @@ class TopK:
 
     def __init__(self, query_ids: list, scopes: list, k: int):
         self.query_ids, self.k = query_ids, k
-        self.scoped = [(j, s) for j, s in enumerate(scopes) if s is not None]
+        names = {s: n for n, s in enumerate(dict.fromkeys(s for s in scopes if s is not None))}
+        self.scope_names = names
+        self.scopes = np.array([names.get(s, -1) for s in scopes], np.int64)  # -1 = all
         self.worst = np.full(len(query_ids), np.inf)
         self.q = self.d = self.ids = None
         self.limit = max(200_000, 4 * k * len(query_ids))
@@ -30,11 +32,10 @@ class TopK:
         ok = values <= self.worst[which]
         if keep is not None:
             ok &= keep
-        place = {int(q): j for j, q in enumerate(which)} if self.scoped and queries is not None else None
-        for q, scope in self.scoped:
-            j = q if place is None else place.get(q)
-            if j is not None:
-                ok[:, j] &= kinds == scope
+        if self.scope_names:
+            kind = np.array([self.scope_names.get(x, -2) for x in kinds], np.int64)
+            wanted = self.scopes[which]
+            ok &= (wanted == -1) | (kind[:, None] == wanted)
         if len(ids) > self.k:
             ranked = np.where(ok, values, np.nan)  # nan sorts last
             cut = np.partition(ranked, self.k - 1, axis=0)[self.k - 1]

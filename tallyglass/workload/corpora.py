@@ -462,9 +462,24 @@ def _(t):
     s = F.col("_s")
     stat = index.stats.select(F.struct("n_docs", "mean_idf")).scalar()
     idf = F.ln(s["n_docs"] - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
-    per_term = index.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
     weight = F.when(idf < 0, F.greatest(F.lit(kw.EPSILON) * s["mean_idf"], F.lit(0.0))).otherwise(idf)
-    return per_term.withColumn("_s", stat).select("term", "df", "cf", "max_tf", F.round(weight, 6).alias("idf"))
+    return index.terms.withColumn("_s", stat).select(
+        "term", "df", "cf", F.col("max_tf").cast("bigint").alias("max_tf"), F.round(weight, 6).alias("idf")
+    )
+
+
+@query(
+    "v11_postings",
+    f"WITH {_INDEX} SELECT term, chunk_id, tf, dl::INT AS doc_len FROM post",
+    "passages",
+)
+def _(t):
+    index = _index(t)
+    chunk = index.blocks.select("block", F.posexplode(F.arrays_zip("ids", "lens")).alias("place", "c"))
+    entry = index.postings.select("term", "block", F.inline(F.arrays_zip(F.col("places").alias("place"), F.col("tfs").alias("tf"))))
+    return entry.join(chunk, ["block", "place"]).select(
+        "term", F.col("c.ids").alias("chunk_id"), F.col("tf").cast("bigint").alias("tf"), F.col("c.lens").alias("doc_len")
+    )
 
 
 @query(
@@ -478,11 +493,12 @@ def _(t):
 
 @query(
     "v12_bm25_scores",
-    f"WITH {_SCORES} SELECT query_id, chunk_id, round(score + 1e-10, 6) AS score FROM sc",
+    f"""WITH {_SCORES} SELECT query_id, chunk_id, rank::INT AS rank, round(score + 1e-10, 6) AS score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc WHERE score > 0) WHERE rank <= 50""",
     "passages asked",
 )
 def _(t):
-    return kw.bm25_scores(t.role("asked"), _index(t)).withColumn("score", _six("score"))
+    return kw.bm25(t.role("asked"), _index(t), 50, fill=False).withColumn("score", _six("score"))
 
 
 _WANT = "CASE query_id % 4 WHEN 1 THEN 'en' WHEN 2 THEN 'de' WHEN 3 THEN 'es' END"

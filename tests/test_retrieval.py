@@ -71,12 +71,64 @@ def test_lazy_index_equals_the_stored_one(spark, chunks, index):
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
 
 
-def test_salted_term_join_equals_the_broadcast_one(spark, index):
+@pytest.mark.parametrize("bound", [{"max_terms": 0}, {"max_terms": 5}, {"max_queries": 2}])
+def test_blocks_of_queries_give_the_same(spark, index, bound):
     a = kw.bm25(queries(spark), index, 10).collect()
-    b = kw.bm25(queries(spark), index, 10, max_terms=0).collect()
+    b = kw.bm25(queries(spark), index, 10, **bound).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
 
 
+def test_more_queries_than_a_block_equal_the_full_scan(spark, index):
+    asked = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 4))) for _ in range(60)]
+    many = spark.createDataFrame([(i, asked[i % 60]) for i in range(4300)], "query_id bigint, text string")
+    got = {}
+    for r in kw.bm25(many, index, 3, fill=False).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["chunk_id"]))
+    for i, text in enumerate(asked):
+        scores = okapi(text)
+        best = sorted((j for j in range(len(TEXTS)) if scores[j] > 0), key=lambda j: (-scores[j], j))[:3]
+        for q in range(i, 4300, 60):
+            assert [c for _, c in sorted(got.get(q, []))] == best, text
+
+
+def test_blocks_below_the_bar_are_passed_over(spark, tmp_path, monkeypatch):
+    """Chunks of falling score in many small blocks, and near ties that differ in the ninth digit."""
+    monkeypatch.setattr(kw, "BLOCK_CHUNKS", 4)
+    texts = ["apple " * (1 + (200 - i) // 10) + "pear " * (i % 7) + "x" * (i % 3) for i in range(200)] + [f"filler{i}" for i in range(400)]
+    chunks = spark.createDataFrame([(i, "a", t) for i, t in enumerate(texts)], "chunk_id bigint, doc_type string, content string").coalesce(1)
+    index = kw.build_index(chunks).save(str(tmp_path))
+    assert index.blocks.count() == 150
+    monkeypatch.setattr(f"{__name__}.TEXTS", texts)
+    many = spark.createDataFrame([(i, "apple pear pear") for i in range(400)], "query_id bigint, text string")
+    scores = okapi("apple pear pear")
+    best = sorted(range(200), key=lambda j: (-scores[j], j))[:30]
+    got = kw.bm25(many, index, 30, fill=False).where("query_id IN (0, 399)").orderBy("query_id", "rank").collect()
+    assert [r["chunk_id"] for r in got] == best * 2
+
+
+def test_search_reads_only_pages_of_its_terms(index, capsys):
+    kw.wanted_postings(index, ["w1", "w3"]).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "Or(And(GreaterThanOrEqual(term,w1),LessThanOrEqual(term,w1))" in plan or "Or(EqualTo(term,w1),EqualTo(term,w3))" in plan
+    terms = sorted(r["term"] for r in index.terms.collect())
+    assert {r["term"] for r in kw.wanted_postings(index, terms).collect()} == set(terms)
+    assert {r["term"] for r in kw.wanted_postings(index, terms[::3]).collect()} == set(terms[::3])
+
+
+def test_index_is_removed(spark, chunks, tmp_path):
+    index = kw.build_index(chunks).save(str(tmp_path / "gone"))
+    assert sorted(p.name for p in (tmp_path / "gone").iterdir()) == ["blocks", "chunks", "postings", "stats", "terms"]
+    index.remove()
+    assert not (tmp_path / "gone").exists()
+
+
+def test_string_ids_in_the_index(spark, tmp_path):
+    chunks = spark.createDataFrame([("b", None, "one two"), ("a", "k", "one two"), ("c", "k", "two"), ("d", None, "three"), ("e", None, "four"), ("f", None, "")], "chunk_id string, doc_type string, content string")
+    q = spark.createDataFrame([("q", "one", None), ("r", "one", "k")], "query_id string, text string, doc_type string")
+    got = kw.bm25(q, kw.build_index(chunks).save(str(tmp_path)), 5, fill=False).collect()
+    assert sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in got) == [("q", 1, "a"), ("q", 2, "b"), ("r", 1, "a")]
+
+
 def test_statistics_count_empty_chunks(index):
     s = index.stats.first()
     assert s["n_docs"] == len(TEXTS) and s["avg_len"] == pytest.approx(sum(len(plain(t)) for t in TEXTS) / len(TEXTS))
