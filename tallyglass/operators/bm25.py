@@ -1,8 +1,7 @@
 """Keyword scoring: inverted index and Okapi BM25 over a table of queries.
 
 The index holds the postings of a term in blocks of chunks, one row for each (term, block), with the largest frequency
-and the shortest length among them. Rows are range-partitioned and sorted by term, so a search reads only the pages of its
-terms. Inside a task the two figures bound what a block can add to a query; a block that cannot reach a query's ``k``-th
+and the shortest length among them. Every file is sorted by term, so a search reads only the pages of its terms. Inside a task the two figures bound what a block can add to a query; a block that cannot reach a query's ``k``-th
 score so far is passed over without looking at its postings.
 """
 
@@ -33,7 +32,7 @@ EPSILON = 0.25
 BLOCK_CHUNKS = 512
 QUERY_TERMS = 50_000
 # Ranges of terms that a scan is asked for.
-TERM_RANGES = 64
+TERM_RANGES = 8
 
 
 @dataclass(frozen=True)
@@ -78,15 +77,10 @@ class IndexSource:
         counted.write.mode("overwrite").parquet(f"{path}/texts")
         texts = spark.read.parquet(f"{path}/texts")
         block, place = F.expr(f"_n div {BLOCK_CHUNKS}").alias("block"), (F.col("_n") % BLOCK_CHUNKS).cast("int").alias("place")
-        # Outer form: see chunking, the inner one would compute the array twice.
-        each = texts.select(block, place, "doc_len", F.inline_outer("_p")).where("term is not null")
-        runs = each.groupBy("term", "block").agg(
-            F.sort_array(F.collect_list(F.struct("place", F.col("tf").cast("int").alias("tf")))).alias("_e"),
-            F.max("tf").cast("int").alias("max_tf"),
-            F.min("doc_len").alias("min_len"),
-        )
-        runs = runs.select("term", "block", F.col("_e.place").alias("places"), F.col("_e.tf").alias("tfs"), "max_tf", "min_len")
-        runs.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/postings")
+        runs = texts.select(block, place, "doc_len", F.col("_p.term").alias("terms"), F.col("_p.tf").alias("tfs")).mapInArrow(_runs, _RUNS)
+        # Blocks of a term are dealt over the files; each file is in the order of its terms.
+        dealt = runs.repartition("term", "block").sortWithinPartitions("term", "block")
+        dealt.write.mode("overwrite").parquet(f"{path}/postings")
         own = F.sort_array(F.collect_list(F.struct(place, "chunk_id", "doc_type", "doc_len")))
         blocks = texts.groupBy(block).agg(own.alias("_c")).select(
             "block", F.col("_c.chunk_id").alias("ids"), F.col("_c.doc_type").alias("kinds"), F.col("_c.doc_len").alias("lens")
@@ -103,6 +97,40 @@ class IndexSource:
         return load_index(spark, path)
 
 
+_RUNS = "term string, block long, places array<int>, tfs array<int>, max_tf int, min_len int"
+_RUN_ROWS = 1 << 16
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings by (term, block) from rows of ``block, place, doc_len, terms, tfs`` that come block by block.
+
+    A block that is cut, at the end of a batch or of a task, gives two rows for a term; a search adds them up.
+    """
+    for batch in batches:
+        for at in range(0, batch.num_rows, _RUN_ROWS):
+            rows = batch.slice(at, _RUN_ROWS)
+            size = rows.column("terms").value_lengths().fill_null(0).to_numpy()
+            term = rows.column("terms").flatten().dictionary_encode()
+            if not len(term):
+                continue
+            row = np.repeat(np.arange(len(size)), size)
+            block = rows.column("block").to_numpy()[row]
+            code = term.indices.to_numpy()
+            order = np.lexsort((code, block))
+            block, code, row = block[order], code[order], row[order]
+            tf = rows.column("tfs").flatten().to_numpy()[order].astype(np.int32)
+            first = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (code[1:] != code[:-1])])
+            offsets = pa.array(np.r_[first, len(code)].astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    term.dictionary.take(pa.array(code[first])), pa.array(block[first]),
+                    pa.ListArray.from_arrays(offsets, pa.array(rows.column("place").to_numpy()[row])), pa.ListArray.from_arrays(offsets, pa.array(tf)),
+                    pa.array(np.maximum.reduceat(tf, first)), pa.array(np.minimum.reduceat(rows.column("doc_len").to_numpy()[row], first)),
+                ],
+                ["term", "block", "places", "tfs", "max_tf", "min_len"],
+            )
+
+
 def load_index(spark: SparkSession, path: str) -> Bm25Index:
     return Bm25Index(*[spark.read.parquet(f"{path}/{p}") for p in ("postings", "blocks", "terms", "stats", "chunks")], path)
 
