@@ -7,6 +7,7 @@ travel to the final top-k.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,11 +16,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallyglass.operators.latest import top_per_key
+from tallyglass.operators.latest import top_per_key_in_shares
 from tallyglass.operators.topk import BLOCK_CELLS, TopK, ids_of, output_types
 
 # A block of queries is sent to every executor: 4,096 vectors of 384 doubles are 12 MB.
 QUERY_BLOCK = 4_096
+# About so many rows fit the centres of cells.
+TRAIN_ROWS = 200_000
 # A tile of 32,768 rows of 384 doubles is 100 MB in the Python worker.
 TILE_ROWS = 32_768
 
@@ -76,7 +79,7 @@ def _add(best: TopK, block: _Block, ids, kinds, unit: np.ndarray, queries=None)
 def _final(hits: DataFrame, k: int) -> DataFrame:
     hits = hits.withColumnRenamed("value", "distance")
     order = [F.col("distance").asc_nulls_last(), F.col("chunk_id").asc()]
-    return top_per_key(hits, ["query_id"], order, k).select("query_id", "chunk_id", "distance", "rank")
+    return top_per_key_in_shares(hits, ["query_id"], order, k, "chunk_id").select("query_id", "chunk_id", "distance", "rank")
 
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int = 50, max_queries: int = QUERY_BLOCK, tile_rows: int = TILE_ROWS) -> DataFrame:
@@ -164,6 +167,11 @@ def _scan(spark, corpus: DataFrame, block: _Block, k: int, schema: pa.Schema, dd
 # ---------------------------------------------------------------- approximate
 
 
+def cell_count(rows: int) -> int:
+    """Cells of an index: the square root of the rows, so that a cell and the list of cells are about as long."""
+    return max(1, math.isqrt(max(rows - 1, 0)) + 1)
+
+
 def fit_cells(corpus: DataFrame, n_cells: int = 16, seed: int = 7, fraction: float = 1.0, max_iter: int = 8) -> np.ndarray:
     """Centres of coarse cells (cosine k-means). ``fraction`` only thins the training rows."""
     from pyspark.ml.clustering import KMeans
@@ -190,6 +198,51 @@ def assign_cells(corpus: DataFrame, centres: np.ndarray) -> DataFrame:
     return corpus.where("embedding is not null").withColumn("cell", nearest("embedding"))
 
 
+@dataclass
+class CellIndex:
+    """Rows with their cell, in a folder for each cell, and the centres of the cells."""
+
+    cells: DataFrame
+    centres: np.ndarray
+
+
+def build_cells(corpus: DataFrame, path: str, n_cells: int | None = None, train_rows: int = TRAIN_ROWS, seed: int = 7) -> CellIndex:
+    """Write an index of all rows of ``corpus`` that have a vector.
+
+    Centres are fitted on a sample of about ``train_rows`` rows; every row goes to the folder of its nearest centre. A cell
+    that holds a third of all rows is written by as many tasks as any other share of them.
+    """
+    spark = corpus.sparkSession
+    rows = corpus.where("embedding is not null").count()
+    n_cells = max(1, min(n_cells or cell_count(rows), rows))
+    if not rows:
+        return CellIndex(corpus.limit(0).withColumn("cell", F.lit(0)), np.zeros((0, 1)))
+    centres = fit_cells(corpus, n_cells, seed, min(1.0, max(train_rows, 20 * n_cells) / rows))
+    dealt = assign_cells(corpus, centres).repartition("cell", F.pmod(F.xxhash64("chunk_id"), F.lit(16)))
+    dealt.write.mode("overwrite").partitionBy("cell").parquet(path)
+    return CellIndex(spark.read.schema(dealt.schema).parquet(path), centres)
+
+
+def choose_probes(queries: DataFrame, index: CellIndex, k: int = 10, target: float = 0.95, sample: int = 256) -> int:
+    """Fewest cells to probe so that ``target`` of the exact neighbours of some queries lie in them.
+
+    ``sample`` queries are taken by a hash of their id and answered by a scan of all rows; their ``sample`` x ``k`` neighbours
+    tell how far down a query's list of cells it must go.
+    """
+    some = queries.where("embedding is not null").orderBy(F.xxhash64("query_id"), "query_id").limit(sample)
+    block = _block_of(_sides(some, index.cells)[0].toArrow())
+    if not block.ids or not len(index.centres):
+        return 1
+    exact = knn(some, index.cells, k).join(index.cells.select("chunk_id", "cell"), "chunk_id").select("query_id", "cell").toArrow()
+    order = _nearest(block.unit, index.centres, len(index.centres))
+    depth = np.empty_like(order)
+    np.put_along_axis(depth, order, np.arange(order.shape[1], dtype=order.dtype)[None, :], axis=1)
+    at = {q: i for i, q in enumerate(block.ids)}
+    own = np.array([at[q] for q in exact.column("query_id").to_pylist()], np.int64)
+    needed = np.sort(depth[own, exact.column("cell").to_numpy()]) + 1
+    return int(needed[min(len(needed) - 1, math.ceil(target * len(needed)) - 1)]) if len(needed) else 1
+
+
 def ann(queries: DataFrame, cells: DataFrame, centres: np.ndarray, k: int = 50, n_probe: int = 4, max_queries: int = QUERY_BLOCK, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Nearest neighbours among the ``n_probe`` cells closest to each query, re-scored exactly.
 

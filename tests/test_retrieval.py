@@ -205,6 +205,26 @@ def test_approximate_search(spark, vectors):
     assert knn.recall_at_k(some, exact).first()["recall"] > 0.5
 
 
+def test_cell_index_reaches_its_recall(spark, tmp_path):
+    gen = np.random.default_rng(4)
+    m = np.repeat(gen.normal(size=(60, 12)), 20, 0) + 0.4 * gen.normal(size=(1200, 12))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(m)]
+    corpus = spark.createDataFrame(rows + [(5000, None)], "chunk_id bigint, embedding array<float>")
+    q = spark.createDataFrame([(i, v) for i, v in rows if i % 20 == 0], "query_id bigint, embedding array<float>")
+    index = knn.build_cells(corpus, str(tmp_path))
+    assert len(index.centres) == 35 == knn.cell_count(1200) and index.cells.count() == 1200
+    probes = knn.choose_probes(q, index, sample=40)
+    assert 1 <= probes < 20
+    exact = knn.knn(q, corpus, 10)
+    some = knn.ann(q, index.cells, index.centres, 10, n_probe=probes)
+    assert knn.recall_at_k(some, exact).first()["recall"] >= 0.9
+    every = knn.ann(q, index.cells, index.centres, 10, n_probe=35)
+    assert sorted(map(tuple, every.collect())) == sorted(map(tuple, exact.collect()))
+    plan = index.cells.where("cell IN (1, 2)")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [cell" in plan
+    assert knn.build_cells(corpus.limit(0), str(tmp_path / "none")).cells.count() == 0
+
+
 def test_encoder_and_dims(spark):
     df = spark.createDataFrame([(1, "a b b"), (2, "B a!"), (3, ""), (4, None)], "id int, t string")
     out = encode.embed(df, "t", lambda: encode.HashEncoder(16)).orderBy("id")
