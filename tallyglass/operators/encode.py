@@ -10,9 +10,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
+from tallyglass.functions.text import raw_tokens
 from tallyglass.functions.vectors import dot
+from tallyglass.operators.bm25 import term_counts
 
 BATCH = 32
 
@@ -63,6 +66,46 @@ def embed(
     return df.withColumn(out, run(F.col(text)))
 
 
+# Counts are damped in whole steps of this fineness, so that sums do not depend on their order.
+_STEPS = 1 << 20
+
+
+def hash_embed(df: DataFrame, text: str, out: str = "embedding", dims: int = 64) -> DataFrame:
+    """Adds an ARRAY<FLOAT> column by signed feature hashing.
+
+    A token's slot and sign come from its MD5; its count is damped to 1 + ln(n); the vector has unit length, or is all
+    zeros for a text without tokens. Tokens, counts, slots and steps are built-in expressions on the row; tasks add them up
+    a batch at a time.
+    """
+
+    def placed(p: Column) -> Column:
+        digest = F.md5(p["term"])
+        slot = F.conv(F.substring(digest, 1, 4), 16, 10).cast("int") % dims
+        sign = F.when(F.substring(digest, 5, 1) >= "8", 1).otherwise(-1)
+        steps = F.round((1 + F.ln(p["tf"].cast("double"))) * _STEPS).cast("bigint")
+        return F.struct(slot.alias("slot"), (sign * steps).alias("steps"))
+
+    toks = df.withColumn("_t", F.sort_array(raw_tokens(F.coalesce(F.col(text), F.lit("")))))
+    paired = toks.select(*[c for c in df.columns if c != out], F.transform(term_counts("_t"), placed).alias("_p"))
+    kept = [c for c in df.columns if c != out]
+    schema = df.select(*kept, F.lit(None).cast("array<float>").alias(out)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = batch.column(len(kept))
+            size = pairs.value_lengths().fill_null(0).to_numpy()
+            slot, steps = (x.to_numpy() for x in pairs.flatten().flatten())
+            cell = np.repeat(np.arange(len(size)) * dims, size) + slot
+            # Whole numbers far below 2**53: doubles add them exactly.
+            total = np.bincount(cell, steps, len(size) * dims).reshape(-1, dims)
+            length = np.sqrt((total * total).sum(1, keepdims=True))
+            unit = np.divide(total, length, out=np.zeros_like(total), where=length > 0).astype(np.float32)
+            vectors = pa.ListArray.from_arrays(np.arange(0, unit.size + 1, dims, dtype=np.int32), pa.array(unit.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], vectors], [*kept, out])
+
+    return paired.mapInArrow(run, schema)
+
+
 def check_dims(df: DataFrame, vec: str, dims: int) -> DataFrame:
     """One row: vectors, vectors of another length, vectors without a direction, verdict."""
     return df.agg(

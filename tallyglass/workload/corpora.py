@@ -252,20 +252,25 @@ def _(t):
 
 # ---------------------------------------------------------------- vectors
 
-# A question per benchmark item with the vector of the same number; passages carry the vector of their
-# document where there is one.
-_VECTORS = """qv AS (SELECT query_id, text, embedding::DOUBLE[] AS qe FROM asked JOIN embeddings ON vec_id = query_id),
-   cv AS (SELECT chunk_id, doc_type, source, content, embedding::DOUBLE[] AS ce FROM passages LEFT JOIN embeddings ON vec_id = chunk_id)"""
+# Every passage and every question has a vector: the hashed counts of its tokens.
+def _embedded(role, key, text, columns, name):
+    return f"""{name}_n AS (SELECT {key} AS id, token, count(*) AS n FROM (SELECT {key}, unnest(regexp_extract_all(lower(coalesce({text}, '')), '[a-z0-9_]+')) AS token FROM {role}) GROUP BY ALL),
+   {name}_s AS (SELECT id, CAST('0x' || substr(md5(token), 1, 4) AS INT) % 64 AS slot, CAST(sum(CASE WHEN substr(md5(token), 5, 1) >= '8' THEN 1 ELSE -1 END * CAST(round((1 + ln(n)) * 1048576) AS BIGINT)) AS DOUBLE) AS v FROM {name}_n GROUP BY ALL),
+   {name}_d AS (SELECT {key} AS id, list(coalesce(v, 0) ORDER BY r.slot) AS raw FROM {role} CROSS JOIN range(64) AS r(slot) LEFT JOIN {name}_s s ON s.id = {key} AND s.slot = r.slot GROUP BY 1),
+   {name}_l AS (SELECT id, raw, sqrt(list_dot_product(raw, raw)) AS size FROM {name}_d),
+   {name}_u AS MATERIALIZED (SELECT id, list_transform(raw, lambda x: CAST(CASE WHEN size > 0 THEN x / size ELSE 0 END AS FLOAT))::DOUBLE[] AS e, size > 0 AS sound FROM {name}_l),
+   {name} AS (SELECT {columns}, e AS {name[0]}e, sound FROM {role} JOIN {name}_u ON id = {key})"""
+
+
+_VECTORS = _embedded("asked", "query_id", "text", "query_id, text", "qv") + ", " + _embedded("passages", "chunk_id", "content", "chunk_id, doc_type, source, content", "cv")
 
 
 def _queries(t):
-    vectors = t.read("embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
-    return t.role("asked").join(vectors, "query_id")
+    return encode.hash_embed(t.role("asked"), "text")
 
 
 def _corpus(t):
-    vectors = t.read("embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    return t.role("passages").join(vectors, "chunk_id", "left")
+    return encode.hash_embed(t.role("passages"), "content")
 
 
 def _label_queries(t):
@@ -286,17 +291,29 @@ _MEANS = """dims AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subs
    lrank AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, chunk_id) AS rank FROM lhits)"""
 
 
-@query("v1_embed_corpus")
+@query(
+    "v1_embed_corpus",
+    f"""WITH {_VECTORS} SELECT chunk_id, len(ce)::INT AS dims, round(list_sum(ce), 4) + 0.0 AS total, round(ce[1], 4) + 0.0 AS first FROM cv""",
+    "asked passages",
+)
 def _(t):
-    out = encode.embed(t.role("passages"), "content", lambda: encode.HashEncoder(64))
-    return out.select("chunk_id", F.size("embedding").alias("dims"), F.round(F.get("embedding", F.lit(0)), 4).alias("first"))
+    out = _corpus(t)
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return out.select(
+        "chunk_id", F.size("embedding").alias("dims"), (F.round(total, 4) + 0.0).alias("total"),
+        (F.round(F.get("embedding", F.lit(0)).cast("double"), 4) + 0.0).alias("first"),
+    )
 
 
-@query("v2_embed_queries")
+@query(
+    "v2_embed_queries",
+    f"""WITH {_VECTORS}, d AS (SELECT query_id, chunk_id, round(1 - list_cosine_similarity(qe, ce), 9) AS d FROM qv, cv WHERE qv.sound AND cv.sound)
+        SELECT query_id, chunk_id, rank::INT AS rank, round(d + 1e-10, 6) AS distance
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, chunk_id) AS rank FROM d) WHERE rank <= 3""",
+    "asked passages",
+)
 def _(t):
-    queries = encode.embed(t.role("asked"), "text", lambda: encode.HashEncoder(64))
-    corpus = encode.embed(t.role("passages"), "content", lambda: encode.HashEncoder(64))
-    return knn.knn(queries, corpus, 3)
+    return knn.knn(_queries(t), _corpus(t), 3).withColumn("distance", _six("distance"))
 
 
 @query(
@@ -332,8 +349,8 @@ def _(t):
 
 @query(
     "v6_filtered_search",
-    f"""WITH {_VECTORS}, f AS (SELECT *, CASE query_id % 3 WHEN 1 THEN 'en' WHEN 2 THEN 'fr' END AS want FROM qv),
-        d AS (SELECT query_id, chunk_id, round(1 - list_cosine_similarity(qe, ce), 9) AS d FROM f, cv WHERE ce IS NOT NULL AND (want IS NULL OR want = doc_type)),
+    f"""WITH {_VECTORS}, f AS (SELECT query_id, qe, CASE query_id % 3 WHEN 1 THEN 'en' WHEN 2 THEN 'fr' END AS want FROM qv),
+        d AS (SELECT query_id, chunk_id, round(1 - list_cosine_similarity(qe, ce), 9) AS d FROM f, cv WHERE cv.sound AND (want IS NULL OR want = doc_type)),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, chunk_id) AS rank FROM d)
         SELECT query_id, chunk_id, rank::INT AS rank, round(d + 1e-10, 6) AS distance FROM r WHERE rank <= 10""",
     "asked passages",
@@ -346,7 +363,7 @@ def _(t):
 
 @query(
     "v7_nearest_neighbours",
-    f"""WITH {_VECTORS}, d AS (SELECT query_id, chunk_id, round(1 - list_cosine_similarity(qe, ce), 9) AS d FROM qv, cv WHERE ce IS NOT NULL),
+    f"""WITH {_VECTORS}, d AS (SELECT query_id, chunk_id, round(1 - list_cosine_similarity(qe, ce), 9) AS d FROM qv, cv WHERE qv.sound AND cv.sound),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, chunk_id) AS rank FROM d)
         SELECT query_id, chunk_id, rank::INT AS rank, round(d + 1e-10, 6) AS distance FROM r WHERE rank <= 50""",
     "asked passages",
@@ -564,7 +581,7 @@ def _(t):
     )
 
 
-_FUSED = f"""{_VECTORS}, vd AS (SELECT query_id, chunk_id, round(1 - list_cosine_similarity(qe, ce), 9) AS d FROM qv, cv WHERE ce IS NOT NULL),
+_FUSED = f"""{_VECTORS}, vd AS (SELECT query_id, chunk_id, round(1 - list_cosine_similarity(qe, ce), 9) AS d FROM qv, cv WHERE qv.sound AND cv.sound),
    vr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, chunk_id) AS rank FROM vd) WHERE rank <= 50),
    {_ranked_scores(50)},
    kq AS (SELECT * FROM kr WHERE query_id IN (SELECT query_id FROM qv)),
@@ -637,11 +654,17 @@ def _(t):
     )
 
 
-@query("s10_export_trace")
+@query(
+    "s10_export_trace",
+    f"WITH {_FUSED} SELECT query_id, count(*) AS n_candidates, sum(chunk_id)::BIGINT AS id_sum FROM fin GROUP BY 1",
+    _FUSED_ROLES,
+)
 def _(t):
     path = shared_dir(t.spark)
     results.export_trace(retrieval.trace(_queries(t), _corpus(t), index=_index(t)), path)
-    return t.spark.read.json(path).groupBy("query_id").agg(F.count("*").alias("n_candidates"))
+    return t.spark.read.json(path).groupBy("query_id").agg(
+        F.count("*").alias("n_candidates"), F.sum("chunk_id").alias("id_sum")
+    )
 
 
 @query(

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -234,6 +235,23 @@ def test_encoder_and_dims(spark):
     assert encode.check_dims(out, "embedding", 8).first()["ok"] is False
 
 
+def test_hashed_vectors(spark):
+    import hashlib
+
+    texts = ["a b b", "B a! b", "", None, "the_x é 9 9 9 9", "z " * 50_000]
+    df = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "id int, t string, embedding int")
+    out = encode.hash_embed(df, "t", dims=16)
+    got = {r["id"]: r["embedding"] for r in out.collect()}
+    assert out.columns == ["id", "t", "embedding"] and got[0] == got[1] and set(got[2]) == {0.0} == set(got[3])
+    for i, text in enumerate(texts):
+        want = np.zeros(16)
+        for w, n in Counter(re.findall("[a-z0-9_]+", (text or "").lower())).items():
+            h = hashlib.md5(w.encode()).hexdigest()
+            want[int(h[:4], 16) % 16] += (1 if h[4] >= "8" else -1) * (1 + math.log(n))
+        size = np.linalg.norm(want)
+        assert got[i] == pytest.approx((want / size if size else want).tolist(), abs=1e-5)
+
+
 # ---------------------------------------------------------------- fusion
 
 
