@@ -48,7 +48,7 @@ def preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table has no preference labels: conversation 2k stands for the chosen one of pair k, 2k + 1 for the rejected."""
     own = chat.conversations(_read(spark, sf_dir, "conversations"))
     side = F.pmod("conv_id", F.lit(2))
-    pairs = own.groupBy(F.floor(F.col("conv_id") / 2).alias("pair_id")).agg(
+    pairs = own.groupBy(F.shiftright("conv_id", 1).alias("pair_id")).agg(
         F.first(F.when(side == 0, F.col("turns")), ignorenulls=True).alias("chosen"),
         F.first(F.when(side == 1, F.col("turns")), ignorenulls=True).alias("rejected"),
     )
@@ -71,7 +71,7 @@ def rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.similar_texts(_read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_shingles", "component_id", "class_id")
+    return found.select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
 def ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,7 +250,7 @@ TWINS: dict[str, str] = {
             SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i,
                 coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
         ), p AS (
-            SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, conv_id % 2 AS side, i, role, text,
+            SELECT conv_id // 2 - CASE WHEN conv_id < 0 AND conv_id % 2 <> 0 THEN 1 ELSE 0 END AS pair_id, abs(conv_id % 2) AS side, i, role, text,
                 concat('<|', role, '|>', chr(10), text, '<|end|>', chr(10)) AS shown, length(role) + 5 AS head FROM t
         ), pairs AS (
             SELECT pair_id, count(DISTINCT i) FILTER (side = 0) AS n0, count(DISTINCT i) FILTER (side = 1) AS n1 FROM p GROUP BY pair_id
@@ -302,27 +302,6 @@ TWINS: dict[str, str] = {
         SELECT doc_id, size, text_crc32, 'key' AS law, shard,
             row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, grown_shard FROM best
     """,
-    "op8_ngram_jaccard": rf"""
-        WITH RECURSIVE w AS (
-            SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
-        ), nodes AS (SELECT id FROM w),
-        sh AS MATERIALIZED (
-            SELECT DISTINCT id, array_to_string(words[i : i + 4], ' ') AS k
-            FROM (SELECT id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0)
-        ), n AS (SELECT id, count(*) AS n FROM sh GROUP BY id),
-        sets AS (SELECT id, md5(string_agg(k, chr(10) ORDER BY k)) AS s FROM sh GROUP BY id),
-        class AS (SELECT s, min(id) AS c FROM sets GROUP BY s),
-        lead AS (SELECT sh.id, sh.k FROM sh JOIN class ON class.c = sh.id),
-        near AS (
-            SELECT a.id AS a, b.id AS b, count(*) AS i FROM lead a JOIN lead b ON a.k = b.k AND a.id <> b.id GROUP BY a.id, b.id
-        ), links AS MATERIALIZED (
-            SELECT a, b FROM near JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * i >= 75 * (x.n + y.n - i)
-            UNION SELECT id, c FROM sets JOIN class USING (s) WHERE id <> c
-            UNION SELECT c, id FROM sets JOIN class USING (s) WHERE id <> c
-        ), {_WALK}, least AS (SELECT node, min(seen) AS c FROM walk GROUP BY node)
-        SELECT w.id AS doc_id, coalesce(n.n, 0) AS n_shingles, least.c AS component_id, coalesce(class.c, w.id) AS class_id
-        FROM w JOIN least ON least.node = w.id LEFT JOIN n ON n.id = w.id LEFT JOIN sets ON sets.id = w.id LEFT JOIN class USING (s)
-    """,
     "op8_ngram_jaccard_links": rf"""
         WITH RECURSIVE w AS (
             SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
