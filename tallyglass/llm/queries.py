@@ -302,6 +302,31 @@ TWINS: dict[str, str] = {
         SELECT doc_id, size, text_crc32, 'key' AS law, shard,
             row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, grown_shard FROM best
     """,
+    "op8_ngram_jaccard": rf"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), nodes AS (SELECT id FROM w),
+        sh AS MATERIALIZED (
+            SELECT DISTINCT id, array_to_string(words[i : i + 4], ' ') AS k
+            FROM (SELECT id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0)
+        ), n AS (SELECT id, count(*) AS n FROM sh GROUP BY id),
+        sets AS (SELECT id, md5(string_agg(k, chr(10) ORDER BY k)) AS s FROM sh GROUP BY id),
+        class AS (SELECT s, min(id) AS c, count(*) AS copies FROM sets GROUP BY s),
+        lead AS (SELECT sh.id, sh.k FROM sh JOIN class ON class.c = sh.id),
+        near AS (
+            SELECT a.id AS a, b.id AS b, count(*) AS i FROM lead a JOIN lead b ON a.k = b.k AND a.id <> b.id GROUP BY a.id, b.id
+        ), pairs AS MATERIALIZED (
+            SELECT a, b FROM near JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * i >= 75 * (x.n + y.n - i)
+        ), others AS (SELECT a, sum(copies) AS n FROM pairs JOIN class ON class.c = b GROUP BY a),
+        links AS MATERIALIZED (
+            SELECT a, b FROM pairs
+            UNION SELECT id, c FROM sets JOIN class USING (s) WHERE id <> c
+            UNION SELECT c, id FROM sets JOIN class USING (s) WHERE id <> c
+        ), {_WALK}, least AS (SELECT node, min(seen) AS c FROM walk GROUP BY node)
+        SELECT w.id AS doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(class.c, w.id) AS class_id,
+            CAST(coalesce(others.n, 0) + coalesce(class.copies, 1) - 1 AS BIGINT) AS n_links, least.c AS component_id
+        FROM w JOIN least ON least.node = w.id LEFT JOIN n ON n.id = w.id LEFT JOIN sets ON sets.id = w.id LEFT JOIN class USING (s) LEFT JOIN others ON others.a = class.c
+    """,
     "op8_ngram_jaccard_links": rf"""
         WITH RECURSIVE w AS (
             SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
