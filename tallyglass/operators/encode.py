@@ -97,7 +97,7 @@ def hash_embed(df: DataFrame, text: str, out: str = "embedding", dims: int = 64)
             slot, steps = (x.to_numpy() for x in pairs.flatten().flatten())
             cell = np.repeat(np.arange(len(size)) * dims, size) + slot
             # Whole numbers far below 2**53: doubles add them exactly.
-            total = np.bincount(cell, steps, len(size) * dims).reshape(-1, dims)
+            total = np.bincount(cell.astype(np.int64), steps, len(size) * dims).astype(np.float64).reshape(-1, dims)
             length = np.sqrt((total * total).sum(1, keepdims=True))
             unit = np.divide(total, length, out=np.zeros_like(total), where=length > 0).astype(np.float32)
             vectors = pa.ListArray.from_arrays(np.arange(0, unit.size + 1, dims, dtype=np.int32), pa.array(unit.ravel()))
