@@ -29,7 +29,6 @@ INDEX_STEP = 1024
 SHORT = 32
 _GONE = np.uint32(0xFFFFFFFF)
 _NO_RANK = (1 << 31) - 1
-_CELL_BITS = 18
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -67,8 +66,9 @@ def compress(ids: np.ndarray, base: int, least: int = LEAST_COUNT) -> tuple[np.n
         at = live[counted]
         pair = (a.astype(np.uint64) << np.uint64(32) | b)[counted]
         # Cells that many pairs may share: a pair is counted by itself only if its cell is frequent.
-        cell = (pair * _SPREAD) >> np.uint64(64 - _CELL_BITS)
-        maybe = np.bincount(cell.view(np.int64), minlength=1 << _CELL_BITS)[cell.view(np.int64)] >= least
+        bits = min(max(len(pair).bit_length() + 1, 10), 20)
+        cell = ((pair * _SPREAD) >> np.uint64(64 - bits)).view(np.int64)
+        maybe = (np.bincount(cell, minlength=1 << bits) >= least)[cell]
         at = at[maybe]
         own, kinds = pd.factorize(pair[maybe])
         count = np.bincount(own, minlength=len(kinds))
@@ -170,8 +170,18 @@ class Shard:
         sym = self.symbols[first * INDEX_STEP : last * INDEX_STEP].astype(np.int64)
         size = self._sizes(sym)
         at = np.cumsum(size) - size + int(self.index[first])
-        out = np.empty(stop - start, np.uint32)
         flat, flat_at = self._short_rules()
+        if start == 0 and stop == self.n_ids:
+            # All symbols in a row: each id's place in the table follows from its symbol's. Long symbols come below.
+            begin = np.where(sym < self.base, sym, 0)
+            rule = np.flatnonzero(sym >= self.base)
+            begin[rule] = self.base + flat_at[sym[rule] - self.base]
+            table = np.concatenate([np.arange(self.base, dtype=np.uint32), flat])
+            out = table.take(np.repeat(begin - at, size) + np.arange(stop), mode="clip")
+            long = size > SHORT
+            sym, at, size = sym[long], at[long], size[long]
+        else:
+            out = np.empty(stop - start, np.uint32)
         # Short symbols inside the run are looked up whole; others give way to their two sides, all at once.
         while len(sym):
             inside = (at < stop) & (at + size > start)
@@ -262,14 +272,14 @@ def write_shards(
 
     Texts are encoded by the tokenizers library without special tokens added, and ``end_id`` is appended to each. A
     null text counts as empty: one id, the end. Rows without ``doc_id`` come first. Rows that share an id stand next
-    to each other, in the order of a hash of their texts, and may lie in several parts. Shards are (part, seq), and
+    to each other, in any order, and may lie in several parts. Shards are (part, seq), and
     ``start`` counts the ids of the part before the shard. A shard ends with the document that fills it, so a longer
     document is a longer shard. Pairs that occur ``least_count`` times in a shard are replaced. Other columns are ignored.
     """
     with open(tokenizer_file, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    by = ["doc_id", F.xxhash64("text")]  # ranges cut between rows that share an id
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("_row"))
+    by = ["doc_id", "_row"]  # ranges cut between rows that share an id
     ordered = own.repartitionByRange(*by).sortWithinPartitions(*by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
