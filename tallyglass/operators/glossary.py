@@ -55,6 +55,25 @@ def filter_window(df: DataFrame, col: str, window: TimeWindow, whole_last_day: b
     return df.where((c >= bound(window.start)) & ((c <= bound(end)) if closed else (c < bound(end))))
 
 
+def window_cells(col: Column, kind, windows: dict[str, TimeWindow]) -> tuple[Column, Column]:
+    """The cell of a stamp, and the names of the windows that hold a cell.
+
+    The bounds of all windows cut time into cells, numbered from 0. Facts that are summed per cell answer every window in
+    one pass, however many of them overlap. A null stamp has cell -1. Returns the cell of ``col`` (a column of type
+    ``kind``) and an array column over a column called ``cell``: the names of its windows and "" for no window at all.
+    """
+    edges = sorted({(w.start, False) for w in windows.values()} | {(w.end, w.closed) for w in windows.values()})
+    passed = F.lit(0)
+    for day, closed in edges:
+        bound = F.lit(day.isoformat()).cast(kind)
+        passed = passed + ((col > bound) if closed else (col >= bound)).cast("int")
+    at = {edge: n + 1 for n, edge in enumerate(edges)}
+    held = [
+        F.when(F.col("cell").between(at[w.start, False], at[w.end, w.closed] - 1), F.lit(name)) for name, w in windows.items()
+    ]
+    return F.coalesce(passed, F.lit(-1)), F.array_compact(F.array(F.lit(""), *held))
+
+
 def filter_region(df: DataFrame, col: str, states: list[str]) -> DataFrame:
     return df.where(F.col(col).isin(*states))
 

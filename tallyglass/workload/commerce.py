@@ -366,6 +366,58 @@ def _(t: Tables):
     return _round(measures.run_measure(t.model, row["measure"], row["parameters_applied"], t.catalog), avg_rating=6)
 
 
+# Selections name the catalog's own regions and categories here.
+_KINDS = ["economy", "standard", "small", "medium"]
+_KIND_OF = "CASE abs(selection_id) % 4 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(_KINDS)) + " END"
+_REFS_OF = "replace(replace(refs, 'regions.south', 'regions.europe'), 'regions.north', 'regions.asia')"
+_PERIODS = ["", *_BOUNDS]
+
+
+def _each_period(select, tail):
+    """A SELECT over all rows and one for each period."""
+    return " UNION ALL ".join(f"SELECT '{p}' AS period, {select} {'WHERE ' + _BOUNDS[p] if p else ''} {tail}" for p in _PERIODS)
+
+
+_G9 = f"""hits AS (SELECT selection_id, measure, top_n, CASE WHEN category IS NOT NULL THEN {_KIND_OF} END AS category,
+     list_filter(split({_REFS_OF}, ','), lambda r: starts_with(r, 'time_periods.')) AS tp,
+     list_filter(split({_REFS_OF}, ','), lambda r: starts_with(r, 'regions.')) AS rg,
+     top_n IS NULL OR regexp_matches(top_n, '^\\s*[+-]?\\d+(_\\d+)*\\s*$') AS good_n FROM selections),
+   sound AS (SELECT *, good_n AND len(tp) <= 1 AND (len(tp) = 0 OR tp[1] IN ('time_periods.last_quarter', 'time_periods.last_month', 'time_periods.this_year')) AS good_t,
+     len(rg) <= 1 AND (len(rg) = 0 OR rg[1] IN ('regions.europe', 'regions.asia')) AS good_r FROM hits),
+   sel AS (SELECT selection_id, measure, coalesce(split_part(tp[1], '.', 2), '') AS period,
+     CASE WHEN measure = 'seller_ratings_by_state' THEN coalesce(split_part(rg[1], '.', 2), '') ELSE '' END AS region,
+     '' AS category, coalesce(TRY_CAST(replace(trim(top_n), '_', '') AS BIGINT), 10) AS k FROM sound
+     WHERE (measure = 'top_categories_by_revenue' AND good_t) OR (measure = 'seller_ratings_by_state' AND good_t AND good_r)
+     UNION ALL SELECT selection_id, measure, '', '', CASE measure WHEN 'aov_by_state' THEN '' ELSE category END, 1000 FROM sound
+     WHERE measure = 'aov_by_state' OR (measure = 'return_rate_by_category' AND category IS NOT NULL)),
+   m1 AS ({_each_period("product_category_name_english AS label, sum(CAST(floor(price * 100 + 0.5) AS BIGINT)) / 100 AS value FROM " + _JOINED, "GROUP BY 2")}),
+   m2 AS (SELECT customer_state AS label, sum(CAST(floor(price * 100 + 0.5) AS BIGINT)) / 100 / count(DISTINCT order_id) AS value
+     FROM items JOIN purchases USING (order_id) JOIN customers USING (customer_id) GROUP BY 1),
+   m3 AS ({_each_period("seller_id, seller_state, region AS home, avg(review_score) AS value, count(review_id) AS n FROM reviews JOIN purchases USING (order_id) JOIN items USING (order_id) JOIN sellers USING (seller_id)", "GROUP BY 2, 3, 4 HAVING count(review_id) >= 5")}),
+   m3r AS (SELECT *, '' AS region FROM m3 UNION ALL SELECT *, lower(home) FROM m3 WHERE home IN ('EUROPE', 'ASIA')),
+   m4 AS ({_M5} GROUP BY 1),
+   res AS (SELECT 'top_categories_by_revenue' AS measure, period, '' AS region, '' AS category, row_number() OVER (PARTITION BY period ORDER BY value DESC, label) AS rank, label, NULL AS detail, value, NULL AS n_rows FROM m1
+     UNION ALL SELECT 'aov_by_state', '', '', '', row_number() OVER (ORDER BY value DESC, label), label, NULL, value, NULL FROM m2
+     UNION ALL SELECT 'seller_ratings_by_state', period, region, '', row_number() OVER (PARTITION BY period, region ORDER BY value, seller_id), seller_id::VARCHAR, seller_state, value, n FROM m3r
+     UNION ALL SELECT 'return_rate_by_category', '', '', category, 1, category, NULL, return_rate, NULL FROM m4)"""
+
+
+@query(
+    "g9_run_selections",
+    f"""WITH {_G9} SELECT selection_id, measure, rank::INT AS rank, label, detail, round(value, 6) AS value, n_rows::BIGINT AS n_rows
+        FROM sel JOIN res USING (measure, period, region, category) WHERE rank <= k""",
+    f"selections {_M3_ROLES} products translation customers",
+)
+def _(t: Tables):
+    own = t.role("selections").withColumns({"refs": F.expr(_REFS_OF), "category": F.expr(f"CASE WHEN category IS NOT NULL THEN {_KIND_OF} END")})
+    picked = own.selectExpr(
+        "selection_id", "measure", "filter(split(refs, ','), x -> x <> '') AS glossary_refs",
+        "map_filter(map('top_n', top_n, 'category', category), (k, v) -> v IS NOT NULL) AS filters",
+    )
+    resolved = glossary.resolve_selections(picked, t.catalog)
+    return _round(measures.run_selections(resolved, "selection_id", t.model, t.catalog, RETURNED), value=6)
+
+
 # ---------------------------------------------------------------- recipes
 
 

@@ -141,7 +141,12 @@ def _(t):
     return chunking.oversized(_chunks(t), 200).select("source", "chunk_index", "token_count")
 
 
-@query("c7_sample_chunks")
+@query(
+    "c7_sample_chunks",
+    f"""WITH {_CHUNKS}, named AS (SELECT *, md5(concat(source, '|', chunk_index)) AS id FROM chunks)
+        SELECT id AS chunk_id, source, section, chunk_index, token_count FROM named ORDER BY md5('11:' || id), id LIMIT 3""",
+    "markdown",
+)
 def _(t):
     return chunking.sample_chunks(_chunks(t), 3, seed=11).select("chunk_id", "source", "section", "chunk_index", "token_count")
 

@@ -29,5 +29,5 @@ def test_few_queries_are_rows_only():
     rows_only = set(entry_module.queries()) - set(entry_module.oracle_sql())
     rows_only = {n for n in rows_only if not re.match(r"op\d+_|pipeline$", n)}
     assert rows_only == {
-        "s3_audit_landing", "c7_sample_chunks", "v8_approximate_neighbours", "v19_projection",
+        "s3_audit_landing", "v8_approximate_neighbours", "v19_projection",
     }

@@ -1,9 +1,12 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyglass.catalog import REFERENCE_DATE, Catalog
 from tallyglass.operators import glossary as g
+from tallyglass.plans import measures
+from tallyglass.workload.roles import RETURNED, Tables
 
 
 @pytest.mark.parametrize(
@@ -100,3 +103,49 @@ def test_templates(spark):
     g.require_templates(spark, Catalog(templates={"return_rate_by_category": "... = {category} {category}"}))
     with pytest.raises(RuntimeError, match="limit_"):
         g.require_templates(spark, Catalog(templates={"aov_by_state": "LIMIT {limit_}"}))
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "date", "string"])
+def test_window_cells_are_the_windows(spark, kind):
+    ref = dt.date(2018, 10, 17)
+    windows = {name: g.time_window(name, ref) for name in ("last_quarter", "last_month", "this_year")}
+    days = ["2017-12-31", "2018-01-01", "2018-06-30", "2018-07-01", "2018-08-31", "2018-09-01", "2018-09-30", "2018-10-01", "2018-10-17", "2018-10-18"]
+    stamps = [d + tail for d in days for tail in (("",) if kind == "date" else ("", " 00:00:00", " 09:30:00"))] + [None]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(stamps)], "id int, s string").withColumn("s", F.col("s").cast(kind))
+    cell, names = g.window_cells(F.col("s"), df.schema["s"].dataType, windows)
+    got = {r["id"]: set(r["n"]) for r in df.withColumn("cell", cell).select("id", names.alias("n")).collect()}
+    for name, w in windows.items():
+        inside = {r["id"] for r in g.filter_window(df, "s", w).collect()}
+        assert {i for i, n in got.items() if name in n} == inside
+    assert all("" in n for n in got.values())
+
+
+def test_selections_as_a_table_equal_single_measures(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    asked = [
+        (1, "top_categories_by_revenue", [], {}),
+        (2, "top_categories_by_revenue", ["time_periods.last_quarter"], {"top_n": "2"}),
+        (3, "aov_by_state", ["time_periods.last_month"], {"top_n": "1"}),
+        (4, "seller_ratings_by_state", ["time_periods.this_year", "regions.europe"], {"top_n": "7"}),
+        (5, "seller_ratings_by_state", ["regions.asia"], {}),
+        (6, "return_rate_by_category", [], {"category": "economy"}),
+        (7, "return_rate_by_category", [], {"category": "nothing"}),
+        (8, "seller_ratings_by_state", ["regions.nowhere"], {}),
+        (9, "no_measure", [], {}),
+        (10, "top_categories_by_revenue", [], {"top_n": "-3"}),
+        (11, "seller_ratings_by_state", [], {"top_n": "3000"}),
+    ]
+    picked = spark.createDataFrame(asked, "id int, measure string, glossary_refs array<string>, filters map<string,string>")
+    resolved = g.resolve_selections(picked, t.catalog)
+    got = {}
+    for r in measures.run_selections(resolved, "id", t.model, t.catalog, RETURNED).orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append((r["label"], r["value"]))
+    for row in resolved.collect():
+        if row["parameters_applied"] is None or row["id"] == 10:
+            assert row["id"] not in got
+            continue
+        one = measures.run_measure(t.model, row["measure"], row["parameters_applied"], t.catalog, RETURNED)
+        value = {"top_categories_by_revenue": "revenue", "aov_by_state": "aov", "seller_ratings_by_state": "avg_rating", "return_rate_by_category": "return_rate"}[row["measure"]]
+        want = [(str(r[0]), r[value]) for r in one.collect()]
+        assert [x[0] for x in got.get(row["id"], [])] == [x[0] for x in want]
+        assert [x[1] for x in got.get(row["id"], [])] == pytest.approx([x[1] for x in want])

@@ -124,3 +124,43 @@ def test_lines_beyond_the_row_limit_of_the_request(spark):
     for limit, kept in ((None, 1000), (1200, 1200), (10_000, 1500)):
         got = evidence.sql_evidence(results, rows, **({"max_rows": limit} if limit else {})).first()["lines"]
         assert got == [f"l{i}" for i in range(1, kept + 1)]
+
+
+def _some_chunks(spark, n, word="x"):
+    return spark.range(n).selectExpr(
+        "cast(id as string) as chunk_id", "'a.md' as source", "if(id % 2 = 0, 'policy', 'faq') as doc_type", "cast(id as int) as chunk_index",
+        f"concat('{word}', id) as content",
+    )
+
+
+def test_failed_replacement_leaves_the_chunk_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    with pytest.raises(FileNotFoundError):
+        chunks.scan_chunks(spark, path)
+    first = chunks.save_chunks(_some_chunks(spark, 8), path)
+    torn = _some_chunks(spark, 8, "new").withColumn("content", F.when(F.col("chunk_index") == 7, F.raise_error(F.lit("torn"))).otherwise(F.col("content")))
+    with pytest.raises(Exception, match="torn"):
+        chunks.save_chunks(torn, path)
+    assert [r["content"] for r in chunks.scan_chunks(spark, path).collect()] == [f"x{i}" for i in range(8)]
+    assert chunks.current_snapshot(spark, path) == first
+    assert chunks.drop_snapshots(spark, path) == 1  # what the failed write left
+    assert chunks.scan_chunks(spark, path).count() == 8
+
+
+def test_reader_keeps_its_snapshot(spark, tmp_path):
+    path = str(tmp_path / "t")
+    chunks.save_chunks(_some_chunks(spark, 4), path)
+    before = chunks.scan_chunks(spark, path)
+    second = chunks.save_chunks(_some_chunks(spark, 6, "y"), path)
+    assert [r["content"] for r in before.collect()] == [f"x{i}" for i in range(4)]
+    assert [r["content"] for r in chunks.scan_chunks(spark, path).collect()] == [f"y{i}" for i in range(6)]
+    for i in range(10):  # ten markers and more keep their order
+        second = chunks.save_chunks(_some_chunks(spark, 1, f"z{i}"), path)
+    assert chunks.current_snapshot(spark, path) == second
+    assert chunks.drop_snapshots(spark, path, keep=2) == 10
+    assert [r["content"] for r in chunks.scan_chunks(spark, path).collect()] == ["z90"]
+    # a table that becomes empty is still a table, and a type that looks like a number stays text
+    chunks.save_chunks(_some_chunks(spark, 0), path)
+    assert chunks.scan_chunks(spark, path).collect() == []
+    chunks.save_chunks(_some_chunks(spark, 1).withColumn("doc_type", F.lit("007")), path)
+    assert chunks.scan_chunks(spark, path, "007").first()["doc_type"] == "007"
