@@ -26,3 +26,18 @@ def numbered(df: DataFrame, group: str, order: list[Column], name: str) -> DataF
     pieces = written(pieces.select("_group", "_part", (F.col("_before") - F.col("_low")).alias("_shift")), "pieces")
     same = (F.col("_group").eqNullSafe(F.col(group))) & (F.col("_part") == part)
     return dealt.join(pieces, same).withColumn(name, F.col("_mid") + F.col("_shift")).drop("_group", "_part", "_mid", "_shift")
+
+
+def running_sums(df: DataFrame, by: str, sums: list[str]) -> DataFrame:
+    """``df`` with each column of ``sums`` replaced by its sum over all rows up to this one in the order of ``by``.
+
+    ``by`` has no repeated values. Rows are dealt by ranges; what earlier ranges hold comes from a row for each range.
+    """
+    dealt = written(df.repartitionByRange(by).sortWithinPartitions(by).withColumn("_mid", F.monotonically_increasing_id()), "running")
+    dealt = dealt.withColumn("_part", F.shiftright("_mid", 33))
+    ranges = dealt.groupBy("_part").agg(*(F.sum(c).alias(f"_{c}") for c in sums))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    ranges = ranges.select("_part", *(F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0)).alias(f"_{c}") for c in sums))
+    own = Window.partitionBy("_part").orderBy("_mid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = dealt.join(ranges, "_part")
+    return met.withColumns({c: F.sum(c).over(own) + F.col(f"_{c}") for c in sums}).drop("_part", "_mid", *(f"_{c}" for c in sums))

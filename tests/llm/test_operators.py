@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -191,6 +192,55 @@ def test_mixing_is_less_than_a_block_off(spark):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
+def mixed_by_hand(sizes, units, block_rows):
+    """(source, block) in the order of their slots: earliest due first among the released, then by name."""
+    left = {s: -(-n // block_rows) for s, n in sizes.items()}
+    had = dict.fromkeys(left, 0)
+    out = []
+    while any(had[s] < left[s] for s in left):
+        own = sorted((s, min(units[s], left[s] - had[s])) for s in left if had[s] < left[s])
+        total = sum(u for _, u in own)
+        turn = {s: 0 for s, _ in own}
+        for t in range(total):
+            due = [(-(-(turn[s] + 1) * total // u), s) for s, u in own if turn[s] < u and turn[s] * total // u <= t]
+            s = min(due)[1]
+            out.append((s, had[s] + turn[s]))
+            turn[s] += 1
+        for s, u in own:
+            had[s] += u
+    return out
+
+
+def test_mixing_many_sources_of_unlike_size(spark):
+    r = random.Random(8)
+    sizes = {f"s{i:03}": int(1.5 ** r.uniform(1, 15)) for i in range(250)} | {"": 40}
+    sources = [s for s, n in sizes.items() for _ in range(n)]
+    rows = [(d, s or r.choice(["", None])) for d, s in enumerate(sources)]
+    r.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    got = mixing.mix_sources(docs, block_rows=4, units=600).collect()
+    assert sorted(x.doc_id for x in got) == list(range(len(rows)))
+    whole = sum(n**0.5 for n in sizes.values())
+    units = {s: max(1, int(n**0.5 / whole * 600 + 0.5)) for s, n in sizes.items()}
+    assert len(set(units.values())) > 5
+    order = sorted({(x.slot, x.source or "", x.block) for x in got})
+    assert [x for x, _, _ in order] == list(range(len(order)))
+    assert [(s, b) for _, s, b in order] == mixed_by_hand(sizes, units, 4)
+
+
+def test_mixing_rows_under_one_id_or_none(spark):
+    rows = [(None, "a", f"t{i}") for i in range(200)] + [(7, "a", f"t{i % 3}") for i in range(100)] + [(9, "b", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mix_sources(docs, {"a": 1.0}, block_rows=3).collect()
+    assert Counter((x.doc_id, x.source, x.text) for x in got) == Counter(rows)
+    assert len({(x.slot, x.place) for x in got}) == len(rows)
+    nth = {(x.doc_id is not None): [] for x in got}
+    for x in got:
+        if x.source == "a":
+            nth[x.doc_id is not None].append(x.block * 3 + x.place)
+    assert max(nth[False]) < min(nth[True])  # rows without an id first
+
+
 def test_sharding_moves_rows_only_to_the_new_shard(spark):
     docs = table(spark, [(d, "é" * (d % 5)) for d in range(3000)] + [(None, None), (None, "a"), (7, "b")])
     got = sharding.shard_rows(docs, [1.0] * 16).collect()
