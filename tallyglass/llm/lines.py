@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallyglass.llm.store import written
 
 # `transform` over one element binds a value once; the optimizer would write a projected one out at each use.
-_LINES = r"transform(split(text, '\n', -1), x -> named_struct('a', xxhash64(x), 'b', xxhash64(x, 17L), 'w', length(btrim(x, ' \t\n\u000b\f\r')) > 0))"
+_LINES = r"transform(split(text, '\n', -1), x -> named_struct('a', xxhash64(x), 'b', xxhash64(17L, x), 'w', length(btrim(x, ' \t\n\u000b\f\r')) > 0))"
 _WINDOWS = f"""
 transform(array({_LINES}), ls -> if(size(ls) < 3, array(), filter(
     transform(sequence(0, size(ls) - 3), i -> named_struct(
