@@ -172,12 +172,15 @@ def cell_count(rows: int) -> int:
     return max(1, math.isqrt(max(rows - 1, 0)) + 1)
 
 
+_DIRECTED = "embedding is not null and exists(embedding, x -> x <> 0)"
+
+
 def fit_cells(corpus: DataFrame, n_cells: int = 16, seed: int = 7, fraction: float = 1.0, max_iter: int = 8) -> np.ndarray:
-    """Centres of coarse cells (cosine k-means). ``fraction`` only thins the training rows."""
+    """Centres of coarse cells (cosine k-means) of rows with a direction. ``fraction`` only thins the training rows."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    train = corpus.where("embedding is not null")
+    train = corpus.where(_DIRECTED)
     if fraction < 1.0:
         train = train.sample(fraction, seed)
     train = train.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
@@ -209,15 +212,19 @@ class CellIndex:
 def build_cells(corpus: DataFrame, path: str, n_cells: int | None = None, train_rows: int = TRAIN_ROWS, seed: int = 7) -> CellIndex:
     """Write an index of all rows of ``corpus`` that have a vector.
 
-    Centres are fitted on a sample of about ``train_rows`` rows; every row goes to the folder of its nearest centre. A cell
+    Centres are fitted on a sample of about ``train_rows`` rows; every row goes to the folder of its nearest centre, one without
+    a direction to the first. A cell
     that holds a third of all rows is written by as many tasks as any other share of them.
     """
     spark = corpus.sparkSession
-    rows = corpus.where("embedding is not null").count()
-    n_cells = max(1, min(n_cells or cell_count(rows), rows))
+    rows, directed = corpus.where("embedding is not null").agg(F.count("*"), F.count_if(F.expr(_DIRECTED))).first()
+    n_cells = max(1, min(n_cells or cell_count(rows), directed))
     if not rows:
         return CellIndex(corpus.limit(0).withColumn("cell", F.lit(0)), np.zeros((0, 1)))
-    centres = fit_cells(corpus, n_cells, seed, min(1.0, max(train_rows, 20 * n_cells) / rows))
+    if directed:
+        centres = fit_cells(corpus, n_cells, seed, min(1.0, max(train_rows, 20 * n_cells) / directed))
+    else:
+        centres = np.zeros((1, len(corpus.where("embedding is not null").first()["embedding"])))
     dealt = assign_cells(corpus, centres).repartition("cell", F.pmod(F.xxhash64("chunk_id"), F.lit(16)))
     dealt.write.mode("overwrite").partitionBy("cell").parquet(path)
     return CellIndex(spark.read.schema(dealt.schema).parquet(path), centres)
@@ -276,6 +283,83 @@ def _nearest(unit: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
     return np.argsort(-(unit @ centres.T), axis=1)[:, :n].astype("int32")
 
 
+# ---------------------------------------------------------------- exact, with bounds
+
+# Queries of a bounded search that are sent out at once: each may need any number of cells.
+BOUNDED_BLOCK = 512
+# Room for the rounding of distances and of the arc cosine next to 1.
+_SLACK, _ANGLE_SLACK = 1e-9, 1e-6
+
+
+def _angles(unit: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(unit @ centres.T, -1.0, 1.0))
+
+
+def cell_radii(index: CellIndex) -> np.ndarray:
+    """Largest angle between the centre of a cell and its rows; rows without a direction do not count.
+
+    One number a cell reaches the driver, as the centres did.
+    """
+    shared = index.cells.sparkSession.sparkContext.broadcast(index.centres)
+
+    @F.pandas_udf("double")
+    def angle(vectors: pd.Series, cells: pd.Series) -> pd.Series:
+        unit = _unit(np.vstack(vectors.to_numpy()).astype(np.float64))
+        out = np.arccos(np.clip(np.einsum("ij,ij->i", unit, shared.value[cells.to_numpy()]), -1.0, 1.0))
+        return pd.Series(np.where(unit.any(axis=1), out, 0.0))
+
+    widest = index.cells.groupBy("cell").agg(F.max(angle("embedding", "cell")).alias("angle")).toArrow()
+    radii = np.zeros(len(index.centres))
+    radii[widest.column("cell").to_numpy()] = widest.column("angle").to_numpy()
+    return radii
+
+
+def cells_to_read(queries: DataFrame, index: CellIndex, radii: np.ndarray, k: int = 50, n_probe: int = 2) -> DataFrame:
+    """Queries with ``cells``, those that may hold one of their ``k`` nearest rows.
+
+    The nearest ``n_probe`` cells give an upper bound for the distance of the k-th row. By the triangle inequality on the
+    sphere no row of a cell is nearer than the angle to its centre less its radius: cells beyond the bound stay unread.
+    A query with fewer than ``k`` rows in its first cells needs all of them.
+    """
+    q, _ = _sides(queries, index.cells)
+    first = ann(queries, index.cells, index.centres, k, n_probe)
+    reach = first.groupBy("query_id").agg(F.when(F.count("distance") == k, F.max("distance")).alias("reach"))
+    shared = q.sparkSession.sparkContext.broadcast((index.centres, radii))
+
+    @F.pandas_udf("array<int>")
+    def needed(vectors: pd.Series, reach: pd.Series) -> pd.Series:
+        centres, radii = shared.value
+        unit = _unit(np.vstack(vectors.to_numpy()).astype(np.float64))
+        bound = np.arccos(np.clip(1.0 - (reach.to_numpy(dtype=np.float64) + _SLACK), -1.0, 1.0)) + _ANGLE_SLACK
+        near = _angles(unit, centres) - radii[None, :] <= np.where(np.isnan(bound), np.inf, bound)[:, None]
+        return pd.Series([np.flatnonzero(row).astype("int32") for row in near])
+
+    return q.join(reach, "query_id", "left").withColumn("cells", needed("embedding", "reach")).drop("reach")
+
+
+def knn_in_cells(queries: DataFrame, index: CellIndex, k: int = 50, n_probe: int = 2, max_queries: int = BOUNDED_BLOCK, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """The result of :func:`knn` from an index, without reading the cells that cannot matter to any query.
+
+    Up to ``max_queries`` queries are broadcast with their cells, whose folders alone are read. More of them meet the
+    corpus in an equi-join on the cell, cut into tiles of bounded size.
+    """
+    schema, ddl = output_types(queries, index.cells)
+    if not len(index.centres):
+        return _final(index.cells.sparkSession.createDataFrame([], ddl), k)
+    kind = F.col("doc_type") if "doc_type" in index.cells.columns else F.lit("")
+    c = index.cells.select("chunk_id", "embedding", kind.alias("doc_type"), "cell")
+    asked = cells_to_read(queries, index, cell_radii(index), k, n_probe)
+    head = asked.limit(max_queries + 1).toArrow()
+    if head.num_rows <= max_queries:
+        block = _block_of(head)
+        block.probes = [np.asarray(x, np.int32) for x in head.column("cells").to_pylist()]
+        wanted = [int(x) for x in np.unique(np.concatenate(block.probes))] if block.ids else []
+        return _final(_scan(asked.sparkSession, c.where(F.col("cell").isin(wanted)), block, k, schema, ddl), k)
+    largest = c.groupBy("cell").count().agg(F.max("count")).first()[0] or 0
+    dealt = asked.withColumn("cell", F.explode("cells")).drop("cells")
+    return _final(_tiles(dealt, c, k, schema, ddl, asked.count(), largest, max_queries, tile_rows, ["cell"]), k)
+
+
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:
     """Share of exact neighbours the approximate search found."""
     found = exact.join(approx.select("query_id", "chunk_id", F.lit(1).alias("hit")), ["query_id", "chunk_id"], "left")

@@ -427,6 +427,14 @@ def _(t):
     return hits.withColumn("distance", _six("distance"))
 
 
+@query(
+    "v7_bounded_search",
+    f"WITH {_TWENTIETH} SELECT query_id, chunk_id, rank::INT AS rank, round(d + 1e-10, 6) AS distance FROM trank WHERE rank <= 10",
+)
+def _(t):
+    return knn.knn_in_cells(_every_twentieth(t), _cells(t), 10).withColumn("distance", _six("distance"))
+
+
 @query(
     "v17_expected_source",
     f"""WITH {_MEANS}, b AS (SELECT query_id, min(rank) AS fr FROM lrank WHERE rank <= 3 AND label = query_id GROUP BY 1)

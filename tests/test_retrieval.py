@@ -226,6 +226,33 @@ def test_cell_index_reaches_its_recall(spark, tmp_path):
     assert knn.build_cells(corpus.limit(0), str(tmp_path / "none")).cells.count() == 0
 
 
+def test_bounded_search_is_exact_and_leaves_cells_unread(spark, tmp_path):
+    gen = np.random.default_rng(9)
+    m = np.repeat(gen.normal(size=(40, 16)), 25, 0) + 0.08 * gen.normal(size=(1000, 16))
+    m[30:40] = m[30]  # ties
+    m[990:] = 0  # no direction
+    corpus = spark.createDataFrame(
+        [(i, [float(x) for x in v], "ab"[i % 2]) for i, v in enumerate(m)] + [(5000, None, "a")], "chunk_id bigint, embedding array<double>, doc_type string"
+    )
+    asked = [(i, [float(x) for x in m[i]], (None, "a", "none")[i % 3] if i else "b") for i in range(0, 1000, 33)] + [(5001, None, None)]
+    q = spark.createDataFrame(asked, "query_id bigint, embedding array<double>, doc_type string")
+    index = knn.build_cells(corpus, str(tmp_path))
+    want = sorted(map(tuple, knn.knn(q, corpus, 6).collect()), key=repr)
+    assert len(want) > 100
+    assert sorted(map(tuple, knn.knn_in_cells(q, index, 6).collect()), key=repr) == want
+    assert sorted(map(tuple, knn.knn_in_cells(q, index, 6, max_queries=3, tile_rows=16).collect()), key=repr) == want
+    read = knn.cells_to_read(q, index, knn.cell_radii(index), 6).selectExpr("query_id", "scope", "size(cells) AS n").collect()
+    read = {r["query_id"]: (r["scope"], r["n"]) for r in read}
+    assert all(n == len(index.centres) for scope, n in read.values() if scope == "none")  # no bound: everything is read
+    pruned = [n for i, (scope, n) in read.items() if scope != "none" and 40 < i < 990]
+    assert np.mean(pruned) < len(index.centres) / 4
+    zeros = knn.build_cells(corpus.where("chunk_id BETWEEN 990 AND 999"), str(tmp_path / "zeros"))
+    got = knn.knn_in_cells(q.limit(2), zeros, 3).collect()
+    assert {(r["chunk_id"], r["distance"]) for r in got if r["query_id"] == 0} == {(991, None), (993, None), (995, None)}
+    nothing = knn.build_cells(corpus.limit(0), str(tmp_path / "none"))
+    assert knn.knn_in_cells(q, nothing, 6).count() == 0 == knn.knn_in_cells(q.limit(0), index, 6).count()
+
+
 def test_encoder_and_dims(spark):
     df = spark.createDataFrame([(1, "a b b"), (2, "B a!"), (3, ""), (4, None)], "id int, t string")
     out = encode.embed(df, "t", lambda: encode.HashEncoder(16)).orderBy("id")
