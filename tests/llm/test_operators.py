@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import brute
 from tallyglass.llm import bpe, chat, jaccard, lines, mixing, near_vectors, pretokens, quality, repair, sharding, shared_keys, substrings
+from tallyglass.llm.bitmaps import with_maybe
 from tallyglass.llm.components import components
 from tallyglass.llm.queries import tokenizer_file
 from tallyglass.llm.shared_keys import Entries
@@ -135,6 +136,23 @@ def test_similar_texts_count_rows_that_share_an_id(spark):
     assert sorted((x.doc_id, x.n_links) for x in got) == sorted((d, n) for (d, _), n in zip(docs, want))
 
 
+def test_overlaps_of_lists_are_never_too_low():
+    """Entries of one short name count together: the first row has two under name 5, of weight 2 and 3."""
+    member, weight = np.array([5, 5, 7, 5, 7, 9]), np.array([2, 3, 1, 2, 1, 4])
+    got = jaccard._counts(member, weight, np.array([0, 3, 5, 6]), 0, 3)
+    assert got[0, 1] == 6 and got[0, 2] == got[1, 2] == 0
+
+
+@pytest.mark.parametrize("bitmaps", [1, 64])
+def test_bitmaps_miss_no_key(spark, bitmaps):
+    own = spark.range(-2000, 4000).withColumn("text", F.lit("t")).unionByName(spark.sql("SELECT CAST(NULL AS LONG) AS id, 't' AS text"))
+    keys = spark.range(-2000, 4000, 7)
+    got = {r.id: r.maybe for r in with_maybe(own, keys, "id", "maybe", bitmaps).collect()}
+    assert len(got) == 6001 and got[None] is False and all(got[k] for k in range(-2000, 4000, 7))
+    assert sum(got.values()) < (1100 if bitmaps == 1 else 900)
+    assert not any(r.maybe for r in with_maybe(own, keys.limit(0), "id", "maybe").collect())
+
+
 def test_components_of_chains_and_hubs(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(10, 60)] + [(7, 7), (None, 3)]
     got = {x.node: x.component for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
