@@ -17,7 +17,7 @@ import pandas as pd
 from tallyglass.llm.words import equal_runs, run_hashes, runs
 from tallyglass.llm.worker import per_worker
 
-BLOCK_CHARS = 1 << 21
+BLOCK_CHARS = 1 << 19
 MEMO_PIECES = 300_000
 MEMO_BYTES = 32 << 20
 _CELLS = 1 << 22

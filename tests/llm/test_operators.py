@@ -461,6 +461,17 @@ def test_words_hash_without_collisions():
         assert len(set(found)) == len(every)
 
 
+def test_pieces_are_found_in_small_blocks(monkeypatch):
+    """A block's arrays are several times its text: it stays below a megabyte of code points unless one text is longer."""
+    assert pretokens.BLOCK_CHARS <= 1 << 20
+    seen = []
+    own = pretokens.PieceEncoder(lambda pieces: [b"\x01\0\0\0"] * len(pieces))
+    block = own._block
+    monkeypatch.setattr(own, "_block", lambda texts: seen.append(sum(map(len, texts))) or block(texts))
+    assert len(own.ids(["word " * 1000] * 1000)) == 1000
+    assert max(seen) <= 1 << 20
+
+
 def test_classes_of_code_points():
     import sys
     import unicodedata
