@@ -19,6 +19,7 @@ from tallyglass.functions.text import keyword_tokens, raw_tokens
 from tallyglass.operators.knn import QUERY_BLOCK
 from tallyglass.operators.latest import top_per_key, top_per_key_in_shares
 from tallyglass.operators.keys import require_unique
+from tallyglass.operators.tasks import tidy
 from tallyglass.operators.topk import DIGITS, TopK, output_types
 from tallyglass.session import remove_dir, shared_dir
 
@@ -229,8 +230,8 @@ def wanted_postings(index: Bm25Index, terms: list[str]) -> DataFrame:
     return index.postings.where(_in_ranges(terms)).join(F.broadcast(numbers), "term")
 
 
-def _search(asked: pa.Table, index: Bm25Index, k: int, k1: float, b: float, schema: pa.Schema, ddl: str) -> DataFrame:
-    """query_id, chunk_id, value: the best ``k`` chunks of each task for one block of queries."""
+def _search(asked: pa.Table, index: Bm25Index, k: int | None, k1: float, b: float, schema: pa.Schema, ddl: str) -> DataFrame:
+    """query_id, chunk_id, value: the best ``k`` chunks of each task for one block of queries; without ``k``, all that share a term."""
     spark = index.postings.sparkSession
     terms, number = np.unique(np.asarray(asked.column("term").to_pylist(), dtype=object).astype(str), return_inverse=True)
     by_query = dict(zip(asked.column("query_id").to_pylist(), asked.column("scope").to_pylist()))
@@ -250,8 +251,12 @@ def _search(asked: pa.Table, index: Bm25Index, k: int, k1: float, b: float, sche
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, scopes, first, query, weight = shared.value
-        best = TopK(ids, scopes, k)
-        best.limit = 2 * k * len(ids) + 20_000  # the bar of each query rises with every cut
+        every: list[pa.RecordBatch] = []  # of one block, where all are wanted
+        if k is not None:
+            best = TopK(ids, scopes, k)
+            best.limit = 2 * k * len(ids) + 20_000  # the bar of each query rises with every cut
+        asked_scope = np.asarray([s or "" for s in scopes], dtype=object)
+        own_id = np.asarray(ids)
 
         def expand(term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             """For entries of terms: the entry and the place in ``query`` of each query that asks for it."""
@@ -264,6 +269,8 @@ def _search(asked: pa.Table, index: Bm25Index, k: int, k1: float, b: float, sche
         def block(head: dict, rows: pa.Table) -> None:
             term = rows.column("term_no").to_numpy()
             entry, asks = expand(term)
+            if k is None:
+                return whole(head, rows, term)
             bound = share(rows.column("max_tf").to_numpy().astype(float), rows.column("min_len").to_numpy())[entry] * weight[asks]
             most = np.bincount(query[asks], bound, len(ids))
             # A query stays if the block may hold a score as good as its k-th one; sums differ by rounding only.
@@ -285,6 +292,23 @@ def _search(asked: pa.Table, index: Bm25Index, k: int, k1: float, b: float, sche
             own = own.astype(str) if isinstance(head["ids"][0], str) else np.asarray(head["ids"])
             best.add(own, kinds, -total, keep=np.round(total, DIGITS) > 0, queries=stays)
 
+        def whole(head: dict, rows: pa.Table, term: np.ndarray) -> None:
+            place, tf, size = (rows.column(c).combine_chunks() for c in ("places", "tfs", "places"))
+            size = np.diff(size.offsets.to_numpy())
+            place, tf = place.flatten().to_numpy(), tf.flatten().to_numpy()
+            part = share(tf, np.asarray(head["lens"])[place])
+            entry, asks = expand(np.repeat(term, size))
+            stays, column = np.unique(query[asks], return_inverse=True)
+            cell, at = np.unique(place[entry].astype(np.int64) * max(1, len(stays)) + column, return_inverse=True)
+            total = np.bincount(at, part[entry] * weight[asks], len(cell))
+            chunk, column = np.divmod(cell, max(1, len(stays)))
+            kinds, scope = np.asarray([x or "" for x in head["kinds"]], dtype=object)[chunk], asked_scope[stays[column]]
+            fits = (np.asarray([s is None for s in scopes])[stays[column]]) | (scope == kinds)
+            chunk, total, asked_by = chunk[fits], total[fits], stays[column[fits]]
+            own = np.asarray(head["ids"], dtype=object if isinstance(head["ids"][0], str) else None)[chunk]
+            columns = [pa.array(own_id[asked_by].tolist(), schema.field(0).type), pa.array(own.tolist(), schema.field(1).type), pa.array(-np.round(total, DIGITS))]
+            every.append(pa.RecordBatch.from_arrays(columns, schema=schema))
+
         held = None  # rows of the last block, which may go on in the next batch
         for batch in batches:
             rows = pa.Table.from_batches([batch])
@@ -294,35 +318,35 @@ def _search(asked: pa.Table, index: Bm25Index, k: int, k1: float, b: float, sche
             for i, j in zip(cuts[:-2], cuts[1:-1]):
                 if j - i > 1:
                     block(_head(rows.slice(i, 1)), rows.slice(i + 1, j - i - 1))
+                    while every:
+                        yield every.pop()
             held = rows.slice(cuts[-2]) if len(number) else held
         if held is not None and held.num_rows > 1:
             block(_head(held.slice(0, 1)), held.slice(1))
-        out = best.batch(schema)
+        yield from every
+        out = best.batch(schema) if k is not None else None
         if out is not None:
             yield out
 
-    return rows.select(*names).mapInArrow(run, ddl)
+    return rows.select(*names).mapInArrow(tidy(run), ddl)
 
 
 def _head(row: pa.Table) -> dict:
     return {c: row.column(c)[0].as_py() for c in ("ids", "kinds", "lens")}
 
 
-def _scored_top(
-    queries: DataFrame, index: Bm25Index | IndexSource, k: int, k1: float = K1, b: float = B, epsilon: float = EPSILON,
+def _hits(
+    queries: DataFrame, index: Bm25Index, k: int | None, k1: float = K1, b: float = B, epsilon: float = EPSILON,
     max_terms: int = QUERY_TERMS, max_queries: int = QUERY_BLOCK,
 ) -> DataFrame:
-    """Best ``k`` chunks with a score above zero per query: query_id, chunk_id, score, rank.
+    """query_id, chunk_id, score: the best ``k`` chunks of each task, or all that share a term.
 
     Queries are taken in blocks of about ``max_queries`` queries and ``max_terms`` terms, dealt by a hash of their id, so
     what is broadcast does not grow with their number. A block reads the rows of its terms, brings them together by
-    block of chunks, and adds up a chunk's shares in the order of the terms, whatever the block; scores of single (query,
-    chunk) pairs never become rows. A repeated query id is refused.
+    block of chunks, and adds up a chunk's shares in the order of the terms, whatever the block. A repeated query id is refused.
     """
-    index = _stored(index)
     spark = queries.sparkSession
     require_unique(queries, ["query_id"], "queries")
-    order = [F.col("score").desc(), F.col("chunk_id").asc()]
     schema, ddl = output_types(queries, index.chunks)
     path = shared_dir(spark)
     weighted = _weighted_terms(queries, index, epsilon)
@@ -336,8 +360,21 @@ def _scored_top(
         asked = own.toArrow()
         if asked.num_rows:
             hits = hits.unionByName(_search(asked, index, k, k1, b, schema, ddl))
-    hits = hits.select("query_id", "chunk_id", (-F.col("value")).alias("score"))
-    return top_per_key_in_shares(hits, ["query_id"], order, k, "chunk_id")
+    return hits.select("query_id", "chunk_id", (-F.col("value")).alias("score"))
+
+
+def bm25_scores(queries: DataFrame, index: Bm25Index | IndexSource, **kw) -> DataFrame:
+    """query_id, chunk_id, score of every chunk that shares a term with the query."""
+    return _hits(queries, _stored(index), None, **kw)
+
+
+def _scored_top(queries: DataFrame, index: Bm25Index | IndexSource, k: int, **kw) -> DataFrame:
+    """Best ``k`` chunks with a score above zero per query: query_id, chunk_id, score, rank.
+
+    Scores of single (query, chunk) pairs never become rows.
+    """
+    order = [F.col("score").desc(), F.col("chunk_id").asc()]
+    return top_per_key_in_shares(_hits(queries, _stored(index), k, **kw), ["query_id"], order, k, "chunk_id")
 
 
 def _fill_pool(index: Bm25Index, k: int) -> DataFrame:

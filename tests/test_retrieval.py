@@ -358,3 +358,14 @@ def test_projection(spark, vectors):
     pts = {(r["kind"], r["id"]): (r["x"], r["y"]) for r in out}
     assert pts["query", "1"] == pts["chunk", "7"] and len(pts) == 301
     assert abs(sum(v[0] for k, v in pts.items() if k[0] == "chunk")) < 0.1
+
+
+def test_bm25_scores_have_every_chunk_that_shares_a_term(spark):
+    """Also beyond a top list, with a weight of zero, and within a document type."""
+    chunks = spark.createDataFrame([(i, "a" if i % 2 else "b", f"common w{i % 5}" if i < 90 else "other") for i in range(120)], "chunk_id long, doc_type string, content string")
+    queries = spark.createDataFrame([(1, "common", None), (2, "w3 nobody", "a"), (3, "absent", None)], "query_id long, text string, doc_type string")
+    index = kw.build_index(chunks)
+    got = {(r.query_id, r.chunk_id): r.score for r in kw.bm25_scores(queries, index, max_queries=1).collect()}
+    assert set(got) == {(1, i) for i in range(90)} | {(2, i) for i in range(90) if i % 5 == 3 and i % 2}
+    top = {(r.query_id, r.chunk_id): r.score for r in kw.bm25(queries, index, 5, fill=False).collect()}
+    assert top and all(abs(got[key] - score) < 1e-9 for key, score in top.items())
