@@ -78,7 +78,7 @@ class IndexSource:
         counted.write.mode("overwrite").parquet(f"{path}/texts")
         texts = spark.read.parquet(f"{path}/texts")
         block, place = F.expr(f"_n div {BLOCK_CHUNKS}").alias("block"), (F.col("_n") % BLOCK_CHUNKS).cast("int").alias("place")
-        runs = texts.select(block, place, "doc_len", F.col("_p.term").alias("terms"), F.col("_p.tf").alias("tfs")).mapInArrow(_runs, _RUNS)
+        runs = texts.select(block, place, "doc_len", F.col("_p.term").alias("terms"), F.col("_p.tf").alias("tfs")).mapInArrow(tidy(_runs), _RUNS)
         # Blocks of a term are dealt over the files; each file is in the order of its terms.
         dealt = runs.repartition("term", "block").sortWithinPartitions("term", "block")
         dealt.write.mode("overwrite").parquet(f"{path}/postings")
@@ -99,7 +99,7 @@ class IndexSource:
 
 
 _RUNS = "term string, block long, places array<int>, tfs array<int>, max_tf int, min_len int"
-_RUN_ROWS = 1 << 16
+_RUN_ROWS = 1 << 11  # a few blocks; entries of more texts are no closer together
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallyglass.functions.text import raw_tokens
 from tallyglass.functions.vectors import dot
 from tallyglass.operators.bm25 import term_counts
+from tallyglass.operators.tasks import tidy
 
 BATCH = 32
 
@@ -68,6 +69,8 @@ def embed(
 
 # Counts are damped in whole steps of this fineness, so that sums do not depend on their order.
 _STEPS = 1 << 20
+# Texts whose terms are added up at once.
+SUM_ROWS = 1000
 
 
 def hash_embed(df: DataFrame, text: str, out: str = "embedding", dims: int = 64) -> DataFrame:
@@ -91,19 +94,21 @@ def hash_embed(df: DataFrame, text: str, out: str = "embedding", dims: int = 64)
     schema = df.select(*kept, F.lit(None).cast("array<float>").alias(out)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = batch.column(len(kept))
-            size = pairs.value_lengths().fill_null(0).to_numpy()
-            slot, steps = (x.to_numpy() for x in pairs.flatten().flatten())
-            cell = np.repeat(np.arange(len(size)) * dims, size) + slot
-            # Whole numbers far below 2**53: doubles add them exactly.
-            total = np.bincount(cell.astype(np.int64), steps, len(size) * dims).astype(np.float64).reshape(-1, dims)
-            length = np.sqrt((total * total).sum(1, keepdims=True))
-            unit = np.divide(total, length, out=np.zeros_like(total), where=length > 0).astype(np.float32)
-            vectors = pa.ListArray.from_arrays(np.arange(0, unit.size + 1, dims, dtype=np.int32), pa.array(unit.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], vectors], [*kept, out])
-
-    return paired.mapInArrow(run, schema)
+        for whole in batches:
+            for first in range(0, whole.num_rows, SUM_ROWS):
+                batch = whole.slice(first, SUM_ROWS)
+                pairs = batch.column(len(kept))
+                size = pairs.value_lengths().fill_null(0).to_numpy()
+                slot, steps = (x.to_numpy() for x in pairs.flatten().flatten())
+                cell = np.repeat(np.arange(len(size)) * dims, size) + slot
+                # Whole numbers far below 2**53: doubles add them exactly.
+                total = np.bincount(cell.astype(np.int64), steps, len(size) * dims).astype(np.float64).reshape(-1, dims)
+                length = np.sqrt((total * total).sum(1, keepdims=True))
+                unit = np.divide(total, length, out=np.zeros_like(total), where=length > 0).astype(np.float32)
+                vectors = pa.ListArray.from_arrays(np.arange(0, unit.size + 1, dims, dtype=np.int32), pa.array(unit.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], vectors], [*kept, out])
+
+    return paired.mapInArrow(tidy(run), schema)
 
 
 def check_dims(df: DataFrame, vec: str, dims: int) -> DataFrame:

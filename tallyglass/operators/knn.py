@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tallyglass.operators.latest import top_per_key_in_shares
+from tallyglass.operators.tasks import tidy
 from tallyglass.operators.topk import BLOCK_CELLS, TopK, ids_of, output_types
 
 # A block of queries is sent to every executor: 4,096 vectors of 384 doubles are 12 MB.
@@ -161,7 +162,7 @@ def _scan(spark, corpus: DataFrame, block: _Block, k: int, schema: pa.Schema, dd
         if out is not None:
             yield out
 
-    return corpus.mapInArrow(run, ddl)
+    return corpus.mapInArrow(tidy(run), ddl)
 
 
 # ---------------------------------------------------------------- approximate

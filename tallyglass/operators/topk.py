@@ -8,8 +8,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 # Values are compared after rounding, so equal rows tie exactly and the id decides.
 DIGITS = 9
-# Cells of one dense rows x queries block: 32 MB of doubles.
-BLOCK_CELLS = 4_000_000
+# Cells of one dense rows x queries block: 8 MB of doubles, and a few times that while it is ranked.
+BLOCK_CELLS = 1_000_000
 
 
 class TopK:

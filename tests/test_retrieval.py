@@ -369,3 +369,10 @@ def test_bm25_scores_have_every_chunk_that_shares_a_term(spark):
     assert set(got) == {(1, i) for i in range(90)} | {(2, i) for i in range(90) if i % 5 == 3 and i % 2}
     top = {(r.query_id, r.chunk_id): r.score for r in kw.bm25(queries, index, 5, fill=False).collect()}
     assert top and all(abs(got[key] - score) < 1e-9 for key, score in top.items())
+
+
+def test_vectors_of_more_texts_than_are_added_up_at_once(spark):
+    texts = [f"w{i % 7} w{i % 11} w{i % 7}" for i in range(2 * encode.SUM_ROWS + 77)]
+    own = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    got = {r.id: r.embedding for r in encode.hash_embed(own, "text").collect()}
+    assert len(got) == len(texts) and all(got[i] == got[i % 77] for i in got)
