@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tallyglass.functions.once import named
 from tallyglass.functions.text import strip
 
 CHUNK_SIZE = 256
@@ -30,11 +31,6 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _named(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed once: lambdas share no subexpressions, but a lambda's argument is one."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _running(lengths: Column, levels: int = 2) -> Column:
     """[0, l1, l1+l2, ...]
 
@@ -62,8 +58,8 @@ def _running(lengths: Column, levels: int = 2) -> Column:
     def totals(sums):
         return F.transform(sums, lambda s: F.element_at(s, -1))
 
-    return _named(
-        _named(lengths, folded), lambda sums: _named(_running(totals(sums), levels - 1), lambda before: moved(sums, before))
+    return named(
+        named(lengths, folded), lambda sums: named(_running(totals(sums), levels - 1), lambda before: moved(sums, before))
     )
 
 
@@ -74,9 +70,9 @@ def doc_title(content: Column | str) -> Column:
 
 def _sections(content: Column) -> Column:
     """Array of (section_no, section, section_text, section_start) of one document."""
-    laid_out = _named(
+    laid_out = named(
         F.split(content, r"(?md)(?=^## [^\n])"),
-        lambda pieces: _named(
+        lambda pieces: named(
             _running(F.transform(pieces, lambda p: F.length(p))),
             lambda at: F.transform(
                 pieces, lambda p, i: F.struct(p.alias("section_text"), F.get(at, i).alias("section_start"))
@@ -132,9 +128,9 @@ def tokenize_offsets(text: Column | str) -> Column:
         tok = F.regexp_extract(p, f"^{_TOKEN}+", 0)
         return F.struct(tok.alias("token"), start.alias("char_start"), (start + F.length(tok)).alias("char_end"))
 
-    return _named(
+    return named(
         F.struct(lead.alias("lead"), pieces.alias("pieces")),
-        lambda cut: _named(
+        lambda cut: named(
             _running(F.transform(cut["pieces"], lambda p: F.length(p))),
             lambda at: F.transform(cut["pieces"], lambda p, i: placed(p, cut["lead"] + F.get(at, i))),
         ),

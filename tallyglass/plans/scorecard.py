@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tallyglass.functions.once import pinned
 from tallyglass.operators import scoring
 
 
@@ -98,8 +99,11 @@ def retrieval_misses(
 
 
 def misses(scored: DataFrame, passed: str, dimension: str, key: str, expected: Column, actual: Column) -> DataFrame:
-    """Failed cases of one dimension with what was expected and what came."""
-    return scored.where(~F.coalesce(F.col(passed), F.lit(True))).select(
+    """Failed cases of one dimension with what was expected and what came.
+
+    The verdict is pinned: its filter would repeat the rules behind it for each of their mentions.
+    """
+    return pinned(scored, _lost=~F.coalesce(F.col(passed), F.lit(True))).where("_lost").select(
         F.lit(dimension).alias("dimension"),
         F.col(key).cast("string").alias("case_id"),
         expected.cast("string").alias("expected"),

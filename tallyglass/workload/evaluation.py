@@ -330,7 +330,10 @@ def _(t):
     _DIM_ROLES,
 )
 def _(t):
-    hedged, ranked, wanted = scoring.hedge_eval(t.cases()), _sources(t), _expected(t)
+    # The ranked sources are read three times; at most 20 a question, they are searched for once.
+    path = shared_dir(t.spark)
+    _sources(t).write.parquet(path)
+    hedged, ranked, wanted = scoring.hedge_eval(t.cases()), t.spark.read.parquet(path), _expected(t)
     a = card.misses(_routed(t), "route_passed", "routing", "case_id", F.col("expected_route"), F.col("actual_route"))
     b = card.misses(scoring.score_guardrail(_audited(t)), "case_passed", "guardrails", "stmt_id", F.col("expected"), F.col("actual"))
     c = card.misses(

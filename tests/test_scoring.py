@@ -127,3 +127,12 @@ def test_misses_of_measures_and_retrieval(spark):
     found = s.score_retrieval(ranked, wanted)
     got = sorted((r["case_id"], r["expected"], r["actual"]) for r in card.retrieval_misses(found, ranked, wanted).collect())
     assert got == [("2", "a,q", "y,z"), ("3", "a", "")]
+
+
+def test_misses_state_the_rules_behind_a_verdict_once(spark):
+    texts = F.transform(F.array("id"), lambda x: F.regexp_replace(x.cast("string"), "1", ""))
+    scored = spark.range(40).withColumn("left", F.size(F.filter(texts, lambda x: x != "")))
+    scored = scored.withColumn("ok", (F.col("left") > 0) & (F.col("left") < 9) & (F.col("left") != 5))
+    lost = card.misses(scored, "ok", "d", "id", F.lit("a"), F.lit("b"))
+    assert [r.case_id for r in lost.orderBy(F.col("case_id").cast("int")).collect()] == ["1", "11"]
+    assert lost._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
