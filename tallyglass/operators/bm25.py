@@ -15,11 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyglass.functions.text import keyword_tokens, raw_tokens
+from tallyglass.functions.joins import BROADCAST_ROWS
+from tallyglass.functions.text import STOPWORDS, keyword_tokens, raw_tokens
 from tallyglass.operators.knn import QUERY_BLOCK
 from tallyglass.operators.latest import top_per_key, top_per_key_in_shares
 from tallyglass.operators.keys import require_unique
 from tallyglass.operators.tasks import tidy
+from tallyglass.operators.tokens import counted_tokens, slices
 from tallyglass.operators.topk import DIGITS, TopK, output_types
 from tallyglass.session import remove_dir, shared_dir
 
@@ -66,70 +68,82 @@ class IndexSource:
     def save(self, path: str) -> Bm25Index:
         """Write the index and return it on the written tables.
 
-        Texts are tokenised once, into a table with the terms of each chunk and its place in a block; the others
-        derive from it. A term that stands in a third of all chunks is spread over its blocks.
+        Texts are tokenised once, in the tasks that read them, into rows by term and block and one row for each block;
+        the others derive from it. A term that stands in a third of all chunks is spread over its blocks.
         """
         spark = self.chunks.sparkSession
-        toks = self.chunks.select("chunk_id", "doc_type", F.sort_array(keyword_tokens(self.text)).alias("_t"))
         # Numbers of rows do not run on from one partition to the next, and neither do blocks.
-        counted = toks.select(
-            "chunk_id", "doc_type", F.size("_t").alias("doc_len"), term_counts("_t").alias("_p"), F.monotonically_increasing_id().alias("_n")
-        )
-        counted.write.mode("overwrite").parquet(f"{path}/texts")
-        texts = spark.read.parquet(f"{path}/texts")
-        block, place = F.expr(f"_n div {BLOCK_CHUNKS}").alias("block"), (F.col("_n") % BLOCK_CHUNKS).cast("int").alias("place")
-        runs = texts.select(block, place, "doc_len", F.col("_p.term").alias("terms"), F.col("_p.tf").alias("tfs")).mapInArrow(tidy(_runs), _RUNS)
+        numbered = self.chunks.select("chunk_id", "doc_type", F.lower(self.text).alias("_t"), F.monotonically_increasing_id().alias("_n"))
+        own = numbered.schema["chunk_id"].dataType.simpleString()
+        numbered.mapInArrow(tidy(_runs), f"{_RUNS}, ids array<{own}>, kinds array<string>").write.mode("overwrite").parquet(f"{path}/runs")
+        runs = spark.read.parquet(f"{path}/runs")
         # Blocks of a term are dealt over the files; each file is in the order of its terms.
-        dealt = runs.repartition("term", "block").sortWithinPartitions("term", "block")
+        dealt = runs.where("term is not null").drop("ids", "kinds").repartition("term", "block").sortWithinPartitions("term", "block")
         dealt.write.mode("overwrite").parquet(f"{path}/postings")
-        own = F.sort_array(F.collect_list(F.struct(place, "chunk_id", "doc_type", "doc_len")))
-        blocks = texts.groupBy(block).agg(own.alias("_c")).select(
-            "block", F.col("_c.chunk_id").alias("ids"), F.col("_c.doc_type").alias("kinds"), F.col("_c.doc_len").alias("lens")
+        heads = runs.where("term is null").select("block", F.arrays_zip("places", "ids", "kinds", F.col("tfs").alias("lens")).alias("_c"))
+        blocks = heads.groupBy("block").agg(F.sort_array(F.flatten(F.collect_list("_c"))).alias("_c")).select(
+            "block", F.col("_c.ids").alias("ids"), F.col("_c.kinds").alias("kinds"), F.col("_c.lens").alias("lens")
         )
         blocks.write.mode("overwrite").parquet(f"{path}/blocks")
-        texts.select("chunk_id", "doc_type").write.mode("overwrite").parquet(f"{path}/chunks")
+        chunks = spark.read.parquet(f"{path}/blocks").select(F.inline(F.arrays_zip(F.col("ids").alias("chunk_id"), F.col("kinds").alias("doc_type"))))
+        chunks.write.mode("overwrite").parquet(f"{path}/chunks")
         sums = F.aggregate("tfs", F.lit(0).cast("bigint"), lambda a, x: a + x)
         terms = spark.read.parquet(f"{path}/postings").groupBy("term").agg(
             F.sum(F.size("places")).alias("df"), F.sum(sums).alias("cf"), F.max("max_tf").alias("max_tf")
         )
         terms.write.mode("overwrite").parquet(f"{path}/terms")
         _stats(spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/chunks")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
-        remove_dir(spark, f"{path}/texts")
+        remove_dir(spark, f"{path}/runs")
         return load_index(spark, path)
 
 
 _RUNS = "term string, block long, places array<int>, tfs array<int>, max_tf int, min_len int"
-_RUN_ROWS = 1 << 11  # a few blocks; entries of more texts are no closer together
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings by (term, block) from rows of ``block, place, doc_len, terms, tfs`` that come block by block.
+    """Postings by (term, block) from rows of ``chunk_id, doc_type, lower-cased text, number``.
 
-    A block that is cut, at the end of a batch or of a task, gives two rows for a term; a search adds them up.
+    A row without a term has the chunks of a block: places, lengths in place of frequencies, ids and types. A block that
+    is cut, at the end of a batch or of a task, gives two rows for a term; a search adds them up.
     """
     for batch in batches:
-        for at in range(0, batch.num_rows, _RUN_ROWS):
-            rows = batch.slice(at, _RUN_ROWS)
-            size = rows.column("terms").value_lengths().fill_null(0).to_numpy()
-            term = rows.column("terms").flatten().dictionary_encode()
-            if not len(term):
-                continue
-            row = np.repeat(np.arange(len(size)), size)
-            block = rows.column("block").to_numpy()[row]
-            code = term.indices.to_numpy()
-            order = np.lexsort((code, block))
-            block, code, row = block[order], code[order], row[order]
-            tf = rows.column("tfs").flatten().to_numpy()[order].astype(np.int32)
-            first = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (code[1:] != code[:-1])])
-            offsets = pa.array(np.r_[first, len(code)].astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    term.dictionary.take(pa.array(code[first])), pa.array(block[first]),
-                    pa.ListArray.from_arrays(offsets, pa.array(rows.column("place").to_numpy()[row])), pa.ListArray.from_arrays(offsets, pa.array(tf)),
-                    pa.array(np.maximum.reduceat(tf, first)), pa.array(np.minimum.reduceat(rows.column("doc_len").to_numpy()[row], first)),
-                ],
-                ["term", "block", "places", "tfs", "max_tf", "min_len"],
-            )
+        number = batch.column(3).to_numpy()
+        starts = np.flatnonzero(np.r_[True, number[1:] // BLOCK_CHUNKS != number[:-1] // BLOCK_CHUNKS])
+        for i, j in slices(batch.column(2), starts):
+            yield from _slice_runs(batch.slice(i, j - i))
+
+
+def _slice_runs(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in _RUNS.split(", ")] + ["ids", "kinds"]
+    own, kinds = rows.column(0), rows.column(1)
+    at_block, at_place = np.divmod(rows.column(3).to_numpy(), BLOCK_CHUNKS)
+    at_place = at_place.astype(np.int32)
+    terms, row, code, tf, size = counted_tokens(rows.column(2), STOPWORDS)
+    size = size.astype(np.int32)
+
+    def lists(first, values):
+        return pa.ListArray.from_arrays(pa.array(np.r_[first, len(values)].astype(np.int32)), values if isinstance(values, pa.Array) else pa.array(values))
+
+    def none(n, kind):
+        return pa.nulls(n, pa.list_(kind))
+
+    first = np.flatnonzero(np.r_[True, at_block[1:] != at_block[:-1]])
+    n = len(first)
+    head = [pa.nulls(n, pa.string()), pa.array(at_block[first]), lists(first, at_place), lists(first, size), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), lists(first, own), lists(first, kinds)]
+    yield pa.RecordBatch.from_arrays(head, names)
+    if not len(row):
+        return
+    order = np.lexsort((row, code, at_block[row]))
+    block, code, row, tf = at_block[row][order], code[order], row[order], tf[order].astype(np.int32)
+    first = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (code[1:] != code[:-1])])
+    n = len(first)
+    yield pa.RecordBatch.from_arrays(
+        [
+            terms.take(pa.array(code[first])), pa.array(block[first]), lists(first, at_place[row]), lists(first, tf),
+            pa.array(np.maximum.reduceat(tf, first)), pa.array(np.minimum.reduceat(size[row], first)), none(n, own.type), none(n, kinds.type),
+        ],
+        names,
+    )
 
 
 def load_index(spark: SparkSession, path: str) -> Bm25Index:
@@ -153,28 +167,6 @@ def _stats(terms: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
-def term_counts(tokens: str) -> Column:
-    """Array of (term, tf) from a column that holds the *sorted* tokens of one text.
-
-    Runs of equal tokens are found by their starts, which is linear and stays on the row.
-    """
-    toks, n = F.col(tokens), F.size(tokens)
-    starts = F.filter(
-        F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(toks, i) != F.get(toks, i - 1))
-    )
-    # transform over one element names the starts, so that they are computed once per text.
-    runs = F.transform(
-        F.array(starts),
-        lambda s: F.transform(
-            s,
-            lambda at, j: F.struct(
-                F.get(toks, at).alias("term"), (F.coalesce(F.get(s, j + 1), n) - at).cast("bigint").alias("tf")
-            ),
-        ),
-    )
-    return F.when(n > 0, F.get(runs, F.lit(0)))
-
-
 def build_index(chunks: DataFrame, text: str = "content") -> IndexSource:
     """What the index of ``chunk_id, doc_type, <text>`` is made of; frequencies and lengths cover the whole corpus.
 
@@ -187,17 +179,6 @@ def _stored(index: Bm25Index | IndexSource) -> Bm25Index:
     return index if isinstance(index, Bm25Index) else index.save(shared_dir(index.chunks.sparkSession))
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """query_id, scope, term, qtf: a repeated query term counts as often as it stands there."""
-    scope = F.col("doc_type") if "doc_type" in queries.columns else F.lit(None).cast("string")
-    return (
-        queries.select("query_id", scope.alias("scope"), F.explode_outer(keyword_tokens("text")).alias("term"))
-        .where("term is not null")
-        .groupBy("query_id", "scope", "term")
-        .agg(F.count("*").alias("qtf"))
-    )
-
-
 def token_view(queries: DataFrame) -> DataFrame:
     """Tokens of each query before and after the stopwords."""
     return queries.select(
@@ -205,14 +186,58 @@ def token_view(queries: DataFrame) -> DataFrame:
     )
 
 
-def _weighted_terms(queries: DataFrame, index: Bm25Index, epsilon: float) -> DataFrame:
-    """query_id, scope, term, weight: query terms that are in the corpus, qtf x idf."""
+@dataclass(frozen=True)
+class _Asked:
+    """queries(query_id, scope, terms) · classes(query_id, scope, terms), one query for all of one scope and the same terms.
+
+    ``terms`` are those of the corpus, sorted, with repeats. Words that no chunk has make no difference to a result.
+    """
+
+    queries: DataFrame
+    classes: DataFrame
+    n_queries: int
+    n_classes: int
+
+    def spread(self, results: DataFrame, k: int | None) -> DataFrame:
+        """Results of the classes, at most ``k`` rows each, for all their queries."""
+        if self.n_classes == self.n_queries:
+            return results
+        rest = [c for c in results.columns if c != "query_id"]
+        key, of = F.struct("scope", "terms").alias("_key"), F.col("query_id").alias("_class")
+        classes, queries = self.classes.select(key, of), self.queries.select(key, "query_id")
+        small = self.n_classes <= BROADCAST_ROWS
+        members = queries.join(F.broadcast(classes) if small else classes, "_key").select("query_id", "_class")
+        results = results.withColumnRenamed("query_id", "_class")
+        if self.n_queries <= BROADCAST_ROWS:
+            members = F.broadcast(members)
+        elif k is not None and self.n_classes * k <= BROADCAST_ROWS:
+            results = F.broadcast(results)
+        return members.join(results, "_class").select("query_id", *rest)
+
+
+def _asked(queries: DataFrame, index: Bm25Index) -> _Asked:
+    spark = queries.sparkSession
+    require_unique(queries, ["query_id"], "queries")
+    scope = F.col("doc_type") if "doc_type" in queries.columns else F.lit(None).cast("string")
+    words = queries.select("query_id", scope.alias("scope"), F.explode_outer(keyword_tokens("text")).alias("term"))
+    known = words.join(index.terms.select("term", F.lit(True).alias("_known")), "term", "left")
+    own = known.groupBy("query_id", "scope").agg(F.sort_array(F.collect_list(F.when(F.col("_known"), F.col("term")))).alias("terms"))
+    path = shared_dir(spark)
+    own.write.parquet(f"{path}/queries")
+    own = spark.read.parquet(f"{path}/queries")
+    own.groupBy("scope", "terms").agg(F.min("query_id").alias("query_id")).write.parquet(f"{path}/classes")
+    classes = spark.read.parquet(f"{path}/classes")
+    return _Asked(own, classes, own.count(), classes.count())
+
+
+def _weighted_terms(asked: DataFrame, index: Bm25Index, epsilon: float) -> DataFrame:
+    """query_id, scope, term, weight of queries with their terms: how often each stands there x idf."""
     s = F.col("_s")
     idf = _idf(s["n_docs"], F.col("df"))
     floor = F.greatest(F.lit(epsilon) * s["mean_idf"], F.lit(0.0))
+    counted = asked.select("query_id", "scope", F.explode("terms").alias("term")).groupBy("query_id", "scope", "term").agg(F.count("*").alias("qtf"))
     return (
-        query_terms(queries)
-        .join(index.terms, "term")
+        counted.join(index.terms, "term")
         .withColumn("_s", index.stats.select(F.struct("n_docs", "mean_idf")).scalar())
         .select("query_id", "scope", "term", (F.col("qtf") * F.when(idf < 0, floor).otherwise(idf)).alias("weight"))
     )
@@ -336,20 +361,19 @@ def _head(row: pa.Table) -> dict:
 
 
 def _hits(
-    queries: DataFrame, index: Bm25Index, k: int | None, k1: float = K1, b: float = B, epsilon: float = EPSILON,
+    asked: _Asked, index: Bm25Index, k: int | None, k1: float = K1, b: float = B, epsilon: float = EPSILON,
     max_terms: int = QUERY_TERMS, max_queries: int = QUERY_BLOCK,
 ) -> DataFrame:
-    """query_id, chunk_id, score: the best ``k`` chunks of each task, or all that share a term.
+    """query_id, chunk_id, score of the classes of queries: the best ``k`` chunks of each task, or all that share a term.
 
-    Queries are taken in blocks of about ``max_queries`` queries and ``max_terms`` terms, dealt by a hash of their id, so
+    They are taken in blocks of about ``max_queries`` queries and ``max_terms`` terms, dealt by a hash of their id, so
     what is broadcast does not grow with their number. A block reads the rows of its terms, brings them together by
-    block of chunks, and adds up a chunk's shares in the order of the terms, whatever the block. A repeated query id is refused.
+    block of chunks, and adds up a chunk's shares in the order of the terms, whatever the block.
     """
-    spark = queries.sparkSession
-    require_unique(queries, ["query_id"], "queries")
-    schema, ddl = output_types(queries, index.chunks)
+    spark = asked.queries.sparkSession
+    schema, ddl = output_types(asked.queries, index.chunks)
     path = shared_dir(spark)
-    weighted = _weighted_terms(queries, index, epsilon)
+    weighted = _weighted_terms(asked.classes, index, epsilon)
     weighted.write.parquet(path)
     weighted = spark.read.schema(weighted.schema).parquet(path)
     size = weighted.agg(F.count("*").alias("terms"), F.count_distinct("query_id").alias("queries")).first()
@@ -357,24 +381,26 @@ def _hits(
     hits = spark.createDataFrame([], ddl)
     for number in range(n):
         own = weighted if n == 1 else weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == number)
-        asked = own.toArrow()
-        if asked.num_rows:
-            hits = hits.unionByName(_search(asked, index, k, k1, b, schema, ddl))
+        block = own.toArrow()
+        if block.num_rows:
+            hits = hits.unionByName(_search(block, index, k, k1, b, schema, ddl))
     return hits.select("query_id", "chunk_id", (-F.col("value")).alias("score"))
 
 
 def bm25_scores(queries: DataFrame, index: Bm25Index | IndexSource, **kw) -> DataFrame:
     """query_id, chunk_id, score of every chunk that shares a term with the query."""
-    return _hits(queries, _stored(index), None, **kw)
+    index = _stored(index)
+    asked = _asked(queries, index)
+    return asked.spread(_hits(asked, index, None, **kw), None)
 
 
-def _scored_top(queries: DataFrame, index: Bm25Index | IndexSource, k: int, **kw) -> DataFrame:
-    """Best ``k`` chunks with a score above zero per query: query_id, chunk_id, score, rank.
+def _scored_top(asked: _Asked, index: Bm25Index, k: int, **kw) -> DataFrame:
+    """Best ``k`` chunks with a score above zero per class of queries: query_id, chunk_id, score, rank.
 
     Scores of single (query, chunk) pairs never become rows.
     """
     order = [F.col("score").desc(), F.col("chunk_id").asc()]
-    return top_per_key_in_shares(_hits(queries, _stored(index), k, **kw), ["query_id"], order, k, "chunk_id")
+    return top_per_key_in_shares(_hits(asked, index, k, **kw), ["query_id"], order, k, "chunk_id")
 
 
 def _fill_pool(index: Bm25Index, k: int) -> DataFrame:
@@ -394,15 +420,16 @@ def bm25(queries: DataFrame, index: Bm25Index | IndexSource, k: int = 50, fill:
 
     ``queries``: query_id, text and optionally doc_type (null = all). Chunks without a shared term
     score 0 and fill the list in chunk-id order, as a full scan of the corpus would: the best ``k``
-    scored chunks are joined by a bounded pool of zeros and ranked again.
+    scored chunks are joined by a bounded pool of zeros and ranked again. Queries of one type with the same terms of the
+    corpus are answered once. A repeated query id is refused.
     """
     index = _stored(index)
+    asked = _asked(queries, index)
     order = [F.col("score").desc(), F.col("chunk_id").asc()]
-    best = _scored_top(queries, index, k, **kw)
+    best = _scored_top(asked, index, k, **kw)
     if not fill:
-        return best
-    scope = F.col("doc_type") if "doc_type" in queries.columns else F.lit(None).cast("string")
-    asked = queries.select("query_id", F.coalesce(F.concat(F.lit("="), scope), F.lit("*")).alias("scope"))
-    zeros = asked.join(_fill_pool(index, k), "scope").select("query_id", "chunk_id", F.lit(0.0).alias("score"))
+        return asked.spread(best, k)
+    wanted = asked.classes.select("query_id", F.coalesce(F.concat(F.lit("="), "scope"), F.lit("*")).alias("scope"))
+    zeros = wanted.join(_fill_pool(index, k), "scope").select("query_id", "chunk_id", F.lit(0.0).alias("score"))
     both = best.drop("rank").unionByName(zeros).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
-    return top_per_key(both, ["query_id"], order, k)
+    return asked.spread(top_per_key(both, ["query_id"], order, k), k)

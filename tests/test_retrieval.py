@@ -4,13 +4,16 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tallyglass.functions.text import STOPWORDS, keyword_tokens
 from tallyglass.operators import bm25 as kw
 from tallyglass.operators import encode, fusion, knn
+from tallyglass.operators import tokens
 from tallyglass.plans.retrieval import retrieve, trace
+from tallyglass.session import shared_dir
 
 rng = random.Random(5)
 WORDS = [f"w{i}" for i in range(40)] + ["order_status", "the", "of"]
@@ -376,3 +379,36 @@ def test_vectors_of_more_texts_than_are_added_up_at_once(spark):
     own = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
     got = {r.id: r.embedding for r in encode.hash_embed(own, "text").collect()}
     assert len(got) == len(texts) and all(got[i] == got[i % 77] for i in got)
+
+
+def test_queries_with_the_same_terms_are_answered_once(spark):
+    chunks = spark.createDataFrame([(i, "a" if i % 2 else "b", f"common w{i % 5}" if i else None) for i in range(60)], "chunk_id long, doc_type string, content string")
+    rows = [(i, f"zzz_{i} w3", "a" if i % 3 else None) for i in range(30)] + [(30, None, "b"), (31, "w3 w3", "a"), (32, "", "nowhere")]
+    queries = spark.createDataFrame(rows, "query_id long, text string, doc_type string")
+    index = kw.build_index(chunks).save(shared_dir(spark))
+    asked = kw._asked(queries, index)
+    assert (asked.n_queries, asked.n_classes) == (33, 5)
+    got = {}
+    for r in kw.bm25(queries, index, 4).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.chunk_id, r.rank, r.score > 0))
+    assert [x[0] for x in got[1]] == [3, 13, 23, 33] and got[1] == got[29] and all(x[2] for x in got[1])
+    assert [x[0] for x in got[0]] == [3, 8, 13, 18] and got[0] == got[27]
+    assert got[30] == [(0, 1, False), (2, 2, False), (4, 3, False), (6, 4, False)]
+    assert len(got) == 32 and 32 not in got
+    every = kw.bm25_scores(queries, index).groupBy("query_id").count().collect()
+    assert {r.query_id: r["count"] for r in every} == {i: 6 if i % 3 else 12 for i in range(30)} | {31: 6}
+
+
+def test_tokens_of_a_batch_are_those_of_its_texts():
+    texts = ["a_1 b--b", None, "", "b", "the\u00e9x\U0001f600y the", "é", "end", "x" * 9 + " of of", "-"] * 3
+    for first in (0, 1, 4):
+        own = pa.array(texts).slice(first)
+        got = [Counter() for _ in own]
+        size = []
+        for i, j in tokens.slices(own, np.arange(0, len(own), 2), rows=5, most=12):
+            names, row, code, count, n = tokens.counted_tokens(own.slice(i, j - i), ("of",))
+            size += n.tolist()
+            for r, c, m in zip(row, code, count):
+                got[i + r][names[int(c)].as_py()] += int(m)
+        want = [Counter(w for w in re.findall("[a-z0-9_]+", x or "") if w != "of") for x in texts[first:]]
+        assert got == want and size == [x.total() for x in want]
