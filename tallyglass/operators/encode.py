@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
@@ -11,12 +12,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tallyglass.functions.text import raw_tokens
 from tallyglass.functions.vectors import dot
-from tallyglass.operators.bm25 import term_counts
 from tallyglass.operators.tasks import tidy
+from tallyglass.operators.tokens import counted_tokens, slices
 
 BATCH = 32
 
@@ -69,46 +69,42 @@ def embed(
 
 # Counts are damped in whole steps of this fineness, so that sums do not depend on their order.
 _STEPS = 1 << 20
-# Texts whose terms are added up at once.
+# Texts whose tokens are counted at once, at most.
 SUM_ROWS = 1000
 
 
+def _placed(names: list[str], dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slot and sign of each token."""
+    digests = [hashlib.md5(x.encode()).digest() for x in names]
+    first = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 16)[:, :3].astype(np.int64)
+    return (first[:, 0] * 256 + first[:, 1]) % dims, np.where(first[:, 2] >= 128, 1, -1)
+
+
 def hash_embed(df: DataFrame, text: str, out: str = "embedding", dims: int = 64) -> DataFrame:
     """Adds an ARRAY<FLOAT> column by signed feature hashing.
 
     A token's slot and sign come from its MD5; its count is damped to 1 + ln(n); the vector has unit length, or is all
-    zeros for a text without tokens. Tokens, counts, slots and steps are built-in expressions on the row; tasks add them up
-    a batch at a time.
+    zeros for a text without tokens. Tasks count the tokens of a batch at a time, and add up in whole steps.
     """
-
-    def placed(p: Column) -> Column:
-        digest = F.md5(p["term"])
-        slot = F.conv(F.substring(digest, 1, 4), 16, 10).cast("int") % dims
-        sign = F.when(F.substring(digest, 5, 1) >= "8", 1).otherwise(-1)
-        steps = F.round((1 + F.ln(p["tf"].cast("double"))) * _STEPS).cast("bigint")
-        return F.struct(slot.alias("slot"), (sign * steps).alias("steps"))
-
-    toks = df.withColumn("_t", F.sort_array(raw_tokens(F.coalesce(F.col(text), F.lit("")))))
-    paired = toks.select(*[c for c in df.columns if c != out], F.transform(term_counts("_t"), placed).alias("_p"))
     kept = [c for c in df.columns if c != out]
     schema = df.select(*kept, F.lit(None).cast("array<float>").alias(out)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for first in range(0, whole.num_rows, SUM_ROWS):
-                batch = whole.slice(first, SUM_ROWS)
-                pairs = batch.column(len(kept))
-                size = pairs.value_lengths().fill_null(0).to_numpy()
-                slot, steps = (x.to_numpy() for x in pairs.flatten().flatten())
-                cell = np.repeat(np.arange(len(size)) * dims, size) + slot
+            for first, last in slices(whole.column(len(kept)), rows=SUM_ROWS):
+                batch = whole.slice(first, last - first)
+                names, row, code, count, _ = counted_tokens(batch.column(len(kept)))
+                slot, sign = _placed(names.to_pylist(), dims)
+                steps = sign[code] * np.floor((1 + np.log(count.astype(np.float64))) * _STEPS + 0.5)
                 # Whole numbers far below 2**53: doubles add them exactly.
-                total = np.bincount(cell.astype(np.int64), steps, len(size) * dims).astype(np.float64).reshape(-1, dims)
+                total = np.bincount(row * dims + slot[code], steps, len(batch) * dims).astype(np.float64).reshape(-1, dims)
                 length = np.sqrt((total * total).sum(1, keepdims=True))
                 unit = np.divide(total, length, out=np.zeros_like(total), where=length > 0).astype(np.float32)
                 vectors = pa.ListArray.from_arrays(np.arange(0, unit.size + 1, dims, dtype=np.int32), pa.array(unit.ravel()))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], vectors], [*kept, out])
 
-    return paired.mapInArrow(tidy(run), schema)
+    lowered = F.lower(F.coalesce(F.col(text), F.lit("")))
+    return df.select(*kept, lowered.alias("_t")).mapInArrow(tidy(run), schema)
 
 
 def check_dims(df: DataFrame, vec: str, dims: int) -> DataFrame:
