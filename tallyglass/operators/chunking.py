@@ -11,14 +11,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyglass.functions.once import named
 from tallyglass.functions.text import strip
+from tallyglass.operators.tasks import tidy
+from tallyglass.operators.tokens import slices, token_spans
 
 CHUNK_SIZE = 256
 OVERLAP = 32
-_RUN = 16
 _FOLD = 64
 
 # A token is a run of non-space characters; a piece is a token with the space after it.
@@ -140,43 +142,23 @@ def tokenize_offsets(text: Column | str) -> Column:
 def token_positions(df: DataFrame, text: str) -> DataFrame:
     """One row per token with its character offsets in ``text``.
 
-    The text is cut into strides and these into short runs before tokens are laid out, so every
-    running sum is over a short list and the work stays linear for texts of any length.
+    Tokens are found in the bytes of many texts at once, so the work is linear for texts of any length and no expression
+    is worked out for a single token.
     """
     rest = [c for c in df.columns if c != text]
-    level1 = _positions(df.select(*rest, F.col(text).alias("_s"), F.lit(0).alias("_base"), F.lit(0).alias("_no")), rest, CHUNK_SIZE)
-    level2 = _positions(level1, rest, _RUN)
-    return level2.select(
-        *rest, "_no", "_base", F.posexplode_outer(tokenize_offsets("_s")).alias("_i", "_t")
-    ).where("_i is not null").select(
-        *rest,
-        (F.col("_no") + F.col("_i")).alias("token_no"),
-        F.col("_t.token").alias("token"),
-        (F.col("_base") + F.col("_t.char_start")).alias("char_start"),
-        (F.col("_base") + F.col("_t.char_end")).alias("char_end"),
-    )
-
-
-def _positions(df: DataFrame, rest: list[str], size: int) -> DataFrame:
-    """Cut ``_s`` into strides of ``size`` tokens; ``_base`` and ``_no`` are its first character and token."""
-    cut = df.select(*rest, "_base", "_no", _cut(F.col("_s"), size, 0).alias("_cut"))
-    at = _running(F.transform("_cut.strides", lambda s: F.length(s)))
-    return (
-        cut.withColumn("_at", at)
-        .select(
-            *rest,
-            (F.col("_base") + F.col("_cut.lead")).alias("_base"),
-            F.col("_no").alias("_first"),
-            "_at",
-            F.posexplode_outer("_cut.strides").alias("_i", "_s"),
-        )
-        .select(
-            *rest,
-            "_s",
-            (F.col("_base") + F.get("_at", F.col("_i"))).alias("_base"),
-            (F.col("_first") + F.col("_i") * size).alias("_no"),
-        )
-    )
+    numbers = [F.lit(None).cast("int").alias(c) for c in ("char_start", "char_end")]
+    schema = df.select(*rest, F.lit(None).cast("int").alias("token_no"), F.lit(None).cast("string").alias("token"), *numbers).schema
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first, last in slices(whole.column(len(rest))):
+                batch = whole.slice(first, last - first)
+                row, *columns = token_spans(batch.column(len(rest)))
+                kept = [c.take(pa.array(row)) for c in batch.columns[: len(rest)]]
+                yield pa.RecordBatch.from_arrays([*kept, *columns], names)
+
+    return df.select(*rest, F.col(text).alias("_s")).mapInArrow(tidy(run), schema)
 
 
 def _strides(text: Column, stride: int) -> Column:

@@ -1,4 +1,7 @@
-"""Tokens of Arrow batches: the runs of ``a-z 0-9 _`` in lower-cased texts, found in the bytes of many texts at once."""
+"""Tokens of Arrow batches, found in the bytes of many texts at once.
+
+Keyword tokens are the runs of ``a-z 0-9 _`` in lower-cased texts; window tokens are those of anything but white space.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +15,8 @@ import pyarrow.compute as pc
 SLICE_BYTES = 2 << 20
 
 _IN_TOKEN = np.zeros(256, np.bool_)
+_NO_SPACE = np.ones(256, np.bool_)
+_NO_SPACE[[*b" \t\n\r\f"]] = False
 _IN_TOKEN[[*b"abcdefghijklmnopqrstuvwxyz0123456789_"]] = True
 
 
@@ -67,3 +72,20 @@ def counted_tokens(lowered: pa.Array, without: tuple[str, ...] = ()) -> tuple[pa
         row, code = row[kept], code[kept]
     key, count = np.unique(row * max(1, len(names)) + code, return_counts=True)
     return names, *np.divmod(key, max(1, len(names))), count, np.bincount(row, minlength=len(lowered))
+
+
+def token_spans(texts: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array, pa.Array, pa.Array]:
+    """Of each window token: the number of its text, its number there, the token, the places of its first character and of the one behind it."""
+    data, at = text_bytes(texts)
+    inside = _NO_SPACE[data]
+    start, end = runs(inside, at)
+    before = np.searchsorted(start, at)
+    row = np.repeat(np.arange(len(texts)), np.diff(before))
+    ends = np.r_[0, np.cumsum(end - start)].astype(np.int32)
+    tokens = pa.StringArray.from_buffers(len(start), pa.py_buffer(ends), pa.py_buffer(data[inside]))
+    # Code points up to each byte; a text begins with its own.
+    points = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
+    own = points[at][row]
+    numbers = (np.arange(len(start)) - before[row], points[start] - own, points[end] - own)
+    no, first, last = (pa.array(x.astype(np.int32)) for x in numbers)
+    return row, no, tokens, first, last

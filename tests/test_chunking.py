@@ -141,3 +141,15 @@ def test_many_sections_start_where_they_should(spark):
     rows = c.split_sections(spark.createDataFrame([(1, text)], "id int, content string")).collect()
     assert len(rows) == 5000
     assert all(text[r.section_start :].startswith(r.section_text) for r in rows)
+
+
+def test_token_positions_count_characters_of_their_own_text(spark):
+    texts = ["é\U0001f600a  b\u00a0c\n", None, "", " \t", "x", "\u2003y z", "tok " * 3000]
+    rows = c.token_positions(spark.createDataFrame([(i, t, [i]) for i, t in enumerate(texts)], "id int, t string, k array<int>"), "t")
+    assert [x.simpleString() for x in rows.schema] == ["id:int", "k:array<int>", "token_no:int", "token:string", "char_start:int", "char_end:int"]
+    assert "Generate" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    for i, t in enumerate(texts):
+        got = rows.where(F.col("id") == i).orderBy("token_no").collect()
+        want = [(m.group(), m.start(), m.end()) for m in re.finditer(r"[^ \t\n\r\f]+", t or "")]
+        assert [(r.token, r.char_start, r.char_end) for r in got] == want
+        assert [r.token_no for r in got] == list(range(len(want))) and all(r.k == [i] for r in got)
