@@ -412,3 +412,10 @@ def test_tokens_of_a_batch_are_those_of_its_texts():
                 got[i + r][names[int(c)].as_py()] += int(m)
         want = [Counter(w for w in re.findall("[a-z0-9_]+", x or "") if w != "of") for x in texts[first:]]
         assert got == want and size == [x.total() for x in want]
+
+
+def test_the_index_works_on_a_bounded_part_of_a_batch_of_long_texts():
+    text = " ".join(f"t{i}" for i in range(4000))
+    rows = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array(["a"] * 600), pa.array([text] * 600), pa.array(range(600))], ["a", "b", "c", "d"])
+    entries = [sum(map(len, b.column("places").to_pylist())) for b in kw._runs(iter([rows])) if b.column("term").null_count == 0]
+    assert sum(entries) == 600 * 4000 and max(entries) * len(text) / 4000 <= tokens.SLICE_BYTES
