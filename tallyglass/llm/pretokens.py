@@ -2,8 +2,8 @@
 
 The rule cuts at changes between letters, digits, white space and the rest; a single space goes to the piece behind
 it; ``'s 't 're 've 'm 'll 'd`` are pieces. Equal pieces are encoded once per task: ``PieceEncoder`` keeps a bounded
-table of pieces seen and asks an encoder only for new ones. Pieces are found by a hash and then compared byte by byte,
-with those of their block as with those of the table, so two pieces of one hash stay two.
+table of pieces seen and asks an encoder only for new ones. Short pieces are found by their bytes; longer ones by a hash and
+then compared byte by byte, with those of their block as with those of the table, so two pieces of one hash stay two.
 """
 
 from __future__ import annotations
@@ -14,13 +14,16 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 
-from tallyglass.llm.words import equal_runs, run_hashes, runs
+from tallyglass.llm.words import eights, equal_runs, mix, run_hashes, runs
 from tallyglass.llm.worker import per_worker
 
 BLOCK_CHARS = 1 << 19
 MEMO_PIECES = 300_000
 MEMO_BYTES = 32 << 20
 _CELLS = 1 << 22
+_HASHED = np.uint64(1 << 63)
+_NO_TEXT = np.uint64(1 << 62)
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(8)] + [0], np.uint64)
 
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 # The code points with the property White_Space.
@@ -37,36 +40,167 @@ def _classes() -> np.ndarray:
     return out
 
 
-def code_points(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of all texts in a row, and where each text begins and the last one ends."""
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    return codes, np.r_[0, np.cumsum([len(t) for t in texts], dtype=np.int64)]
+def _of_bytes() -> bytes:
+    out = np.full(256, _OTHER, np.uint8)
+    out[:128] = _classes()[:128]
+    return out.tobytes()
 
 
-def piece_starts(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Places at which a piece begins; ``at`` as from ``code_points``."""
-    n = len(codes)
-    kind = per_worker(("classes",), _classes)[codes]
+def byte_classes(raw: bytes) -> np.ndarray:
+    """The class of the code point that each byte of UTF-8 belongs to."""
+    kind = np.frombuffer(bytearray(raw.translate(per_worker(("classes of bytes",), _of_bytes))), np.uint8)
+    if raw.isascii():
+        return kind
+    data = np.frombuffer(raw, np.uint8)
+    at = np.flatnonzero(data >= 0xC0)
+    lead = data[at].astype(np.uint32)
+    size = 2 + (lead >= 0xE0) + (lead >= 0xF0)
+    point = lead & (np.uint32(0x7F) >> size.astype(np.uint32))
+    for k in range(1, 4):
+        more = size > k
+        point[more] = point[more] << np.uint32(6) | (data[at[more] + k] & 0x3F)
+    own = per_worker(("classes",), _classes)[point]
+    kind[at] = own
+    for k in range(1, 4):
+        more = size > k
+        kind[at[more] + k] = own[more]
+    return kind
+
+
+def piece_starts(raw: bytes, at: np.ndarray) -> np.ndarray:
+    """Bytes at which a piece begins; ``at`` tells where each text begins and the last one ends."""
+    n = len(raw)
+    data = np.frombuffer(raw, np.uint8)
+    kind = byte_classes(raw)
     edge = np.zeros(n + 1, bool)  # a text begins, or all end
     edge[at] = True
     start = edge[:n].copy()
     start[1:] |= kind[1:] != kind[:-1]
     # The last of several white spaces before something else stands alone or, as a space, goes to what follows.
-    last = np.flatnonzero((kind[:-1] == _SPACE) & (kind[1:] != _SPACE) & ~edge[1:n])
-    start[last] = True
-    start[last[codes[last] == 0x20] + 1] = False
-    quote = np.flatnonzero((codes == 0x27) & start)
+    white = kind == _SPACE
+    last = np.flatnonzero(white[:-1] & ~white[1:] & ~edge[1:n])
+    one = data[last]
+    wide = last[one >= 0x80]
+    for _ in range(3):  # back to its first byte
+        wide = wide - ((data[wide] & 0xC0) == 0x80)
+    start[last[one < 0x80]] = True
+    start[wide] = True
+    start[last[one == 0x20] + 1] = False
+    quote = np.flatnonzero((data == 0x27) & start)
     for ending in _ENDINGS:
         size = len(ending)
         fits = quote[quote + size < n]
         for k, letter in enumerate(ending, 1):
-            fits = fits[(codes[fits + k] == ord(letter)) & ~edge[fits + k]]
+            fits = fits[(data[fits + k] == ord(letter)) & ~edge[fits + k]]
         start[fits + 1] = False
         behind = fits + size + 1
         start[behind[behind < n]] = True
     return np.flatnonzero(start)
 
 
+class _Rows:
+    """An array that grows at its end, with zeros behind it."""
+
+    def __init__(self, kind: type):
+        self.room, self.n = np.zeros(1024, kind), 0
+
+    def __len__(self) -> int:
+        return self.n
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.room[: self.n]
+
+    def extend(self, more: np.ndarray) -> None:
+        if self.n + len(more) + 8 > len(self.room):
+            room = np.zeros(max(2 * len(self.room), self.n + len(more) + 8), self.room.dtype)
+            room[: self.n] = self.all
+            self.room = room
+        self.room[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+
+class PieceTable:
+    """Pieces with their keys, bytes and ids. It only grows, so a piece keeps its number.
+
+    A cell holds the last piece of the keys that meet in it; each key has two cells.
+    """
+
+    def __init__(self):
+        self.cell = np.full(_CELLS, -1, np.int32)
+        self.key, self.text, self.known = _Rows(np.uint64), _Rows(np.uint8), _Rows(np.uint32)
+        self.text_at, self.known_at, self.known_len = _Rows(np.int64), _Rows(np.int64), _Rows(np.int32)
+        self.single: dict[int, int] = {}
+
+    def __len__(self) -> int:
+        return len(self.key)
+
+    def ids(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of pieces in a row."""
+        return gather(self.known.all, self.known_at.all[numbers], self.known_len.all[numbers])
+
+    def number(self, one: int) -> int:
+        """The number of a piece that has this id alone and is no text."""
+        if one not in self.single:
+            self.single[one] = int(self._put(np.array([_NO_TEXT]), np.zeros(0, np.uint8), np.zeros(1, np.int64), [one.to_bytes(4, "little")])[0])
+        return self.single[one]
+
+    def places(self, data: np.ndarray, key: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Numbers of pieces, -1 for those that are not here."""
+        out = np.full(len(key), -1, np.int64)
+        left = np.arange(len(key))
+        for cells in _cells(key):
+            slot = self.cell[cells[left]].astype(np.int64)
+            at = np.flatnonzero(slot >= 0)
+            at = at[self.key.room[slot[at]] == key[left[at]]]
+            long = at[key[left[at]] >= _HASHED]
+            mine, theirs = left[long], slot[long]
+            same = equal_runs(
+                data, begin[mine], size[mine], self.text.all, self.text_at.room[theirs], self.text_at.room[theirs + 1] - self.text_at.room[theirs],
+                np.ndarray((len(self.text) + 1,), "<u8", self.text.room, strides=(1,)),
+            )
+            slot[long[~same]] = -1
+            found = np.zeros(len(left), bool)
+            found[at] = slot[at] >= 0
+            out[left[found]] = slot[found]
+            left = left[~found]
+        return out
+
+    def add(self, data: np.ndarray, key: np.ndarray, begin: np.ndarray, size: np.ndarray, encoded: list[bytes]) -> np.ndarray:
+        """Take pieces in; their numbers."""
+        numbers = self._put(key, gather(data, begin, size), size, encoded)
+        one, two = _cells(key)
+        taken = self.cell[one] >= 0
+        self.cell[one[~taken]] = numbers[~taken]
+        self.cell[two[taken]] = numbers[taken]
+        return numbers
+
+    def _put(self, key: np.ndarray, text: np.ndarray, size: np.ndarray, encoded: list[bytes]) -> np.ndarray:
+        first = len(self.key)
+        count = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
+        ends = np.cumsum(size) + len(self.text)
+        self.text_at.extend(ends - size)
+        self.text_at.room[self.text_at.n] = len(self.text) + len(text)  # the last text ends
+        self.known_at.extend(np.cumsum(count) - count + len(self.known))
+        self.known_len.extend(count)
+        self.key.extend(key)
+        self.text.extend(text)
+        self.known.extend(np.frombuffer(b"".join(encoded), np.uint32))
+        return np.arange(first, len(self.key))
+
+
+def _cells(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    spread = mix(key)
+    return spread & np.uint64(_CELLS - 1), spread >> np.uint64(64 - _CELLS.bit_length() + 1)
+
+
+def gather(values: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Runs of ``values`` in a row, from where and of what length."""
+    to = np.cumsum(count, dtype=np.int64)
+    total = int(to[-1]) if len(to) else 0
+    return values[np.arange(total) + np.repeat(at - (to - count), count)]
+
+
 class PieceEncoder:
     """Ids of texts from ``encode``, which gives the ids of each of some pieces as little-endian 32-bit numbers."""
 
@@ -77,14 +211,22 @@ class PieceEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        """An empty table: of each piece its hash, bytes and ids; a cell holds the last piece of the hashes that meet in it."""
-        self.cell = np.full(_CELLS, -1, np.int32)
-        self.key = np.zeros(0, np.uint64)
-        self.text, self.text_at, self.text_len = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.known, self.known_at, self.known_len = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.table = PieceTable()
+
+    @property
+    def key(self) -> np.ndarray:
+        return self.table.key.all
 
     def ids(self, texts: Sequence[str]) -> list[np.ndarray]:
         """The ids of each text; strings of special tokens in a text become their ids."""
+        out = []
+        for chain in self.pieces(texts):
+            ids = [table.ids(numbers) for table, numbers in chain]
+            out.append(ids[0] if len(ids) == 1 else np.concatenate(ids))
+        return out
+
+    def pieces(self, texts: Sequence[str]) -> list[list[tuple[PieceTable, np.ndarray]]]:
+        """The pieces of each text in a row, by their numbers in a table. A full table gives way to another."""
         parts: list[str] = []
         plan: list[tuple[int, list[int]]] = []  # of each text: its first part, the special ids between its parts
         for text in texts:
@@ -94,18 +236,15 @@ class PieceEncoder:
                     own, between = self._cut(own, between, token, number)
             plan.append((len(parts), between))
             parts += own
-        encoded: list[np.ndarray] = []
+        found: list[tuple[PieceTable, np.ndarray]] = []
         for first, stop in runs(np.array([len(p) for p in parts], np.int64), BLOCK_CHARS):
-            encoded += self._block(parts[first:stop])
+            found += [(self.table, numbers) for numbers in self._block(parts[first:stop])]
         out = []
         for first, between in plan:
-            ids = encoded[first]
-            if between:
-                chain = [ids]
-                for k, number in enumerate(between, 1):
-                    chain += [np.array([number], np.uint32), encoded[first + k]]
-                ids = np.concatenate(chain)
-            out.append(ids)
+            chain = [found[first]]
+            for k, number in enumerate(between, 1):
+                chain += [(self.table, np.array([self.table.number(number)])), found[first + k]]
+            out.append(chain)
         return out
 
     @staticmethod
@@ -120,67 +259,47 @@ class PieceEncoder:
         return parts, marks
 
     def _block(self, texts: list[str]) -> list[np.ndarray]:
-        codes, edges = code_points(texts)
-        if not len(codes):
-            return [np.zeros(0, np.uint32)] * len(texts)
-        starts = piece_starts(codes, edges)
-        whole = "".join(texts)
-        data = np.frombuffer(whole.encode("utf-8", "surrogatepass"), np.uint8)
-        # The first byte of each code point, where not all are of one byte.
-        begin = starts if len(data) == len(codes) else np.flatnonzero((data & 0xC0) != 0x80)[starts]
+        raws = [t.encode("utf-8", "surrogatepass") for t in texts]
+        raw = b"".join(raws)
+        if not raw:
+            return [np.zeros(0, np.int64)] * len(texts)
+        edges = np.append(0, np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws))))
+        begin = piece_starts(raw, edges)
+        data = np.frombuffer(raw, np.uint8)
         size = np.diff(begin, append=len(data))
-        key = run_hashes(data, begin, size)
+        key = _keys(data, begin, size)
         own, sample = _alike(data, key, begin, size)
-        slot = self._places(data, key[sample], begin[sample], size[sample])
+        slot = self.table.places(data, key[sample], begin[sample], size[sample])
         new = np.flatnonzero(slot < 0)
-        if len(self.key) + len(new) > self.most or len(self.text) > MEMO_BYTES:
+        if len(new) and (len(self.table) + len(new) > self.most or len(self.table.text) > MEMO_BYTES):
             self._clear()
-            slot[:] = -1
             new = np.arange(len(slot))
         if len(new):
             at = sample[new]
-            stop = np.append(starts[1:], len(codes))[at].tolist()
-            encoded = self.encode([whole[i:j] for i, j in zip(starts[at].tolist(), stop)])
-            slot[new] = self._add(data, key[at], begin[at], size[at], encoded)
-        from_at, count = self.known_at[slot][own], self.known_len[slot][own]
-        to_at = np.append(0, np.cumsum(count))
-        ids = self.known[np.arange(to_at[-1]) + np.repeat(from_at - to_at[:-1], count)]
-        cut = to_at[np.searchsorted(starts, edges)].tolist()
-        return [ids[i:j] for i, j in zip(cut[:-1], cut[1:])]
-
-    def _places(self, data: np.ndarray, key: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Numbers of pieces in the table, -1 for those that it does not have."""
-        slot = self.cell[key & np.uint64(_CELLS - 1)].astype(np.int64)
-        at = np.flatnonzero(slot >= 0)
-        at = at[self.key[slot[at]] == key[at]]
-        same = equal_runs(data, begin[at], size[at], self.text, self.text_at[slot[at]], self.text_len[slot[at]])
-        out = np.full(len(key), -1, np.int64)
-        out[at[same]] = slot[at[same]]
-        return out
+            first, count = begin[at], size[at]
+            encoded = self.encode([raw[i:j].decode("utf-8", "surrogatepass") for i, j in zip(first.tolist(), (first + count).tolist())])
+            slot[new] = self.table.add(data, key[at], first, count, encoded)
+        numbers = slot[own]
+        cut = np.searchsorted(begin, edges).tolist()
+        return [numbers[i:j] for i, j in zip(cut[:-1], cut[1:])]
 
-    def _add(self, data: np.ndarray, key: np.ndarray, begin: np.ndarray, size: np.ndarray, encoded: list[bytes]) -> np.ndarray:
-        """Put pieces in the table; their numbers."""
-        slot = len(self.key) + np.arange(len(key))
-        at = np.cumsum(size) - size
-        text = data[np.arange(size.sum()) + np.repeat(begin - at, size)]
-        count = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
-        self.text_at = np.concatenate([self.text_at, at + len(self.text)])
-        self.text_len = np.concatenate([self.text_len, size])
-        self.known_at = np.concatenate([self.known_at, np.cumsum(count) - count + len(self.known)])
-        self.known_len = np.concatenate([self.known_len, count])
-        self.key = np.concatenate([self.key, key])
-        self.text = np.concatenate([self.text, text])
-        self.known = np.concatenate([self.known, np.frombuffer(b"".join(encoded), np.uint32)])
-        self.cell[key & np.uint64(_CELLS - 1)] = slot
-        return slot
+
+def _keys(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of each piece a number: its length and bytes if it has less than eight, else a hash from ``_HASHED`` on."""
+    width = np.minimum(size, 8)
+    out = (eights(data)[begin] & _LOW[width]) | width.astype(np.uint64) << np.uint64(56)
+    long = np.flatnonzero(size > 7)
+    out[long] = run_hashes(data, begin[long], size[long]) | _HASHED
+    return out
 
 
 def _alike(data: np.ndarray, key: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each piece the number of its content, and for each content a piece that has it."""
     own, names = pd.factorize(key)
     sample = _firsts(own, len(names))
-    first = sample[own]
-    if not equal_runs(data, begin, size, data, begin[first], size[first]).all():
+    long = np.flatnonzero(key >= _HASHED)
+    first = sample[own[long]]
+    if not equal_runs(data, begin[long], size[long], data, begin[first], size[first]).all():
         raw = data.tobytes()
         own, names = pd.factorize(np.array([raw[i : i + n] for i, n in zip(begin.tolist(), size.tolist())], object))
         sample = _firsts(own, len(names))

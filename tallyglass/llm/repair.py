@@ -1,7 +1,7 @@
 """Token-id files compressed by Re-Pair, one grammar per shard, readable from any id on.
 
 A shard holds whole documents in ascending order of their ids. Rounds replace frequent pairs of neighbouring symbols by
-new symbols until no pair is frequent; the rules and the number of ids that each stands for are stored, and the ids that precede every
+new symbols, first inside the pieces of text that are encoded one by one, until no pair is frequent; the rules and the number of ids that each stands for are stored, and the ids that precede every
 ``INDEX_STEP``-th symbol, so a run of ids is decoded without what lies before it.
 
 Layout of a shard, little-endian: magic, counts (documents, symbols, rules, ids, base, symbol bytes), document ids
@@ -10,7 +10,8 @@ Layout of a shard, little-endian: magic, counts (documents, symbols, rules, ids,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tallyglass.llm.pretokens import PieceEncoder
+from tallyglass.llm.pretokens import PieceEncoder, PieceTable, gather
 from tallyglass.llm.store import written
 from tallyglass.llm.worker import per_worker, tidy
 
@@ -29,15 +30,45 @@ INDEX_STEP = 1024
 SHORT = 32
 _GONE = np.uint32(0xFFFFFFFF)
 _NO_RANK = (1 << 31) - 1
-_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def compress(ids: np.ndarray, base: int, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols and the left and right symbol of each rule; ids are below ``base``, rule k is the symbol base + k.
 
-    Rounds go on until no pair occurs ``least`` times without overlapping itself. In a round, a frequent pair is
+    Rounds go on until no pair occurs ``least`` times without overlapping itself.
+    """
+    sym, left, right = _replace(ids, base, least)
+    return sym[sym != _GONE], left, right
+
+
+def compress_pieces(
+    ids: np.ndarray, counts: np.ndarray, own: np.ndarray, base: int, least: int = LEAST_COUNT
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``compress`` for a row of pieces, of which ``own`` tells the number; piece k has ``counts[k]`` ids, all in a row in ``ids``.
+
+    Pairs inside pieces come first, each piece being looked at once with the number of times that it occurs; the rounds then go
+    on over the whole row until no pair is frequent.
+    """
+    ends = np.cumsum(counts, dtype=np.int64)
+    times = np.bincount(own, minlength=len(counts))
+    sym, left, right = _replace(ids, base, least, np.repeat(times, counts), ends)
+    there = sym != _GONE
+    kept = np.append(0, np.cumsum(there))
+    begin, stop = kept[ends - counts], kept[ends]
+    row = gather(sym[there], begin[own], (stop - begin)[own])
+    sym, more_left, more_right = _replace(row, base + len(left), least)
+    return sym[sym != _GONE], np.append(left, more_left), np.append(right, more_right)
+
+
+def _replace(
+    ids: np.ndarray, base: int, least: int, times: np.ndarray | None = None, ends: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The symbols in the places of ``ids``, ``_GONE`` where one joined that before it, and the new rules.
+
+    A place counts ``times``; runs of places that stop at ``ends`` are apart. In a round, a frequent pair is
     replaced wherever no neighbouring pair is more frequent, if that leaves it frequent; the first one always is.
     Places are linked, so a round looks only at pairs that may be frequent and at those next to what it replaced.
+    Pairs are sorted together with their places, which brings equal ones together.
     """
     n = len(ids)
     none = np.zeros(0, np.uint32)
@@ -46,59 +77,79 @@ def compress(ids: np.ndarray, base: int, least: int = LEAST_COUNT) -> tuple[np.n
     after = np.append(np.arange(1, n + 1, dtype=kind), kind(n))
     before = np.append(np.arange(-1, n - 1, dtype=kind), kind(n - 1))
     before[0] = n
+    if ends is not None:
+        after[ends[ends > 0] - 1] = n
+        before[ends] = n
     rank_at = np.full(n + 1, _NO_RANK, np.int32)  # of pairs that occur ``least`` times
     marked = np.zeros(-(-(n + 1) // 8) * 8, bool)
     eights = marked.reshape(-1, 8)
     lefts, rights = [none], [none]
     top = base
+    bits = max(n, 1).bit_length()
+    low = np.uint64((1 << bits) - 1)
     # Pairs of old symbols only get rarer: one that was rare is not counted again, but for those of equal symbols.
-    known = np.bincount(sym[:n], minlength=1)[sym[:n]] >= least
+    known = (np.bincount(sym[:n], times, minlength=1)[sym[:n]] >= least) if n else np.zeros(0, bool)
     live = np.flatnonzero(known[:-1] & known[1:]).astype(kind)
+    if ends is not None:
+        live = live[after[live] != n]
     while len(live):
         right = after[live]
         a, b = sym[live], sym[right]
         twin = np.flatnonzero(a == b)
-        counted = np.ones(len(live), bool)
+        pair_bits = max(top - 1, 1).bit_length()
+        if 2 * pair_bits + bits <= 64:
+            names, pair = None, a.astype(np.uint64) << np.uint64(pair_bits) | b
+        else:
+            pair, names = pd.factorize(a.astype(np.uint64) << np.uint64(32) | b)
+            pair = pair.astype(np.uint64)
+        packed = pair << np.uint64(bits) | live.astype(np.uint64)
         if len(twin):  # in a run of equal symbols every other pair counts, from its first on
             nth = np.arange(len(twin))
             begin = np.maximum.accumulate(np.where(np.r_[True, live[twin[1:]] != right[twin[:-1]]], nth, 0))
+            counted = np.ones(len(live), bool)
             counted[twin[(nth - begin) % 2 == 1]] = False
-        at = live[counted]
-        pair = (a.astype(np.uint64) << np.uint64(32) | b)[counted]
-        # Cells that many pairs may share: a pair is counted by itself only if its cell is frequent.
-        bits = min(max(len(pair).bit_length() + 1, 10), 20)
-        cell = ((pair * _SPREAD) >> np.uint64(64 - bits)).view(np.int64)
-        maybe = (np.bincount(cell, minlength=1 << bits) >= least)[cell]
-        at = at[maybe]
-        own, kinds = pd.factorize(pair[maybe])
-        count = np.bincount(own, minlength=len(kinds))
-        often = count >= least
-        if not often.any():
+            packed = packed[counted]
+        packed.sort()
+        pair = packed >> np.uint64(bits)
+        at = (packed & low).astype(kind)
+        first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+        size = np.diff(first, append=len(pair))
+        count = size if times is None else np.add.reduceat(times[at], first)
+        often = np.flatnonzero(count >= least)
+        if not len(often):
             break
-        order = np.argsort(-count, kind="stable")
-        rank = np.empty(len(kinds), np.int32)
-        rank[order] = np.arange(len(kinds), dtype=np.int32)
-        keep = often[own]
-        at, own = at[keep], own[keep]
+        often = often[np.argsort(-count[often], kind="stable")]  # by rank from here on
+        rank = np.full(len(size), _NO_RANK, np.int32)
+        rank[often] = np.arange(len(often), dtype=np.int32)
+        kinds = pair[first[often]]
+        mine = np.repeat(rank, size)
+        keep = np.flatnonzero(mine != _NO_RANK)
+        at = at[keep]
+        rank_at[at] = mine[keep]
+        at.sort()  # from here on in the order of places, for the sake of the processor's cache
+        mine = rank_at[at]
         marked[live[twin]] = True
         marked[at] = True
-        mine = rank[own]
-        rank_at[at] = mine
-        first = (mine < rank_at[before[at]]) & (mine < rank_at[after[at]])
+        best = np.flatnonzero((mine < rank_at[before[at]]) & (mine < rank_at[after[at]]))
         rank_at[at] = _NO_RANK
-        at, own = at[first], own[first]
-        used = np.bincount(own, minlength=len(kinds))
-        chosen = order[used[order] >= least]
-        name = np.full(len(kinds), -1, np.int64)
+        at, mine = at[best], mine[best]
+        used = np.bincount(mine, None if times is None else times[at], minlength=len(often))
+        chosen = np.flatnonzero(used >= least)
+        name = np.full(len(often), -1, np.int64)
         name[chosen] = top + np.arange(len(chosen))
-        taken = name[own] >= 0
-        at, own = at[taken], own[taken]
-        lefts.append((kinds[chosen] >> np.uint64(32)).astype(np.uint32))
-        rights.append((kinds[chosen] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+        taken = np.flatnonzero(name[mine] >= 0)
+        at, mine = at[taken], mine[taken]
+        if names is None:
+            lefts.append((kinds[chosen] >> np.uint64(pair_bits)).astype(np.uint32))
+            rights.append((kinds[chosen] & np.uint64((1 << pair_bits) - 1)).astype(np.uint32))
+        else:
+            both = names[kinds[chosen].astype(np.int64)]
+            lefts.append((both >> np.uint64(32)).astype(np.uint32))
+            rights.append((both & np.uint64(0xFFFFFFFF)).astype(np.uint32))
         top += len(chosen)
         gone = after[at]
         follow = after[gone]
-        sym[at] = name[own]
+        sym[at] = name[mine]
         sym[gone] = _GONE
         after[at] = follow
         before[follow] = at
@@ -107,10 +158,12 @@ def compress(ids: np.ndarray, base: int, least: int = LEAST_COUNT) -> tuple[np.n
         marked[gone] = False
         marked[[n, before[n]]] = False
         some = np.flatnonzero(marked.view(np.uint64))  # of eight places
-        row, column = np.nonzero(eights[some])
-        live = (some[row] * 8 + column).astype(kind)
+        each = np.flatnonzero(eights[some].ravel())
+        live = (some[each >> 3] * 8 + (each & 7)).astype(kind)
         marked[live] = False
-    return sym[sym != _GONE], np.concatenate(lefts), np.concatenate(rights)
+        if ends is not None:
+            live = live[after[live] != n]
+    return sym[:n], np.concatenate(lefts), np.concatenate(rights)
 
 
 def _lengths(left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
@@ -121,14 +174,40 @@ def _lengths(left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
 
 
 def pack_shard(docs: list[int | None], counts: list[int], ids: np.ndarray, base: int, least: int = LEAST_COUNT) -> bytes:
-    sym, left, right = compress(ids, base, least)
+    return _packed(docs, counts, base, *compress(ids, base, least))
+
+
+def _pack_pieces(
+    docs: list[int | None], counts: list[int], held: list[tuple[PieceTable, np.ndarray]], base: int, least: int
+) -> bytes:
+    """A shard of pieces, given by their numbers in tables."""
+    owns, ids, sizes = [], [], []
+    begin = done = 0
+    while begin < len(held):  # tables follow each other
+        table, stop = held[begin][0], begin
+        while stop < len(held) and held[stop][0] is table:
+            stop += 1
+        numbers = np.concatenate([x for _, x in held[begin:stop]])
+        place = np.zeros(len(table), np.int32)
+        place[numbers] = 1
+        used = np.flatnonzero(place)
+        place[used] = np.arange(done, done + len(used))
+        owns.append(place[numbers])
+        ids.append(table.ids(used))
+        sizes.append(table.known_len.all[used])
+        done += len(used)
+        begin = stop
+    return _packed(docs, counts, base, *compress_pieces(np.concatenate(ids), np.concatenate(sizes), np.concatenate(owns), base, least))
+
+
+def _packed(docs: list[int | None], counts: list[int], base: int, sym: np.ndarray, left: np.ndarray, right: np.ndarray) -> bytes:
     lens = _lengths(left, right, base)
     size = np.ones(len(sym), np.int64)
     rule = sym >= base
     size[rule] = lens[sym[rule].astype(np.int64) - base]
     index = (np.cumsum(size) - size)[::INDEX_STEP]
     kind = np.dtype("<u2") if base + len(left) <= 1 << 16 else np.dtype("<u4")
-    head = np.array([len(docs), len(sym), len(left), len(ids), base, kind.itemsize], "<u8")
+    head = np.array([len(docs), len(sym), len(left), size.sum(), base, kind.itemsize], "<u8")
     parts = [
         head, np.array([d or 0 for d in docs], "<i8"), np.array([d is None for d in docs], "u1"), np.array(counts, "<u8"),
         left.astype(kind), right.astype(kind), lens.astype("<u8"), index.astype("<u8"), sym.astype(kind),
@@ -177,7 +256,9 @@ class Shard:
             rule = np.flatnonzero(sym >= self.base)
             begin[rule] = self.base + flat_at[sym[rule] - self.base]
             table = np.concatenate([np.arange(self.base, dtype=np.uint32), flat])
-            out = table.take(np.repeat(begin - at, size) + np.arange(stop), mode="clip")
+            place = np.repeat(begin - at, size)
+            place += np.arange(stop)
+            out = table.take(place, mode="clip")
             long = size > SHORT
             sym, at, size = sym[long], at[long], size[long]
         else:
@@ -219,12 +300,49 @@ class Shard:
 
 
 def _library(spec: str):
-    """Ids of pieces by the tokenizers library; pieces travel many to a call, apart by line breaks."""
+    """Ids of pieces by the tokenizers library."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(spec)
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+    steps = json.loads(spec)
+    rule = steps.get("pre_tokenizer") or {}
+    plain = rule.get("type") == "ByteLevel" and rule.get("use_regex", True) and not rule.get("add_prefix_space", True)
+    if plain and steps.get("normalizer") is None:
+        encode = _by_model(tokenizer.model)
+    else:
+        encode = _by_lines(tokenizer)
+    return PieceEncoder(encode, special, 800_000), tokenizer.get_vocab_size()
+
+
+def _by_model(model) -> Callable[[list[str]], list[bytes]]:
+    """The library's model alone, given each piece in the letters that stand for its bytes."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    letter = np.zeros(256, "<u2")
+    letter[plain] = plain
+    letter[[b for b in range(256) if b not in plain]] = 256 + np.arange(256 - len(plain))
+
+    def encode(pieces: list[str]) -> list[bytes]:
+        raws = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        letters = letter[np.frombuffer(b"".join(raws), np.uint8)].tobytes().decode("utf-16-le")
+        ids: list[int] = []
+        ends = [0]
+        at = 0
+        for raw in raws:
+            stop = at + len(raw)
+            ids += [token.id for token in model.tokenize(letters[at:stop])]
+            ends.append(4 * len(ids))
+            at = stop
+        packed = np.array(ids, "<u4").tobytes()
+        return [packed[i:j] for i, j in zip(ends, ends[1:])]
+
+    return encode
+
+
+def _by_lines(tokenizer) -> Callable[[list[str]], list[bytes]]:
+    """The whole tokenizer; pieces travel many to a call, apart by line breaks."""
 
     def plain(pieces: list[str]) -> list[list[int]]:
         return [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -254,8 +372,7 @@ def _library(spec: str):
             out[k] = np.array(ids, "<u4").tobytes()
         return out
 
-    special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-    return PieceEncoder(encode, special, 800_000), tokenizer.get_vocab_size()
+    return encode
 
 
 def library_encoder(spec: str) -> tuple[PieceEncoder, int]:
@@ -287,16 +404,16 @@ def write_shards(
         base = max(base, end_id + 1)
         part = TaskContext.get().partitionId()
         seq = start = count = 0
-        held: list[np.ndarray] = []
+        held: list[tuple[PieceTable, np.ndarray]] = []
         numbers: list[int | None] = []
-        end = np.array([end_id], np.uint32)
+        sizes: list[int] = []
 
         def shard() -> pa.RecordBatch:
-            payload = pack_shard(numbers, [len(x) for x in held], np.concatenate(held), base, least_count)
+            payload = _pack_pieces(numbers, sizes, held, base, least_count)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([start], pa.int64()),
-                    pa.array([len(held)], pa.int64()), pa.array([count], pa.int64()), pa.array([payload], pa.binary()),
+                    pa.array([len(numbers)], pa.int64()), pa.array([count], pa.int64()), pa.array([payload], pa.binary()),
                 ],
                 ["part", "seq", "start", "n_docs", "n_ids", "payload"],
             )
@@ -305,13 +422,16 @@ def write_shards(
             for first in range(0, batch.num_rows, 1000):
                 rows = batch.slice(first, 1000)
                 texts = rows.column("text").cast(pa.large_string()).fill_null("").to_pylist()
-                for number, ids in zip(rows.column("doc_id").to_pylist(), encoder.ids(texts)):
-                    held.append(np.concatenate([ids, end]))
+                for number, chain in zip(rows.column("doc_id").to_pylist(), encoder.pieces(texts)):
+                    size = 1 + sum(int(table.known_len.all[x].sum()) for table, x in chain)
+                    held += chain
+                    held.append((chain[-1][0], np.array([chain[-1][0].number(end_id)])))
                     numbers.append(number)
-                    count += len(ids) + 1
+                    sizes.append(size)
+                    count += size
                     if count >= shard_ids:
                         yield shard()
-                        seq, start, count, held, numbers = seq + 1, start + count, 0, [], []
+                        seq, start, count, held, numbers, sizes = seq + 1, start + count, 0, [], [], []
         if held:
             yield shard()
 

@@ -451,6 +451,70 @@ def test_pieces_of_one_hash_stay_apart(monkeypatch):
         assert [ids.tolist() for ids in encoder.ids(texts)] == [[ord(c) for c in t] for t in texts]
 
 
+def test_long_pieces_of_one_hash_stay_apart(monkeypatch):
+    monkeypatch.setattr(pretokens, "run_hashes", lambda data, starts, size, family=0: np.full(len(starts), 7, np.uint64))
+    encoder = pretokens.PieceEncoder(lambda pieces: [np.frombuffer(p.encode("utf-32-le"), "<u4").tobytes() for p in pieces])
+    one, two, three = "abcdefgh", "abcdefghi", "x" * 300 + "y"
+    for texts in ([f"{one} {two} {one}"], [two, one, three], [three + "z", f"é {three}"], ["abcdefg", "abcdefg\0", "gfedcba"]):
+        assert [ids.tolist() for ids in encoder.ids(texts)] == [[ord(c) for c in t] for t in texts]
+
+
+def test_pieces_in_bytes_match_the_library(library):
+    r = random.Random(8)
+    signs = ["a", "Z", "é", "ß", "漢", "🙂", "𝔸", "7", "²", "Ⅷ", "٣", " ", " ", "\n", "\t", "\u00a0", "\u2003", "\u3000", "\x85", "'", "'s", "'re", "'ll", ".", "—", "\0"]
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 40))) for _ in range(3000)] + ["", " ", "\u3000", "x" * 3000, "<|endoftext|>a\u3000<|endoftext|>"]
+    encoder, _ = repair._library(open(tokenizer_file(), encoding="utf-8").read())
+    for text, ids in zip(texts, encoder.ids(texts)):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def _shard_of(texts, least):
+    encoder = pretokens.PieceEncoder(lambda pieces: [np.array([ord(c) for c in p], "<u4").tobytes() for p in pieces], most=60)
+    held, want = [], []
+    for first in range(0, len(texts), 50):  # the table is given up at times
+        for text, chain in zip(texts[first : first + 50], encoder.pieces(texts[first : first + 50])):
+            held += [*chain, (chain[-1][0], np.array([chain[-1][0].number(2)]))]
+            want += [*map(ord, text), 2]
+    assert len({id(table) for table, _ in held}) > 1
+    return repair.Shard(repair._pack_pieces([1], [len(want)], held, 500, least)), want
+
+
+def test_shard_of_pieces_leaves_no_frequent_pair():
+    r = random.Random(5)
+    words = ["".join(r.choice("abc") for _ in range(r.randint(1, 30))) for _ in range(150)] + ["a" * 40, "ab" * 30]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 60))) for _ in range(400)] + ["a" * 500, "é" * 90]
+    shard, want = _shard_of(texts, repair.LEAST_COUNT)
+    assert shard.ids().tolist() == want and shard.ids(1234, 777).tolist() == want[1234:2011]
+    assert not _frequent(shard.symbols)
+
+
+def test_pairs_inside_a_piece_are_counted_once_for_all_its_copies(monkeypatch):
+    """The rounds look at the distinct pieces first, so the whole row begins with far fewer symbols than ids."""
+    rows = []
+    replace = repair._replace
+    monkeypatch.setattr(repair, "_replace", lambda ids, *rest: rows.append(len(ids)) or replace(ids, *rest))
+    shard, want = _shard_of([" ".join(["incomprehensible", "representation", str(k % 70)]) for k in range(600)], repair.LEAST_COUNT)
+    assert shard.ids().tolist() == want
+    assert len(rows) == 2 and rows[0] < len(want) / 4 and rows[1] < len(want) / 4
+
+
+def test_equally_frequent_pairs_of_a_passage_take_few_rounds(monkeypatch):
+    """All pairs of a repeated passage are equally frequent: one neighbour must not wait for the other along the passage."""
+    rounds = []
+    sort = np.argsort
+    monkeypatch.setattr(repair.np, "argsort", lambda *x, **y: rounds.append(1) or sort(*x, **y))
+    passage = np.random.RandomState(2).permutation(2000)[:1000]
+    sym, left, _ = repair.compress(np.tile(passage, 20).astype(np.uint32), 2000)
+    assert len(left) >= 999 and len(rounds) < 60
+
+
+@pytest.mark.parametrize("base", [400, 1 << 31])
+def test_rules_of_large_symbols(base):
+    ids = np.tile(np.random.RandomState(1).randint(0, 400, 500), 30).astype(np.uint32) + np.uint32(base - 400)
+    shard = repair.Shard(repair.pack_shard([1], [len(ids)], ids, base))
+    assert not _frequent(shard.symbols) and (shard.ids(17, 9000) == ids[17:9017]).all()
+
+
 def test_words_hash_without_collisions():
     from tallyglass.llm.words import blocks
 
