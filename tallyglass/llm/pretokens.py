@@ -198,7 +198,9 @@ def gather(values: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Runs of ``values`` in a row, from where and of what length."""
     to = np.cumsum(count, dtype=np.int64)
     total = int(to[-1]) if len(to) else 0
-    return values[np.arange(total) + np.repeat(at - (to - count), count)]
+    place = np.repeat(at - (to - count), count)
+    place += np.arange(total)
+    return values[place]
 
 
 class PieceEncoder:
@@ -262,7 +264,7 @@ class PieceEncoder:
         raws = [t.encode("utf-8", "surrogatepass") for t in texts]
         raw = b"".join(raws)
         if not raw:
-            return [np.zeros(0, np.int64)] * len(texts)
+            return [np.zeros(0, np.int32)] * len(texts)
         edges = np.append(0, np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws))))
         begin = piece_starts(raw, edges)
         data = np.frombuffer(raw, np.uint8)
@@ -279,7 +281,7 @@ class PieceEncoder:
             first, count = begin[at], size[at]
             encoded = self.encode([raw[i:j].decode("utf-8", "surrogatepass") for i, j in zip(first.tolist(), (first + count).tolist())])
             slot[new] = self.table.add(data, key[at], first, count, encoded)
-        numbers = slot[own]
+        numbers = slot.astype(np.int32)[own]
         cut = np.searchsorted(begin, edges).tolist()
         return [numbers[i:j] for i, j in zip(cut[:-1], cut[1:])]
 

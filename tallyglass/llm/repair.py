@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyglass.llm.pretokens import PieceEncoder, PieceTable, gather
 from tallyglass.llm.store import written
-from tallyglass.llm.worker import per_worker, tidy
+from tallyglass.llm.worker import per_worker, reuse_memory, tidy
 
 MAGIC = b"REPAIR01"
 SHARD_IDS = 1_000_000
@@ -98,11 +98,11 @@ def _replace(
         twin = np.flatnonzero(a == b)
         pair_bits = max(top - 1, 1).bit_length()
         if 2 * pair_bits + bits <= 64:
-            names, pair = None, a.astype(np.uint64) << np.uint64(pair_bits) | b
+            names, packed = None, _joined(a.astype(np.uint64), pair_bits, b)
         else:
-            pair, names = pd.factorize(a.astype(np.uint64) << np.uint64(32) | b)
-            pair = pair.astype(np.uint64)
-        packed = pair << np.uint64(bits) | live.astype(np.uint64)
+            packed, names = pd.factorize(_joined(a.astype(np.uint64), 32, b))
+            packed = packed.astype(np.uint64)
+        packed = _joined(packed, bits, live.view(np.uint32 if kind is np.int32 else np.uint64))
         if len(twin):  # in a run of equal symbols every other pair counts, from its first on
             nth = np.arange(len(twin))
             begin = np.maximum.accumulate(np.where(np.r_[True, live[twin[1:]] != right[twin[:-1]]], nth, 0))
@@ -173,6 +173,13 @@ def _lengths(left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
     return out
 
 
+def _joined(high: np.ndarray, bits: int, low: np.ndarray) -> np.ndarray:
+    """``high`` followed by so many bits of ``low``, in the memory of ``high``."""
+    high <<= np.uint64(bits)
+    high |= low
+    return high
+
+
 def pack_shard(docs: list[int | None], counts: list[int], ids: np.ndarray, base: int, least: int = LEAST_COUNT) -> bytes:
     return _packed(docs, counts, base, *compress(ids, base, least))
 
@@ -400,6 +407,7 @@ def write_shards(
     ordered = own.repartitionByRange(*by).sortWithinPartitions(*by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reuse_memory()
         encoder, base = library_encoder(spec.value)
         base = max(base, end_id + 1)
         part = TaskContext.get().partitionId()
