@@ -1,6 +1,7 @@
 """Operators on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -15,6 +16,7 @@ from tallyglass.llm.bitmaps import with_maybe
 from tallyglass.llm.components import components
 from tallyglass.llm.queries import tokenizer_file
 from tallyglass.llm.shared_keys import Entries
+from tallyglass.llm.store import written
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, block int, mark string, starts int, row string"
 
@@ -136,6 +138,82 @@ def test_similar_texts_count_rows_that_share_an_id(spark):
     assert sorted((x.doc_id, x.n_links) for x in got) == sorted((d, n) for (d, _), n in zip(docs, want))
 
 
+def near_copies(n, words, changes, seed=3):
+    """Texts of one base text, each with some words of its own."""
+    r = random.Random(seed)
+    base = [f"b{r.randrange(10**6)}" for _ in range(words)]
+    out = []
+    for d in range(n):
+        own = list(base)
+        for k in range(changes):
+            own[r.randrange(words)] = f"own{d}x{k}"
+        out.append((d, " ".join(own)))
+    return out
+
+
+def test_lists_of_a_document_are_not_sent_once_for_each(spark, monkeypatch):
+    """A document of many lists sends each of them a few times, however many there are."""
+    sent = []
+
+    def seen(df, *given):
+        sent.append(df.agg(F.count("*"), F.sum(F.size("lists"))).first())
+        return paired(df, *given)
+
+    paired = jaccard.in_block_pairs
+    monkeypatch.setattr(jaccard, "in_block_pairs", seen)
+    docs = near_copies(24, 800, 6)
+    got = jaccard.similar_texts(table(spark, docs)).collect()
+    sets = [brute.shingles(t) for _, t in docs]
+    want = [sum(100 * len(s & t) >= 75 * len(s | t) for t in sets) - 1 for s in sets]
+    assert {x.component_id for x in got} == {0} and [x.n_links for x in sorted(got)] == want
+    one = jaccard.similar_texts(table(spark, docs[:1] + docs[:1]))  # no lists at all
+    assert [x.n_links for x in one.collect()] == [1, 1]
+    rows, carried = (sum(x[k] or 0 for x in sent) for k in (0, 1))
+    assert 0 < carried and rows <= 24 * 2 * 8 and carried <= 24 * 2 * 8 * 200, sent
+
+
+@pytest.mark.parametrize("blocks", [2, 7])
+def test_large_clusters_by_packed_blocks(spark, rows, monkeypatch, blocks):
+    """Clusters and lists of many small blocks give the same; a block of near copies travels in less than its texts."""
+    packed = []
+
+    def seen(df, keys):
+        packed.append(df.agg(F.sum(F.length("data"))).first()[0])
+        return paired(df, keys)
+
+    paired, in_pairs = jaccard.paired, jaccard.in_block_pairs
+    monkeypatch.setattr(jaccard, "paired", seen)
+    monkeypatch.setattr(jaccard, "in_block_pairs", lambda df, keys, spread, size: in_pairs(df, keys, spread, size, blocks))
+    monkeypatch.setattr(jaccard, "CLUSTER_BLOCK", 5 * blocks)
+    monkeypatch.setattr(jaccard, "PART_BYTES", 20_000)
+    copies = [(10_000 + d, t) for d, t in near_copies(60, 600, 8)]
+    docs = [x for x in rows if x[0] is not None] + copies
+    sets = {d: brute.shingles(t) for d, t in docs}
+    near = lambda a, b: bool(a) and 100 * len(a & b) >= 75 * len(a | b)
+    want = {d: sum(near(s, t) for e, t in sets.items() if e != d) for d, s in sets.items()}
+    _, part = brute.similar(docs)
+    got = {x.doc_id: x for x in jaccard.similar_texts(table(spark, docs)).collect()}
+    assert {d: (x.n_links, x.component_id) for d, x in got.items()} == {d: (want[d], part[d]) for d in want}
+    assert 0 < packed[0] < sum(len(t) for _, t in copies) / 2
+
+
+def test_written_tables_leave_no_files_of_exchanges(spark):
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        names = (found.apply(i).getName() for i in range(found.size()))
+        return {n for n in names if n.startswith("shuffle_")}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, kept = spark.conf.get(key, None), files()
+    summed = written(spark.range(10_000).groupBy(F.col("id") % 100).count(), "summed")
+    for _ in range(50):  # they are removed soon after
+        if files() <= kept:
+            break
+        time.sleep(0.1)
+    assert files() <= kept and spark.conf.get(key, None) == before
+    assert summed.agg(F.sum("count")).first()[0] == 10_000
+
+
 def test_overlaps_of_lists_are_never_too_low():
     """Entries of one short name count together: the first row has two under name 5, of weight 2 and 3."""
     member, weight = np.array([5, 5, 7, 5, 7, 9]), np.array([2, 3, 1, 2, 1, 4])
