@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
+import corpus_pipeline
 from tallyglass.llm import bpe, chat, jaccard, lines, mixing, near_vectors, pretokens, quality, repair, sharding, shared_keys, substrings
 from tallyglass.llm.bitmaps import with_maybe
 from tallyglass.llm.components import components
@@ -197,23 +198,36 @@ def test_large_clusters_by_packed_blocks(spark, rows, monkeypatch, blocks):
     assert 0 < packed[0] < sum(len(t) for _, t in copies) / 2
 
 
-def test_written_tables_leave_no_files_of_exchanges(spark):
-    def files():
-        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
-        names = (found.apply(i).getName() for i in range(found.size()))
-        return {n for n in names if n.startswith("shuffle_")}
+def exchange_files(spark, kept=()):
+    """Bytes of each file of an exchange that is not in ``kept``, once those that are removed have gone."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    for _ in range(30 if kept != () else 1):
+        found = disk.getAllFiles()
+        files = {f.getName(): f.length() for f in (found.apply(i) for i in range(found.size()))}
+        left = {n: size for n, size in files.items() if n.startswith("shuffle_") and n not in kept}
+        if not left:
+            break
+        time.sleep(0.1)
+    return left
 
+
+def test_written_tables_leave_no_files_of_exchanges(spark):
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before, kept = spark.conf.get(key, None), files()
+    before, kept = spark.conf.get(key, None), exchange_files(spark)
     summed = written(spark.range(10_000).groupBy(F.col("id") % 100).count(), "summed")
-    for _ in range(50):  # they are removed soon after
-        if files() <= kept:
-            break
-        time.sleep(0.1)
-    assert files() <= kept and spark.conf.get(key, None) == before
+    assert exchange_files(spark, kept) == {} and spark.conf.get(key, None) == before
     assert summed.agg(F.sum("count")).first()[0] == 10_000
 
 
+def test_third_stage_leaves_no_files_of_exchanges_but_its_last(spark):
+    docs = near_copies(10, 300, 6) + [(100 + d, t) for d, t in near_copies(5, 300, 200, seed=4)]
+    kept = exchange_files(spark)
+    stage = corpus_pipeline.ngram_jaccard(spark, table(spark, docs), "")
+    assert exchange_files(spark, kept) == {}
+    _, part = brute.similar(docs)
+    assert {x.doc_id for x in stage.collect()} == set(part.values())
+
+
 def test_overlaps_of_lists_are_never_too_low():
     """Entries of one short name count together: the first row has two under name 5, of weight 2 and 3."""
     member, weight = np.array([5, 5, 7, 5, 7, 9]), np.array([2, 3, 1, 2, 1, 4])
